@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from checks import bindings as B
 from checks.registry import query
 from pitspark.functions import scalar as SC
+from pitspark.functions.ordering import with_constants
 from pitspark.operators import asof, expanding, interval, labels, members, series
 
 H = (1, 3, 5)
@@ -311,8 +312,7 @@ SELECT count(DISTINCT grp) AS groups, count(DISTINCT id) AS ids,
 def a13(spark, sf):
     ev = B.unpriced_events(spark, sf).agg(F.countDistinct("grp").alias("groups"),
                                           F.countDistinct("id").alias("ids"))
-    priced = B.prices(spark, sf).agg(F.countDistinct("id").alias("priced")).scalar()
-    return ev.withColumn("priced", priced)
+    return with_constants(ev, B.prices(spark, sf).agg(F.countDistinct("id").alias("priced")))
 
 
 # ---- series ----

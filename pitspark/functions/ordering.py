@@ -1,12 +1,11 @@
 """Exact positions, ranks and order statistics without one-task sorts.
 
 A plain ``row_number() over (partition by key order by value)`` puts a whole key in one
-task. Here the value axis is first cut into ranges at approximate quantiles of the *whole*
-column (1024 of them on a large cluster), so a (key, range) cell never holds much more than its
-share of the table however the keys are distributed. Counts per cell are added up (a table
-of at most that many rows per key) and positions inside a cell come from an ordinary window. Repeated values
-are collapsed to one counted row before that, so a value shared by a third of the rows
-costs one row. The cut points only steer the split; results are exact.
+task. Here the value axis is first cut into ranges on a signed logarithmic scale, 1024 to an octave, so a
+key of any size is spread over about a thousand (key, range) cells or more. Counts per cell
+are added up in a table of one row per cell and positions inside a cell come from an
+ordinary window. Repeated values are collapsed to one counted row before that, so a value
+shared by a third of the rows costs one row. The cut only steers the split; results are exact.
 """
 from __future__ import annotations
 
@@ -14,32 +13,24 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-def _step(df: DataFrame) -> int:
-    """Square root of the number of ranges, which follows the cluster's shuffle width."""
-    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return 8 if width <= 32 else 16 if width <= 512 else 32
+PER_OCTAVE = 1024
+_SHIFT = 1100 * PER_OCTAVE      # keeps the range number of the smallest double positive
 
 
-def split_points(df: DataFrame, value: str | Column) -> Column:
-    """Scalar struct of coarse and fine cut points of a numeric column."""
-    col = F.col(value) if isinstance(value, str) else value
-    step = _step(df)
-    probs = [i / step ** 2 for i in range(1, step ** 2)]
-    fine = df.select(F.percentile_approx(col.cast("double"), probs, 10000).alias("fine"))
-    coarse = F.transform(F.sequence(F.lit(1), F.lit(step - 1)),
-                         lambda i: F.element_at("fine", i * step))
-    return fine.select(F.struct(coarse.alias("coarse"), F.col("fine"))).scalar()
+def cell_of(value: Column) -> Column:
+    """Range number of a finite number: a non-decreasing function of it."""
+    v = value.cast("double")
 
+    def octaves(x: Column) -> Column:
+        return F.floor(F.log2(x) * PER_OCTAVE).cast("int") + _SHIFT
 
-def with_cell(df: DataFrame, value: str | Column, splits: Column) -> DataFrame:
-    """Add ``_cell``, the range number of a value: a non-decreasing function of it."""
-    v = (F.col(value) if isinstance(value, str) else value).cast("double")
-    step = _step(df)
-    hi = F.size(F.filter(F.col("_cuts.coarse"), lambda s: s < v))
-    lo = F.size(F.filter(F.slice(F.col("_cuts.fine"), F.col("_hi") * step + 1, step),
-                         lambda s: s < v))
-    return (df.withColumn("_cuts", splits).withColumn("_hi", hi)
-            .withColumn("_cell", F.col("_hi") * step + lo).drop("_cuts", "_hi"))
+    return F.when(v > 0, octaves(v)).when(v < 0, -octaves(-v)).otherwise(0)
+
+
+def with_constants(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row table (an ungrouped aggregate) to every row."""
+    return (df.withColumn("_one", F.lit(1))
+            .join(F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one").drop("_one"))
 
 
 def tie_number(df: DataFrame, tie: str) -> tuple[Column, list[Column]]:
@@ -67,10 +58,9 @@ def value_offsets(df: DataFrame, keys: Sequence[str], value: str,
     """One row per distinct (keys, value): ``cnt``, ``below`` (rows with a smaller value in
     the key) and ``n`` (rows in the key). ``weight`` counts a row several times."""
     df, keys, _ = _keyed(df, keys)
-    splits = split_points(df, value)
     counts = (df.groupBy(*keys, value)
               .agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("cnt")))
-    counts = with_cell(counts, value, splits)
+    counts = counts.withColumn("_cell", cell_of(F.col(value)))
     cells = counts.groupBy(*keys, "_cell").agg(F.sum("cnt").alias("_in_cell"))
     by_key = W.partitionBy(*keys)
     cells = cells.select(
@@ -138,7 +128,7 @@ def row_index(df: DataFrame, keys: Sequence[str], day: str | None, tie: str,
     df, ks, added = _keyed(df, keys)
     num, tie_order = tie_number(df, tie)
     lead = [*ks, day] if day else list(ks)
-    cut = with_cell(df, num, split_points(df, num))
+    cut = df.withColumn("_cell", cell_of(num))
     cells = cut.groupBy(*lead, "_cell").agg(F.count(F.lit(1)).alias("_c"))
     running = W.unboundedPreceding, 0
     cells = cells.withColumn("_in_lead", F.sum("_c").over(
@@ -186,3 +176,18 @@ def bucketize(df: DataFrame, keys: Sequence[str], score: str, tie: str, k: int,
     split = split.withColumn(out, bucket_at(F.col("below") + F.col("_pos"), F.col("n"), k))
     res = whole.unionByName(split.drop("_pos")).drop("below", "_run", "_b1", "_b2")
     return res.drop("_all") if added else res
+
+
+def suffix_min(df: DataFrame, keys: Sequence[str], order: str, value: str, out: str) -> DataFrame:
+    """Smallest ``value`` among the rows of the key whose ``order`` is at least as large."""
+    df, ks, added = _keyed(df, keys)
+    low = df.groupBy(*ks, order).agg(F.min(value).alias("_v"))
+    low = low.withColumn("_cell", cell_of(F.col(order)))
+    cells = low.groupBy(*ks, "_cell").agg(F.min("_v").alias("_m"))
+    cells = cells.select(*ks, "_cell", F.min("_m").over(
+        W.partitionBy(*ks).orderBy("_cell").rowsBetween(1, W.unboundedFollowing)).alias("_after"))
+    inside = W.partitionBy(*ks, "_cell").orderBy(order).rowsBetween(0, W.unboundedFollowing)
+    got = (low.withColumn("_in", F.min("_v").over(inside)).join(cells, [*ks, "_cell"])
+           .select(*ks, order, F.least("_in", "_after").alias(out)))
+    res = df.join(got, [*ks, order])
+    return res.drop("_all") if added else res

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from pitspark.functions.ordering import row_index, split_points, tie_number, with_cell
+from pitspark.functions.ordering import cell_of, row_index, tie_number
 
 
 def expanding_z(df: DataFrame, by: Sequence[str], day: str, tie: str,
@@ -20,7 +20,7 @@ def expanding_z(df: DataFrame, by: Sequence[str], day: str, tie: str,
     """
     by = list(by)
     num, order = tie_number(df, tie)
-    rows = with_cell(df, num, split_points(df, num))
+    rows = df.withColumn("_cell", cell_of(num))
     centre = df.groupBy(*by).agg(*[F.avg(v).alias(f"_m_{z}") for z, v in values.items()])
     rows = rows.join(centre, by)
     dev = {z: F.col(v) - F.col(f"_m_{z}") for z, v in values.items()}

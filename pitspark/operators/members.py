@@ -5,6 +5,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from pitspark.functions.ordering import quantiles, with_constants
 from pitspark.functions.scalar import blank, normalise_name
 from pitspark.operators.interval import member_share
 
@@ -55,10 +56,9 @@ def dictionary_match(names: DataFrame, name: str, aliases: DataFrame) -> DataFra
     names x runs whatever the size of the alias table.
     """
     words = aliases.withColumn("_run", normalise_name("alias"))
-    longest = words.select(F.max(F.size(F.split("_run", "_")))).scalar()
+    longest = words.agg(F.max(F.size(F.split("_run", "_"))).alias("_max"))
     keys = names.select(name).distinct().withColumn("_tok", F.split(normalise_name(name), "_"))
-    runs = keys.withColumn("_max", longest)
-    runs = runs.select(name, "_tok", F.posexplode("_tok").alias("_at", "_word"), "_max")
+    runs = with_constants(keys, longest).select(name, "_tok", F.posexplode("_tok").alias("_at", "_word"), "_max")
     runs = runs.select(name, F.explode(F.transform(
         F.sequence(F.lit(1), F.least(F.col("_max"), F.size("_tok") - F.col("_at"))),
         lambda n: F.array_join(F.slice(F.col("_tok"), F.col("_at") + 1, n), "_"))).alias("_run"))
@@ -163,8 +163,6 @@ def peer_select(events: DataFrame, universe: DataFrame, id_: str, ticker: str, s
 
 def peer_stats(events: DataFrame, peers: DataFrame, id_: str) -> DataFrame:
     """A3: count, median and spread of peer returns; zeros for events without peers."""
-    from pitspark.functions.ordering import quantiles
-
     short = quantiles(peers, [id_], "ret_21d", {"q1": 0.25, "med": 0.5, "q3": 0.75})
     got = short.select(id_, F.col("n").cast("double").alias("peer_n"), F.col("med").alias("peer_med_21d"),
                        F.when(F.col("n") >= 2, F.col("q3") - F.col("q1")).otherwise(0.0)
