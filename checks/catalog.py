@@ -1,3 +1,3 @@
 """Every registered query."""
-from checks import evaluation, features  # noqa: F401
+from checks import evaluation, features, intake, modelling  # noqa: F401
 from checks.registry import ORACLES, QUERIES  # noqa: F401

@@ -291,11 +291,11 @@ def s14(spark, sf):
 
 _DM = f"""dl AS (SELECT id, date, max({_PIN}) FILTER (rung='B') - max({_PIN}) FILTER (rung='A') AS delta FROM pred GROUP BY 1,2)"""
 _NW = """sr AS (SELECT delta-avg(delta) OVER () AS e, row_number() OVER (ORDER BY date, id) AS i FROM dl),
-nn AS (SELECT count(*) AS n, avg(delta) AS mean FROM dl), ll AS (SELECT least(floor(4*(n/100.0::DOUBLE)**(2.0::DOUBLE/9.0)), n-1) AS L FROM nn),
-ac AS (SELECT l.l, sum(a.e*b.e) AS s FROM (SELECT unnest(range(0, (SELECT CAST(L AS INT)+1 FROM ll))) AS l) l
+nn AS (SELECT count(*) AS n, avg(delta) AS mean FROM dl), ll AS (SELECT least(floor(4*(n/100.0::DOUBLE)**(2.0::DOUBLE/9.0)), n-1) AS lg FROM nn),
+ac AS (SELECT l.l, sum(a.e*b.e) AS s FROM (SELECT unnest(range(0, (SELECT CAST(lg AS INT)+1 FROM ll))) AS l) l
  JOIN sr a ON true JOIN sr b ON b.i=a.i-l.l GROUP BY 1),
-nw AS (SELECT sqrt(sum(CASE WHEN l=0 THEN s ELSE 2*(1-l/(L+1))*s END)/max(n)/max(n)) AS se, max(n) AS n, max(mean) AS mean,
- max(L) AS lags FROM ac, nn, ll)"""
+nw AS (SELECT sqrt(sum(CASE WHEN l=0 THEN s ELSE 2*(1-l/(lg+1))*s END)/max(n)/max(n)) AS se, max(n) AS n, max(mean) AS mean,
+ max(lg) AS lags FROM ac, nn, ll)"""
 
 
 def _delta(spark, sf):
@@ -434,7 +434,7 @@ _CAL = f"""{_HIST}, mg AS (SELECT a.rung, a.fold, a.v AS m_lo, b.v AS m_hi FROM
  JOIN {_conf('s_hi', '0.9')} b ON a.rung=b.rung AND a.fold=b.fold)"""
 
 
-@query("K2_calibrate_asym", needs="pred", rounds="q_lo q_mid q_hi", sql=f"""
+@query("K2_calibrate_asym", needs="pred", rounds="q_lo q_mid q_hi", digits=9, sql=f"""
 WITH {_CAL} SELECT p.rung, p.id, CASE WHEN m_lo IS NULL THEN lo ELSE least(lo-m_lo, md) END AS q_lo, md AS q_mid,
  CASE WHEN m_hi IS NULL THEN hi ELSE greatest(hi+m_hi, md) END AS q_hi FROM pred p LEFT JOIN mg ON mg.rung=p.rung AND mg.fold=p.fold""")
 def k2(spark, sf):
