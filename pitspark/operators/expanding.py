@@ -43,10 +43,9 @@ def expanding_z(df: DataFrame, by: Sequence[str], day: str, tie: str,
                             | {f"_q_{z}": upto(F.col(f"_x_{z}") ** 2, f"_q_{z}") for z in values})
     out = {}
     for z in values:
-        s, q, k = F.col(f"_s_{z}"), F.col(f"_q_{z}"), F.col("_k")
+        s, q, k = F.col(f"_s_{z}"), F.col(f"_q_{z}"), F.when(F.col("_k") >= 2, F.col("_k"))
         sd = F.sqrt(F.greatest((q - s * s / k) / (k - 1), F.lit(0.0)))
-        out[z] = F.when(k >= 2, F.when(sd > 1e-12, (F.col(f"_x_{z}") - s / k) / sd)
-                        .otherwise(0.0)).otherwise(0.0)
+        out[z] = F.when(sd > 1e-12, (F.col(f"_x_{z}") - s / k) / sd).otherwise(0.0)
     return rows.withColumns(out).select(*df.columns, *values)
 
 

@@ -37,6 +37,11 @@ def _varies(c: str | Column) -> Column:
     return F.min(c) < F.max(c)
 
 
+def _corr(a: str | Column, b: str | Column) -> Column:
+    """Correlation, null rather than an error for a constant side."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def with_ranks(df: DataFrame, keys: Sequence[str], cols: dict[str, str]) -> DataFrame:
     """W17 for several columns, each ranked on the same base rows."""
     out = df
@@ -53,7 +58,7 @@ def rank_ic(df: DataFrame, keys: Sequence[str], score: str, y: str, p_value: boo
     base = scorable(df, y, [score]).select(*keys, quoted(score).alias("_s"), F.col(y).alias("_y"))
     got = with_ranks(base, keys, {"_s": "_rs", "_y": "_ry"}).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.when((F.count(F.lit(1)) >= 3) & _varies("_s") & _varies("_y"),
-                                             F.corr("_rs", "_ry")).alias("rank_ic"))
+                                             _corr("_rs", "_ry")).alias("rank_ic"))
     if not p_value:
         return got
     r = F.col("rank_ic")
@@ -66,7 +71,7 @@ def pearson_ic(df: DataFrame, keys: Sequence[str], score: str, y: str) -> DataFr
     df, keys = _keys(df, keys)
     return scorable(df, y, [score]).groupBy(*keys).agg(
         F.when((F.count(F.lit(1)) >= 3) & _varies(quoted(score)) & _varies(F.col(y)),
-               F.corr(quoted(score), F.col(y))).alias("pearson_ic"))
+               _corr(quoted(score), F.col(y))).alias("pearson_ic"))
 
 
 def _bucketed(df: DataFrame, keys: Sequence[str], score: str, y: str, tie: str, k: int) -> DataFrame:

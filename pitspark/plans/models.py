@@ -242,15 +242,16 @@ def tree_importances(rows: DataFrame, y: str, features: Sequence[str], binary: b
     return rows.sparkSession.createDataFrame(out, "fold int, feature string, gain double")
 
 
-def _linear(model: str, alpha: float, n: int) -> LinearRegression:
+def _linear(model: str, alpha: float, n: int, y_sd: float) -> LinearRegression:
     """Penalties in the scale of the usual formulations: ridge adds alpha |w|^2 to the *summed* squares,
-    lasso and elastic net add alpha times their norm to half the *mean* squares."""
-    mix = {"ridge": 0.0, "lasso": 1.0, "elasticnet": 0.5}
-    if model not in mix:
-        raise ValueError(f"model must be one of {sorted(mix)}")
-    reg = alpha / n if model == "ridge" else alpha
-    return LinearRegression(featuresCol="features", labelCol="label", regParam=reg, maxIter=200, tol=1e-9,
-                            elasticNetParam=mix[model], standardization=False)
+    lasso and elastic net add alpha times their norm to half the *mean* squares. Spark divides its
+    quadratic penalty by the label's deviation, which is undone here."""
+    parts = {"ridge": (0.0, alpha / n), "lasso": (alpha, 0.0), "elasticnet": (alpha / 2, alpha / 2)}
+    if model not in parts:
+        raise ValueError(f"model must be one of {sorted(parts)}")
+    l1, l2 = parts[model][0], parts[model][1] * y_sd
+    return LinearRegression(featuresCol="features", labelCol="label", regParam=l1 + l2, maxIter=200,
+                            tol=1e-9, elasticNetParam=l1 / (l1 + l2), standardization=False)
 
 
 def _scaled(train: DataFrame, others: Sequence[DataFrame], features: Sequence[str]) -> list[DataFrame]:
@@ -263,9 +264,9 @@ def fit_linear(train: DataFrame, val: DataFrame, y: str, features: Sequence[str]
                alphas: Sequence[float] = ALPHAS) -> tuple[PipelineModel, float]:
     """M5: penalty strength with the least validation error; inputs already scaled."""
     data = train.withColumn("label", F.col(y).cast("double"))
-    n, best = data.count(), None
+    (n, y_sd), best = data.agg(F.count("label"), F.stddev_pop("label")).first(), None
     for a in alphas:
-        fit = Pipeline(stages=[_assembled(features), _linear(model, a, n)]).fit(data)
+        fit = Pipeline(stages=[_assembled(features), _linear(model, a, n, y_sd)]).fit(data)
         err = validation_loss(score_with(fit, val), y, False)
         if best is None or err < best[0]:
             best = (err, fit, a)
