@@ -147,7 +147,7 @@ def e4(spark, sf):
 @query("E5_hit_rate", needs="pred", rounds="hit_rate", sql="""
 SELECT rung, fold, avg(CAST(sign(md)=sign(y_true) AS INT)) FILTER (y_true<>0) AS hit_rate FROM pred GROUP BY 1,2""")
 def e5(spark, sf):
-    return M.level_metrics(quant(spark, sf), RF, "q0.5", "y_true").select(*RF, "hit_rate")
+    return M.level_metrics(quant(spark, sf), RF, "q0.5", "y_true", median=False).select(*RF, "hit_rate")
 
 
 @query("E6_errors", needs="pred", rounds="mae medae rmse bias r2_vs_zero", sql="""
@@ -246,7 +246,7 @@ def evaluate_binary(spark, sf):
 
 
 def _simple(spark, sf):
-    got = M._merge([M.level_metrics(quant(spark, sf), RF, "q0.5", "y_true").select(*RF, "mae", "bias"),
+    got = M._merge([M.level_metrics(quant(spark, sf), RF, "q0.5", "y_true", median=False).select(*RF, "mae", "bias"),
                     M.interval_metrics(quant(spark, sf), RF, "y_true", QS, LV).select(*RF, "pinball")], RF)
     return M.long_metrics(got, RF)
 
@@ -282,7 +282,7 @@ WITH {_SIMPLE}, po AS (SELECT rung, unnest(['mae','bias','pinball']) AS metric,
 SELECT rung, metric, avg(value) AS mean, stddev_pop(value) AS std, max(pooled) AS pooled FROM fm JOIN po USING (rung, metric) GROUP BY 1,2""")
 def s14(spark, sf):
     p = quant(spark, sf)
-    pooled = M._merge([M.level_metrics(p, ["rung"], "q0.5", "y_true").select("rung", "mae", "bias"),
+    pooled = M._merge([M.level_metrics(p, ["rung"], "q0.5", "y_true", median=False).select("rung", "mae", "bias"),
                        M.interval_metrics(p, ["rung"], "y_true", QS, LV).select("rung", "pinball")], ["rung"])
     return S.write_summary(_simple(spark, sf), M.long_metrics(pooled, ["rung"]))
 

@@ -24,8 +24,9 @@ def asof_lookup(points: DataFrame, series: DataFrame, by: Sequence[str], at: str
     of earlier slices is carried in through a table of one row per slice.
     """
     by = list(by)
-    marks = points.select(*by, F.col(at).alias("_t"), F.lit(True).alias("_asked"),
-                          F.lit(None).alias("_obs")).where(F.col("_t").isNotNull())
+    # Distinct first: a hash aggregate with a map-side combine, where the struct maximum below sorts.
+    marks = (points.select(*by, F.col(at).alias("_t")).where(F.col("_t").isNotNull()).distinct()
+             .select(*by, "_t", F.lit(True).alias("_asked"), F.lit(None).alias("_obs")))
     seen = series.select(*by, F.col(ts).alias("_t"), F.lit(False).alias("_asked"),
                          F.struct(*values).alias("_obs")).where(F.col("_t").isNotNull())
     line = (marks.unionByName(seen).groupBy(*by, "_t")

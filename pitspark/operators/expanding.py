@@ -29,10 +29,17 @@ def expanding_z(df: DataFrame, by: Sequence[str], day: str, tie: str,
     parts = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"), *[
         e for z in values for e in (F.sum(f"_x_{z}").alias(f"_s_{z}"),
                                     F.sum(F.col(f"_x_{z}") ** 2).alias(f"_q_{z}"))])
-    past = W.partitionBy(*by).orderBy(day, "_cell").rowsBetween(W.unboundedPreceding, -1)
     names = ["_n", *[f"_{k}_{z}" for z in values for k in "sq"]]
-    carry = parts.select(*cell, *[F.coalesce(F.sum(c).over(past), F.lit(0)).alias(f"p{c}")
-                                  for c in names])
+
+    def before(table: DataFrame, part: list[str], order: str, mark: str) -> DataFrame:
+        past = W.partitionBy(*part).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+        return table.select(*part, order, *[F.coalesce(F.sum(c).over(past), F.lit(0)).alias(f"{mark}{c}")
+                                            for c in names])
+
+    # Earlier ranges of the day, and earlier days: both windows run over partial sums only.
+    days = parts.groupBy(*by, day).agg(*[F.sum(c).alias(c) for c in names])
+    carry = before(parts, [*by, day], "_cell", "c").join(before(days, by, day, "d"), [*by, day]).select(
+        *cell, *[(F.col(f"c{c}") + F.col(f"d{c}")).alias(f"p{c}") for c in names])
     inside = W.partitionBy(*cell).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
 
     def upto(col, name):

@@ -49,7 +49,7 @@ def slice_metrics(labelled: DataFrame, y: str = "y_true", tie: str = "id", least
         parts += [M.auc(rows, by, "p_out", y),
                   M.probability_metrics(rows, by, "p_out", y).select(*by, "brier", "base_rate")]
     else:
-        parts += [M.level_metrics(rows, by, point, y).select(*by, "mae"),
+        parts += [M.level_metrics(rows, by, point, y, median=False).select(*by, "mae"),
                   M.interval_metrics(rows, by, y, cols, levels).select(*by, "coverage", "coverage_error")]
     return M._merge(parts, by)
 

@@ -125,8 +125,9 @@ def hit_rate(point: Column, y: Column) -> Column:
     return F.avg(F.when(y != 0, (F.signum(point) == F.signum(y)).cast("int")))
 
 
-def level_metrics(df: DataFrame, keys: Sequence[str], point: str, y: str) -> DataFrame:
-    """Hit rate, errors and R2 against predicting zero."""
+def level_metrics(df: DataFrame, keys: Sequence[str], point: str, y: str, median: bool = True) -> DataFrame:
+    """Hit rate, errors and R2 against predicting zero. The median error needs positions of the
+    errors; without it this is one aggregate."""
     df, keys = _keys(df, keys)
     rows = scorable(df, y, [point]).select(*keys, quoted(point).alias("_p"), F.col(y).alias("_y"),
                                            (quoted(point) - F.col(y)).alias("_e"),
@@ -136,6 +137,8 @@ def level_metrics(df: DataFrame, keys: Sequence[str], point: str, y: str) -> Dat
         F.sqrt(F.avg(F.col("_e") ** 2)).alias("rmse"), F.avg("_e").alias("bias"),
         F.when(F.sum(F.col("_y") ** 2) > 0,
                1 - F.sum(F.col("_e") ** 2) / F.sum(F.col("_y") ** 2)).alias("r2_vs_zero"))
+    if not median:
+        return got
     return got.join(quantiles(rows, keys, "_a", {"medae": 0.5}).drop("n"), keys)
 
 

@@ -2,12 +2,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, functions as F
 
 from pitspark.operators import expanding, interval, labels, members, series
 from pitspark.operators.asof import asof_lookup, require_pit, series_keys
+from pitspark.session import durable
 
 SPAN_TAG = {1: "1d", 3: "3d", 5: "1w", 21: "1m"}
 RISK = ["risk_level", "risk_d5", "risk_dw", "risk_mean", "risk_std", "risk_vol63"]
@@ -164,13 +165,16 @@ def assemble_panel(t: Tables, horizons: Sequence[int] = labels.HORIZONS, anchor:
     """Factors for every event, universe rows included; only then the rows to model.
 
     Filtering first would change every expanding and trailing statistic, so the target and label
-    filters come last. ``inference`` keeps target rows without a label (P7).
+    filters come last. ``inference`` keeps target rows without a label (P7). Events and returns
+    feed every factor, so both are written once instead of being derived again for each.
     """
     main = max(horizons)
-    rets = labels.returns(t.events, t.prices, t.bench, sorted({*horizons, *spans, 1}) if anchor == "offer"
-                          else horizons, anchor, adjust, t.price_tie)
-    first = rets if anchor == "offer" else labels.returns(t.events, t.prices, t.bench, sorted({1, *spans}),
-                                                          "offer", adjust, t.price_tie)
+    t = replace(t, events=durable(t.events))
+    def returns(hs, how):
+        return durable(labels.returns(t.events, t.prices, t.bench, hs, how, adjust, t.price_tie))
+
+    rets = returns(sorted({*horizons, *spans, 1}) if anchor == "offer" else horizons, anchor)
+    first = rets if anchor == "offer" else returns(sorted({1, *spans}), "offer")
     rows = t.events.join(day_factors(t, first, spans, relative and adjust), ["grp", "d"], "left")
     rows = supply_z(rows).join(regime_flags(t, first), "id")
     if t.members is not None:
