@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pitspark.functions.ordering import quantiles, row_index, with_constants
 from pitspark.plans import metrics as M
+from pitspark.session import durable
 from pitspark.sources.predictions import quantile_columns
 
 
@@ -78,17 +79,17 @@ def permutation_importance(test: DataFrame, score: Callable[[DataFrame], DataFra
 
     ``score`` maps rows with a ``fold`` column to the same rows with a ``score`` column.
     """
-    base = M.ic_by_fold(score(test), [], "score", y).select("fold", F.col("rank_ic").alias("_base"))
-    parts = []
+    def scored(df: DataFrame, name: str, rep: int) -> DataFrame:
+        return score(df).select(F.lit(name).alias("feature"), F.lit(rep).alias("_rep"), "fold", "score", y)
+
+    rows = scored(test, "", 0)                          # the unshuffled block, named ""
     for name, cols in groups.items():
         for r in range(repeats):
-            mixed = shuffled(test, list(cols), ["fold"], seed + 1000 + r, id_)
-            parts.append(score(mixed).withColumns({"feature": F.lit(name), "_rep": F.lit(r)})
-                         .select("feature", "_rep", "fold", "score", y))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    ics = M.rank_ic(rows, ["feature", "_rep", "fold"], "score", y)
+            rows = rows.unionByName(scored(shuffled(test, list(cols), ["fold"], seed + 1000 + r, id_), name, r))
+    # Written once: ranks read it several times, and a score is a model call.
+    every = M.rank_ic(durable(rows), ["feature", "_rep", "fold"], "score", y)
+    base = every.where("feature = ''").select("fold", F.col("rank_ic").alias("_base"))
+    ics = every.where("feature <> ''")
     drop = (ics.groupBy("feature", "fold").agg(F.avg("rank_ic").alias("_m")).join(base, "fold")
             .select("feature", (F.col("_base") - F.col("_m")).alias("_d")))
     return drop.groupBy("feature").agg(F.avg("_d").alias("delta_ic"), F.stddev_pop("_d").alias("delta_ic_std")
@@ -110,13 +111,13 @@ def permutation_null(rows: DataFrame, predict: Callable[[DataFrame], DataFrame],
 
     ``predict`` maps a panel to its test rows with (fold, score, <main>).
     """
-    actual = M.fold_mean_ic(predict(rows), [], "score", main).select(
-        F.lit(-1).alias("repeat"), F.col("ic_fold_mean").alias("ic"))
-    runs = actual
+    def scored(df: DataFrame, rep: int) -> DataFrame:
+        return predict(df).select(F.lit(rep).alias("repeat"), "fold", "score", main)
+
+    every = scored(rows, -1)
     for r in range(repeats):
-        mixed = shuffled(rows, list(ys), [], seed + r, id_)
-        runs = runs.unionByName(M.fold_mean_ic(predict(mixed), [], "score", main).select(
-            F.lit(r).alias("repeat"), F.col("ic_fold_mean").alias("ic")))
+        every = every.unionByName(scored(shuffled(rows, list(ys), [], seed + r, id_), r))
+    runs = M.fold_mean_ic(durable(every), ["repeat"], "score", main).withColumnRenamed("ic_fold_mean", "ic")
     null, real = F.when(F.col("repeat") >= 0, F.col("ic")), F.when(F.col("repeat") < 0, F.col("ic"))
     got = runs.agg(F.max(real).alias("actual_ic"), F.avg(null).alias("null_mean"),
                    F.stddev_samp(null).alias("null_sd"), F.max(F.abs(null)).alias("null_max"),

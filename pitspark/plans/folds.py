@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from pitspark.functions.ordering import order_stats, row_index, with_constants
+from pitspark.session import durable
 
 
 def walk_forward(panel: DataFrame, n_folds: int = 5, min_train: float = 0.35, val_frac: float = 0.15,
@@ -12,15 +13,16 @@ def walk_forward(panel: DataFrame, n_folds: int = 5, min_train: float = 0.35, va
     label ended, plus the embargo, before the block starts. The last ``val_frac`` of those rows
     validate, and training rows are purged against them in the same way.
 
-    Positions come from ``row_index``; the rest is one row per fold, so no row list leaves the executors.
+    Positions come from ``row_index`` and are written once, being read by every step; the rest is one
+    row per fold, so no row list leaves the executors.
     """
-    rows = row_index(panel.select(id_, F.col(at).alias("_t"), "label_end"), [], "_t", id_, "_i")
+    rows = durable(row_index(panel.select(id_, F.col(at).alias("_t"), "label_end"), [], "_t", id_, "_i"))
     first = F.floor(F.col("_n") * min_train)
 
     def bound(k):
         return F.bround(first + k * ((F.col("_n") - first) / n_folds)).cast("bigint")
 
-    spec = (panel.agg(F.count(F.lit(1)).alias("_n"))
+    spec = (rows.agg(F.count(F.lit(1)).alias("_n"))
             .withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1))))
             .select("fold", bound(F.col("fold")).alias("_lo"), bound(F.col("fold") + 1).alias("_hi"))
             .where("_hi > _lo"))
