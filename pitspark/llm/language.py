@@ -173,11 +173,11 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
         *[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(languages))]).collect()}
     for size in range(LONGEST + 1):
         kept = (wide.where(F.col("size") == size).orderBy(F.desc("n"), "code")
-                .limit(kept_grams if size else kept_words).drop("size", "n").toPandas())
-        table_ = kept[[f"n{i}" for i in range(len(languages))]].to_numpy(np.float64)
+                .limit(kept_grams if size else kept_words).drop("size", "n").toArrow())
+        table_ = np.stack([kept.column(f"n{i}").to_numpy() for i in range(len(languages))], 1).astype(np.float64)
         total = np.array([totals[size][f"n{i}"] for i in range(len(languages))]) if size in totals else 0.0
         logs = np.log(table_ + SMOOTHING) - np.log(total + SMOOTHING * (len(table_) + 1))
-        code = kept["code"].to_numpy(np.int64).view(np.uint64)
+        code = kept.column("code").to_numpy().astype(np.int64).view(np.uint64)
         order = np.argsort(code)
         codes.append(code[order])
         scores.append(logs[order].astype(np.float32).reshape(len(code), len(languages)))

@@ -101,11 +101,11 @@ def train(labelled: DataFrame, text_col: str, label_col: str, shards: int = SHAR
     often = examples.select("features").mapInArrow(tally, "at int, n long").groupBy("at").agg(F.sum("n").alias("n"))
     size = (1 << BITS) + 1
     counted = np.zeros(size, bool)
-    counted[often.where(F.col("n") >= SEEN).select("at").toPandas()["at"].to_numpy()] = True
+    counted[often.where(F.col("n") >= SEEN).select("at").toArrow().column("at").to_numpy()] = True
     used = spark.sparkContext.broadcast(counted)
     z, n = np.zeros(size), np.zeros(size)
     for _ in range(rounds):
-        state = spark.sparkContext.broadcast((z, n))
+        state = spark.sparkContext.broadcast((z.copy(), n.copy()))
 
         def step(batch: pa.Table) -> pa.Table:
             z, n = state.value[0].copy(), state.value[1].copy()
@@ -117,11 +117,11 @@ def train(labelled: DataFrame, text_col: str, label_col: str, shards: int = SHAR
             return pa.table({"at": moved, "z": z[moved] - state.value[0][moved], "n": n[moved] - state.value[1][moved]})
 
         moves = (examples.groupBy("shard").applyInArrow(step, "at long, z double, n double")
-                 .groupBy("at").agg(F.sum("z").alias("z"), F.sum("n").alias("n")).toPandas())
-        at = moves["at"].to_numpy()
-        z, n = z.copy(), n.copy()
-        z[at] += moves["z"].to_numpy() / shards
-        n[at] += moves["n"].to_numpy() / shards
+                 .groupBy("at").agg(F.sum("z").alias("z"), F.sum("n").alias("n")).toArrow())
+        at = moves.column("at").to_numpy()
+        z[at] += moves.column("z").to_numpy() / shards
+        n[at] += moves.column("n").to_numpy() / shards
+        state.destroy()
     return weights(z, n)
 
 
