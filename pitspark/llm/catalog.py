@@ -1,3 +1,4 @@
 """Every registered corpus query."""
-from pitspark.llm import byte_bpe, language, licences, toxicity  # noqa: F401
+from pitspark.llm import (byte_bpe, decontaminate, embeddings, language, licences, shards,  # noqa: F401
+                          toxicity)
 from pitspark.llm.registry import ORACLES, QUERIES  # noqa: F401
