@@ -1,4 +1,4 @@
 """Every registered corpus query."""
-from pitspark.llm import (byte_bpe, decontaminate, embeddings, language, licences, shards, suffixes,  # noqa: F401
-                          toxicity)
+from pitspark.llm import (byte_bpe, decontaminate, embeddings, language, licences, minhash, shards,  # noqa: F401
+                          suffixes, toxicity)
 from pitspark.llm.registry import ORACLES, QUERIES  # noqa: F401

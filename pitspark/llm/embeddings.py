@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pitspark.llm.graph import components
 from pitspark.llm.registry import query, table
+from pitspark.llm.runs import in_blocks, sides, whole_runs
 from pitspark.llm.words import mix
 from pitspark.session import durable
 
@@ -171,42 +172,21 @@ def hashed(classes: DataFrame, tables: int, hashes: int, probes: int, seed: int)
 def compared(members: DataFrame, threshold: float, tables: int, probes: int) -> DataFrame:
     """(rep, links, root) found in every (key, i, j) run of the sorted partitions of ``members``."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def done(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            key = np.stack([rows.column(c).to_numpy() for c in ("key", "i", "j")])
-            cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
-            ends = [0, *cuts.tolist(), rows.num_rows]
+        for rows, key, borders in whole_runs(batches, ["key", "i", "j"]):
             reps, count = rows.column("rep").to_numpy(), rows.column("n").to_numpy()
             block, raw = rows.column("block").to_numpy(), rows.column("raw").to_pylist()
             keys = np.array(rows.column("keys").to_pylist(), np.int64).reshape(rows.num_rows, tables, probes)
             out = []
-            for a, b in zip(ends, ends[1:]):
+            for a, b in zip(borders, borders[1:]):
                 if b - a < 2 or len(set(map(len, raw[a:b]))) > 1:
                     continue
-                side = np.where(key[1, a] == key[2, a], 0, np.where(block[a:b] == key[1, a], -1, 1))
-                run = Run(int(key[0, a]), reps[a:b], count[a:b], _unit(raw[a:b]), keys[a:b], side)
+                run = Run(int(key[0, a]), reps[a:b], count[a:b], _unit(raw[a:b]), keys[a:b], sides(key, a, block[a:b]))
                 links, root = run.compare(threshold)
                 some = (links > 0) | (root != reps[a:b])
                 out.append(np.stack([reps[a:b][some], links[some], root[some]]))
             if out:
                 yield pa.RecordBatch.from_arrays(list(map(pa.array, np.concatenate(out, 1))), ["rep", "links", "root"])
 
-        for b in batches:
-            held.append(b)
-            rows = pa.Table.from_batches(held)
-            last = rows.slice(rows.num_rows - 1).select(["key", "i", "j"]).to_pylist()[0] if rows.num_rows else None
-            if last is None:
-                continue
-            key = np.stack([rows.column(c).to_numpy() for c in ("key", "i", "j")])
-            same = (key == np.array([[last["key"]], [last["i"]], [last["j"]]])).all(0)
-            whole = int(np.argmax(same))        # rows before the last run, which may go on
-            if whole:
-                yield from done(rows.slice(0, whole))
-            held = rows.slice(whole).combine_chunks().to_batches()
-        if held:
-            yield from done(pa.Table.from_batches(held))
-
     return members.mapInArrow(work, "rep long, links long, root long")
 
 
@@ -225,11 +205,7 @@ def link(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     classes = durable(hashed(classes, tables, hashes, probes, seed).withColumn("uid", F.monotonically_increasing_id()))
     met = classes.select("uid", F.explode(F.array_distinct("keys")).alias("key"))
     full = met.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    met = (met.join(full, "key").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
-           .withColumn("block", F.pmod(F.xxhash64("uid", "key"), F.col("blocks")).cast("int")))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    met = (met.select("uid", "key", "block", other.alias("o"))
-           .select("uid", "key", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j")))
+    met = in_blocks(met.join(full, "key"), "key", "uid", F.col("size"), block).select("uid", "key", "block", "i", "j")
     members = met.join(classes, "uid").select("key", "i", "j", "block", F.col("uid").alias("rep"), "n", "raw", "keys")
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     members = members.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
