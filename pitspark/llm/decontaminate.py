@@ -177,6 +177,13 @@ def report(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **names) -
                        (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
 
 
+def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **names) -> DataFrame:
+    """The rows, with all their columns, that share no window with an item."""
+    rows = docs.withColumn("_key", F.xxhash64(docs[id_col], docs[text_col]))
+    bad = report(rows, items, "_key", text_col=text_col, **names).where("contaminated").select("_key").distinct()
+    return rows.join(bad, "_key", "left_anti").select(docs.columns)
+
+
 # Fixed value: the pattern of words.
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 

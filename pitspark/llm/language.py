@@ -7,7 +7,7 @@ words. Training reads a bounded sample of labelled texts; prediction reads whole
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; a text of which nothing is
 known gets the commonest language; a null label or id, repeated rows and further columns change nothing;
-empty tables give empty results. Training without any labelled text is refused.
+empty tables give empty results. Where no labelled text was found to learn from, every text is ``und``.
 """
 from __future__ import annotations
 
@@ -106,9 +106,11 @@ def has_letter(texts: Texts) -> np.ndarray:
 
 
 def predict_slice(model: Model, texts: Texts, hasher: Hasher) -> tuple[list[str], np.ndarray]:
+    n = len(texts.at) - 1
+    if not model.languages:
+        return [UNKNOWN] * n, np.zeros(n)
     words = words_of(texts, hasher)
     scores, known = word_scores(model, words, hasher)
-    n = len(texts.at) - 1
     owner = np.repeat(np.arange(n), np.diff(words.first))[known]
     count = np.bincount(owner, minlength=n)
     total = np.stack([np.bincount(owner, scores[known, j], minlength=n) for j in range(scores.shape[1])], 1)
@@ -131,7 +133,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     src = src.where("text is not null and lang is not null and length(text) > 0")
     sizes = {r["lang"]: r["n"] for r in src.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
-        raise ValueError("no labelled text to learn from")
+        return Model([], np.zeros(0), [], [])
     languages = sorted(sizes)
     share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, per_language / sizes[lang]))])
     drawn = src.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
@@ -203,6 +205,22 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return src.mapInArrow(work, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
+def identified(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose language is told with a score of ``least`` or more."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    names = [f"c{i}" for i in range(len(docs.columns))]     # so that names may clash
+    src = docs.toDF(*names)
+    text = names[docs.columns.index(text_col)]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for part, texts in slices(batches, text):
+            found, score = predict_slice(sent.value, texts, hasher)
+            yield part.filter(pa.array((np.array(found) != UNKNOWN) & (score >= least)))
+
+    return src.mapInArrow(work, src.schema).toDF(*docs.columns)
+
+
 @query("op2_language")
 def op2_language(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")

@@ -216,7 +216,8 @@ def across_groups(members: DataFrame, threshold: float, samples: int, least: flo
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE,
                     threshold: float = THRESHOLD, bands: int = BANDS, band_rows: int = ROWS,
                     block: int = BLOCK) -> DataFrame:
-    """(id, class_id, kept) of every row: the smallest id of its class, and whether it is that id."""
+    """(id, class_id, kept, text_key) of every row: the smallest id of its class, whether it is that id,
+    and a hash of the text."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(SMALLEST)).alias("id"),
@@ -253,7 +254,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     done = drawn.select("id", "t").join(classes.select("t", "class_id"), "t", "left")
     own = F.coalesce("class_id", "id")
     return done.select(F.when(F.col("id") > SMALLEST, F.col("id")).alias(id_col),
-                       F.when(own > SMALLEST, own).alias("class_id"), (own == F.col("id")).alias("kept"))
+                       F.when(own > SMALLEST, own).alias("class_id"), (own == F.col("id")).alias("kept"),
+                       F.col("t").alias("text_key"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows, with all their columns, of one document of each class; rows equal in id and text are one."""
+    keep = near_duplicates(docs, id_col, text_col, **options).where("kept")
+    keep = keep.select(F.col(id_col).alias("_id"), F.col("text_key").alias("_t")).distinct()
+    key = F.when(docs[text_col].isNotNull(), F.xxhash64(docs[text_col]))
+    same = docs[id_col].eqNullSafe(F.col("_id")) & F.col("_key").eqNullSafe(F.col("_t"))
+    rows = docs.withColumn("_key", key)
+    return rows.join(keep, same, "left_semi").dropDuplicates([id_col, "_key"]).drop("_key")
 
 
 @query("op1_minhash")

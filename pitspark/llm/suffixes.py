@@ -24,7 +24,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from pitspark.llm.registry import query, table
 from pitspark.llm.words import Hasher, Texts, slices, texts_of
@@ -77,10 +78,11 @@ def anchors(texts: Texts, hasher: Hasher, length: int, gram: int) -> tuple[np.nd
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _prepared(docs: DataFrame, id_col: str, text_col: str, carried: list[str]) -> DataFrame:
     src = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(-(1 << 63))).alias("id"),
-                      F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    return src.select("id", "text", F.xxhash64("id", "text").alias("k"))
+                      F.coalesce(docs[text_col], F.lit("")).alias("text"), docs[text_col].isNull().alias("void"),
+                      *[docs[c].alias(f"c{i}") for i, c in enumerate(carried)])
+    return src.withColumn("k", F.xxhash64("id", "text"))
 
 
 def repeated_anchors(rows: DataFrame, length: int, gram: int, buckets: int) -> DataFrame:
@@ -412,7 +414,8 @@ def repeated_spans(rows: DataFrame, length: int, gram: int) -> DataFrame:
     ranges = RANGES_PER_PART * parts
     limits = sorted({picked[len(picked) * i // ranges] for i in range(1, ranges)}) if picked else []
     wanted = found.where("k is not null").groupBy("k").agg(F.collect_list("places").alias("places"))
-    at_anchors = rows.join(wanted, "k").select("id", "k", "text", "places")
+    # all columns, so that the later join finds the same exchange and shuffles no text again
+    at_anchors = rows.join(wanted, "k")
     return merged(sorted_runs(at_anchors, limits, length, gram), ranges, length)
 
 
@@ -431,35 +434,57 @@ def kept_bytes(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, i
     return b"".join(parts), removed, runs
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM,
-          with_text: bool = False) -> DataFrame:
-    """One row per document row: id, n_bytes, n_removed, n_spans, kept_sha256, and with ``with_text`` the
-    text that is left, without characters that lost a byte."""
+def _with_spans(rows: DataFrame, length: int, gram: int) -> DataFrame:
     if not 0 < gram <= length <= 255:
         raise ValueError("needs 0 < gram <= length <= 255")
-    rows = _prepared(docs, id_col, text_col)
     spans = repeated_spans(rows, length, gram).groupBy("k").agg(
         F.collect_set(F.struct("start", "stop")).alias("spans"))
-    joined = rows.join(spans, "k", "left").select("id", "text", "spans")
-    extra = ", kept string" if with_text else ""
+    return rows.join(spans, "k", "left")
+
+
+def _left(part: pa.RecordBatch) -> list[tuple[bytes, int, int]]:
+    spans = [[(s["start"], s["stop"]) for s in x or ()] for x in part.column("spans").to_pylist()]
+    return [kept_bytes(t.encode(), s) for t, s in zip(part.column("text").to_pylist(), spans)]
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
+          gram: int = GRAM) -> DataFrame:
+    """One row per document row: id, n_bytes, n_removed, n_spans, kept_sha256."""
+    rows = _prepared(docs, id_col, text_col, [])
+    joined = _with_spans(rows, length, gram)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, _ in slices(batches, "text"):
-            texts = [t.encode() for t in part.column("text").to_pylist()]
-            spans_ = [[(s["start"], s["stop"]) for s in x or ()] for x in part.column("spans").to_pylist()]
-            done = [kept_bytes(t, s) for t, s in zip(texts, spans_)]
-            cols = [part.column("id"), pa.array(list(map(len, texts)), pa.int64()),
-                    pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.int64()),
-                    pa.array([hashlib.sha256(d[0]).hexdigest() for d in done], pa.string())]
-            if with_text:
-                cols.append(pa.array([d[0].decode("utf-8", "ignore") for d in done], pa.string()))
-            yield pa.RecordBatch.from_arrays(cols, ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256",
-                                                    "kept"][:len(cols)])
-
-    done = joined.mapInArrow(work, f"id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string{extra}")
+        for part, texts in slices(batches, "text"):
+            done = _left(part)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("id"), pa.array(np.diff(texts.at)), pa.array([d[1] for d in done], pa.int64()),
+                 pa.array([d[2] for d in done], pa.int64()),
+                 pa.array([hashlib.sha256(d[0]).hexdigest() for d in done], pa.string())],
+                ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    done = joined.mapInArrow(work, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return done.withColumn("id", F.when(F.col("id") > -(1 << 63), F.col("id"))).withColumnRenamed("id", id_col)
 
 
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
+                    gram: int = GRAM) -> DataFrame:
+    """The rows with all their columns and the text that is left, less characters that lost a byte; a null
+    text stays null."""
+    columns = docs.columns
+    others = [c for c in columns if c != text_col]
+    rows = _prepared(docs, id_col, text_col, others)
+    wanted = ["text" if c == text_col else f"c{others.index(c)}" for c in columns]
+    schema = T.StructType([T.StructField(c, rows.schema[c].dataType) for c in wanted])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, _ in slices(batches, "text"):
+            kept = pa.array([d[0].decode("utf-8", "ignore") for d in _left(part)], pa.string())
+            kept = pc.if_else(part.column("void"), pa.scalar(None, pa.string()), kept)
+            yield pa.RecordBatch.from_arrays([kept if c == "text" else part.column(c) for c in wanted], wanted)
+
+    return _with_spans(rows, length, gram).mapInArrow(work, schema).toDF(*columns)
+
+
 @query("op9_suffixes")
 def op9_suffixes(spark: SparkSession, sf: str) -> DataFrame:
     return dedup(table(spark, sf, "documents"))

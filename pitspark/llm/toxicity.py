@@ -7,7 +7,7 @@ most weights at zero; the rest are broadcast as one array of fixed size.
 
 Defined results: a null or empty text has the score of the intercept alone; null labels are not learned
 from; several labels of one id all count; rows repeated in the documents are scored each; an empty table
-gives an empty result. Training needs at least one label of each kind.
+gives an empty result. Where no text is labelled 1 there is nothing to find, and every score is 0.
 """
 from __future__ import annotations
 
@@ -98,6 +98,10 @@ def train(labelled: DataFrame, text_col: str, label_col: str, shards: int = SHAR
             at, times = np.unique(np.concatenate([*raw, np.zeros(0, np.int32)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(times, pa.int64())], ["at", "n"])
 
+    if not examples.where("label = 1").head(1):
+        none = np.zeros((1 << BITS) + 1)
+        none[-1] = -np.inf
+        return none
     often = examples.select("features").mapInArrow(tally, "at int, n long").groupBy("at").agg(F.sum("n").alias("n"))
     size = (1 << BITS) + 1
     counted = np.zeros(size, bool)
@@ -141,7 +145,7 @@ def score(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_col:
             some = np.flatnonzero(dense[feature])
             feature, owner = distinct(feature[some], owner[some])
             total = np.bincount(owner, dense[feature], minlength=part.num_rows) + float(dense[-1])
-            chance = 1.0 / (1.0 + np.exp(-np.clip(total, -35, 35)))
+            chance = np.where(np.isfinite(total), 1.0 / (1.0 + np.exp(-np.clip(total, -35, 35))), 0.0)
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(chance, pa.float64())], ["id", "score"])
 
     return src.mapInArrow(work, f"id {kind}, score double").withColumnRenamed("id", id_col)
