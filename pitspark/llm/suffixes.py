@@ -86,8 +86,8 @@ def _prepared(docs: DataFrame, id_col: str, text_col: str, carried: list[str]) -
 
 
 def repeated_anchors(rows: DataFrame, length: int, gram: int, buckets: int) -> DataFrame:
-    """(k, places) of anchors whose hash occurs more than once, and (sample, order) rows with some anchors'
-    bytes. Hashes travel packed, a hash that repeats in a task once."""
+    """Packed (keys, places) of anchors whose hash occurs more than once, by group g of keys, and (sample,
+    turn) rows with some anchors' bytes. Hashes travel packed, a hash that repeats in a task once."""
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, held, size = Hasher(), [], 0
 
@@ -97,7 +97,7 @@ def repeated_anchors(rows: DataFrame, length: int, gram: int, buckets: int) -> D
             hashes, keys, places = hashes[order], keys[order], places[order]
             new = np.append(True, hashes[1:] != hashes[:-1])
             again = ~new | ~np.append(new[1:], True)
-            out = [(-1, None, k, p, None, None) for k, p in _by_key(keys[again], places[again])]
+            out = [(-1 - g, None, k, p, None, None) for g, k, p in _by_group(keys[again], places[again], buckets)]
             hashes, keys, places = hashes[new], keys[new], places[new]
             bucket = (hashes >> np.uint64(40)) % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
@@ -125,7 +125,7 @@ def repeated_anchors(rows: DataFrame, length: int, gram: int, buckets: int) -> D
             owner = np.searchsorted(texts.at, place, "right") - 1
             held.append((hashes, key[owner], (place - texts.at[owner]).astype(np.int64)))
             for i in np.flatnonzero(hashes % np.uint64(997) == 0):
-                samples.append((-2, None, None, None, texts.data[place[i]:place[i] + gram].tobytes(),
+                samples.append((-1, None, None, None, texts.data[place[i]:place[i] + gram].tobytes(),
                                 int(hashes[i] >> np.uint64(1))))
             size += len(place)
             if size >= HELD_ANCHORS:
@@ -140,7 +140,7 @@ def repeated_anchors(rows: DataFrame, length: int, gram: int, buckets: int) -> D
             out = []
             for bucket, hashes, keys, places, sample, turn in zip(*(c.to_pylist() for c in b.columns)):
                 if bucket < 0:
-                    out.append((keys, places, sample, turn))
+                    out.append((-1 - bucket, keys, places, sample, turn))
                 else:
                     held.setdefault(bucket, []).append((np.frombuffer(hashes, np.uint64),
                                                         np.frombuffer(keys, np.int64), np.frombuffer(places, np.int64)))
@@ -151,28 +151,49 @@ def repeated_anchors(rows: DataFrame, length: int, gram: int, buckets: int) -> D
             hashes = hashes[order]
             new = np.append(True, hashes[1:] != hashes[:-1])
             again = order[~new | ~np.append(new[1:], True)]
-            yield found([(k, p, None, None) for k, p in _by_key(keys[again], places[again])])
+            yield found([(*pack, None, None) for pack in _by_group(keys[again], places[again], buckets)])
 
     def found(rows_: list[tuple]) -> pa.RecordBatch:
-        keys = [None if r[0] is None else int.from_bytes(r[0], "little", signed=True) for r in rows_]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.int64()), pa.array([r[1] for r in rows_], pa.binary()),
-             pa.array([r[2] for r in rows_], pa.binary()), pa.array([r[3] for r in rows_], pa.int64())],
-            ["k", "places", "sample", "turn"])
+        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows_], t) for i, t in enumerate(kinds)],
+                                          ["g", "keys", "places", "sample", "turn"])
 
     packed = rows.select("k", "text").mapInArrow(
         gather, "bucket int, hashes binary, keys binary, places binary, sample binary, turn long")
     spread = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.pmod(F.xxhash64("keys", "turn"), F.lit(buckets)))
-    return packed.repartition(buckets, spread).mapInArrow(match, "k long, places binary, sample binary, turn long")
+    return packed.repartition(buckets, spread).mapInArrow(
+        match, "g int, keys binary, places binary, sample binary, turn long")
+
 
+def _by_group(keys: np.ndarray, places: np.ndarray, groups: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """(group, keys, places) packed by group of keys, sorted by key."""
+    group = (keys.view(np.uint64) >> np.uint64(20)) % np.uint64(groups)
+    order = np.lexsort((places, keys, group))
+    ends = np.searchsorted(group[order], np.arange(groups + 1, dtype=np.uint64))
+    for g, (a, b) in enumerate(zip(ends.tolist(), ends[1:].tolist())):
+        if a < b:
+            yield g, keys[order[a:b]].tobytes(), places[order[a:b]].tobytes()
 
-def _by_key(keys: np.ndarray, places: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
-    """Packed places of each key."""
-    order = np.argsort(keys, kind="stable")
-    keys, places = keys[order], places[order]
-    heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-    for a, b in zip(heads, np.append(heads[1:], len(keys))):
-        yield int(keys[a]).to_bytes(8, "little", signed=True), places[a:b].tobytes()
+
+def places_by_key(found: DataFrame, groups: int) -> DataFrame:
+    """(k, places): one row per key with all its packed places."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packs = [(np.frombuffer(k, np.int64), np.frombuffer(p, np.int64)) for b in batches
+                 for k, p in zip(b.column("keys").to_pylist(), b.column("places").to_pylist())]
+        if not packs:
+            return
+        keys, places = (np.concatenate(x) for x in zip(*packs))
+        order = np.argsort(keys, kind="stable")
+        keys, places = keys[order], places[order]
+        heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        ends = np.append(heads[1:], len(keys))
+        for i in range(0, len(heads), 4096):
+            some = [places[a:b].tobytes() for a, b in zip(heads[i:i + 4096], ends[i:i + 4096])]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[heads[i:i + 4096]]), pa.array(some, pa.binary())],
+                                             ["k", "places"])
+
+    return (found.where("keys is not null").select("g", "keys", "places").repartition(groups, "g")
+            .mapInArrow(work, "k long, places binary"))
 
 
 def common_prefix(a: bytes, b: bytes, known: int) -> int:
@@ -313,8 +334,8 @@ def sorted_runs(rows: DataFrame, limits: list[bytes], length: int, gram: int) ->
             ids, keys = part.column("id").to_pylist(), part.column("k").to_pylist()
             ends = np.searchsorted(owner, np.arange(part.num_rows + 1))
             data = texts.data.tobytes()
-            for i, packs in enumerate(part.column("places").to_pylist()):
-                wanted = np.concatenate([np.frombuffer(p, np.int64) for p in packs])
+            for i, pack in enumerate(part.column("places").to_pylist()):
+                wanted = np.frombuffer(pack, np.int64)
                 a, b = ends[i], ends[i + 1]
                 some = a + np.flatnonzero(np.isin(inside[a:b], wanted))
                 for p, s, e, q in zip(place[some].tolist(), low[some].tolist(), high[some].tolist(),
@@ -413,7 +434,7 @@ def repeated_spans(rows: DataFrame, length: int, gram: int) -> DataFrame:
                     .select("sample").collect())
     ranges = RANGES_PER_PART * parts
     limits = sorted({picked[len(picked) * i // ranges] for i in range(1, ranges)}) if picked else []
-    wanted = found.where("k is not null").groupBy("k").agg(F.collect_list("places").alias("places"))
+    wanted = places_by_key(found, parts)
     # all columns, so that the later join finds the same exchange and shuffles no text again
     at_anchors = rows.join(wanted, "k")
     return merged(sorted_runs(at_anchors, limits, length, gram), ranges, length)
