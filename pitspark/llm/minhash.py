@@ -6,9 +6,10 @@ texts in a table of fixed size (words share its cells by hash). Each of 64 sampl
 text with a chance in proportion to its weight, so that two texts draw the same one as often as their
 weighted Jaccard similarity says; four samples make a band, and texts that agree in a band are candidates.
 
-Equal texts are one node. In a band's bucket every text is first compared with one of them only; buckets that
-still hold several groups then have the pairs between groups compared whose samples do not rule them
-out, in blocks spread over tasks. So no link between candidates is lost, and no bucket is expanded in pairs.
+Equal texts are one node. In a band's bucket every text is first compared with one of them only. Buckets that
+still hold several groups are then compared whole, in blocks spread over tasks: each text with all of other
+groups at once, groups growing together as links are found, of which only a spanning forest is handed
+on. So no link between candidates is lost, and no bucket is expanded in pairs.
 A link is a pair whose weighted Jaccard similarity, taken exactly from both whole texts, reaches the threshold.
 
 Defined results: a null text is a class of its own; empty and wordless texts are grouped with equal texts only;
@@ -34,8 +35,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 16, 4
 DF_BITS = 18                # cells of the document frequency table
 POOL_BITS = 16              # variates a sample chooses from by hash
-LEAST_AGREEING = 0.55       # samples below which a pair is 0.8 alike once in a million
-BLOCK = 2048
+BLOCK, BLOCK_BYTES = 2048, 1 << 23      # texts, and their bytes, of a block of a bucket
 SMALLEST = -(1 << 63)
 
 
@@ -128,7 +128,7 @@ def document_frequencies(rows: DataFrame) -> np.ndarray:
 
 
 def sketches(rows: DataFrame, idf: Broadcast, n: int, bands: int, band_rows: int) -> DataFrame:
-    """(id, t, weight, samples, bands) of every (id, t, text) row; no bands without words."""
+    """(id, t, bytes, bands) of every (id, t, text) row; no bands without words."""
     kind = rows.schema["id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,21 +137,19 @@ def sketches(rows: DataFrame, idf: Broadcast, n: int, bands: int, band_rows: int
         for part, texts in slices(batches, "text"):
             owner, code, weight = shingles(texts, hasher, idf.value, n)
             some, first = np.unique(owner, return_index=True)
-            samples, keys = [None] * part.num_rows, [None] * part.num_rows
+            keys = [None] * part.num_rows
             if len(some):
                 drawn = sampler.draw(code, weight, np.append(first, len(code)))
                 key = np.broadcast_to(salt, (len(some), bands)).copy()
                 for i in range(band_rows):
                     key = mix(key * np.uint64(0x9E3779B97F4A7C15) + drawn[:, i::band_rows].astype(np.uint64))
-                for i, s, k in zip(some.tolist(), drawn, key.view(np.int64)):
-                    samples[i], keys[i] = s.tobytes(), k
-            total = np.bincount(owner, weight, minlength=part.num_rows)
+                for i, k in zip(some.tolist(), key.view(np.int64)):
+                    keys[i] = k
             yield pa.RecordBatch.from_arrays(
-                [part.column("id"), part.column("t"), pa.array(total, pa.float64()), pa.array(samples, pa.binary()),
-                 pa.array(keys, pa.list_(pa.int64()))], ["id", "t", "weight", "samples", "bands"])
+                [part.column("id"), part.column("t"), pa.array(np.diff(texts.at)), pa.array(keys, pa.list_(pa.int64()))],
+                ["id", "t", "bytes", "bands"])
 
-    return rows.select("id", "t", "text").mapInArrow(
-        work, f"id {kind}, t long, weight double, samples binary, bands array<long>")
+    return rows.select("id", "t", "text").mapInArrow(work, f"id {kind}, t long, bytes long, bands array<long>")
 
 
 def similarities(left: Texts, right: Texts, hasher: Hasher, idf: np.ndarray, n: int) -> np.ndarray:
@@ -189,26 +187,53 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: Broadcast, n: int, thresho
     return two.select("a", "b", "x", "y").mapInArrow(work, "a long, b long").distinct()
 
 
-def across_groups(members: DataFrame, threshold: float, samples: int, least: float) -> DataFrame:
-    """(a, b) pairs of different groups within the runs (key, i, j) of the sorted partitions of ``members``
-    that neither their whole weights nor their samples rule out."""
+def between_groups(texts: Texts, hasher: Hasher, idf: np.ndarray, n: int, threshold: float, root: np.ndarray,
+                   side: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join the groups ``root`` of some texts, one for every two groups that grow together; every
+    pair of different groups (and of both sides) is compared exactly unless the groups have met before."""
+    owner, code, weight = shingles(texts, hasher, idf, n)
+    count = len(root)
+    first = np.searchsorted(owner, np.arange(count + 1))
+    total = np.bincount(owner, weight, minlength=count)
+    distinct, number = np.unique(code, return_inverse=True)
+    own = np.zeros(len(distinct))
+    label = np.unique(root, return_inverse=True)[1]
+    links = []
+    for a in np.flatnonzero(side != 1):
+        other = np.arange(a + 1, count) if side[a] == 0 else np.flatnonzero(side == 1)
+        near = np.minimum(total[other], total[a]) >= threshold * np.maximum(total[other], total[a]) * (1 - 1e-9)
+        other = other[near & (label[other] != label[a])]
+        if not len(other):
+            continue
+        mine = slice(first[a], first[a + 1])
+        own[number[mine]] = weight[mine]
+        size = first[other + 1] - first[other]
+        starts = np.cumsum(size) - size
+        at = np.arange(size.sum()) + np.repeat(first[other] - starts, size)
+        both = np.add.reduceat(np.minimum(own[number[at]], weight[at]), starts)
+        own[number[mine]] = 0.0
+        for b in other[both / (total[a] + total[other] - both) >= threshold].tolist():
+            if label[b] != label[a]:
+                links.append((int(a), b))
+                label[label == label[b]] = label[a]
+    return links
+
+
+def across_groups(members: DataFrame, idf: Broadcast, n: int, threshold: float) -> DataFrame:
+    """(a, b) links between groups within the runs (key, i, j) of the sorted partitions of ``members``."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
         for rows, key, borders in whole_runs(batches, ["key", "i", "j"]):
-            node, root = rows.column("t").to_numpy(), rows.column("root").to_numpy()
-            weight, block = rows.column("weight").to_numpy(), rows.column("block").to_numpy()
-            drawn = np.frombuffer(b"".join(rows.column("samples").to_pylist()), np.uint32).reshape(-1, samples)
+            node, root, block = (rows.column(c).to_numpy() for c in ("t", "root", "block"))
             for x, y in zip(borders, borders[1:]):
                 if y - x < 2 or (root[x:y] == root[x]).all():
                     continue
-                side = sides(key, x, block[x:y])
-                for a in np.flatnonzero(side != 1) + x:
-                    other = np.arange(a + 1, y) if side[a - x] == 0 else x + np.flatnonzero(side == 1)
-                    low, high = np.minimum(weight[other], weight[a]), np.maximum(weight[other], weight[a])
-                    other = other[(root[other] != root[a]) & (low >= threshold * high * (1 - 1e-9))]
-                    other = other[(drawn[other] == drawn[a]).mean(1) >= least] if len(other) else other
-                    if len(other):
-                        pair = np.stack([np.minimum(node[other], node[a]), np.maximum(node[other], node[a])])
-                        yield pa.RecordBatch.from_arrays(list(map(pa.array, pair)), ["a", "b"])
+                texts = texts_of(rows.column("text").slice(x, y - x))
+                texts = Texts(texts.data[texts.at[0]:texts.at[-1]], texts.at - texts.at[0])
+                links = between_groups(texts, hasher, idf.value, n, threshold, root[x:y], sides(key, x, block[x:y]))
+                if links:
+                    pair = node[x:y][np.array(links)]
+                    yield pa.RecordBatch.from_arrays([pa.array(pair.min(1)), pa.array(pair.max(1))], ["a", "b"])
 
     return members.mapInArrow(work, "a long, b long").distinct()
 
@@ -226,27 +251,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     idf = spark.sparkContext.broadcast(document_frequencies(rows))
     drawn = durable(sketches(rows, idf, n, bands, band_rows))
     nodes = durable(drawn.where("t is not null and bands is not null").groupBy("t").agg(
-        F.min("id").alias("low"), F.first("weight").alias("weight"), F.first("samples").alias("samples"),
-        F.first("bands").alias("bands")))
+        F.min("id").alias("low"), F.first("bytes").alias("bytes"), F.first("bands").alias("bands")))
     met = nodes.select("t", F.explode("bands").alias("key"))
     heads = met.groupBy("key").agg(F.min("t").alias("a"), F.count(F.lit(1)).alias("size")).where("size > 1")
     first = durable(met.join(heads, "key").where("t <> a").select("a", F.col("t").alias("b")).distinct())
-    shared = met.join(heads.select("key", "size"), "key")
+    shared = met.join(heads.select("key"), "key")
     wanted = shared.select("t").distinct().join(nodes.select("t", F.col("low").alias("id")), "t")
     texts = durable(rows.where("t is not null").join(wanted, ["id", "t"]).select("t", "text"))
     links = durable(verified(first, texts, idf, n, threshold))
     tree = components(links, "a", "b")
     placed = nodes.join(tree, F.col("t") == F.col("node"), "left").select(
-        "t", "weight", "samples", F.coalesce("root", "t").alias("root"))
-    grouped = shared.join(placed.select("t", "root"), "t")
-    mixed = (grouped.groupBy("key").agg(F.min("root").alias("_x"), F.max("root").alias("_y"))
-             .where("_x <> _y").select("key"))
-    members = in_blocks(grouped.join(mixed, "key"), "key", "t", F.col("size"), block)
-    members = members.join(placed.select("t", "weight", "samples"), "t")
-    members = members.select("key", "i", "j", "block", "t", "root", "weight", "samples")
+        "t", "bytes", F.coalesce("root", "t").alias("root"))
+    grouped = shared.join(placed, "t")
+    mixed = grouped.groupBy("key").agg(F.min("root").alias("_x"), F.max("root").alias("_y"),
+                                       F.count(F.lit(1)).alias("size"), F.sum("bytes").alias("_bytes"))
+    mixed = mixed.where("_x <> _y").select("key", F.greatest(F.col("size") / block, F.col("_bytes") / BLOCK_BYTES).alias("full"))
+    members = in_blocks(grouped.join(mixed, "key"), "key", "t", F.col("full"), 1)
+    members = members.join(texts, "t").select("key", "i", "j", "block", "t", "root", "text")
     members = members.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = durable(across_groups(members, threshold, bands * band_rows, LEAST_AGREEING))
-    more = verified(more.join(first, ["a", "b"], "left_anti"), texts, idf, n, threshold)
+    more = across_groups(members, idf, n, threshold)
     tree = components(durable(links.unionByName(more)), "a", "b")
     named = (drawn.where("t is not null").groupBy("t").agg(F.min("id").alias("low"))
              .join(tree, F.col("t") == F.col("node"), "left").select("t", "low", F.coalesce("root", "t").alias("root")))
