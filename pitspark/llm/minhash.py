@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pitspark.llm.graph import components
 from pitspark.llm.registry import query, table
 from pitspark.llm.runs import in_blocks, sides, whole_runs
+from pitspark.llm.tally import summed
 from pitspark.llm.words import Hasher, Texts, mix, slices, texts_of, word_grams, words_of
 from pitspark.session import durable
 
@@ -93,38 +94,20 @@ def shingles(texts: Texts, hasher: Hasher, idf: np.ndarray, n: int) -> tuple[np.
 
 def document_frequencies(rows: DataFrame) -> np.ndarray:
     """Inverse document frequency of each cell: 1 + ln((1 + texts) / (1 + texts with a word of the cell))."""
-    cells, blocks = 1 << DF_BITS, 64
+    cells = 1 << DF_BITS
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, found, texts_ = Hasher(), np.zeros(cells, np.int64), 0
+    def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        hasher, found = Hasher(), np.zeros(cells + 1, np.int64)
         for part, texts in slices(batches, "text"):
             words = words_of(texts, hasher)
             owner = np.repeat(np.arange(part.num_rows), np.diff(words.first))
             key = np.unique((owner << DF_BITS) | (words.code >> np.uint64(64 - DF_BITS)).astype(np.int64))
-            found += np.bincount(key & (cells - 1), minlength=cells)
-            texts_ += part.num_rows
-        if texts_:
-            size = cells // blocks
-            packs = [found[i * size:(i + 1) * size].tobytes() for i in range(blocks)]
-            yield pa.RecordBatch.from_arrays([pa.array([*range(blocks), blocks], pa.int32()), pa.array(
-                [*packs, np.array([texts_], np.int64).tobytes()], pa.binary())], ["block", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            for block, raw in zip(b.column("block").to_pylist(), b.column("counts").to_pylist()):
-                part = np.frombuffer(raw, np.int64)
-                sums[block] = sums[block] + part if block in sums else part
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()),
-                                          pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["block", "counts"])
-
-    kind = "block int, counts binary"
-    got = {r["block"]: np.frombuffer(r["counts"], np.int64)
-           for r in rows.select("text").mapInArrow(count, kind).repartition(16, "block").mapInArrow(add, kind).collect()}
-    if not got:
-        return np.ones(cells, np.float32)
-    total = int(got[blocks][0])
-    return (1.0 + np.log((1 + total) / (1 + np.concatenate([got[i] for i in range(blocks)])))).astype(np.float64)
+            found[:-1] += np.bincount(key & (cells - 1), minlength=cells)
+            found[-1] += part.num_rows
+        return found
+
+    found = summed(rows.select("text"), count, cells + 1)
+    return 1.0 + np.log((1 + found[-1]) / (1 + found[:-1]))
 
 
 def sketches(rows: DataFrame, idf: Broadcast, n: int, bands: int, band_rows: int) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pitspark.llm.language import held_out
 from pitspark.llm.registry import query, table
+from pitspark.llm.tally import summed
 from pitspark.llm.words import BASE, Hasher, Texts, mix, slices, words_of
 from pitspark.session import durable
 
@@ -26,7 +27,7 @@ BITS = 20                   # 2^BITS weights
 MOST_TOXIC, MOST_CLEAN = 6000, 12_000       # labelled texts that training reads at most
 SHARDS, ROUNDS = 8, 8
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 1.5, 0.1
-SEEN = 5                    # texts of the sample that a feature must occur in
+SEEN, SEEN_SHARE = 5, 0.001  # texts, and share of the sample, that a feature must occur in
 STEMS = (4, 5)
 THRESHOLD = 0.3
 
@@ -78,55 +79,60 @@ def train(labelled: DataFrame, text_col: str, label_col: str, shards: int = SHAR
     spark = labelled.sparkSession
     src = labelled.select(labelled[text_col].alias("text"), labelled[label_col].cast("int").alias("label"))
     src = src.where("label is not null")
+    size = 1 << BITS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        hasher, found = Hasher(), np.zeros(size + 2, np.int64)
+        for part, texts in slices(batches, "text"):
+            found[:-2] += np.bincount(distinct(*features(texts, hasher))[0], minlength=size)
+            found[-2:] += np.bincount(part.column("label").to_numpy() == 1, minlength=2)
+        return found
+
+    found = summed(src, count, size + 2)
+    if not found[-1]:
+        none = np.zeros(size + 1)
+        none[-1] = -np.inf
+        return none
+    kept = np.flatnonzero(found[:-2] >= max(SEEN, SEEN_SHARE * found[-2:].sum()))
+    place = np.full(size, -1, np.int32)
+    place[kept] = np.arange(len(kept))
+    place = spark.sparkContext.broadcast(place)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for part, texts in slices(batches, "text"):
             feature, owner = distinct(*features(texts, hasher))
+            feature = place.value[feature]
+            feature, owner = feature[feature >= 0], owner[feature >= 0]
             ends = np.searchsorted(owner, np.arange(part.num_rows + 1))
-            raw = feature.astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [part.column("label"),
-                 pa.array([raw[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())], ["label", "features"])
-
-    order = F.xxhash64("features", "label")
-    examples = durable(src.mapInArrow(encode, "label int, features binary")
-                       .withColumn("turn", order).withColumn("shard", F.pmod("turn", F.lit(shards))))
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raw = [np.frombuffer(f, np.int32) for f in b.column("features").to_pylist()]
-            at, times = np.unique(np.concatenate([*raw, np.zeros(0, np.int32)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(times, pa.int64())], ["at", "n"])
-
-    if not examples.where("label = 1").head(1):
-        none = np.zeros((1 << BITS) + 1)
-        none[-1] = -np.inf
-        return none
-    often = examples.select("features").mapInArrow(tally, "at int, n long").groupBy("at").agg(F.sum("n").alias("n"))
-    size = (1 << BITS) + 1
-    counted = np.zeros(size, bool)
-    counted[often.where(F.col("n") >= SEEN).select("at").toArrow().column("at").to_numpy()] = True
-    used = spark.sparkContext.broadcast(counted)
-    z, n = np.zeros(size), np.zeros(size)
+                 pa.array([feature[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())], ["label", "features"])
+
+    examples = src.mapInArrow(encode, "label int, features binary").withColumn("turn", F.xxhash64("features", "label"))
+    examples = examples.withColumn("shard", F.pmod("turn", F.lit(shards)).cast("int"))
+    examples = durable(examples.repartition(shards, "shard").sortWithinPartitions("shard", "turn"))
+    z, n = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
     for _ in range(rounds):
-        state = spark.sparkContext.broadcast((z.copy(), n.copy()))
-
-        def step(batch: pa.Table) -> pa.Table:
-            z, n = state.value[0].copy(), state.value[1].copy()
-            batch = batch.sort_by("turn")
-            for label, raw in zip(batch.column("label").to_pylist(), batch.column("features").to_pylist()):
-                feature = np.frombuffer(raw, np.int32)
-                learn(z, n, np.append(feature[used.value[feature]], size - 1), label)
-            moved = np.flatnonzero((z != state.value[0]) | (n != state.value[1]))
-            return pa.table({"at": moved, "z": z[moved] - state.value[0][moved], "n": n[moved] - state.value[1][moved]})
-
-        moves = (examples.groupBy("shard").applyInArrow(step, "at long, z double, n double")
-                 .groupBy("at").agg(F.sum("z").alias("z"), F.sum("n").alias("n")).toArrow())
-        at = moves.column("at").to_numpy()
-        z[at] += moves.column("z").to_numpy() / shards
-        n[at] += moves.column("n").to_numpy() / shards
+        state = spark.sparkContext.broadcast((z, n))
+
+        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            for b in batches:
+                for shard, label, raw in zip(*(b.column(c).to_pylist() for c in ("shard", "label", "features"))):
+                    if shard not in own:
+                        own[shard] = state.value[0].copy(), state.value[1].copy()
+                    learn(*own[shard], np.append(np.frombuffer(raw, np.int32), len(state.value[0]) - 1), label)
+            for mine in own.values():
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in mine], ["z", "n"])
+
+        # one row a shard, each of a fixed size
+        ends = examples.select("shard", "label", "features").mapInArrow(step, "z binary, n binary").collect()
+        z, n = (np.mean([np.frombuffer(r[c]) for r in ends], 0) for c in ("z", "n"))
         state.destroy()
-    return weights(z, n)
+    model = np.zeros(size + 1)
+    model[np.append(kept, size)] = weights(z, n)
+    return model
 
 
 def score(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
