@@ -3,10 +3,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-CLASS_OF = ("bb", "global", "regional", "local")
 REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
 LINE_ORDER = ("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
 
+# Member classes, the ordered labels and the further flags the queries ask for.
+CLASSES = CLASS_OF = ("bb", "global", "regional", "local")
+RULES = (("unclassified", "not (has_bb or has_global or has_regional or has_local)"),
+         ("bb_solo", "has_bb and n_members = 1"), ("bb_dom", "has_bb and has_domestic"), ("bb_intl", "has_bb"),
+         ("global_led", "has_global"), ("regional_dom", "has_regional and has_domestic"),
+         ("regional_intl", "has_regional"), ("local_only", "true"))
+FLAGS = {"combo_bb_x_dom": "has_bb and has_domestic", "combo_bb_x_reg": "has_bb and has_regional",
+         "solo": "n_members = 1", "jumbo": "n_members >= 6"}
+
 
 _READ: dict[tuple, DataFrame] = {}
 

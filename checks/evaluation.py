@@ -338,7 +338,7 @@ def f9(spark, sf):
 
 @query("I3_block_bootstrap")
 def i3(spark, sf):
-    return I.block_bootstrap(quant(spark, sf), ["rung"], ["q0.5"], "y_true", F.year("date"), 500)
+    return I.block_bootstrap(quant(spark, sf), ["rung"], ["q0.5"], "y_true", F.year("date"))
 
 
 @query("I3_row_bootstrap")
@@ -351,8 +351,9 @@ def i3r(spark, sf):
 WITH {_DM}, {_NW} SELECT 'B' AS rung, CAST(n AS BIGINT) AS n, (SELECT avg({_PIN}) FROM pred WHERE rung='B') AS loss_a,
  (SELECT avg({_PIN}) FROM pred WHERE rung='A') AS loss_b, mean AS loss_delta, mean/se AS dm_t FROM nw""")
 def i4(spark, sf):
-    return I.compare_rungs(quant(spark, sf), "A", n_boot=200).select(
-        "rung", "n", "loss_a", "loss_b", "loss_delta", "dm_t")
+    preds = quant(spark, sf)
+    pairs = durable(I.loss_difference(I.aligned(preds, "A"), "y_true", ["q0.1", "q0.5", "q0.9"], LV))
+    return I.compare_losses(pairs).drop("dm_p")
 
 
 _P = """tp AS (SELECT CAST(l_partkey AS BIGINT) AS id, min(l_extendedprice)/110000 AS p FROM lineitem GROUP BY 1),
@@ -384,12 +385,12 @@ def w20(spark, sf):
 
 @query("I6_significance")
 def i6(spark, sf):
-    return I.significance(quant(spark, sf), n_boot=200)
+    return I.significance(quant(spark, sf))
 
 
 @query("I7_rung_vs_baseline")
 def i7(spark, sf):
-    return I.compare_rungs(quant(spark, sf), "A", n_boot=200)
+    return I.compare_rungs(quant(spark, sf), "A")
 
 
 @query("T4_leaderboard", needs="pred", rounds="ic_fold_mean", sql=f"""

@@ -278,7 +278,7 @@ kd AS (SELECT *, CASE WHEN NOT (bb OR gl OR rg OR lc) THEN 'unclassified' WHEN b
 def _block(spark, sf):
     long = B.members(spark, sf)
     cls = members.classify_members(long, B.dictionary(spark))
-    return members.syndicate_block(B.unpriced_events(spark, sf), long, cls, "id", "grp")
+    return members.syndicate_block(B.unpriced_events(spark, sf), long, cls, "id", "grp", B.CLASSES, B.RULES, B.FLAGS)
 
 
 @query("A6_syndicate_block", needs="ev mem dict", rounds="log_n_members", sql=f"""
@@ -286,7 +286,7 @@ WITH {_BLOCK} SELECT id, CAST(n AS INT) AS n_members, ln(1.0+n) AS log_n_members
  CAST(gl AS INT) AS has_global, CAST(rg AS INT) AS has_regional, CAST(lc AS INT) AS has_local,
  CAST(dom AS INT) AS has_domestic, CAST(bb AND dom AS INT) AS combo_bb_x_dom,
  CAST(bb AND rg AS INT) AS combo_bb_x_reg, CAST(n=1 AS INT) AS solo, CAST(n>=6 AS INT) AS jumbo, """ + ", ".join(
-    f"CAST(kind='{k}' AS INT) AS kind_{k}" for k in members.KINDS) + " FROM kd")
+    f"CAST(kind='{k}' AS INT) AS kind_{k}" for k, _ in B.RULES) + " FROM kd")
 def a6(spark, sf):
     return _block(spark, sf)
 
@@ -294,16 +294,16 @@ def a6(spark, sf):
 @query("P13_archetype", needs="ev mem dict", sql=f"WITH {_BLOCK} SELECT id, kind FROM kd")
 def p13(spark, sf):
     b = _block(spark, sf)
-    return b.unpivot("id", [f"kind_{k}" for k in members.KINDS], "kind", "on").where("on = 1").select(
+    return b.unpivot("id", [f"kind_{k}" for k, _ in B.RULES], "kind", "on").where("on = 1").select(
         "id", F.substring("kind", 6, 100).alias("kind"))
 
 
 @query("A7_category_counts", needs="ev mem dict", sql=f"""
-WITH {_BLOCK}, k(kind) AS (VALUES {", ".join(f"('{k}')" for k in members.KINDS)}),
+WITH {_BLOCK}, k(kind) AS (VALUES {", ".join(f"('{k}')" for k, _ in B.RULES)}),
 c AS (SELECT k.kind, count(kd.id) AS n FROM k LEFT JOIN kd ON kd.kind=k.kind GROUP BY 1)
 SELECT kind, n, CAST(kind='unclassified' AND n > 0.2*(SELECT count(*) FROM ev) AS INT) AS alert FROM c""")
 def a7(spark, sf):
-    return members.category_counts(_block(spark, sf))
+    return members.category_counts(_block(spark, sf), "unclassified")
 
 
 @query("A13_distinct_sets", needs="ev px", sql="""
@@ -548,7 +548,7 @@ def p3(spark, sf):
     f"CAST(grp='{r}' AS INT) AS \"mkt_{r}\"" for r in B.REGIONS) + " FROM ev")
 def p4(spark, sf):
     from pitspark.plans.panel import one_hot
-    return one_hot(B.unpriced_events(spark, sf), "grp", "mkt_").select(
+    return one_hot(B.unpriced_events(spark, sf), "grp", "mkt_", B.REGIONS).select(
         "id", *[f"mkt_{r}" for r in B.REGIONS])
 
 

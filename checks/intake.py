@@ -19,12 +19,13 @@ from pitspark.sources import predictions as P, tables as T
 
 @query("S1_read_table", sql="SELECT o_orderkey, o_totalprice, CAST(o_orderdate AS DATE) AS o_orderdate FROM orders")
 def s1(spark, sf):
-    return T.read_table(spark, f"{sf}/orders.parquet", "o_orderkey bigint, o_totalprice double, o_orderdate date")
+    return T.read_table(spark, f"{sf}/orders.parquet", "o_orderkey bigint, o_totalprice double, o_orderdate date",
+                        kind="parquet")
 
 
 @query("S2_read_optional", sql="SELECT count(*) AS n, 1 AS absent FROM customer")
 def s2(spark, sf):
-    here = T.read_optional(spark, f"{sf}/customer.parquet", "c_custkey bigint")
+    here = T.read_optional(spark, f"{sf}/customer.parquet", "c_custkey bigint", kind="parquet")
     gone = T.read_optional(spark, f"{sf}/no_such_table.parquet", "c_custkey bigint")
     return here.agg(F.count(F.lit(1)).alias("n")).withColumn("absent", F.lit(int(gone is None)))
 
@@ -44,7 +45,7 @@ def s4(spark, sf):
         F.count(F.lit(1)).alias("_n"))
     raw = raw.select(F.col("DAY").cast("int").alias("DAY"),
                      F.when(F.col("_n") % 5 == 0, "missing").otherwise(F.col("_n").cast("string")).alias("GPRD"))
-    return T.normalise_series(raw)
+    return T.normalise_series(raw, ["date", "DAY"], ["level", "GPRD"])
 
 
 @query("S6_write_read_predictions", needs="pred", rounds="q50", sql="SELECT rung, id, md AS q50 FROM pred WHERE rung='B'")
@@ -178,7 +179,7 @@ def f6(spark, sf):
                            F.when(F.col("k") % 3 == 0, "x1").otherwise("us"),
                            F.when(F.col("k") % 5 == 0, "HIGH").otherwise("so-so"))
     e = e.withColumn("text", F.when(F.col("k") % 10 == 0, F.lit('{"items":[{"name":')).otherwise(text))
-    return members.fill_from_json(B.dictionary(spark), e, "text")
+    return members.fill_from_json(B.dictionary(spark), e, "text", B.CLASSES)
 
 
 @query("F7_interpolate", rounds="y", sql="""

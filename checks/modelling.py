@@ -29,7 +29,8 @@ def tables(spark, sf) -> Tables:
     return Tables(events=B.events(spark, sf), prices=B.prices(spark, sf), bench=B.benchmark(spark, sf),
                   risk=B.risk(spark, sf), deals=B.shipments(spark, sf), macro=B.macro(spark, sf),
                   macro_global=B.macro_global(spark, sf), peers=B.peers(spark, sf),
-                  members=B.members(spark, sf), dictionary=B.dictionary(spark))
+                  members=B.members(spark, sf), dictionary=B.dictionary(spark), class_names=B.CLASSES,
+                  rules=B.RULES, flags=B.FLAGS)
 
 
 def panel(spark, sf) -> DataFrame:
@@ -235,17 +236,14 @@ def m3(spark, sf):
     return M.naive_logistic(rows(spark, sf), "f1_med_1w", "y_3").select("fold", "id", "p_out")
 
 
-_FAST = {"maxIter": 4, "maxDepth": 3}
-
-
 @query("M4_trees_binary")
 def m4b(spark, sf):
-    return M.trees(rows(spark, sf), "y_3", FEATURES, binary=True, params=_FAST).select("fold", "id", "p_out")
+    return M.trees(rows(spark, sf), "y_3", FEATURES, binary=True).select("fold", "id", "p_out")
 
 
 @query("M4_trees_quantile")
 def m4(spark, sf):
-    return M.trees(rows(spark, sf), "y_3", FEATURES, params=_FAST).select("fold", "id", "`q0.1`", "`q0.5`", "`q0.9`")
+    return M.trees(rows(spark, sf), "y_3", FEATURES).select("fold", "id", "`q0.1`", "`q0.5`", "`q0.9`")
 
 
 @query("M5_ridge")
@@ -261,7 +259,7 @@ def m6(spark, sf):
 @query("M7_random_search")
 def m7(spark, sf):
     last = rows(spark, sf).where("fold = 4")
-    return M.trees(last, "y_3", FEATURES, binary=True, params=_FAST, n_configs=3, tune={
+    return M.trees(last, "y_3", FEATURES, binary=True, n_configs=3, tune={
         "maxDepth": [1, 2, 3], "stepSize": [0.05, 0.1, 0.2]}).select("fold", "id", "p_out")
 
 
@@ -299,7 +297,7 @@ def m11(spark, sf):
 def m12(spark, sf):
     path = f"{checkpoint_dir(spark)}/final-{uuid.uuid4().hex}"
     p = panel(spark, sf)
-    M.fit_final(p, V.final_split(p), "y_3", FEATURES, path, params=_FAST, seeds=(0, 1))
+    M.fit_final(p, V.final_split(p), "y_3", FEATURES, path, seeds=(0, 1))
     return M.score_new(p, path).select("id", "q10", "q50", "q90", "mult_q50")
 
 
@@ -309,7 +307,7 @@ def m12(spark, sf):
 def g1(spark, sf):
     r = rows(spark, sf)
     last = durable(r.where("fold = 4"))
-    model = M.fit_trees(last.where("role = 'train'"), last.where("role = 'val'"), "y_3", FEATURES, params=_FAST)
+    model = M.fit_trees(last.where("role = 'train'"), last.where("role = 'val'"), "y_3", FEATURES)
     test = last.where("role = 'test'").select("fold", "id", "y_3", *FEATURES)
     return G.permutation_importance(test, lambda d: M.score_with(model, d), "y_3",
                                     {"size": ["size"], "recent": ["f1_med_1w", "f1_n_1d"]}, repeats=2)
@@ -317,7 +315,7 @@ def g1(spark, sf):
 
 @query("G2_tree_importance")
 def g2(spark, sf):
-    return G.importance_share(M.tree_importances(rows(spark, sf), "y_3", FEATURES, params=_FAST))
+    return G.importance_share(M.tree_importances(rows(spark, sf), "y_3", FEATURES))
 
 
 @query("I8_permutation_null")

@@ -1,8 +1,10 @@
 """Exact positions, ranks and order statistics without one-task sorts.
 
 A plain ``row_number() over (partition by key order by value)`` puts a whole key in one
-task. Here the value axis is first cut into ranges on a signed logarithmic scale, 1024 to an octave, so a
-key of any size is spread over about a thousand (key, range) cells or more. Counts per cell
+task. Here the value axis is first cut into ranges on signed logarithmic scales, 1024 to an octave, counted from
+zero and from the least and the greatest value there is. So values that lie close together far from zero,
+such as consecutive ids, are split as well as values of all sizes, and a key of any size is spread over
+a thousand (key, range) cells or more. Counts per cell
 are added up in a table of one row per cell and positions inside a cell come from an
 ordinary window. Repeated values are collapsed to one counted row before that, so a value
 shared by a third of the rows costs one row. The cut only steers the split; results are exact.
@@ -17,14 +19,21 @@ PER_OCTAVE = 1024
 _SHIFT = 1100 * PER_OCTAVE      # keeps the range number of the smallest double positive
 
 
-def cell_of(value: Column) -> Column:
-    """Range number of a finite number: a non-decreasing function of it."""
-    v = value.cast("double")
-
-    def octaves(x: Column) -> Column:
+def _octaves(v: Column) -> Column:
+    def size(x: Column) -> Column:
         return F.floor(F.log2(x) * PER_OCTAVE).cast("int") + _SHIFT
 
-    return F.when(v > 0, octaves(v)).when(v < 0, -octaves(-v)).otherwise(0)
+    return F.when(v > 0, size(v)).when(v < 0, -size(-v)).otherwise(0)
+
+
+def celled(df: DataFrame, value: Column | str, out: str = "_cell") -> DataFrame:
+    """Add the range number of a finite number: a non-decreasing function of it, as a sum of three."""
+    v = F.col(value) if isinstance(value, str) else value
+    rows = df.withColumn("_at", v.cast("double"))
+    rows = with_constants(rows, rows.agg(F.min("_at").alias("_low"), F.max("_at").alias("_high")))
+    at = F.col("_at")
+    cell = _octaves(at) + _octaves(at - F.col("_low")) - _octaves(F.col("_high") - at)
+    return rows.withColumn(out, cell).drop("_at", "_low", "_high")
 
 
 def with_constants(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -43,6 +52,10 @@ def tie_number(df: DataFrame, tie: str) -> tuple[Column, list[Column]]:
         return F.col(tie), [F.col(tie)]
     if isinstance(df.schema[tie].dataType, T.DateType):
         return F.unix_date(tie), [F.col(tie)]
+    if isinstance(df.schema[tie].dataType, T.TimestampType):
+        return F.unix_micros(tie), [F.col(tie)]
+    if isinstance(df.schema[tie].dataType, T.TimestampNTZType):
+        return F.unix_micros(F.col(tie).cast("timestamp")), [F.col(tie)]
     crc = F.crc32(F.col(tie).cast("binary"))
     return crc, [crc, F.col(tie)]
 
@@ -60,7 +73,7 @@ def value_offsets(df: DataFrame, keys: Sequence[str], value: str,
     df, keys, _ = _keyed(df, keys)
     counts = (df.groupBy(*keys, value)
               .agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("cnt")))
-    counts = counts.withColumn("_cell", cell_of(F.col(value)))
+    counts = celled(counts, value)
     cells = counts.groupBy(*keys, "_cell").agg(F.sum("cnt").alias("_in_cell"))
     by_key = W.partitionBy(*keys)
     cells = cells.select(
@@ -128,7 +141,7 @@ def row_index(df: DataFrame, keys: Sequence[str], day: str | None, tie: str,
     df, ks, added = _keyed(df, keys)
     num, tie_order = tie_number(df, tie)
     lead = [*ks, day] if day else list(ks)
-    cut = df.withColumn("_cell", cell_of(num))
+    cut = celled(df, num)
     cells = cut.groupBy(*lead, "_cell").agg(F.count(F.lit(1)).alias("_c"))
     running = W.unboundedPreceding, 0
     cells = cells.withColumn("_in_lead", F.sum("_c").over(
@@ -182,7 +195,7 @@ def suffix_min(df: DataFrame, keys: Sequence[str], order: str, value: str, out:
     """Smallest ``value`` among the rows of the key whose ``order`` is at least as large."""
     df, ks, added = _keyed(df, keys)
     low = df.groupBy(*ks, order).agg(F.min(value).alias("_v"))
-    low = low.withColumn("_cell", cell_of(F.col(order)))
+    low = celled(low, order)
     cells = low.groupBy(*ks, "_cell").agg(F.min("_v").alias("_m"))
     cells = cells.select(*ks, "_cell", F.min("_m").over(
         W.partitionBy(*ks).orderBy("_cell").rowsBetween(1, W.unboundedFollowing)).alias("_after"))

@@ -74,9 +74,9 @@ def interpolate(points: DataFrame, knots: DataFrame, by: list[str], x: str, kx:
     the negated axis. Of knots with equal x the last y is used from the left, the first from the right.
     """
     asked = points.select(*by, x).distinct()
-    left = asof_lookup(asked, knots, by, x, kx, [kx, ky])
+    left = asof_lookup(asked, knots, by, x, kx, [kx, ky], "value")
     flipped = knots.select(*by, (-F.col(kx)).alias(kx), (-F.col(ky)).alias(ky))
-    right = asof_lookup(asked.withColumn(x, -F.col(x)), flipped, by, x, kx, [kx, ky])
+    right = asof_lookup(asked.withColumn(x, -F.col(x)), flipped, by, x, kx, [kx, ky], "value")
     both = (left.select(*by, x, F.col(f"upto.{kx}").alias("_x0"), F.col(f"upto.{ky}").alias("_y0"))
             .join(right.select(*by, (-F.col(x)).alias(x), (-F.col(f"before.{kx}")).alias("_x1"),
                                (-F.col(f"before.{ky}")).alias("_y1")), [*by, x]))

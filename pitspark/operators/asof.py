@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from pitspark.functions.ordering import celled
 
 
 def asof_lookup(points: DataFrame, series: DataFrame, by: Sequence[str], at: str, ts: str,
@@ -20,8 +21,9 @@ def asof_lookup(points: DataFrame, series: DataFrame, by: Sequence[str], at: str
     series rows at one (by, ts) the greatest struct is used.
 
     Dated series stay in one window per key, which the calendar bounds. For finer
-    timestamps give ``slice_by`` (a ``date_trunc`` unit): windows then run inside slices and the last value
-    of earlier slices is carried in through a table of one row per slice.
+    timestamps give ``slice_by`` (a ``date_trunc`` unit), for a continuous axis ``slice_by="value"``:
+    windows then run inside slices and the last value of earlier slices is carried in through a table of
+    one row per slice.
     """
     by = list(by)
     # Distinct first: a hash aggregate with a map-side combine, where the struct maximum below sorts.
@@ -35,16 +37,15 @@ def asof_lookup(points: DataFrame, series: DataFrame, by: Sequence[str], at: str
         line, by = line.withColumn("_all", F.lit(0)), ["_all"]
     cell = list(by)
     if slice_by:
-        line = line.withColumn("_slice", F.date_trunc(slice_by, "_t"))
+        line = celled(line, "_t", "_slice") if slice_by == "value" else line.withColumn("_slice", F.date_trunc(slice_by, "_t"))
         cell.append("_slice")
     run = W.partitionBy(*cell).orderBy("_t")
     line = (line
             .withColumn("before", F.last("_obs", True).over(run.rowsBetween(W.unboundedPreceding, -1)))
             .withColumn("upto", F.last("_obs", True).over(run.rowsBetween(W.unboundedPreceding, 0))))
     if slice_by:
-        ends = (seen.withColumn("_slice", F.date_trunc(slice_by, "_t"))
-                .groupBy(*cell).agg(F.max(F.struct("_t", "_obs"))["_obs"].alias("_end")))
-        ends = line.select(*cell).distinct().join(ends, cell, "left")
+        last = F.max(F.when(F.col("_obs").isNotNull(), F.struct("_t", "_obs")))
+        ends = line.groupBy(*cell).agg(last["_obs"].alias("_end"))
         past = W.partitionBy(*by).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
         carry = ends.select(*cell, F.last("_end", True).over(past).alias("_carry"))
         line = line.join(carry, cell).withColumns({

@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
@@ -123,8 +122,8 @@ def last_n_mean(points: DataFrame, history: DataFrame, by: Sequence[str], at: st
     """Mean of the n most recent observed rows, with unlimited look-back; null under ``least``.
 
     A row is visible to days after both its own date and its outcome date. Only the n latest rows of
-    each (group, visibility day) can ever be among the n latest, so each group is cut to at most
-    n rows per calendar day before it is walked in visibility order.
+    each (group, visibility day) can ever be among the n latest. Days are numbered, and every block of 1, 2, 4,
+    ... days keeps its n latest rows; the days before a query are a few such blocks (one a set bit of its number).
     """
     by = list(by)
     vis = (history.where(F.col(known).isNotNull() & F.col(value).isNotNull())
@@ -133,28 +132,24 @@ def last_n_mean(points: DataFrame, history: DataFrame, by: Sequence[str], at: st
     latest = W.partitionBy(*by, "_v").orderBy(F.desc("_d"), F.desc("_tie"))
     vis = vis.withColumn("_rn", F.row_number().over(latest)).where(F.col("_rn") <= n).drop("_rn")
     marks = points.select(*by, F.unix_date(at).alias("_v")).distinct()
-    line = vis.unionByName(marks, allowMissingColumns=True)
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        # A query day sorts ahead of rows that become visible on that very day.
-        pdf = pdf.assign(_row=pdf["_x"].notna()).sort_values(["_v", "_row"], kind="stable")
-        held: list[tuple] = []
-        out = []
-        for v, d, tie_, x, is_row in zip(pdf["_v"], pdf["_d"], pdf["_tie"], pdf["_x"], pdf["_row"]):
-            if is_row:
-                held = sorted([*held, (d, tie_, x)], reverse=True)[:n]
-            else:
-                xs = [h[2] for h in held]
-                out.append((v, len(xs), sum(xs) / len(xs) if len(xs) >= least else None))
-        got = pd.DataFrame(out, columns=["_v", "n_seen", "mean_seen"])
-        for c in by:
-            got[c] = pdf[c].iloc[0]
-        return got[[*by, "_v", "n_seen", "mean_seen"]]
-
-    kinds = ", ".join(f"`{c}` {points.schema[c].dataType.simpleString()}" for c in by)
-    got = line.groupBy(*by).applyInPandas(
-        walk, f"{kinds}, _v int, n_seen bigint, mean_seen double")
-    return got.select(*by, F.date_from_unix_date("_v").alias(at), "n_seen", "mean_seen")
+    days = vis.select(*by, "_v").unionByName(marks).distinct()
+    days = days.withColumn("_i", (F.row_number().over(W.partitionBy(*by).orderBy("_v")) - 1).cast("int"))
+    top = days.groupBy(*by).agg(F.max("_i").alias("_top"))
+    days = days.join(top, by).withColumn("_l", F.explode(F.sequence(F.lit(0), F.floor(F.log2(F.col("_top") + 1)).cast("int"))))
+    days = days.withColumn("_block", F.expr("shiftright(_i, _l)"))
+    cell = [*by, "_l", "_block"]
+    held = W.partitionBy(*cell).orderBy(F.desc("_d"), F.desc("_tie"))
+    blocks = (vis.join(days, [*by, "_v"]).withColumn("_rn", F.row_number().over(held)).where(F.col("_rn") <= n)
+              .select(*cell, "_d", "_tie", "_x"))
+    asked = (marks.join(days, [*by, "_v"]).where("_block % 2 = 1")
+             .select(*by, "_v", "_l", (F.col("_block") - 1).alias("_block")))
+    seen = F.slice(F.sort_array(F.collect_list(F.struct("_d", "_tie", "_x")), asc=False), 1, n)
+    got = asked.join(blocks, cell).groupBy(*by, "_v").agg(seen.alias("_seen"))
+    got = marks.join(got, [*by, "_v"], "left")
+    size = F.coalesce(F.size("_seen"), F.lit(0))
+    total = F.aggregate(F.transform("_seen", lambda r: r["_x"]), F.lit(0.0), lambda s, x: s + x)
+    return got.select(*by, F.date_from_unix_date("_v").alias(at), size.cast("long").alias("n_seen"),
+                      F.when(size >= least, total / size).alias("mean_seen"))
 
 
 def event_window(series: DataFrame, events: DataFrame, key: str, ts: str, at: str, id_: str,

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -74,6 +75,19 @@ def returns(events: DataFrame, prices: DataFrame, bench: DataFrame, horizons: Se
     return wide.select(*out)
 
 
+def uncovered(rets: DataFrame) -> DataFrame:
+    """L1: rows of ``returns`` that have a price return but none against the benchmark, for some horizon."""
+    gaps = [F.col(c).isNotNull() & F.col(f"exc_{c.removeprefix('raw_')}").isNull()
+            for c in rets.columns if c.startswith("raw_")]
+    return rets.where(reduce(lambda a, b: a | b, gaps))
+
+
+def require_benchmark(rets: DataFrame) -> None:
+    n = uncovered(rets).count()
+    if n:
+        raise ValueError(f"the benchmark does not reach the price days of {n} events")
+
+
 def return_basis(h: int, relative: bool = False) -> str:
     """L3: column used by the recent-event factors."""
     return f"exc_{h}" if relative else f"raw_{h}"

@@ -9,10 +9,6 @@ from pitspark.functions.ordering import quantiles, with_constants
 from pitspark.functions.scalar import blank, normalise_name
 from pitspark.operators.interval import member_share
 
-CLASSES = ("bb", "global", "regional", "local")
-KINDS = ("bb_solo", "bb_dom", "bb_intl", "global_led", "regional_dom", "regional_intl",
-         "local_only", "unclassified")
-
 
 def member_columns(df: DataFrame, prefix: str) -> list[str]:
     """S3: multi-hot columns by prefix, in name order."""
@@ -70,50 +66,43 @@ def dictionary_match(names: DataFrame, name: str, aliases: DataFrame) -> DataFra
         F.col("_b.home").alias("home"))
 
 
-def kind(n: Column, has: dict[str, Column], domestic: Column) -> Column:
-    """Ordered 8-way label from the classes present."""
-    return (F.when(~(has["bb"] | has["global"] | has["regional"] | has["local"]), "unclassified")
-            .when(has["bb"] & (n == 1), "bb_solo")
-            .when(has["bb"], F.when(domestic, "bb_dom").otherwise("bb_intl"))
-            .when(has["global"], "global_led")
-            .when(has["regional"], F.when(domestic, "regional_dom").otherwise("regional_intl"))
-            .otherwise("local_only"))
+def first_label(rules: Sequence[tuple[str, str]]) -> Column:
+    """Label of the first rule whose SQL condition holds; a last condition ``true`` catches the rest."""
+    out = F.lit(None).cast("string")
+    for label, condition in reversed(list(rules)):
+        out = F.when(F.expr(condition), label).otherwise(out)
+    return out
 
 
-def syndicate_block(events: DataFrame, long_members: DataFrame, classes: DataFrame, id_: str,
-                    group: str, jumbo: int = 6) -> DataFrame:
-    """Per event the member count, class flags, interactions and the one-hot label."""
+def syndicate_block(events: DataFrame, long_members: DataFrame, classes: DataFrame, id_: str, group: str,
+                    class_names: Sequence[str], rules: Sequence[tuple[str, str]],
+                    flags: dict[str, str]) -> DataFrame:
+    """Per event the member count, whether each class and a member from the event's group is present,
+    further 0/1 ``flags`` and the one-hot label of ``rules``. Conditions are SQL over ``n_members``,
+    ``has_<class>`` and ``has_domestic``."""
     rows = (long_members.join(classes, "member", "left")
             .join(events.select(id_, F.col(group).cast("string").alias("_g")), id_))
-    flags = [F.coalesce(F.bool_or(F.col("class") == c), F.lit(False)).alias(f"_{c}") for c in CLASSES]
-    per = rows.groupBy(id_).agg(F.count(F.lit(1)).alias("_n"), *flags,
-                                F.coalesce(F.bool_or(F.col("home") == F.col("_g")),
-                                           F.lit(False)).alias("_dom"))
-    full = events.select(id_).join(per, id_, "left")
-    n = F.coalesce("_n", F.lit(0))
-    has = {c: F.coalesce(f"_{c}", F.lit(False)) for c in CLASSES}
-    dom = F.coalesce("_dom", F.lit(False))
-
-    def bit(c: Column) -> Column:
-        return c.cast("int")
-
-    label = kind(n, has, dom)
+    per = rows.groupBy(id_).agg(
+        F.count(F.lit(1)).alias("n_members"), F.bool_or(F.col("home") == F.col("_g")).alias("has_domestic"),
+        *[F.bool_or(F.col("class") == c).alias(f"has_{c}") for c in class_names])
+    here = [*[f"has_{c}" for c in class_names], "has_domestic"]
+    full = events.select(id_).join(per, id_, "left").select(
+        id_, F.coalesce("n_members", F.lit(0)).cast("int").alias("n_members"),
+        *[F.coalesce(c, F.lit(False)).alias(c) for c in here]).withColumn("_label", first_label(rules))
     return full.select(
-        id_, n.cast("int").alias("n_members"), F.log1p(n.cast("double")).alias("log_n_members"),
-        *[bit(has[c]).alias(f"has_{c}") for c in CLASSES], bit(dom).alias("has_domestic"),
-        bit(has["bb"] & dom).alias("combo_bb_x_dom"),
-        bit(has["bb"] & has["regional"]).alias("combo_bb_x_reg"),
-        bit(n == 1).alias("solo"), bit(n >= jumbo).alias("jumbo"),
-        *[bit(label == k).alias(f"kind_{k}") for k in KINDS])
+        id_, "n_members", F.log1p(F.col("n_members").cast("double")).alias("log_n_members"),
+        *[F.col(c).cast("int").alias(c) for c in here],
+        *[F.expr(condition).cast("int").alias(name) for name, condition in flags.items()],
+        *[F.coalesce(F.col("_label") == label, F.lit(False)).cast("int").alias(f"kind_{label}") for label, _ in rules])
 
 
-def category_counts(block: DataFrame, share: float = 0.2) -> DataFrame:
-    """Rows per label, with an alert when too many are unclassified."""
+def category_counts(block: DataFrame, watched: str, share: float = 0.2) -> DataFrame:
+    """Rows per label, with an alert when the ``watched`` one has more than its share."""
+    labels = [c for c in block.columns if c.startswith("kind_")]
     total = F.sum(F.col("n")).over(W.partitionBy(F.lit(0)))
-    counts = block.agg(*[F.sum(f"kind_{k}").alias(k) for k in KINDS])
-    return (counts.unpivot([], list(KINDS), "kind", "n")
-            .withColumn("alert", ((F.col("kind") == "unclassified")
-                                  & (F.col("n") > share * total)).cast("int")))
+    counts = block.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c.removeprefix("kind_")) for c in labels])
+    return (counts.unpivot([], [c.removeprefix("kind_") for c in labels], "kind", "n")
+            .withColumn("alert", ((F.col("kind") == watched) & (F.col("n") > share * total)).cast("int")))
 
 
 def member_rank(shares: DataFrame, by: Sequence[str], at: str) -> DataFrame:
@@ -141,12 +130,14 @@ def peer_select(events: DataFrame, universe: DataFrame, id_: str, ticker: str, s
                 group: str, k: int) -> DataFrame:
     """Up to k peers per event by size, from its own group if that has any, never itself.
 
-    Each pool is cut to its k + 2 largest entries before meeting the events (an event can strike
-    out two names: its id and its ticker), so no (event, universe) pairs are formed beyond the answer.
+    A ticker stands once in a pool, at its largest size. Each pool is cut to its k + 2 largest tickers before
+    meeting the events (an event can strike out two names: its id and its ticker), so no (event, universe)
+    pairs are formed beyond the answer.
     """
     def pool(keys: list[str], out: str) -> DataFrame:
         largest = W.partitionBy(*keys).orderBy(F.desc_nulls_last("cap"), "ticker")
-        top = (universe.withColumn("_rn", F.row_number().over(largest))
+        once = universe.where(F.col("ticker").isNotNull()).groupBy(*keys, "ticker").agg(F.max("cap").alias("cap"))
+        top = (once.withColumn("_rn", F.row_number().over(largest))
                .where(F.col("_rn") <= k + 2))
         return top.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_rn", "ticker"))).alias(out))
 
@@ -176,10 +167,11 @@ def peer_stats(events: DataFrame, peers: DataFrame, id_: str) -> DataFrame:
             .select(id_, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in names]))
 
 
-def fill_from_json(dictionary: DataFrame, payloads: DataFrame, text: str) -> DataFrame:
+def fill_from_json(dictionary: DataFrame, payloads: DataFrame, text: str,
+                   class_names: Sequence[str]) -> DataFrame:
     """blank dictionary rows filled from JSON answers that pass validation.
 
-    Answers outside the class list, with a malformed home code or for a name that was not asked are
+    Answers outside the class names, with a malformed home code or for a name that was not asked are
     dropped, ``unknown`` fills nothing, and a malformed payload contributes nothing.
     """
     entry = "items array<struct<name string, class string, home string, confidence string>>"
@@ -188,7 +180,7 @@ def fill_from_json(dictionary: DataFrame, payloads: DataFrame, text: str) -> Dat
            .select(F.trim("e.name").alias("member"), F.lower(F.trim("e.class")).alias("_class"),
                    F.upper(F.trim("e.home")).alias("_home"),
                    F.when(F.lower(F.trim("e.confidence")) == "high", "high").otherwise("low").alias("_conf"))
-           .where(F.col("_class").isin(*CLASSES, "unknown") & F.col("_home").rlike("^[A-Z]{2,6}$")))
+           .where(F.col("_class").isin(*class_names, "unknown") & F.col("_home").rlike("^[A-Z]{2,6}$")))
     got = got.groupBy("member").agg(F.min(F.struct("_conf", "_class", "_home")).alias("_g"))
     rows = dictionary.join(got, "member", "left")
     empty = blank("class") | blank("home")

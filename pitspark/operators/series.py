@@ -2,15 +2,16 @@
 
 Statistics are computed once per series row and then as-of joined, instead of once per event.
 A dated series has one row per (group, day), so a window partition is bounded by the calendar. For longer
-series pass ``chunk``: rows are numbered, cut into runs of ``chunk`` rows with the frame's
-look-back repeated at the front, and each run becomes its own window partition.
+series pass ``chunk``: rows are numbered, cut into runs of ``chunk`` rows with as many rows repeated at
+the front as the farthest-reaching expression looks back, and each run becomes its own window partition.
 """
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from pitspark.functions.ordering import row_index
 
@@ -28,12 +29,23 @@ class Frames:
         return self.order.rowsBetween(1 - rows, 0)
 
 
-Expr = Callable[[Frames], Column]
+@dataclass(frozen=True)
+class Expr:
+    """A series expression and how many rows before its own it reads."""
+
+    make: Callable[[Frames], Column]
+    reach: int
+
+    def __call__(self, frames: Frames) -> Column:
+        return self.make(frames)
 
 
 def with_series(df: DataFrame, by: Sequence[str], ts: str, exprs: dict[str, Expr],
-                look_back: int = YEAR, chunk: int | None = None) -> DataFrame:
+                chunk: int | None = None) -> DataFrame:
     """Add every expression, evaluated along (by, ts)."""
+    if isinstance(df.schema[ts].dataType, (T.StringType, T.BinaryType)):
+        raise ValueError(f"{ts} is text; a series needs dates, timestamps or numbers")
+    look_back = max((e.reach for e in exprs.values()), default=0)
     if chunk is None:
         part = list(by)
         if not part:
@@ -42,7 +54,7 @@ def with_series(df: DataFrame, by: Sequence[str], ts: str, exprs: dict[str, Expr
         df = df.withColumn("_pos", F.row_number().over(f.order) - 1)
         return df.withColumns({m: e(f) for m, e in exprs.items()}).drop("_pos", "_all")
     if chunk < look_back:
-        raise ValueError("chunk must be at least as long as the look-back")
+        raise ValueError(f"chunk must be at least the look-back of {look_back} rows")
     rows = row_index(df, by, None, ts, "_pos")
     own = F.floor(F.col("_pos") / chunk)
     ahead = F.floor((F.col("_pos") + look_back) / chunk)
@@ -54,12 +66,12 @@ def with_series(df: DataFrame, by: Sequence[str], ts: str, exprs: dict[str, Expr
 
 def log_ret(v: str, lag: int) -> Expr:
     """Log return over ``lag`` rows; 0 with fewer prior rows."""
-    return lambda f: F.coalesce(F.log(v) - F.lag(F.log(v), lag).over(f.order), F.lit(0.0))
+    return Expr(lambda f: F.coalesce(F.log(v) - F.lag(F.log(v), lag).over(f.order), F.lit(0.0)), lag)
 
 
 def drawdown(v: str, rows: int = YEAR) -> Expr:
     """Log level less its maximum over the last ``rows`` rows."""
-    return lambda f: F.log(v) - F.max(F.log(v)).over(f.last(rows))
+    return Expr(lambda f: F.log(v) - F.max(F.log(v)).over(f.last(rows)), rows - 1)
 
 
 def _diff(x: Column, f: Frames) -> Column:
@@ -69,16 +81,16 @@ def _diff(x: Column, f: Frames) -> Column:
 def realised_vol(step: str, rows: int = 21, least: int = 10) -> Expr:
     """Annualised population std of the last ``rows`` steps; 0 with fewer than ``least``.
     ``step`` is a column of one-row log differences (null on the first row)."""
-    return lambda f: F.when(F.count(step).over(f.last(rows)) >= least,
-                            F.stddev_pop(step).over(f.last(rows)) * math.sqrt(YEAR)).otherwise(0.0)
+    return Expr(lambda f: F.when(F.count(step).over(f.last(rows)) >= least,
+                                 F.stddev_pop(step).over(f.last(rows)) * math.sqrt(YEAR)).otherwise(0.0), rows - 1)
 
 
 def log_step(v: str) -> Expr:
-    return lambda f: _diff(F.log(v), f)
+    return Expr(lambda f: _diff(F.log(v), f), 1)
 
 
 def step(v: str) -> Expr:
-    return lambda f: _diff(F.col(v), f)
+    return Expr(lambda f: _diff(F.col(v), f), 1)
 
 
 def rolling_z(v: str, rows: int = YEAR, least: int = 40) -> Expr:
@@ -88,17 +100,17 @@ def rolling_z(v: str, rows: int = YEAR, least: int = 40) -> Expr:
         sd = F.stddev_pop(v).over(w)
         return F.when((f.pos >= least) & (sd > 1e-12),
                       (F.col(v) - F.avg(v).over(w)) / sd).otherwise(0.0)
-    return make
+    return Expr(make, rows - 1)
 
 
 def pct_change(v: str, lag: int = 21) -> Expr:
     """W6"""
-    return lambda f: F.coalesce(F.try_divide(F.col(v), F.lag(v, lag).over(f.order)) - 1, F.lit(0.0))
+    return Expr(lambda f: F.coalesce(F.try_divide(F.col(v), F.lag(v, lag).over(f.order)) - 1, F.lit(0.0)), lag)
 
 
 def ret_spread(a: str, b: str, lag: int = 63) -> Expr:
     """W7"""
-    return lambda f: log_ret(a, lag)(f) - log_ret(b, lag)(f)
+    return Expr(lambda f: log_ret(a, lag)(f) - log_ret(b, lag)(f), lag)
 
 
 def window_array(v: str, size: int = 21) -> Expr:
@@ -106,18 +118,18 @@ def window_array(v: str, size: int = 21) -> Expr:
     def make(f: Frames) -> Column:
         got = F.collect_list(v).over(f.last(size))
         return F.concat(F.array_repeat(F.element_at(got, 1), F.lit(size) - F.size(got)), got)
-    return make
+    return Expr(make, size - 1)
 
 
 def change_vol(step_: str, levels: int = 63) -> Expr:
     """Annualised population std of the steps inside the last ``levels`` levels."""
-    return lambda f: F.when(f.pos >= levels - 1, F.stddev_pop(step_).over(f.last(levels - 1))
-                            * math.sqrt(YEAR)).otherwise(0.0)
+    return Expr(lambda f: F.when(f.pos >= levels - 1, F.stddev_pop(step_).over(f.last(levels - 1))
+                                 * math.sqrt(YEAR)).otherwise(0.0), levels - 2)
 
 
 def gap_days(ts: str) -> Expr:
     """W19"""
-    return lambda f: F.datediff(F.col(ts), F.lag(ts, 1).over(f.order))
+    return Expr(lambda f: F.datediff(F.col(ts), F.lag(ts, 1).over(f.order)), 1)
 
 
 def sequence_summaries(seq: str, prefix: str) -> dict[str, Column]:

@@ -149,8 +149,8 @@ def pinball_row(y: Column, cols: Sequence[str], levels: Sequence[float]) -> Colu
 
 
 def interval_metrics(df: DataFrame, keys: Sequence[str], y: str, cols: Sequence[str],
-                     levels: Sequence[float]) -> DataFrame:
-    """Pinball, coverage, misses, width and interval score of the outer pair."""
+                     levels: Sequence[float], counted: bool = False) -> DataFrame:
+    """Pinball, coverage, misses, width and interval score of the outer pair; ``counted`` adds n."""
     df, keys = _keys(df, keys)
     o, lo, hi = F.col(y), quoted(cols[0]), quoted(cols[-1])
     nominal = levels[-1] - levels[0]
@@ -158,7 +158,7 @@ def interval_metrics(df: DataFrame, keys: Sequence[str], y: str, cols: Sequence[
     cover = F.avg((~(o < lo) & ~(o > hi)).cast("int"))
     score = hi - lo + (2 / (1 - nominal)) * miss if nominal < 1 else hi - lo
     return scorable(df, y, cols).groupBy(*keys).agg(
-        F.avg(pinball_row(o, cols, levels)).alias("pinball"), cover.alias("coverage"),
+        *[F.count(F.lit(1)).alias("n")] * counted, F.avg(pinball_row(o, cols, levels)).alias("pinball"), cover.alias("coverage"),
         F.lit(nominal).alias("nominal_coverage"), (cover - nominal).alias("coverage_error"),
         F.avg((o < lo).cast("int")).alias("frac_below_lo"), F.avg((o > hi).cast("int")).alias("frac_above_hi"),
         F.avg(hi - lo).alias("mean_interval_width"), F.avg(score).alias("interval_score"))

@@ -8,10 +8,12 @@ from __future__ import annotations
 import itertools
 import random
 from collections.abc import Callable, Sequence
+from functools import reduce
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, functions as F
@@ -84,40 +86,46 @@ def naive_feature(rows: DataFrame, x: str, y: str, levels: Sequence[float] = LEV
 
 
 def logistic_fit(rows: DataFrame, x: str, y: str, steps: int = 25) -> DataFrame:
-    """M3: (fold, a, b) of P(y > 0) = sigmoid(a + b z), Newton steps for all folds at once.
+    """M3: (fold, a, b) of P(y > 0) = sigmoid(a + b z)."""
+    train = of_role(standardised(rows, x), "train").select("fold", "z", (F.col(y) > 0).cast("double").alias("up"))
+    fits = logistic_weights(train, "fold", ["z"], "up", steps)
+    return rows.sparkSession.createDataFrame([(k, *map(float, w)) for k, w in sorted(fits.items())],
+                                             "fold int, a double, b double")
 
-    Each step is one grouped aggregate over the training rows and returns five sums per fold; the rows
-    are written once so that a step never rebuilds the panel.
+
+def logistic_weights(rows: DataFrame, key: str, features: Sequence[str], up: str, steps: int = 25,
+                     close: float = 1e-10) -> dict:
+    """Intercept and weights of a logistic regression on any number of features, for every key at once.
+
+    A step is iteratively reweighted least squares: one grouped aggregate gives the weighted normal equations
+    of every key, which are as small as the number of features squared. Keys that stand still drop out.
     """
-    train = durable(of_role(standardised(rows, x), "train").select(
-        "fold", "z", (F.col(y) > 0).cast("double").alias("up")))
-    spark = rows.sparkSession
-    coef: dict[int, tuple[float, float]] = {r["fold"]: (0.0, 0.0)
-                                            for r in train.select("fold").distinct().collect()}
-    live = set(coef)
+    rows = durable(rows.select(key, up, *features))     # read once a step
+    design = [F.lit(1.0), *[F.col(c) for c in features]]
+    size = len(design)
+    fits = {r[0]: np.zeros(size) for r in rows.select(key).distinct().collect()}
+    moving = set(fits)
     for _ in range(steps):
-        if not live:
+        if not moving:
             break
-        now = spark.createDataFrame([(k, *coef[k]) for k in live], "fold int, a double, b double")
-        at = train.join(F.broadcast(now), "fold")
-        p = sigmoid(F.col("a") + F.col("b") * F.col("z"))
-        at = at.withColumn("e", p - F.col("up")).withColumn("w", F.greatest(p * (1 - p), F.lit(1e-6)))
-        sums = at.groupBy("fold").agg(F.sum("e").alias("g0"), F.sum(F.expr("e * z")).alias("g1"),
-                                      F.sum("w").alias("h0"), F.sum(F.expr("w * z")).alias("h1"),
-                                      F.sum(F.expr("w * z * z")).alias("h2"))
-        for s in sums.collect():
-            det = s["h0"] * s["h2"] - s["h1"] ** 2
-            if abs(det) < 1e-12:
-                live.discard(s["fold"])
-                continue
-            da = (s["h2"] * s["g0"] - s["h1"] * s["g1"]) / det
-            db = (s["h0"] * s["g1"] - s["h1"] * s["g0"]) / det
-            a, b = coef[s["fold"]]
-            coef[s["fold"]] = (a - da, b - db)
-            if max(abs(da), abs(db)) < 1e-10:
-                live.discard(s["fold"])
-    return spark.createDataFrame([(k, a, b) for k, (a, b) in sorted(coef.items())],
-                                 "fold int, a double, b double")
+        weights = rows.sparkSession.createDataFrame(
+            [(k, fits[k].tolist()) for k in moving], f"{key} {rows.schema[key].dataType.simpleString()}, _w array<double>")
+        eta = reduce(lambda s, i: s + F.col("_w")[i] * design[i], range(1, size), F.col("_w")[0])
+        at = rows.join(F.broadcast(weights), key).withColumn("_p", sigmoid(eta))    # one row per key
+        spread = F.greatest(F.col("_p") * (1 - F.col("_p")), F.lit(1e-6))
+        cells = [(i, j) for i in range(size) for j in range(i, size)]
+        sums = at.groupBy(key).agg(
+            F.array(*[F.sum((F.col(up) - F.col("_p")) * d) for d in design]).alias("rest"),
+            F.array(*[F.sum(spread * design[i] * design[j]) for i, j in cells]).alias("normal")).collect()
+        for r in sums:
+            normal = np.zeros((size, size))
+            for (i, j), v in zip(cells, r["normal"]):
+                normal[i, j] = normal[j, i] = v
+            move = np.linalg.lstsq(normal, np.array(r["rest"]), rcond=None)[0]
+            fits[r[key]] = fits[r[key]] + move
+            if np.abs(move).max() < close:
+                moving.discard(r[key])
+    return fits
 
 
 def naive_logistic(rows: DataFrame, x: str, y: str, steps: int = 25) -> DataFrame:
@@ -174,8 +182,12 @@ def _tree_data(train: DataFrame, val: DataFrame, y: str, binary: bool) -> DataFr
     return both.withColumns({"label": label, "is_val": F.col("role") == "val"})
 
 
-def _assembled(features: Sequence[str]) -> VectorAssembler:
-    return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
+def _assembled(features: Sequence[str]) -> Pipeline:
+    """The feature vector, in which a missing value is 0."""
+    names = [f"_x{i}" for i in range(len(features))]
+    filled = ", ".join(f"coalesce(nanvl(CAST(`{c}` AS DOUBLE), 0D), 0D) AS `{n}`" for c, n in zip(features, names))
+    return Pipeline(stages=[SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__"),
+                            VectorAssembler(inputCols=names, outputCol="features")])
 
 
 def fit_trees(train: DataFrame, val: DataFrame, y: str, features: Sequence[str], binary: bool = False,

@@ -2,10 +2,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, functions as F
 
+from pitspark.functions.scalar import fill_zero
 from pitspark.operators import expanding, interval, labels, members, series
 from pitspark.operators.asof import asof_lookup, require_pit, series_keys
 from pitspark.session import durable
@@ -21,7 +22,8 @@ class Tables:
     events: id, d, grp, offer, size, is_target and flags; prices: id, date, close;
     bench: [grp,] date, close; risk: date, v; deals: date, grp, proceeds; macro: grp, date and any of
     vol_index, fx; macro_global: date and any of vix, hy_oas, em, acwi; peers: id, ret_21d, ret_63d, asof;
-    members: id, member; dictionary: member, class, home.
+    members: id, member; dictionary: member, class, home, with the class names, label rules and further flags
+    of the member block. ``zero`` names event columns whose missing values count as 0 (P3).
     """
 
     events: DataFrame
@@ -35,12 +37,15 @@ class Tables:
     members: DataFrame | None = None
     dictionary: DataFrame | None = None
     price_tie: Sequence[str] = ()
+    class_names: Sequence[str] = ()
+    rules: Sequence[tuple[str, str]] = ()
+    flags: dict[str, str] = field(default_factory=dict)
+    zero: Sequence[str] = ("size",)
 
 
-def one_hot(df: DataFrame, col: str, prefix: str) -> DataFrame:
-    """One 0/1 column per distinct value, in sorted order."""
-    names = sorted(r[0] for r in df.select(F.col(col).cast("string")).where(
-        F.col(col).isNotNull()).distinct().collect())
+def one_hot(df: DataFrame, col: str, prefix: str, names: Sequence[str]) -> DataFrame:
+    """One 0/1 column for each of ``names``, in sorted order."""
+    names = sorted(names)
     return df.withColumns({f"{prefix}{v}": F.coalesce(F.col(col) == v, F.lit(False)).cast("int")
                            for v in names})
 
@@ -137,7 +142,7 @@ def day_factors(t: Tables, rets: DataFrame, spans: Sequence[int] = (1, 5), relat
 def supply_z(rows: DataFrame) -> DataFrame:
     names = {"f3_cnt_3m": "supply_cnt", "f3_prc_3m": "supply_amt", "f3_event_cnt_3m": "supply_events",
              "f3_accel": "supply_accel"}
-    return expanding.expanding_z(rows, ["grp"], "d", "id", names).drop(*names.values())
+    return expanding.expanding_z_daily(rows, ["grp"], "d", "id", names).drop(*names.values())
 
 
 def regime_flags(t: Tables, rets: DataFrame, n: int = 10) -> DataFrame:
@@ -155,7 +160,8 @@ def member_features(t: Tables, years: float = 3) -> DataFrame:
     out = members.percentile_rank_max(t.events, t.members, ["grp"], "d", "id", "size", years)
     if t.dictionary is not None:
         cls = members.classify_members(t.members, t.dictionary)
-        out = out.join(members.syndicate_block(t.events, t.members, cls, "id", "grp"), "id")
+        out = out.join(members.syndicate_block(t.events, t.members, cls, "id", "grp", t.class_names,
+                                               t.rules, t.flags), "id")
     return out
 
 
@@ -166,14 +172,16 @@ def assemble_panel(t: Tables, horizons: Sequence[int] = labels.HORIZONS, anchor:
 
     Filtering first would change every expanding and trailing statistic, so the target and label
     filters come last. ``inference`` keeps target rows without a label (P7). Events and returns
-    feed every factor, so both are written once instead of being derived again for each.
+    feed every factor, so both are written once instead of being derived again for each. A benchmark that
+    does not reach a price day is an error, as its rows would have no label.
     """
     main = max(horizons)
-    t = replace(t, events=durable(t.events))
+    t = replace(t, events=durable(fill_zero(t.events, [c for c in t.zero if c in t.events.columns])))
     def returns(hs, how):
         return durable(labels.returns(t.events, t.prices, t.bench, hs, how, adjust, t.price_tie))
 
     rets = returns(sorted({*horizons, *spans, 1}) if anchor == "offer" else horizons, anchor)
+    labels.require_benchmark(rets)
     first = rets if anchor == "offer" else returns(sorted({1, *spans}), "offer")
     rows = t.events.join(day_factors(t, first, spans, relative and adjust), ["grp", "d"], "left")
     rows = supply_z(rows).join(regime_flags(t, first), "id")

@@ -7,9 +7,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from pitspark.functions.scalar import blank, parse_day
 
-DATE_NAMES = ("DAY", "day", "date", "Date", "DATE")
-LEVEL_NAMES = ("GPRD", "gprd", "GPR", "gpr")
-
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
@@ -18,9 +15,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str,
-               dates: Sequence[str] = ()) -> DataFrame:
-    """Typed CSV or Parquet with explicit columns; NaN becomes null, dates are parsed by name."""
-    if path.rstrip("/").endswith(".parquet"):
+               dates: Sequence[str] = (), kind: str = "csv") -> DataFrame:
+    """Typed CSV or Parquet (``kind``) with explicit columns; NaN becomes null, dates are parsed by name."""
+    if kind not in ("csv", "parquet"):
+        raise ValueError("kind must be 'csv' or 'parquet'")
+    if kind == "parquet":
         df = spark.read.parquet(path)
         wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
         df = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in wanted])
@@ -32,9 +31,9 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str,
 
 
 def read_optional(spark: SparkSession, path: str, schema: T.StructType | str,
-                  dates: Sequence[str] = ()) -> DataFrame | None:
+                  dates: Sequence[str] = (), kind: str = "csv") -> DataFrame | None:
     """None when the table is absent, which switches its features off at plan time."""
-    return read_table(spark, path, schema, dates) if path_exists(spark, path) else None
+    return read_table(spark, path, schema, dates, kind) if path_exists(spark, path) else None
 
 
 def first_present(df: DataFrame, names: Sequence[str]) -> str:
@@ -44,9 +43,10 @@ def first_present(df: DataFrame, names: Sequence[str]) -> str:
     raise ValueError(f"none of {list(names)} in {df.columns}")
 
 
-def normalise_series(df: DataFrame, date_names: Sequence[str] = DATE_NAMES,
-                     value_names: Sequence[str] = LEVEL_NAMES, out: str = "v") -> DataFrame:
-    """(date, value) from the first matching columns; rows that do not parse are dropped."""
+def normalise_series(df: DataFrame, date_names: Sequence[str], value_names: Sequence[str],
+                     out: str = "v") -> DataFrame:
+    """(date, value) from the first of the named columns that are there; rows that do not parse are
+    dropped."""
     d, v = first_present(df, date_names), first_present(df, value_names)
     value = F.expr(f"try_cast(`{v}` as double)")
     return df.select(parse_day(d).alias("date"), value.alias(out)).where(

@@ -50,7 +50,7 @@ def test_row_index_numbers_everything_once(data):
 
 def test_cells_never_decrease(spark):
     xs = sorted([-1e9, -3.5, -3.4, -1e-9, 0.0, 1e-12, 0.3, 0.30001, 1.0, 2.0, 1e15, 5e-324, -5e-324])
-    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", O.cell_of(F.col("x")).alias("c")).collect()
+    got = O.celled(spark.createDataFrame([(x,) for x in xs], "x double"), "x", "c").collect()
     cells = [r.c for r in sorted(got, key=lambda r: r.x)]
     assert cells == sorted(cells) and len(set(cells)) >= 11
 
@@ -59,3 +59,18 @@ def test_suffix_min(spark):
     df = spark.createDataFrame([(1, 5.0), (2, 1.0), (3, 4.0), (4, 2.0)], "o int, v double")
     got = {r.o: r.m for r in O.suffix_min(df, [], "o", "v", "m").collect()}
     assert got == {1: 1.0, 2: 1.0, 3: 2.0, 4: 2.0}
+
+
+def test_close_values_far_from_zero_are_split(spark):
+    for low, step in ((10 ** 12, 1), (6 * 10 ** 17, 1024)):
+        rows = spark.range(100_000).select((F.lit(low) + F.col("id") * step).alias("v"))
+        sizes = [r["count"] for r in O.celled(rows, "v", "c").groupBy("c").count().collect()]
+        assert len(sizes) >= 100 and max(sizes) < 1000
+    near = spark.range(1000).select((F.lit(0.49) + F.col("id") * 2e-5).alias("v"))
+    assert O.celled(near, "v", "c").select("c").distinct().count() >= 100
+
+
+def test_positions_along_timestamps(spark):
+    df = spark.range(300).select(F.timestamp_micros(F.col("id") * 7_000_000).alias("t"), F.col("id"))
+    got = O.row_index(df, [], None, "t", "p")
+    assert got.where("p <> id").count() == 0

@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from pitspark.operators import asof, expanding, interval, labels, series
+from pitspark.operators import asof, expanding, interval, labels, members, series
 from tests.conftest import day
 
 
@@ -139,7 +139,7 @@ def test_chunked_series_equals_one_window(spark):
     ex = {"r": series.log_ret("v", 5), "z": series.rolling_z("v", 60), "dd": series.drawdown("v", 60),
           "a": series.window_array("v", 6)}
     a = series.with_series(df, ["g"], "t", ex).toPandas().sort_values(["g", "t"])
-    b = series.with_series(df, ["g"], "t", ex, look_back=64, chunk=70).toPandas().sort_values(["g", "t"])
+    b = series.with_series(df, ["g"], "t", ex, chunk=70).toPandas().sort_values(["g", "t"])
     assert len(a) == len(b) == 600
     for c in ("r", "z", "dd"):
         np.testing.assert_allclose(a[c], b[c], atol=1e-9)
@@ -169,3 +169,54 @@ def test_event_window_and_peer_returns(spark):
     ret = {r.id: r for r in series.peer_trailing_returns(got, ["id"], "t", "v").collect()}
     assert set(ret) == {1, 2} and ret[2].ret_63d is None
     assert abs(ret[1].ret_21d - 0.21) < 1e-6 and abs(ret[1].ret_63d - 0.63) < 1e-6 and ret[1].asof == day(69)
+
+
+def test_a_series_expression_reaches_as_far_as_it_says(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, float(v)) for i, v in enumerate(rng.lognormal(size=900))]
+    df = spark.createDataFrame(rows, "i long, v double").select(F.timestamp_seconds(F.col("i") * 60).alias("t"), "v")
+    ex = {"d": series.drawdown("v", 504), "r": series.log_ret("v", 300)}
+    a, b = (series.with_series(df, [], "t", ex, chunk=c).toPandas().sort_values("t") for c in (None, 510))
+    for c in ex:
+        np.testing.assert_allclose(a[c], b[c], atol=1e-12)
+    with pytest.raises(ValueError, match="503"):
+        series.with_series(df, [], "t", ex, chunk=400)
+    with pytest.raises(ValueError, match="text"):
+        series.with_series(df.withColumn("t", F.col("t").cast("string")), [], "t", ex)
+
+
+def test_expanding_z_has_no_spread_in_a_constant_stretch(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for g in range(20):
+        level = float(rng.normal() * 1e3)
+        rows += [(g, day(i), k, level) for i in range(30) for k in range(2)]
+        rows += [(g, day(40 + i), k, level + 7.0 * (i + 1)) for i in range(5) for k in range(2)]
+    df = spark.createDataFrame(rows, "g int, d date, id int, v double")
+    for f in (expanding.expanding_z, expanding.expanding_z_daily):
+        got = f(df, ["g"], "d", "id", {"z": "v"}).toPandas().sort_values(["g", "d", "id"])
+        for _, one in got.groupby("g"):
+            v, z = one.v.to_numpy(), one.z.to_numpy()
+            assert (z[:61] == 0).all()                      # the first row after the jump has seen one value only
+            for i in range(61, len(v)):
+                assert abs(z[i] - (v[i] - v[:i].mean()) / v[:i].std(ddof=1)) < 1e-6
+        early = f(df.where(F.col("d") < day(41)), ["g"], "d", "id", {"z": "v"}).toPandas().sort_values(["g", "d", "id"])
+        np.testing.assert_array_equal(early.z, got[got.d < day(41)].z)   # later rows change nothing
+
+
+def test_peers_of_a_universe_that_repeats_tickers(spark):
+    ev = spark.createDataFrame([(1, "T", "s", "g")], "id int, ticker string, subgroup string, grp string")
+    rows = [("T", "s", "g", 9.0 + i) for i in range(5)] + [("A", "s", "g", 2.0), ("B", "s", "g", 1.0), ("B", "s", "g", 0.5)]
+    universe = spark.createDataFrame(rows, "ticker string, subgroup string, grp string, cap double")
+    got = members.peer_select(ev, universe, "id", "ticker", "subgroup", "grp", 2).orderBy("place").collect()
+    assert [r.peer for r in got] == ["A", "B"]
+
+
+def test_a_benchmark_that_starts_late_is_an_error(spark):
+    ev = spark.createDataFrame([(1, "g", 10.0), (2, "g", 10.0)], "id int, grp string, offer double")
+    px = spark.createDataFrame([(1, day(0), 11.0), (2, day(9), 11.0)], "id int, date date, close double")
+    bench = spark.createDataFrame([(day(5), 100.0)], "date date, close double")
+    rets = labels.returns(ev, px, bench, [1])
+    assert [r.id for r in labels.uncovered(rets).collect()] == [1]
+    with pytest.raises(ValueError, match="1 events"):
+        labels.require_benchmark(rets)

@@ -45,9 +45,9 @@ def test_predictions_round_trip(spark, tmp_path):
 
 def test_series_needs_a_known_column(spark):
     df = spark.createDataFrame([(20200102, "1.5"), (20200101, "x")], "DAY int, GPRD string")
-    assert [tuple(r) for r in T.normalise_series(df).collect()] == [(day(1), 1.5)]
+    assert [tuple(r) for r in T.normalise_series(df, ["day", "DAY"], ["GPRD"]).collect()] == [(day(1), 1.5)]
     with pytest.raises(ValueError):
-        T.normalise_series(df.drop("GPRD"))
+        T.normalise_series(df.drop("GPRD"), ["DAY"], ["GPRD"])
 
 
 def test_long_members_and_names(spark):
@@ -83,7 +83,7 @@ def test_json_answers_are_validated(spark):
             '{"name":"c","class":"odd","home":"US"},{"name":"zz","class":"bb","home":"US"},'
             '{"name":"e","class":"unknown","home":"US","confidence":"high"}]}', "not json"]
     p = spark.createDataFrame([(t,) for t in text], "t string")
-    got = {r.member: (r["class"], r.home, r.source) for r in members.fill_from_json(d, p, "t").collect()}
+    got = {r.member: (r["class"], r.home, r.source) for r in members.fill_from_json(d, p, "t", ("bb", "global", "regional", "local")).collect()}
     assert got == {"a": ("global", "HK", "json_low"), "b": ("bb", "US", ""), "c": ("", "", ""), "e": ("", "", "")}
 
 

@@ -38,7 +38,7 @@ def test_block_bootstrap_equals_resampling_rows(spark):
     pdf, df = frame(spark)
     got = {r.score: r for r in I.block_bootstrap(df, [], ["q0.5", "b"], "y_true", F.year("date"), 150, seed=7).collect()}
     groups = [g for _, g in pdf.groupby(pd.to_datetime(pdf.date).dt.year)]
-    picks = np.random.default_rng(7).integers(0, len(groups), (150, len(groups)))
+    picks = I.drawn_units(150, len(groups), 7)
     draws = [pd.concat([groups[i] for i in p]) for p in picks]
     a, b = [np.array([ic(d[c].values, d.y_true.values) for d in draws]) for c in ("q0.5", "b")]
     for name, v, est in (("q0.5", a, ic(pdf["q0.5"], pdf.y_true)), ("difference", a - b, None)):
@@ -77,11 +77,12 @@ def test_newey_west_across_runs(spark, monkeypatch):
 
 
 def test_benjamini_hochberg(spark):
-    ps = [0.001, 0.008, 0.039, 0.041, 0.9, None]
+    ps = [0.002, 0.012, 0.03, 0.032, 0.5, None]
     df = spark.createDataFrame([(i, p) for i, p in enumerate(ps)], "i int, p double")
     got = I.benjamini_hochberg(df, "p").orderBy("i").collect()
-    np.testing.assert_allclose([r.q_value for r in got[:5]], [0.005, 0.02, 0.05125, 0.05125, 0.9])
-    assert [r.reject for r in got] == [1, 1, 0, 0, 0, 0] and got[5].q_value is None
+    # by hand: p * 5 / rank is 0.01, 0.03, 0.05, 0.04, 0.5; from the right, the smallest so far
+    np.testing.assert_allclose([r.q_value for r in got[:5]], [0.01, 0.03, 0.04, 0.04, 0.5])
+    assert [r.reject for r in got] == [1, 1, 1, 1, 0, 0] and got[5].q_value is None
 
 
 def test_degenerate_metrics_are_null(spark):
@@ -139,3 +140,31 @@ def test_quantile_columns(spark):
     assert S.quantile_columns(df.select(F.lit(0.1).alias("p_out"))) == (["p_out"], [0.5])
     with pytest.raises(ValueError):
         S.quantile_columns(df.select("id"))
+
+
+@pytest.mark.parametrize("blocks", [10, 100])
+def test_both_bootstrap_routes_give_the_same_numbers(spark, blocks):
+    rng = np.random.default_rng(blocks)
+    x = rng.normal(size=400)
+    pdf = pd.DataFrame({"id": range(400), "y": x, "s": x + rng.normal(size=400), "unit": rng.integers(0, blocks, 400)})
+    df = spark.createDataFrame(pdf)
+    a = I.block_bootstrap(df, [], ["s"], "y", "unit", 30, seed=3).first()
+    b = I.row_bootstrap(df, [], ["s"], "y", "unit", 30, seed=3).first()
+    np.testing.assert_allclose([a.estimate, a.lo, a.hi, a.p_two_sided], [b.estimate, b.lo, b.hi, b.p_two_sided], atol=1e-9)
+    assert a.n_boot == b.n_boot == 30
+    if blocks == 100:
+        with pytest.raises(ValueError, match="row_bootstrap"):
+            I.block_bootstrap(df.withColumn("unit", F.col("id")), [], ["s"], "y", "unit", 30)
+
+
+def test_calibration_effect_has_both_stages(spark):
+    rng = np.random.default_rng(5)
+    n = 600
+    y = rng.normal(size=n) ** 3
+    pdf = pd.DataFrame({"id": range(n), "fold": np.arange(n) // 200, "y_true": y, "q0.1": -0.2, "q0.5": 0.0, "q0.9": 0.2})
+    pdf["date"] = [day(i) for i in range(n)]
+    rows = {r.stage: r for r in K.calibration_effect(spark.createDataFrame(pdf), [0.1, 0.5, 0.9]).collect()}
+    assert rows["before"].n == rows["after"].n == 400
+    assert abs(rows["after"].coverage - 0.8) < abs(rows["before"].coverage - 0.8)
+    with pytest.raises(ValueError):
+        K.margins(spark.createDataFrame(pdf), [0.1, 0.9])
