@@ -90,7 +90,9 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> Texts:
     at = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
     buffer = column.buffers()[2]
     data = np.frombuffer(buffer, np.uint8) if buffer is not None else np.zeros(0, np.uint8)
-    return Texts(data, at) if len(at) else Texts(data, np.zeros(1, np.int64))
+    if not len(at):
+        return Texts(data[:0], np.zeros(1, np.int64))
+    return Texts(data[at[0]:at[-1]], at - at[0])    # a slice shares the buffer of the whole column
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str,
