@@ -27,7 +27,7 @@ BITS = 20                   # 2^BITS weights
 MOST_TOXIC, MOST_CLEAN = 6000, 12_000       # labelled texts that training reads at most
 SHARDS, ROUNDS = 8, 8
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 1.5, 0.1
-SEEN, SEEN_SHARE = 5, 0.001  # texts, and share of the sample, that a feature must occur in
+SEEN, SEEN_SHARE = 5, 0.002  # texts, and share of the sample, that a feature must occur in
 STEMS = (4, 5)
 THRESHOLD = 0.3
 
@@ -124,11 +124,12 @@ def train(labelled: DataFrame, text_col: str, label_col: str, shards: int = SHAR
                         own[shard] = state.value[0].copy(), state.value[1].copy()
                     learn(*own[shard], np.append(np.frombuffer(raw, np.int32), len(state.value[0]) - 1), label)
             for mine in own.values():
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in mine], ["z", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float32).tobytes()], pa.binary()) for x in mine],
+                                                 ["z", "n"])
 
         # one row a shard, each of a fixed size
         ends = examples.select("shard", "label", "features").mapInArrow(step, "z binary, n binary").collect()
-        z, n = (np.mean([np.frombuffer(r[c]) for r in ends], 0) for c in ("z", "n"))
+        z, n = (np.mean([np.frombuffer(r[c], np.float32) for r in ends], 0, np.float64) for c in ("z", "n"))
         state.destroy()
     model = np.zeros(size + 1)
     model[np.append(kept, size)] = weights(z, n)

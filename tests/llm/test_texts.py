@@ -176,3 +176,11 @@ def test_toxicity_of_odd_texts_and_without_labels(spark):
     assert by[1] > by[2]
     none = toxicity.train(spark.createDataFrame([], "text string, label int"), "text", "label")
     assert {r["score"] for r in toxicity.score(told, none).collect()} == {0.0}
+
+
+def test_texts_of_a_slice_stand_alone():
+    column = pa.array(["a  b", "plain text", None, " c", "d"])
+    for a, n in ((1, 2), (2, 3), (0, 5), (4, 1), (5, 0)):
+        got, want = texts_of(column.slice(a, n)), texts_of(pa.array(column.slice(a, n).to_pylist(), pa.string()))
+        assert got.data.tobytes() == want.data.tobytes() and got.at.tolist() == want.at.tolist()
+        assert byte_bpe.plain_spaced(got).tolist() == [t not in ("a  b", " c") for t in column.slice(a, n).to_pylist()]
