@@ -1,4 +1,4 @@
-"""Every query with SQL must equal it on the small tables; the others must return rows."""
+"""Every query with SQL must equal it on the small tables; the shorter ones of the others must return rows."""
 import pytest
 
 import __spark_entry__ as entry
@@ -27,7 +27,11 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in SQL and not n.startswith("op") and n != "pipeline"])
+# Boosted trees and resampling at full size; test_models.py and test_statistics.py hold the same code to small cases.
+LONG = ("M4_", "M7_", "M12_", "G1_", "G2_", "I3_", "I6_", "I7_")
+
+
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in SQL and not n.startswith(("op", *LONG)) and n != "pipeline"])
 def test_query_without_sql_returns_rows(spark, duck, name):
     ok, note = compare(spark, duck, QUERIES[name], None, SF)
     assert ok, note

@@ -142,17 +142,17 @@ def test_quantile_columns(spark):
         S.quantile_columns(df.select("id"))
 
 
-@pytest.mark.parametrize("blocks", [10, 100])
+@pytest.mark.parametrize("blocks", [10, 40])
 def test_both_bootstrap_routes_give_the_same_numbers(spark, blocks):
     rng = np.random.default_rng(blocks)
-    x = rng.normal(size=400)
-    pdf = pd.DataFrame({"id": range(400), "y": x, "s": x + rng.normal(size=400), "unit": rng.integers(0, blocks, 400)})
+    x = rng.normal(size=150)
+    pdf = pd.DataFrame({"id": range(150), "y": x, "s": x + rng.normal(size=150), "unit": rng.integers(0, blocks, 150)})
     df = spark.createDataFrame(pdf)
     a = I.block_bootstrap(df, [], ["s"], "y", "unit", 30, seed=3).first()
     b = I.row_bootstrap(df, [], ["s"], "y", "unit", 30, seed=3).first()
     np.testing.assert_allclose([a.estimate, a.lo, a.hi, a.p_two_sided], [b.estimate, b.lo, b.hi, b.p_two_sided], atol=1e-9)
     assert a.n_boot == b.n_boot == 30
-    if blocks == 100:
+    if blocks == 40:
         with pytest.raises(ValueError, match="row_bootstrap"):
             I.block_bootstrap(df.withColumn("unit", F.col("id")), [], ["s"], "y", "unit", 30)
 
