@@ -89,8 +89,7 @@ def test_tree_equals_brute_force(spark):
 
 def test_shard_contract(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    copies = docs.limit(1).select((F.lit(50_000) + F.explode(F.sequence(F.lit(1), F.lit(700)))).alias("doc_id"),
-                                  *[c for c in docs.columns if c != "doc_id"])
+    copies = docs.limit(1).drop("doc_id").crossJoin(spark.range(50_000, 50_700).withColumnRenamed("id", "doc_id")).select(docs.columns)
     docs = docs.unionByName(copies).unionByName(odd_docs(spark).select(docs.columns[:1] + ["text", "lang", "source"])
                                                 .withColumn("n_chars", F.lit(0).cast("long")).where("length(text) < 999 or text is null"))
     dims = {"size": F.octet_length("text"), "doc_id": F.col("doc_id")}
