@@ -298,7 +298,7 @@ def m12(spark, sf):
     path = f"{checkpoint_dir(spark)}/final-{uuid.uuid4().hex}"
     p = panel(spark, sf)
     M.fit_final(p, V.final_split(p), "y_3", FEATURES, path, seeds=(0, 1))
-    return M.score_new(p, path).select("id", "q10", "q50", "q90", "mult_q50")
+    return M.score_new(p, path, FEATURES).select("id", "q10", "q50", "q90", "mult_q50")
 
 
 # ---- diagnostics that fit models ----

@@ -380,13 +380,14 @@ def _mean_score(rows: DataFrame, path: str, seeds: Sequence[int], binary: bool)
     return out.select(*cols, mean.alias("score"))
 
 
-def score_new(panel: DataFrame, path: str) -> DataFrame:
-    """Forecasts of a saved model; raises when the panel's features differ from the contract."""
+def score_new(panel: DataFrame, path: str, features: Sequence[str]) -> DataFrame:
+    """Forecasts of a saved model for rows with or without labels. ``features`` are the names the panel
+    is built with now; missing, new or reordered ones against the stored contract raise (X6)."""
     from pitspark.plans.scaling import schema_guard
 
     meta = panel.sparkSession.read.parquet(f"{path}/contract").orderBy("i").collect()
     wanted = [m["feature"] for m in meta]
-    schema_guard({"features": [f for f in wanted if f in panel.columns]}, {"features": wanted})
+    schema_guard({"features": [f for f in features if f in panel.columns]}, {"features": wanted})
     seeds = [int(s) for s in meta[0]["seeds"].split(",")]
     got = _mean_score(panel, path, seeds, meta[0]["binary"])
     if meta[0]["binary"]:

@@ -121,10 +121,14 @@ def test_fit_final_round_trip_and_contract(spark, data, tmp_path):
     _, panel, _, _ = data
     path = str(tmp_path / "final")
     M.fit_final(panel, V.final_split(panel), "y", ["x", "w"], path, params={"maxIter": 3}, seeds=(0, 1))
-    a = M.score_new(panel, path).select("id", "q10", "q50", "q90", "mult_q50").toPandas()
+    a = M.score_new(panel, path, ["x", "w"]).select("id", "q10", "q50", "q90", "mult_q50").toPandas()
     assert ((a.q10 <= a.q50) & (a.q50 <= a.q90)).all() and np.allclose(a.mult_q50, np.exp(a.q50))
     with pytest.raises(ValueError, match="contract"):
-        M.score_new(panel.drop("w"), path)
+        M.score_new(panel.drop("w"), path, ["x", "w"])
+    for names in (["w", "x"], ["x", "w", "y"], ["x"]):
+        with pytest.raises(ValueError, match="contract"):
+            M.score_new(panel, path, names)
+    assert M.score_new(panel.withColumn("w", F.lit(None).cast("double")), path, ["x", "w"]).where("q50 is null").count() == 0
 
 
 def test_schema_guard_reports_every_block():
