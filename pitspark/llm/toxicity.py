@@ -1,9 +1,11 @@
 """Operator 8: toxicity by FTRL-proximal logistic regression.
 
 Features are hashed word unigrams (of words, and of the first characters of longer ones), bigrams and
-skip-grams of words one apart, each counted once a text. Those of a few texts only are left out. Training takes a bounded sample of labelled texts: shards learn side by side with per-coordinate
-rates, and their states are averaged after each round, so that no task sees the whole sample. L1 keeps
-most weights at zero; the rest are broadcast as one array of fixed size.
+skip-grams of words one apart, each counted once a text. Those of under five texts are left out, whatever
+the size of the sample. Training takes a bounded sample of labelled texts: shards learn side by side with
+per-coordinate rates, and what they moved is averaged in tasks after each round, so that no task sees the
+whole sample and the driver holds one state. L1 keeps most weights at zero; the rest are broadcast as one
+array of fixed size.
 
 Defined results: a null or empty text has the score of the intercept alone; null labels are not learned
 from; several labels of one id all count; rows repeated in the documents are scored each; an empty table
@@ -12,6 +14,7 @@ gives an empty result. Where no text is labelled 1 there is nothing to find, and
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pitspark.llm.language import held_out
 from pitspark.llm.registry import query, table
-from pitspark.llm.tally import summed
+from pitspark.llm.tally import BLOCKS, summed
 from pitspark.llm.words import BASE, Hasher, Texts, mix, slices, words_of
 from pitspark.session import durable
 
@@ -27,7 +30,7 @@ BITS = 20                   # 2^BITS weights
 MOST_TOXIC, MOST_CLEAN = 6000, 12_000       # labelled texts that training reads at most
 SHARDS, ROUNDS = 8, 8
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 1.5, 0.1
-SEEN, SEEN_SHARE = 5, 0.002  # texts, and share of the sample, that a feature must occur in
+SEEN = 5                    # texts that a feature must occur in
 STEMS = (4, 5)
 THRESHOLD = 0.3
 
@@ -73,6 +76,18 @@ def learn(z: np.ndarray, n: np.ndarray, feature: np.ndarray, label: int) -> None
     n[feature] = grown
 
 
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Spark removes the shuffle files of each action as it ends; else those of all rounds would lie on disk."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def train(labelled: DataFrame, text_col: str, label_col: str, shards: int = SHARDS,
           rounds: int = ROUNDS) -> np.ndarray:
     """Weights (the last is the intercept) from a bounded table of labelled texts."""
@@ -93,7 +108,7 @@ def train(labelled: DataFrame, text_col: str, label_col: str, shards: int = SHAR
         none = np.zeros(size + 1)
         none[-1] = -np.inf
         return none
-    kept = np.flatnonzero(found[:-2] >= max(SEEN, SEEN_SHARE * found[-2:].sum()))
+    kept = np.flatnonzero(found[:-2] >= SEEN)
     place = np.full(size, -1, np.int32)
     place[kept] = np.arange(len(kept))
     place = spark.sparkContext.broadcast(place)
@@ -111,8 +126,27 @@ def train(labelled: DataFrame, text_col: str, label_col: str, shards: int = SHAR
 
     examples = src.mapInArrow(encode, "label int, features binary").withColumn("turn", F.xxhash64("features", "label"))
     examples = examples.withColumn("shard", F.pmod("turn", F.lit(shards)).cast("int"))
-    examples = durable(examples.repartition(shards, "shard").sortWithinPartitions("shard", "turn"))
+    with swept(spark):
+        examples = durable(examples.repartition(shards, "shard").sortWithinPartitions("shard", "turn"))
     z, n = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
+    kind = "block int, at binary, z binary, n binary"
+    cuts = np.arange(1, BLOCKS) * -(-len(z) // BLOCKS)      # first places of the blocks
+
+    def moves(block, at, z, n) -> pa.RecordBatch:
+        packs = ([np.asarray(x, t).tobytes() for x in c] for c, t in ((at, np.int32), (z, np.float32), (n, np.float32)))
+        return pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), *(pa.array(c, pa.binary()) for c in packs)],
+                                          ["block", "at", "z", "n"])
+
+    def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        for b in batches:
+            for block, *packs in zip(*(c.to_pylist() for c in b.columns)):
+                held.setdefault(block, []).append(tuple(map(np.frombuffer, packs, (np.int32, np.float32, np.float32))))
+        for block, states in held.items():
+            at, of = np.unique(np.concatenate([x[0] for x in states]), return_inverse=True)
+            z, n = (np.bincount(of, np.concatenate([x[c] for x in states]), len(at)) / len(states) for c in (1, 2))
+            yield moves([block], [at], [z], [n])
+
     for _ in range(rounds):
         state = spark.sparkContext.broadcast((z, n))
 
@@ -124,12 +158,19 @@ def train(labelled: DataFrame, text_col: str, label_col: str, shards: int = SHAR
                         own[shard] = state.value[0].copy(), state.value[1].copy()
                     learn(*own[shard], np.append(np.frombuffer(raw, np.int32), len(state.value[0]) - 1), label)
             for mine in own.values():
-                yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float32).tobytes()], pa.binary()) for x in mine],
-                                                 ["z", "n"])
-
-        # one row a shard, each of a fixed size
-        ends = examples.select("shard", "label", "features").mapInArrow(step, "z binary, n binary").collect()
-        z, n = (np.mean([np.frombuffer(r[c], np.float32) for r in ends], 0, np.float64) for c in ("z", "n"))
+                moved = np.flatnonzero((mine[0] != state.value[0]) | (mine[1] != state.value[1]))
+                by = (x[moved] - y[moved] for x, y in zip(mine, state.value))
+                packs = [np.split(x, np.searchsorted(moved, cuts)) for x in (moved.astype(np.int32), *by)]
+                yield moves(range(BLOCKS), *packs)
+
+        # every state sends every block, so that the rows of a block count the states
+        with swept(spark):
+            parts = examples.select("shard", "label", "features").mapInArrow(step, kind).repartition(16, "block")
+            ends = parts.mapInArrow(mean, kind).collect()
+        for r in ends:
+            at = np.frombuffer(r["at"], np.int32)
+            z[at] += np.frombuffer(r["z"], np.float32)
+            n[at] += np.frombuffer(r["n"], np.float32)
         state.destroy()
     model = np.zeros(size + 1)
     model[np.append(kept, size)] = weights(z, n)

@@ -178,6 +178,14 @@ def test_toxicity_of_odd_texts_and_without_labels(spark):
     assert {r["score"] for r in toxicity.score(told, none).collect()} == {0.0}
 
 
+def test_toxicity_learns_rare_words_of_a_large_sample(spark):
+    rows = [(f"good day number {i}", 0) for i in range(4000)] + [("bad foul day", 1)] * 200 + [("so vile", 1)] * 5
+    model = toxicity.train(spark.createDataFrame(rows, "text string, label int"), "text", "label")
+    told = spark.createDataFrame([(1, "vile"), (2, "unseen")], "doc_id long, text string")
+    by = {r["doc_id"]: r["score"] for r in toxicity.score(told, model).collect()}
+    assert by[1] > by[2] + 0.1
+
+
 def test_texts_of_a_slice_stand_alone():
     column = pa.array(["a  b", "plain text", None, " c", "d"])
     for a, n in ((1, 2), (2, 3), (0, 5), (4, 1), (5, 0)):
