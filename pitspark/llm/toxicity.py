@@ -7,7 +7,9 @@ per-coordinate rates, and what they moved is averaged in tasks after each round,
 whole sample and the driver holds one state. L1 keeps most weights at zero; the rest are broadcast as one
 array of fixed size.
 
-Defined results: a null or empty text has the score of the intercept alone; null labels are not learned
+Defined results: the bounds on the sample take other shares of the two classes, and the intercept
+is set back by the log of the ratio, so that a score does not rise with the size of the table; a null or
+empty text has the score of the intercept alone; null labels are not learned
 from; several labels of one id all count; rows repeated in the documents are scored each; an empty table
 gives an empty result. Where no text is labelled 1 there is nothing to find, and every score is 0.
 """
@@ -209,12 +211,29 @@ def sample(labels: DataFrame, id_col: str, label_col: str, most_toxic: int = MOS
     return pick[0].unionByName(pick[1]).drop("_turn")
 
 
+def shift(labels: DataFrame, label_col: str, most_toxic: int, most_clean: int, id_col: str = "doc_id") -> float:
+    """What ``sample`` with these bounds has to add to the log odds of a model: the log of toxic rows for each one
+    drawn over clean rows for each one drawn, 0 where neither bound binds."""
+    rows = labels.where(labels[id_col].isNotNull()).groupBy(labels[label_col].alias("label")).count()
+    n = {r["label"]: r["count"] for r in rows.where("label in (0, 1)").collect()}
+    toxic, clean = (n.get(k, 0) / max(1, min(n.get(k, 0), most)) for k, most in ((1, most_toxic), (0, most_clean)))
+    return float(np.log(toxic / clean)) if toxic and clean else 0.0
+
+
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
+        most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> np.ndarray:
+    """Weights from the texts of a bounded sample of labelled ids, for the class shares of all labels."""
+    picked = sample(labels, id_col, label_col, most_toxic, most_clean)
+    # the picked ids are at most most_toxic + most_clean rows of two numbers
+    labelled = docs.select(id_col, text_col).join(F.broadcast(picked), F.col(id_col) == F.col("_id"))
+    model = train(labelled, text_col, "_label")
+    model[-1] += shift(labels, label_col, most_toxic, most_clean, id_col)
+    return model
+
+
 @query("op8_toxicity")
 def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
-    picked = sample(labels.where(~held_out(F.col("doc_id"))), "doc_id", "toxic")
-    # the picked ids are at most MOST_TOXIC + MOST_CLEAN rows of two numbers
-    labelled = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
-    scored = score(docs, train(labelled, "text", "_label"))
+    scored = score(docs, fit(docs, labels.where(~held_out(F.col("doc_id")))))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
                          (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

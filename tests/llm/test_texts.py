@@ -186,6 +186,17 @@ def test_toxicity_learns_rare_words_of_a_large_sample(spark):
     assert by[1] > by[2] + 0.1
 
 
+def test_toxicity_scores_do_not_depend_on_the_bounds_of_the_sample(spark):
+    labels = spark.range(2000).selectExpr("id as doc_id", "cast(id % 20 = 0 as int) as toxic")
+    # words say nothing of the label, so that only its share can be learned
+    docs = labels.selectExpr("doc_id", "concat_ws(' ', *)".replace("*", ", ".join(
+        f"'w' || pmod(xxhash64(doc_id, {k}), 40)" for k in range(6))) + " as text")
+    for bounds in ({}, {"most_toxic": 50, "most_clean": 50}, {"most_clean": 200}):
+        model = toxicity.fit(docs, labels, **bounds)
+        scores = [r["score"] for r in toxicity.score(docs, model).collect()]
+        assert 0.02 < np.mean(scores) < 0.1, bounds
+
+
 def test_texts_of_a_slice_stand_alone():
     column = pa.array(["a  b", "plain text", None, " c", "d"])
     for a, n in ((1, 2), (2, 3), (0, 5), (4, 1), (5, 0)):
