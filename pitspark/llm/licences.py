@@ -2,10 +2,12 @@
 
 One Aho-Corasick automaton finds notice phrases, word by word, in the lower-cased text, and the words of
 the identifier tag. The licence expression behind a tag is parsed by shunting-yard (``with`` binds closer
-than ``and``, ``and`` closer than ``or``) and evaluated against a set of permitted licences.
+than ``and``, ``and`` closer than ``or``) and evaluated against a set of permitted licences. It ends at the first
+part that cannot go on, with the line, or at the next tag; closing punctuation is no part of it.
 
-Defined results: a null or empty text has no words and no labels; a tag without a readable expression adds
-no label; every row has its own result, repeated or not; only ``id`` and ``text`` are read.
+Defined results: a null or empty text has no words and no labels; a tag without a readable expression, or
+whose line breaks off behind an operator or within brackets, adds no label; every row has its own result,
+repeated or not; only ``id`` and ``text`` are read.
 """
 from __future__ import annotations
 
@@ -50,7 +52,7 @@ PERMITTED = frozenset({"apache", "mit", "bsd", "isc", "bsl", "cc-by", "public-do
 TAG = "spdx license identifier"
 BINDS = {"or": 1, "and": 2, "with": 3}
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
-TAG_LINE = re.compile(r"spdx-license-identifier:[ \t]*([^\r\n]*)")
+TAG_LINE = re.compile(r"spdx-license-identifier:[ \t]*([^\r\n]*?)(?=spdx-license-identifier:|[\r\n]|\Z)")
 PART = re.compile(r"[()]|[a-z0-9.+\-]+")
 
 
@@ -91,6 +93,31 @@ def postfix(expression: str) -> list[str] | None:
     return out + held[::-1]
 
 
+def leading(line: str) -> list[str] | None:
+    """Postfix order of the expression that a line begins with: where some part cannot go on, of the longest
+    well-formed one before it."""
+    parts: list[str] = []
+    whole, depth, operand_next = 0, 0, True
+    for found in PART.finditer(line):
+        part = found[0].rstrip(".-") if found[0].strip(".-+") else ""
+        if part == "(" and operand_next:
+            depth += 1
+        elif part == ")" and not operand_next and depth:
+            depth -= 1
+        elif part in BINDS and not operand_next:
+            operand_next = True
+        elif part and part not in BINDS and part not in "()" and operand_next:
+            operand_next = False
+        else:
+            break
+        parts.append(part)
+        if not operand_next and not depth:
+            whole = len(parts)
+    else:
+        whole = len(parts)
+    return postfix(" ".join(parts[:whole]))
+
+
 def family(licence: str) -> str:
     """Label of a licence identifier: its family where known, else itself."""
     if licence.startswith("cc-by"):
@@ -156,7 +183,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             at = [line.count(" ", 0, min(starts)[0] + 1) - 1, line.count(" ", 0, max(starts)[0] + 1) - 1] if starts else [None, None]
             expressions, allowed = [], None
             for found in TAG_LINE.finditer(low) if tagged else ():
-                order = postfix(found[1])
+                order = leading(found[1])
                 if order is not None:
                     fine, named = evaluate(order, permitted)
                     expressions.append(" ".join(order))

@@ -154,6 +154,19 @@ def test_expressions():
         assert licences.postfix(bad) is None
 
 
+def test_expressions_with_more_behind_them(spark):
+    tag = "SPDX-License-Identifier: "
+    cases = [(f"<!-- {tag}MIT -->", ["mit"], "mit"), (f"/* {tag}MIT*/ int x;", ["mit"], "mit"),
+             (f"{tag}Apache-2.0 Copyright 2020 The Authors", ["apache-2.0"], "apache"), (f"{tag}MIT.", ["mit"], "mit"),
+             (f"{tag}MIT-->", ["mit"], "mit"), (f"{tag}GPL-2.0+ and (see the file)", ["gpl-2.0+"], "gpl"),
+             (f"({tag}(MIT OR ISC) AND BSD-3-Clause) text", ["mit isc or bsd-3-clause and"], "bsd,isc,mit"),
+             (f"{tag}MIT {tag}ISC.\n{tag}BSD-2-Clause\r\n", ["mit", "isc", "bsd-2-clause"], "bsd,isc,mit"),
+             (f"{tag}MIT OR", [], ""), (f"{tag}(MIT", [], ""), (f"{tag}-- MIT", [], ""), (tag, [], "")]
+    docs = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "doc_id long, text string")
+    got = [(r["expressions"], r["labels"]) for r in licences.scan(docs).orderBy("doc_id").collect()]
+    assert got == [c[1:] for c in cases]
+
+
 def test_toxicity_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"{LARGER}/{t}.parquet") for t in ("documents", "labels"))
     got = entry.queries()["op8_toxicity"](spark, LARGER).join(labels, "doc_id").where("held_out").collect()
