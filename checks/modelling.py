@@ -248,18 +248,17 @@ def m4(spark, sf):
 
 @query("M5_ridge")
 def m5(spark, sf):
-    return M.linear(rows(spark, sf), "y_3", FEATURES, alphas=(0.1, 10.0)).select("fold", "id", "`q0.5`")
+    return M.linear(rows(spark, sf), "y_3", FEATURES).select("fold", "id", "`q0.5`")
 
 
 @query("M6_coefficients")
 def m6(spark, sf):
-    return M.coefficients(rows(spark, sf), "y_3", FEATURES, "lasso", alphas=(0.003, 0.03))
+    return M.coefficients(rows(spark, sf), "y_3", FEATURES, "lasso")
 
 
 @query("M7_random_search")
 def m7(spark, sf):
-    last = rows(spark, sf).where("fold = 4")
-    return M.trees(last, "y_3", FEATURES, binary=True, n_configs=3, tune={
+    return M.trees(rows(spark, sf), "y_3", FEATURES, binary=True, n_configs=3, tune={
         "maxDepth": [1, 2, 3], "stepSize": [0.05, 0.1, 0.2]}).select("fold", "id", "p_out")
 
 

@@ -141,3 +141,21 @@ def test_random_search_configs():
     got = M.sample_configs({"a": [1, 2, 3], "b": [4, 5]}, 4, seed=1)
     assert len(got) == 4 and len({tuple(sorted(c.items())) for c in got}) == 4
     assert len(M.sample_configs({"a": [1, 2]}, 9)) == 2
+
+
+def test_model_queries_take_all_folds_and_penalties(spark, monkeypatch):
+    from checks import modelling as Q
+    every = spark.range(5).selectExpr("cast(id as int) as fold", "id", "1.0 as p_out", "1.0 as `q0.5`")
+    seen = {}
+
+    def keep(name):
+        def fit(rows, *a, alphas=M.ALPHAS, **k):
+            seen[name] = (rows.count(), tuple(alphas))
+            return rows
+        return fit
+    monkeypatch.setattr(Q, "rows", lambda s, d: every)
+    for name in ("linear", "coefficients", "trees"):
+        monkeypatch.setattr(Q.M, name, keep(name))
+    for run in (Q.m5, Q.m6, Q.m7):
+        run(spark, "")
+    assert seen == {name: (5, M.ALPHAS) for name in ("linear", "coefficients", "trees")}
