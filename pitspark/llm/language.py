@@ -16,14 +16,14 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from pitspark.llm.registry import query, table
 from pitspark.llm.words import Hasher, Texts, Words, slices, words_of
 
 UNKNOWN = "und"
 LONGEST = 4                 # characters of the longest n-gram
-SAMPLE_PER_LANGUAGE = 3000  # labelled texts of a language that training reads, about
+SAMPLE_PER_LANGUAGE = 3000  # distinct labelled texts of a language that training reads at most
 KEPT_WORDS = 120_000        # words in the model
 KEPT_GRAMS = 40_000         # n-grams of each length in the model
 SMOOTHING = 0.5
@@ -124,19 +124,34 @@ def predict_slice(model: Model, texts: Texts, hasher: Hasher) -> tuple[list[str]
     return names, np.where(fine, chance[np.arange(n), best], 0.0)
 
 
+def draw(src: DataFrame, per_language: int) -> DataFrame:
+    """One row for each of the first ``per_language`` distinct texts of each language, by a hash of the text."""
+    src = src.withColumn("turn", F.xxhash64("text"))
+    kinds = src.select("lang", "turn").distinct()
+    sizes = {r["lang"]: r["n"] for r in kinds.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # a quarter more than wanted, so that the order is made of few rows; the limit is exact behind it
+    share = F.create_map(*[F.lit(x) for lang, n in sizes.items()
+                           for x in (lang, min(1.0, (1.25 * per_language + 100) / n))])
+    near = kinds.where(F.shiftrightunsigned("turn", 32) < share[F.col("lang")] * (1 << 32))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned("turn", 32), "turn"))
+    first = near.withColumn("place", place).where(F.col("place") <= per_language).select("lang", "turn")
+    # at most per_language rows of two values a language
+    return src.join(F.broadcast(first), ["lang", "turn"]).dropDuplicates(["lang", "turn"]).select("text", "lang")
+
+
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
           per_language: int = SAMPLE_PER_LANGUAGE, kept_words: int = KEPT_WORDS,
           kept_grams: int = KEPT_GRAMS) -> Model:
-    """Fit on about ``per_language`` texts of each language, drawn by a hash of the text. Counting runs on
-    Spark; the driver receives the kept entries only."""
+    """Fit on at most ``per_language`` distinct texts of each language, first by a hash of the text; copies
+    count for the share of a language, not for its words. Counting runs on Spark; the driver receives the
+    kept entries only."""
     src = docs.select(docs[text_col].alias("text"), docs[lang_col].alias("lang"))
     src = src.where("text is not null and lang is not null and length(text) > 0")
     sizes = {r["lang"]: r["n"] for r in src.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return Model([], np.zeros(0), [], [])
     languages = sorted(sizes)
-    share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, per_language / sizes[lang]))])
-    drawn = src.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    drawn = draw(src, per_language)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, number = Hasher(), {lang: i for i, lang in enumerate(languages)}

@@ -72,6 +72,18 @@ def test_language_without_labels(spark):
     assert language.predict(docs, language.train(docs)).head()["lang_pred"] == "und"
 
 
+def test_copies_of_a_text_do_not_outweigh_a_language(spark):
+    rows = [(f"der hund und katze {i % 7}", "de") for i in range(40)] + [(f"the dog and cat {i}", "en") for i in range(40)]
+    plain, copied = (language.train(spark.createDataFrame(x, "text string, lang string"))
+                     for x in (rows, rows + [("the dog and cat 3", "en")] * 400))
+    assert all((a == b).all() for a, b in zip(plain.codes + plain.scores, copied.codes + copied.scores))
+    src = spark.createDataFrame(rows + rows, "text string, lang string")
+    for most, want in ((5, {"de": 5, "en": 5}), (9, {"de": 7, "en": 9})):
+        got = language.draw(src, most)
+        assert {r["lang"]: r["count"] for r in got.groupBy("lang").count().collect()} == want
+        assert got.distinct().count() == got.count()
+
+
 def test_backoff_goes_to_shorter_runs():
     known = words_of(texts_of(pa.array(["abcd"])), Hasher())
     hasher = Hasher()
