@@ -32,9 +32,9 @@ from pitspark.llm.words import Hasher, Texts, slices, texts_of
 from pitspark.session import durable
 
 LENGTH, GRAM = 100, 32
-CHUNK = 1 << 21             # bytes looked at in one numpy step; less than 2^24
-HELD_ANCHORS = 1 << 20      # anchors that a task holds before it sends them on
-HELD_SUFFIXES = 1 << 17     # suffixes in a sorted run
+CHUNK = 1 << 17             # bytes looked at in one numpy step; less than 2^24
+HELD_ANCHORS = 1 << 18      # anchors that a task holds before it sends them on
+HELD_SUFFIXES = 1 << 16     # suffixes in a sorted run
 SAMPLE = 20_000             # anchors whose bytes set the range limits
 RANGES_PER_PART = 4
 
@@ -55,9 +55,8 @@ def anchors(texts: Texts, hasher: Hasher, length: int, gram: int) -> tuple[np.nd
     for low in range(0, max(len(data) - length + 1, 0), CHUNK):
         part = data[low:low + CHUNK + length - 1]
         sums = hasher.sums(part)
-        first = np.arange(len(part) - gram + 1)
-        hashes = hasher.ranges(sums, first, first + gram)
-        keyed = ((hashes >> bits) << bits) | first.astype(np.uint64)
+        hashes = hasher.grams(sums, gram)
+        keyed = ((hashes >> bits) << bits) | np.arange(len(hashes), dtype=np.uint64)
         least = sliding_min(keyed, length - gram + 1)
         anchor = (least & np.uint64((1 << 24) - 1)).astype(np.int64)
         start = np.arange(len(anchor))

@@ -12,7 +12,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 21       # texts are handled in slices of about this size, one text at least
+SLICE_BYTES = 1 << 20       # texts are handled in slices of about this size, one text at least
 
 
 class Texts(NamedTuple):
@@ -49,7 +49,7 @@ BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every output bit depends on every input bit."""
     x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xFF51AFD7ED558CCD)
+    x *= np.uint64(0xFF51AFD7ED558CCD)
     x ^= x >> np.uint64(33)
     x *= np.uint64(0xC4CEB9FE1A85EC53)
     x ^= x >> np.uint64(33)
@@ -70,18 +70,24 @@ class Hasher:
 
     def _grow(self, n: int) -> None:
         if len(self.up) < n:
-            n = max(n, SLICE_BYTES + (SLICE_BYTES >> 1))
+            n = 1 << max(18, (n - 1).bit_length())
             self.up, self.down = powers(n, BASE), powers(n, BASE_INVERSE)
 
     def sums(self, data: np.ndarray) -> np.ndarray:
         self._grow(len(data) + 1)
         out = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(BYTE_CODES[data] * self.up[:len(data)], out=out[1:])
+        terms = BYTE_CODES[data]
+        terms *= self.up[:len(data)]
+        np.cumsum(terms, out=out[1:])
         return out
 
     def ranges(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((sums[end] - sums[start]) * self.down[start])
 
+    def grams(self, sums: np.ndarray, size: int) -> np.ndarray:
+        """Hashes of all ranges of ``size`` bytes."""
+        return mix((sums[size:] - sums[:len(sums) - size]) * self.down[:len(sums) - size])
+
 
 def texts_of(column: pa.Array | pa.ChunkedArray) -> Texts:
     if isinstance(column, pa.ChunkedArray):
