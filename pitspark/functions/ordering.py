@@ -1,11 +1,11 @@
 """Exact positions, ranks and order statistics without one-task sorts.
 
 A plain ``row_number() over (partition by key order by value)`` puts a whole key in one
-task. Here the value axis is first cut into ranges on signed logarithmic scales, 1024 to an octave, counted from
-zero and from the least and the greatest value there is. So values that lie close together far from zero,
-such as consecutive ids, are split as well as values of all sizes, and a key of any size is spread over
-a thousand (key, range) cells or more. Counts per cell
-are added up in a table of one row per cell and positions inside a cell come from an
+task. Here every key is first cut into ranges at splitters taken from its own values: those with the least
+hashes, up to 512 of them and about one for 512 values, so that ranges hold near-equal shares of the key
+whatever its values look like and however unlike other keys are. Which values these are depends on the set of
+values only, so every evaluation of a plan finds the same ranges. Counts per range are added up in a table of
+one row per range and positions inside a range come from an
 ordinary window. Repeated values are collapsed to one counted row before that, so a value
 shared by a third of the rows costs one row. The cut only steers the split; results are exact.
 """
@@ -15,25 +15,42 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-PER_OCTAVE = 1024
-_SHIFT = 1100 * PER_OCTAVE      # keeps the range number of the smallest double positive
+RANGES = 512                # of a key, at most; a larger limit would not be cut before the shuffle
+PER_RANGE = 512             # distinct values that a range is meant for; keys of fewer than twice as many stay whole
+_STEP = 23                  # splitters are searched in runs of this many
 
 
-def _octaves(v: Column) -> Column:
-    def size(x: Column) -> Column:
-        return F.floor(F.log2(x) * PER_OCTAVE).cast("int") + _SHIFT
+def splitters(df: DataFrame, keys: Sequence[str], order: Sequence[Column], distinct: bool = False) -> DataFrame:
+    """(keys, _cuts, _heads): sorted values that cut a key into ranges, and every 23rd of them. ``distinct``
+    says that no values of a key repeat."""
+    rows = df.select(*keys, _point(order).alias("_at"))
+    rows = (rows if distinct else rows.distinct()).withColumn("_turn", F.xxhash64(*keys, "_at"))
+    rank = F.row_number().over(W.partitionBy(*keys).orderBy("_turn", "_at"))
+    few = rows.withColumn("_rank", rank).where(F.col("_rank") <= RANGES)
+    few = few.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_turn", "_at"))).alias("_few"))
+    # the share of all hashes that lies below the last one taken tells how many values there are
+    share = (F.element_at("_few", -1)["_turn"].cast("double") + 2.0 ** 63) / 2.0 ** 64
+    many = F.when(F.size("_few") < RANGES, F.size("_few")).otherwise(RANGES / share)
+    take = F.least(F.lit(RANGES), F.floor(many / PER_RANGE) - 1).cast("int")
+    cuts = few.withColumn("_take", take).where("_take > 0").select(*keys, F.array_sort(F.transform(
+        F.slice("_few", F.lit(1), F.col("_take")), lambda x: x["_at"])).alias("_cuts"))
+    return cuts.withColumn("_heads", F.filter("_cuts", lambda x, i: i % _STEP == 0))
 
-    return F.when(v > 0, size(v)).when(v < 0, -size(-v)).otherwise(0)
 
+def _point(order: Sequence[Column]) -> Column:
+    return order[0] if len(order) == 1 else F.struct(*order)
 
-def celled(df: DataFrame, value: Column | str, out: str = "_cell") -> DataFrame:
-    """Add the range number of a finite number: a non-decreasing function of it, as a sum of three."""
-    v = F.col(value) if isinstance(value, str) else value
-    rows = df.withColumn("_at", v.cast("double"))
-    rows = with_constants(rows, rows.agg(F.min("_at").alias("_low"), F.max("_at").alias("_high")))
-    at = F.col("_at")
-    cell = _octaves(at) + _octaves(at - F.col("_low")) - _octaves(F.col("_high") - at)
-    return rows.withColumn(out, cell).drop("_at", "_low", "_high")
+
+def celled(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str = "_cell",
+           distinct: bool = False) -> DataFrame:
+    """Add the number of the key's range that a row falls in: the splitters up to it in ``order``."""
+    df, ks, added = _keyed(df, keys)
+    rows = df.join(splitters(df, ks, order, distinct), ks, "left").withColumn("_at", _point(order))
+    head = F.size(F.filter("_heads", lambda x: x <= F.col("_at")))
+    inside = F.slice("_cuts", (head - 1) * _STEP + 1, F.lit(_STEP))
+    cell = (head - 1) * _STEP + F.size(F.filter(inside, lambda x: x <= F.col("_at")))
+    rows = rows.withColumn(out, F.when(F.col("_cuts").isNull() | (head <= 0), 0).otherwise(cell))
+    return rows.drop("_at", "_cuts", "_heads", *["_all"] * added)
 
 
 def with_constants(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -42,22 +59,11 @@ def with_constants(df: DataFrame, one_row: DataFrame) -> DataFrame:
             .join(F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one").drop("_one"))
 
 
-def tie_number(df: DataFrame, tie: str) -> tuple[Column, list[Column]]:
-    """(numeric column that follows the tie order, the full tie order).
-
-    Numeric ties order by themselves. Strings order by (crc32, string): any fixed order will
-    do for a tie, and this one splits evenly whatever the strings look like.
-    """
-    if isinstance(df.schema[tie].dataType, T.NumericType):
-        return F.col(tie), [F.col(tie)]
-    if isinstance(df.schema[tie].dataType, T.DateType):
-        return F.unix_date(tie), [F.col(tie)]
-    if isinstance(df.schema[tie].dataType, T.TimestampType):
-        return F.unix_micros(tie), [F.col(tie)]
-    if isinstance(df.schema[tie].dataType, T.TimestampNTZType):
-        return F.unix_micros(F.col(tie).cast("timestamp")), [F.col(tie)]
-    crc = F.crc32(F.col(tie).cast("binary"))
-    return crc, [crc, F.col(tie)]
+def tie_order(df: DataFrame, tie: str) -> list[Column]:
+    """The order of ties: strings by (crc32, string), all else by itself."""
+    if not isinstance(df.schema[tie].dataType, T.StringType):
+        return [F.col(tie)]
+    return [F.crc32(F.col(tie).cast("binary")), F.col(tie)]
 
 
 def _keyed(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str], bool]:
@@ -73,7 +79,7 @@ def value_offsets(df: DataFrame, keys: Sequence[str], value: str,
     df, keys, _ = _keyed(df, keys)
     counts = (df.groupBy(*keys, value)
               .agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("cnt")))
-    counts = celled(counts, value)
+    counts = celled(counts, keys, [F.col(value)], distinct=True)
     cells = counts.groupBy(*keys, "_cell").agg(F.sum("cnt").alias("_in_cell"))
     by_key = W.partitionBy(*keys)
     cells = cells.select(
@@ -135,28 +141,18 @@ def row_index(df: DataFrame, keys: Sequence[str], day: str | None, tie: str,
               out: str) -> DataFrame:
     """0-based position of every row in (day, tie) order within ``keys``.
 
-    Rows are numbered inside (keys, day, tie range) cells; cell sizes are added up first
-    over the ranges of a day, then over days, so neither a hot key nor a hot day is one task.
+    Rows are numbered inside ranges of (day, tie), so neither a hot key nor a hot day is one task, and range
+    sizes are added up.
     """
     df, ks, added = _keyed(df, keys)
-    num, tie_order = tie_number(df, tie)
-    lead = [*ks, day] if day else list(ks)
-    cut = celled(df, num)
-    cells = cut.groupBy(*lead, "_cell").agg(F.count(F.lit(1)).alias("_c"))
-    running = W.unboundedPreceding, 0
-    cells = cells.withColumn("_in_lead", F.sum("_c").over(
-        W.partitionBy(*lead).orderBy("_cell").rowsBetween(*running)) - F.col("_c"))
-    if day:
-        days = cells.groupBy(*lead).agg(F.sum("_c").alias("_d"))
-        days = days.select(*lead, (F.sum("_d").over(
-            W.partitionBy(*ks).orderBy(day).rowsBetween(*running)) - F.col("_d")).alias("_before"))
-        cells = cells.join(days, lead)
-    else:
-        cells = cells.withColumn("_before", F.lit(0))
-    base = cells.select(*lead, "_cell", (F.col("_in_lead") + F.col("_before")).alias("_base"))
-    inside = W.partitionBy(*lead, "_cell").orderBy(*tie_order)
+    order = [*([F.col(day)] if day else []), *tie_order(df, tie)]
+    cut = celled(df, ks, order)
+    cells = cut.groupBy(*ks, "_cell").agg(F.count(F.lit(1)).alias("_c"))
+    upto = W.partitionBy(*ks).orderBy("_cell").rowsBetween(W.unboundedPreceding, 0)
+    base = cells.select(*ks, "_cell", (F.sum("_c").over(upto) - F.col("_c")).alias("_base"))
+    inside = W.partitionBy(*ks, "_cell").orderBy(*order)
     res = (cut.withColumn("_rn", F.row_number().over(inside))
-           .join(base, [*lead, "_cell"])
+           .join(base, [*ks, "_cell"])
            .withColumn(out, F.col("_base") + F.col("_rn") - 1)
            .drop("_cell", "_rn", "_base"))
     return res.drop("_all") if added else res
@@ -195,7 +191,7 @@ def suffix_min(df: DataFrame, keys: Sequence[str], order: str, value: str, out:
     """Smallest ``value`` among the rows of the key whose ``order`` is at least as large."""
     df, ks, added = _keyed(df, keys)
     low = df.groupBy(*ks, order).agg(F.min(value).alias("_v"))
-    low = celled(low, order)
+    low = celled(low, ks, [F.col(order)], distinct=True)
     cells = low.groupBy(*ks, "_cell").agg(F.min("_v").alias("_m"))
     cells = cells.select(*ks, "_cell", F.min("_m").over(
         W.partitionBy(*ks).orderBy("_cell").rowsBetween(1, W.unboundedFollowing)).alias("_after"))

@@ -37,7 +37,7 @@ def asof_lookup(points: DataFrame, series: DataFrame, by: Sequence[str], at: str
         line, by = line.withColumn("_all", F.lit(0)), ["_all"]
     cell = list(by)
     if slice_by:
-        line = celled(line, "_t", "_slice") if slice_by == "value" else line.withColumn("_slice", F.date_trunc(slice_by, "_t"))
+        line = celled(line, by, [F.col("_t")], "_slice", distinct=True) if slice_by == "value" else line.withColumn("_slice", F.date_trunc(slice_by, "_t"))
         cell.append("_slice")
     run = W.partitionBy(*cell).orderBy("_t")
     line = (line

@@ -5,7 +5,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from pitspark.functions.ordering import celled, row_index, tie_number
+from pitspark.functions.ordering import celled, row_index, tie_order
 
 
 def _score(x: Column, k: Column, s: Column, q: Column, low: Column, high: Column) -> Column:
@@ -32,8 +32,8 @@ def expanding_z(df: DataFrame, by: Sequence[str], day: str, tie: str,
     over those partials, and only inside one such cell over rows.
     """
     by = list(by)
-    num, order = tie_number(df, tie)
-    rows = _from_first(celled(df, num), by, F.struct(F.col(day), *order), values)
+    order = tie_order(df, tie)
+    rows = _from_first(celled(df, by, order), by, F.struct(F.col(day), *order), values)
     cell = [*by, day, "_cell"]
     sums = ["_n", *[f"_{k}_{z}" for z in values for k in "sq"]]
     lows, highs = [f"_lo_{z}" for z in values], [f"_hi_{z}" for z in values]
