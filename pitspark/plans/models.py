@@ -7,25 +7,31 @@ from __future__ import annotations
 
 import itertools
 import random
-from collections.abc import Callable, Sequence
-from functools import reduce
+from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial, reduce
 
 import numpy as np
+import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.ml.regression import GBTRegressor
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pitspark.functions.ordering import quantiles
-from pitspark.functions.scalar import sigmoid
+from pitspark.functions.scalar import finite, sigmoid
 from pitspark.plans import inference as I, metrics as M
 from pitspark.session import durable
-from pitspark.sources.predictions import write_predictions
+from pitspark.sources.predictions import quoted, write_predictions
 
 LEVELS = (0.1, 0.5, 0.9)
 ALPHAS = (0.003, 0.01, 0.03, 0.1, 0.3, 1.0, 3.0, 10.0, 30.0)
+ROUNDS, PATIENCE = 2000, 50     # of boosting
+FIRST = 14                      # rounds beyond the patience of the first run
+AT_ONCE = 8                     # fits that run side by side
 
 
 def q_name(level: float) -> str:
@@ -144,17 +150,28 @@ def fold_ids(rows: DataFrame) -> list[int]:
     return sorted(r["fold"] for r in rows.select("fold").distinct().collect())
 
 
-def run_folds(rows: DataFrame, predictor: Predictor) -> DataFrame:
+def side_by_side(jobs: Sequence[Callable[[], object]], spark: SparkSession, at_once: int = AT_ONCE) -> list:
+    """Results of independent jobs, a bounded number of which run at once: fits of folds and of configurations
+    are many small Spark jobs each, which leave most cores idle when they follow one another. Every thread
+    has a FAIR pool of its own, where the application's scheduler has that mode."""
+    def run(number: int, job: Callable[[], object]) -> Callable[[], object]:
+        def own():
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fits-{number % at_once}")
+            return job()
+        return inheritable_thread_target(spark)(own)
+
+    with ThreadPoolExecutor(max(1, min(at_once, len(jobs)))) as threads:
+        return [t.result() for t in [threads.submit(run(i, job)) for i, job in enumerate(jobs)]]
+
+
+def run_folds(rows: DataFrame, predictor: Predictor, at_once: int = AT_ONCE) -> DataFrame:
     """M8: ``predictor(train, val, test)`` on every fold, forecasts of all test rows together."""
-    rows = durable(rows)
-    parts = []
-    for k in fold_ids(rows):
+    def one(k: int) -> DataFrame:
         part = rows.where(F.col("fold") == k)
-        parts.append(predictor(of_role(part, "train"), of_role(part, "val"), of_role(part, "test")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        return predictor(of_role(part, "train"), of_role(part, "val"), of_role(part, "test"))
+
+    parts = side_by_side([partial(one, k) for k in fold_ids(rows)], rows.sparkSession, at_once)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def class_balance_weight(rows: DataFrame, y: str, out: str = "weight") -> DataFrame:
@@ -168,9 +185,7 @@ def class_balance_weight(rows: DataFrame, y: str, out: str = "weight") -> DataFr
 
 def _tree(binary: bool, params: dict, seed: int):
     kind = GBTClassifier if binary else GBTRegressor
-    opts = {"maxIter": 20, "maxDepth": 3, "stepSize": 0.1, "validationTol": 0.0, **params}
-    tree = kind(featuresCol="features", labelCol="label", seed=seed,
-                validationIndicatorCol="is_val", **opts)
+    tree = kind(featuresCol="features", labelCol="label", seed=seed, **{"maxDepth": 3, "stepSize": 0.1, **params})
     return tree.setWeightCol("weight") if binary else tree
 
 
@@ -190,11 +205,43 @@ def _assembled(features: Sequence[str]) -> Pipeline:
                             VectorAssembler(inputCols=names, outputCol="features")])
 
 
+def best_round(curve: Sequence[float], patience: int) -> tuple[int, bool]:
+    """(best round so far, whether ``patience`` rounds without a better one have followed it), from 1."""
+    best = 0
+    for i, loss in enumerate(curve):
+        if loss < curve[best]:
+            best = i
+        elif i - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
 def fit_trees(train: DataFrame, val: DataFrame, y: str, features: Sequence[str], binary: bool = False,
-              params: dict | None = None, seed: int = 0) -> PipelineModel:
-    """M4: boosted trees with early stopping on the validation rows."""
-    return Pipeline(stages=[_assembled(features), _tree(binary, params or {}, seed)]).fit(
-        _tree_data(train, val, y, binary))
+              params: dict | None = None, seed: int = 0, rounds: int = ROUNDS, patience: int = PATIENCE) -> PipelineModel:
+    """M4: boosted trees, stopped when the validation loss has not improved for ``patience`` rounds.
+
+    Boosting of a given seed begins alike whatever the number of rounds, so it runs for a few rounds, is looked
+    at round by round, and runs again for twice as many until the patience is used up; the last run is as
+    long as the best round.
+    """
+    rows = _tree_data(train, val, y, binary)
+    inputs = _assembled(features).fit(rows)
+    # one vector table, which every run and every round reads
+    data = durable(inputs.transform(rows).select("features", "label", "is_val", *["weight"] * binary))
+    learn, held = data.where("not is_val"), data.where("is_val")
+    if held.isEmpty():
+        raise ValueError("early stopping needs validation rows")
+    loss, n, seen = "logistic" if binary else "absolute", min(rounds, patience + FIRST), 0
+    while True:
+        model = _tree(binary, {**(params or {}), "maxIter": n}, seed).fit(learn)
+        # the label is scored on both sides alike, so the curve of a longer run starts with that of a shorter one
+        best, done = best_round(model.evaluateEachIteration(held, *[] if binary else [loss]), patience)
+        if done or n >= rounds:
+            break
+        n = min(rounds, 2 * n)
+    if best < n:
+        model = _tree(binary, {**(params or {}), "maxIter": best}, seed).fit(learn)
+    return PipelineModel([*inputs.stages, model])
 
 
 def score_with(model: PipelineModel, rows: DataFrame, binary: bool = False) -> DataFrame:
@@ -205,18 +252,30 @@ def score_with(model: PipelineModel, rows: DataFrame, binary: bool = False) -> D
 
 def trees(rows: DataFrame, y: str, features: Sequence[str], levels: Sequence[float] = LEVELS,
           binary: bool = False, params: dict | None = None, seed: int = 0,
-          tune: dict[str, Sequence] | None = None, n_configs: int = 0) -> DataFrame:
-    """M4, M7: boosted trees on every fold, searched over ``tune`` when given."""
-    def predict(train, val, test):
-        best = params or {}
-        if tune and n_configs:
-            best = random_search(lambda c: fit_trees(train, val, y, features, binary, {**best, **c}, seed),
-                                 val, y, sample_configs(tune, n_configs, seed), binary)
-        model = fit_trees(train, val, y, features, binary, best, seed)
+          tune: dict[str, Sequence] | None = None, n_configs: int = 0, rounds: int = ROUNDS,
+          patience: int = PATIENCE) -> DataFrame:
+    """M4, M7: boosted trees on every fold, searched over ``tune`` when given. All folds and configurations
+    are fitted side by side."""
+    rows, spark = durable(rows), rows.sparkSession
+    configs = sample_configs(tune, n_configs, seed) if tune and n_configs else [{}]
+    parts = {k: [of_role(rows.where(F.col("fold") == k), r) for r in ("train", "val", "test")] for k in fold_ids(rows)}
+
+    def fit(k: int, config: dict) -> tuple[float, PipelineModel]:
+        train, val, _ = parts[k]
+        model = fit_trees(train, val, y, features, binary, {**(params or {}), **config}, seed, rounds, patience)
+        return (validation_loss(score_with(model, val, binary), y, binary) if len(configs) > 1 else 0.0), model
+
+    tasks = [(k, c) for k in parts for c in configs]
+    fits = side_by_side([partial(fit, k, c) for k, c in tasks], spark)
+    out = []
+    for i, (train, val, test) in enumerate(parts.values()):
+        own = fits[i * len(configs):(i + 1) * len(configs)]
+        model = min(own, key=lambda f: f[0])[1]             # first among equals
         if binary:
-            return score_with(model, test, True).withColumnRenamed("score", "p_out")
-        return with_band(score_with(model, val.unionByName(test)), y, levels)
-    return run_folds(rows, predict)
+            out.append(score_with(model, test, True).withColumnRenamed("score", "p_out"))
+        else:
+            out.append(with_band(score_with(model, val.unionByName(test)), y, levels))
+    return reduce(DataFrame.unionByName, out)
 
 
 def sample_configs(space: dict[str, Sequence], n: int, seed: int = 0) -> list[dict]:
@@ -235,76 +294,140 @@ def validation_loss(scored: DataFrame, y: str, binary: bool) -> float:
     return scored.agg(F.avg(loss)).first()[0]
 
 
-def random_search(fit: Callable[[dict], PipelineModel], val: DataFrame, y: str, configs: list[dict],
-                  binary: bool) -> dict:
-    """M7: the configuration with the least validation loss, first among equals."""
-    scored = [(validation_loss(score_with(fit(c), val, binary), y, binary), i) for i, c in enumerate(configs)]
-    return configs[min(scored)[1]]
-
-
 def tree_importances(rows: DataFrame, y: str, features: Sequence[str], binary: bool = False,
-                     params: dict | None = None, seed: int = 0) -> DataFrame:
-    """G2 input: (fold, feature, gain) of boosted trees fitted on every fold."""
-    rows, out = durable(rows), []
-    for k in fold_ids(rows):
+                     params: dict | None = None, seed: int = 0, rounds: int = ROUNDS, patience: int = PATIENCE) -> DataFrame:
+    """G2 input: (fold, feature, gain) of boosted trees fitted on every fold, side by side."""
+    rows = durable(rows)
+
+    def one(k: int) -> list[tuple]:
         part = rows.where(F.col("fold") == k)
-        model = fit_trees(of_role(part, "train"), of_role(part, "val"), y, features, binary, params, seed)
-        gains = model.stages[-1].featureImportances.toArray()
-        out += [(k, f, float(g)) for f, g in zip(features, gains)]
-    return rows.sparkSession.createDataFrame(out, "fold int, feature string, gain double")
-
-
-def _linear(model: str, alpha: float, n: int, y_sd: float) -> LinearRegression:
-    """Penalties in the scale of the usual formulations: ridge adds alpha |w|^2 to the *summed* squares,
-    lasso and elastic net add alpha times their norm to half the *mean* squares. Spark divides its
-    quadratic penalty by the label's deviation, which is undone here."""
-    parts = {"ridge": (0.0, alpha / n), "lasso": (alpha, 0.0), "elasticnet": (alpha / 2, alpha / 2)}
-    if model not in parts:
-        raise ValueError(f"model must be one of {sorted(parts)}")
-    l1, l2 = parts[model][0], parts[model][1] * y_sd
-    return LinearRegression(featuresCol="features", labelCol="label", regParam=l1 + l2, maxIter=200,
-                            tol=1e-9, elasticNetParam=l1 / (l1 + l2), standardization=False)
-
-
-def _scaled(train: DataFrame, others: Sequence[DataFrame], features: Sequence[str]) -> list[DataFrame]:
-    m = train.agg(*[e for f in features for e in (F.avg(f), F.stddev_pop(f))]).first()
-    z = {f: (F.col(f) - m[2 * i]) / (m[2 * i + 1] + 1e-9) for i, f in enumerate(features)}
-    return [d.withColumns(z) for d in (train, *others)]
-
-
-def fit_linear(train: DataFrame, val: DataFrame, y: str, features: Sequence[str], model: str = "ridge",
-               alphas: Sequence[float] = ALPHAS) -> tuple[PipelineModel, float]:
-    """M5: penalty strength with the least validation error; inputs already scaled."""
-    data = train.withColumn("label", F.col(y).cast("double"))
-    (n, y_sd), best = data.agg(F.count("label"), F.stddev_pop("label")).first(), None
-    for a in alphas:
-        fit = Pipeline(stages=[_assembled(features), _linear(model, a, n, y_sd)]).fit(data)
-        err = validation_loss(score_with(fit, val), y, False)
-        if best is None or err < best[0]:
-            best = (err, fit, a)
-    return best[1], best[2]
+        model = fit_trees(of_role(part, "train"), of_role(part, "val"), y, features, binary, params, seed, rounds, patience)
+        return [(k, f, float(g)) for f, g in zip(features, model.stages[-1].featureImportances.toArray())]
+
+    out = side_by_side([partial(one, k) for k in fold_ids(rows)], rows.sparkSession)
+    return rows.sparkSession.createDataFrame(sum(out, []), "fold int, feature string, gain double")
+
+
+# ---- penalised linear models from sufficient statistics ----
+
+def scaled(rows: DataFrame, features: Sequence[str], eps: float = 1e-9) -> DataFrame:
+    """Features less the training mean over the training deviation of their fold, missing ones 0, as ``z``."""
+    means = of_role(rows, "train").groupBy("fold").agg(*[e for i, f in enumerate(features) for e in (
+        F.avg(quoted(f)).alias(f"_m{i}"), F.stddev_pop(quoted(f)).alias(f"_s{i}"))])
+    z = [F.coalesce(F.nanvl((quoted(f).cast("double") - F.col(f"_m{i}")) / (F.col(f"_s{i}") + eps), F.lit(0.0)), F.lit(0.0))
+         for i, f in enumerate(features)]
+    got = rows.join(F.broadcast(means), "fold")             # one row per fold
+    return got.withColumn("z", F.array(*z)).drop(*[f"_{c}{i}" for i in range(len(features)) for c in "ms"])
+
+
+def gram(train: DataFrame, y: str, size: int) -> DataFrame:
+    """(fold, n, yy, m): row count and the sums of products of (1, z, y) with each other, by fold. Sums of a
+    partition are taken on whole batches; Spark adds them up cell by cell."""
+    def partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            fold = b.column("fold").to_numpy()
+            z = b.column("z").flatten().to_numpy().reshape(b.num_rows, size)
+            d = np.concatenate([np.ones((b.num_rows, 1)), z, b.column("y").to_numpy()[:, None]], 1)
+            for k in np.unique(fold).tolist():
+                own = d[fold == k]
+                sums[k] = sums.get(k, 0.0) + own.T @ own
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([m.ravel().tolist() for m in sums.values()],
+                                                                                     pa.list_(pa.float64()))], ["fold", "m"])
+
+    # the outcome less its mean, so that its squares do not cancel
+    mean = train.groupBy("fold").agg(F.avg(quoted(y)).alias("_y"))
+    rows = train.join(F.broadcast(mean), "fold").where(finite(quoted(y)))       # one row per fold
+    parts = rows.select(F.col("fold").cast("int").alias("fold"), "z", (quoted(y) - F.col("_y")).cast("double").alias("y")
+                        ).mapInArrow(partial_sums, "fold int, m array<double>")
+    cells = parts.select("fold", F.posexplode("m").alias("i", "v")).groupBy("fold", "i").agg(F.sum("v").alias("v"))
+    whole = cells.groupBy("fold").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda c: c["v"]).alias("m"))
+    return whole.join(mean, "fold")
+
+
+def path_weights(m: np.ndarray, model: str, alphas: Sequence[float], tol: float = 1e-12, rounds: int = 20_000) -> np.ndarray:
+    """(alphas, features) weights of centred data with the products ``m`` of (1, z, y). Ridge adds alpha |w|^2
+    to the summed squares; lasso and elastic net add alpha times their norm (half of each for the latter) to
+    half the mean squares, and are solved by coordinate descent from the largest penalty on."""
+    n = m[0, 0]
+    means = m[0] / n
+    c = m / n - np.outer(means, means)
+    xx, xy = c[1:-1, 1:-1], c[1:-1, -1]
+    if model == "ridge":
+        return np.stack([np.linalg.solve(xx + a / n * np.eye(len(xy)), xy) for a in alphas])
+    if model not in ("lasso", "elasticnet"):
+        raise ValueError("model must be one of ['elasticnet', 'lasso', 'ridge']")
+    share = 1.0 if model == "lasso" else 0.5
+    out, w = np.zeros((len(alphas), len(xy))), np.zeros(len(xy))
+    for i in np.argsort(-np.asarray(alphas)):
+        l1, l2 = alphas[i] * share, alphas[i] * (1 - share)
+        for _ in range(rounds):
+            before = w.copy()
+            for j in range(len(w)):
+                if xx[j, j] + l2 <= 0:
+                    continue
+                rest = xy[j] - xx[j] @ w + xx[j, j] * w[j]
+                w[j] = np.sign(rest) * max(abs(rest) - l1, 0.0) / (xx[j, j] + l2)
+            if np.abs(w - before).max(initial=0.0) < tol:
+                break
+        out[i] = w
+    return out
+
+
+def penalty_path(rows: DataFrame, y: str, features: Sequence[str], model: str, alphas: Sequence[float]) -> DataFrame:
+    """(fold, alpha, intercept, w): the fits of every penalty on the training rows of ``scaled`` rows, all from
+    one pass over them; a fold's products are as small as the number of features squared."""
+    size = len(features) + 2
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for fold, mean, flat in zip(*(b.column(c).to_pylist() for c in ("fold", "_y", "m"))):
+                m = np.array(flat).reshape(size, size)
+                for a, w in zip(alphas, path_weights(m, model, alphas)):
+                    out.append((fold, float(a), float(mean + (m[0, -1] - m[0, 1:-1] @ w) / m[0, 0]), w.tolist()))
+            kinds = [pa.int32(), pa.float64(), pa.float64(), pa.list_(pa.float64())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)],
+                                             ["fold", "alpha", "intercept", "w"])
+
+    sums = gram(of_role(rows, "train"), y, len(features))
+    return sums.mapInArrow(solve, "fold int, alpha double, intercept double, w array<double>")
+
+
+def chosen_fit(rows: DataFrame, y: str, features: Sequence[str], model: str, alphas: Sequence[float]) -> DataFrame:
+    """M5: (fold, alpha, intercept, w) of the penalty with the least mean absolute validation error, the first
+    among equals. All penalties are scored in one pass over the validation rows."""
+    fits = durable(penalty_path(rows, y, features, model, alphas))      # folds x alphas rows
+    wide = fits.groupBy("fold").agg(F.transform(F.array_sort(F.collect_list(F.struct(
+        F.array_position(F.array(*map(F.lit, map(float, alphas))), F.col("alpha")).alias("i"), "intercept", "w"))),
+        lambda f: F.struct(f["i"].alias("i"), f["intercept"].alias("b"), f["w"].alias("w"))).alias("_fits"))
+    val = of_role(rows, "val").where(finite(quoted(y))).join(F.broadcast(wide), "fold")     # one row per fold
+    errors = val.select("fold", F.explode(F.transform("_fits", lambda f: F.struct(
+        f["i"].alias("i"), F.abs(quoted(y) - _score(f["b"], f["w"])).alias("e")))).alias("s"))
+    best = errors.groupBy("fold", "s.i").agg(F.avg("s.e").alias("e")).groupBy("fold").agg(F.min(F.struct("e", "i")).alias("best"))
+    place = F.get(F.array(*map(F.lit, map(float, alphas))), F.col("best.i").cast("int") - 1)
+    return fits.join(best.select("fold", place.alias("alpha")), ["fold", "alpha"])
+
+
+def _score(intercept: Column, w: Column) -> Column:
+    return F.aggregate(F.zip_with(w, F.col("z"), lambda a, b: a * b), intercept, lambda s, x: s + x)
 
 
 def linear(rows: DataFrame, y: str, features: Sequence[str], model: str = "ridge",
            alphas: Sequence[float] = ALPHAS, levels: Sequence[float] = LEVELS) -> DataFrame:
-    """M5 on every fold."""
-    def predict(train, val, test):
-        train, val, test = _scaled(train, [val, test], features)
-        fit, _ = fit_linear(train, val, y, features, model, alphas)
-        return with_band(score_with(fit, val.unionByName(test)), y, levels)
-    return run_folds(rows, predict)
+    """M5 on every fold at once."""
+    z = durable(scaled(rows, features))
+    fit = chosen_fit(z, y, features, model, alphas).select("fold", F.col("intercept").alias("_b"), F.col("w").alias("_w"))
+    scored = z.where("role <> 'train'").join(F.broadcast(fit), "fold")      # one row per fold
+    return with_band(scored.withColumn("score", _score(F.col("_b"), F.col("_w"))).drop("_b", "_w", "z"), y, levels)
 
 
 def coefficients(rows: DataFrame, y: str, features: Sequence[str], model: str = "ridge",
                  alphas: Sequence[float] = ALPHAS) -> DataFrame:
     """M6: standardised coefficients, mean and std over folds, largest magnitude first."""
-    rows, out = durable(rows), []
-    for k in fold_ids(rows):
-        part = rows.where(F.col("fold") == k)
-        train, val = _scaled(of_role(part, "train"), [of_role(part, "val")], features)
-        fit, _ = fit_linear(train, val, y, features, model, alphas)
-        out += [(k, f, float(c)) for f, c in zip(features, fit.stages[-1].coefficients.toArray())]
-    table = rows.sparkSession.createDataFrame(out, "fold int, feature string, c double")
+    fits = chosen_fit(durable(scaled(rows, features)), y, features, model, alphas)
+    named = F.arrays_zip(F.array(*map(F.lit, features)).alias("feature"), F.col("w").alias("c"))
+    table = fits.select("fold", F.inline(named))
     return (table.groupBy("feature").agg(F.avg("c").alias("coef"), F.stddev_samp("c").alias("coef_std"))
             .orderBy(F.desc(F.abs("coef")), "feature"))
 
@@ -353,12 +476,16 @@ def ladder_report(preds: DataFrame, cols: Sequence[str], levels: Sequence[float]
 # ---- deployment ----
 
 def fit_final(panel: DataFrame, split: DataFrame, y: str, features: Sequence[str], path: str,
-              binary: bool = False, params: dict | None = None, seeds: Sequence[int] = (0,)) -> None:
+              binary: bool = False, params: dict | None = None, seeds: Sequence[int] = (0,), rounds: int = ROUNDS,
+              patience: int = PATIENCE) -> None:
     """One model per seed on all rows (V3 split), saved with the feature contract."""
     rows = durable(panel.join(split, "id"))
-    for s in seeds:
-        fit_trees(of_role(rows, "train"), of_role(rows, "val"), y, features, binary, params, s
+
+    def one(s: int) -> None:
+        fit_trees(of_role(rows, "train"), of_role(rows, "val"), y, features, binary, params, s, rounds, patience
                   ).write().overwrite().save(f"{path}/seed={s}")
+
+    side_by_side([partial(one, s) for s in seeds], panel.sparkSession)
     offsets = None
     if not binary:
         scored = _mean_score(rows, path, seeds, False)

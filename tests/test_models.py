@@ -1,6 +1,10 @@
+import threading
+
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from pitspark.plans import diagnostics as G, folds as V, models as M, scaling as X
@@ -77,15 +81,80 @@ def test_logistic_matches_newton_in_numpy(data):
     np.testing.assert_allclose([fit[0].a, fit[0].b], b, atol=1e-8)
 
 
-def test_ridge_matches_closed_form(data):
+def spark_ml_weights(train, z, model, alpha):
+    """(intercept, weights) of Spark ML, whose quadratic penalty is divided by the label's deviation."""
+    n, sd = train.agg(F.count("y"), F.stddev_pop("y")).first()
+    l1, l2 = {"ridge": (0.0, alpha / n), "lasso": (alpha, 0.0), "elasticnet": (alpha / 2, alpha / 2)}[model]
+    l2 *= sd
+    data = train.select(array_to_vector("z").alias("features"), F.col("y").alias("label"))
+    fit = LinearRegression(regParam=l1 + l2, elasticNetParam=l1 / (l1 + l2), standardization=False, maxIter=500, tol=1e-12).fit(data)
+    return fit.intercept, fit.coefficients.toArray()
+
+
+@pytest.mark.parametrize("model", ["ridge", "lasso", "elasticnet"])
+def test_penalty_path_equals_spark_ml(data, model):
+    _, _, _, rows = data
+    gaps = rows.withColumn("w", F.when(F.col("id") % 7 == 0, None).otherwise(F.col("w") + 0.5 * F.col("x") + 40))
+    z = M.scaled(gaps, ["x", "w"]).cache()
+    alphas = (0.01, 0.1, 0.3)
+    got = {(r.fold, r.alpha): r for r in M.penalty_path(z, "y", ["x", "w"], model, alphas).collect()}
+    assert len(got) == 6
+    for (fold, alpha), r in got.items():
+        train = M.of_role(z.where(F.col("fold") == fold), "train")
+        b, w = spark_ml_weights(train, z, model, alpha)
+        np.testing.assert_allclose([r.intercept, *r.w], [b, *w], atol=1e-6)
+
+
+def test_linear_takes_the_best_penalty_of_each_fold(data):
+    _, _, _, rows = data
+    alphas, feats = (0.1, 30.0, 3000.0), ["x", "w"]
+    fits = {(r.fold, r.alpha): r for r in M.penalty_path(M.scaled(rows, feats), "y", feats, "ridge", alphas).collect()}
+    raw, best = M.scaled(rows, feats).toPandas(), {}
+    for k, g in raw[raw.role == "val"].groupby("fold"):
+        err = {a: np.abs(g.y - (fits[k, a].intercept + np.stack(g.z) @ np.array(fits[k, a].w))).mean() for a in alphas}
+        best[k] = min(alphas, key=err.get)
+    chosen = {r.fold: r.alpha for r in M.chosen_fit(M.scaled(rows, feats), "y", feats, "ridge", alphas).collect()}
+    assert chosen == best
+    got = M.linear(rows, "y", feats, alphas=alphas).toPandas().set_index(["fold", "id"])["q0.5"]
+    for (k, i), v in got.items():
+        r, z = fits[k, best[k]], raw[(raw.fold == k) & (raw.id == i)].z.iloc[0]
+        assert abs(v - r.intercept - np.dot(r.w, z)) < 1e-9
+    table = M.coefficients(rows, "y", feats, "lasso", alphas=(0.01,)).toPandas()
+    assert list(table.feature) == ["x", "w"] and abs(table.coef[0] - 0.8) < 0.15
+
+
+def test_boosting_stops_with_patience(data):
+    assert M.best_round([3, 2, 4, 1, 5, 5, 5], 2) == (4, True) and M.best_round([3, 2, 4, 1], 2) == (4, False)
+    assert M.best_round([3, 2, 4, 4, 1], 2) == (2, True) and M.best_round([1], 1) == (1, False)
     _, _, _, rows = data
     part = rows.where("fold = 0")
-    train, val = M._scaled(M.of_role(part, "train"), [M.of_role(part, "val")], ["x", "w"])
-    fit, alpha = M.fit_linear(train, val, "y", ["x", "w"], "ridge", alphas=(10.0,))
-    t = train.toPandas()
-    A, y = t[["x", "w"]].to_numpy(), t.y - t.y.mean()
-    want = np.linalg.solve(A.T @ A + 10 * np.eye(2), A.T @ y)
-    np.testing.assert_allclose(fit.stages[-1].coefficients.toArray(), want, atol=1e-5)
+    model = M.fit_trees(M.of_role(part, "train"), M.of_role(part, "val"), "y", ["x", "w"], rounds=40, patience=3, params={"stepSize": 0.3})
+    whole = M.fit_trees(M.of_role(part, "train"), M.of_role(part, "val"), "y", ["x", "w"], rounds=40, patience=40, params={"stepSize": 0.3})
+    size = [m.stages[-1].getNumTrees for m in (model, whole)]
+    assert 1 <= size[0] <= size[1] <= 40
+    score = [M.validation_loss(M.score_with(m, M.of_role(part, "val")), "y", False) for m in (model, whole)]
+    assert score[1] <= score[0] < 0.6
+
+
+def test_search_takes_the_best_configuration(data):
+    _, _, _, rows = data
+    tune = {"stepSize": [0.001, 0.3]}
+    got = M.trees(rows, "y", ["x", "w"], rounds=4, patience=4, tune=tune, n_configs=2).toPandas()
+    good = M.trees(rows, "y", ["x", "w"], rounds=4, patience=4, params={"stepSize": 0.3}).toPandas()
+    pd.testing.assert_frame_equal(got.sort_values("id").reset_index(drop=True), good.sort_values("id").reset_index(drop=True))
+
+
+def test_jobs_side_by_side(spark):
+    started = threading.Barrier(3, timeout=60)
+
+    def job(n):
+        started.wait()                          # none goes on before all run
+        return spark.range(n).count()
+
+    assert M.side_by_side([lambda n=n: job(n) for n in (3, 5, 7)], spark, 3) == [3, 5, 7]
+    assert M.side_by_side([], spark) == []
+    with pytest.raises(ZeroDivisionError):
+        M.side_by_side([lambda: 1 // 0], spark)
 
 
 def test_floor_and_forecast_order(data):
@@ -120,7 +189,7 @@ def test_shuffle_keeps_rows_together(data):
 def test_fit_final_round_trip_and_contract(spark, data, tmp_path):
     _, panel, _, _ = data
     path = str(tmp_path / "final")
-    M.fit_final(panel, V.final_split(panel), "y", ["x", "w"], path, params={"maxIter": 3}, seeds=(0, 1))
+    M.fit_final(panel, V.final_split(panel), "y", ["x", "w"], path, rounds=3, patience=3, seeds=(0, 1))
     a = M.score_new(panel, path, ["x", "w"]).select("id", "q10", "q50", "q90", "mult_q50").toPandas()
     assert ((a.q10 <= a.q50) & (a.q50 <= a.q90)).all() and np.allclose(a.mult_q50, np.exp(a.q50))
     with pytest.raises(ValueError, match="contract"):
