@@ -110,7 +110,18 @@ def e1(spark, sf):
     return M.rank_ic(quant(spark, sf), RF, "q0.5", "y_true")
 
 
-@query("E1_rank_ic_p")
+def _t_p(t, df):
+    """Two-sided p of Student's t in SQL, by Simpson's rule on 2,000 steps of the density from 0 to |t|."""
+    density = f"pow(1 + pow({t} * i / 2000.0, 2) / ({df}), -(({df}) + 1) / 2.0)"
+    weight = "CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    return (f"CASE WHEN {t} IS NOT NULL THEN 1 - 2 * exp(lgamma((({df}) + 1) / 2.0) - lgamma(({df}) / 2.0)) / sqrt(pi() * ({df})) * abs({t})"
+            f" / 6000.0 * list_sum(list_transform(range(2001), lambda i: {weight} * {density})) END")
+
+
+@query("E1_rank_ic_p", needs="pred", rounds="rank_ic rank_ic_p", sql=f"""
+WITH {_RANKED}, c AS (SELECT rung, fold, count(*) AS n, corr(rs, ry) AS rank_ic FROM rk GROUP BY 1,2),
+t AS (SELECT *, rank_ic * sqrt((n - 2) / greatest(1 - rank_ic * rank_ic, 1e-300)) AS t FROM c)
+SELECT rung, fold, n, rank_ic, {_t_p("t", "n - 2")} AS rank_ic_p FROM t""")
 def e1p(spark, sf):
     return M.rank_ic(quant(spark, sf), RF, "q0.5", "y_true", p_value=True)
 
@@ -235,12 +246,38 @@ def e14(spark, sf):
     return M.fold_mean_ic(quant(spark, sf), ["rung"], "q0.5", "y_true")
 
 
-@query("E0_evaluate")
+_ORD = f"""{_RANKED}, {_tile(10)}, {_tile(5)},
+od AS (SELECT rung, fold, count(*) AS n, 0 AS n_dropped, corr(rs, ry) AS rank_ic, corr(md, y_true) AS pearson_ic FROM rk GROUP BY 1,2),
+o10 AS (SELECT rung, fold, avg(y_true) FILTER (b=10)-avg(y_true) FILTER (b=1) AS decile_spread FROM t10 GROUP BY 1,2),
+o5 AS (SELECT rung, fold, avg(y_true) FILTER (b=5) AS top_bucket_mean, avg(y_true) FILTER (b=1) AS bottom_bucket_mean,
+ median(y_true) FILTER (b=5) AS top_bucket_median, median(y_true) FILTER (b=1) AS bottom_bucket_median,
+ avg(y_true) FILTER (b=5)-avg(y_true) FILTER (b=1) AS quintile_spread,
+ median(y_true) FILTER (b=5)-median(y_true) FILTER (b=1) AS median_spread FROM t5 GROUP BY 1,2),
+oo AS (SELECT *, rank_ic * sqrt((n - 2) / greatest(1 - rank_ic * rank_ic, 1e-300)) AS t FROM od JOIN o10 USING (rung, fold) JOIN o5 USING (rung, fold)),
+ot AS (SELECT * EXCLUDE (t), {_t_p("t", "n - 2")} AS rank_ic_p FROM oo)"""
+_ORDN = ("rank_ic rank_ic_p pearson_ic decile_spread quintile_spread top_bucket_mean bottom_bucket_mean top_bucket_median "
+         "bottom_bucket_median median_spread ")
+
+
+@query("E0_evaluate", needs="pred", rounds=_ORDN + "hit_rate mae medae rmse bias r2_vs_zero pinball " + _IV, sql=f"""
+WITH {_ORD}, lv AS (SELECT rung, fold, avg(CAST(sign(md)=sign(y_true) AS INT)) FILTER (y_true<>0) AS hit_rate, avg(abs(md-y_true)) AS mae,
+ median(abs(md-y_true)) AS medae, sqrt(avg((md-y_true)**2)) AS rmse, avg(md-y_true) AS bias, 1-sum((md-y_true)**2)/sum(y_true**2) AS r2_vs_zero,
+ avg({_PIN}) AS pinball, avg(CAST(y_true>=lo AND y_true<=hi AS INT)) AS coverage, 0.8::DOUBLE AS nominal_coverage,
+ avg(CAST(y_true>=lo AND y_true<=hi AS INT))-0.8::DOUBLE AS coverage_error, avg(CAST(y_true<lo AS INT)) AS frac_below_lo,
+ avg(CAST(y_true>hi AS INT)) AS frac_above_hi, avg(hi-lo) AS mean_interval_width,
+ avg(hi-lo+10.0::DOUBLE*CASE WHEN y_true<lo THEN lo-y_true WHEN y_true>hi THEN y_true-hi ELSE 0 END) AS interval_score FROM pred GROUP BY 1,2)
+SELECT * FROM ot JOIN lv USING (rung, fold)""")
 def evaluate(spark, sf):
     return M.evaluate(quant(spark, sf), RF, "y_true", QS, LV)
 
 
-@query("E0_evaluate_binary")
+@query("E0_evaluate_binary", needs="pred", rounds=_ORDN + "auc hit_rate base_rate brier logloss accuracy mean_p brier_skill",
+       sql="WITH " + _ORD.replace("corr(md, y_true)", "corr(p, y_true)") + """,
+au AS (SELECT rung, fold, (sum(rs) FILTER (y_true>0)-count(*) FILTER (y_true>0)*(count(*) FILTER (y_true>0)+1)/2)
+ /(count(*) FILTER (y_true>0)*count(*) FILTER (y_true<=0)) AS auc FROM rk GROUP BY 1,2),
+pm AS (SELECT rung, fold, avg(CAST(y_true>0 AS INT)) AS base_rate, avg((p-CAST(y_true>0 AS INT))**2) AS brier,
+ -avg(CASE WHEN y_true>0 THEN ln(p) ELSE ln(1-p) END) AS logloss, avg(CAST((p>0.5)=(y_true>0) AS INT)) AS accuracy, avg(p) AS mean_p FROM pred GROUP BY 1,2)
+SELECT *, 1-brier/(base_rate*(1-base_rate)) AS brier_skill, accuracy AS hit_rate FROM ot JOIN au USING (rung, fold) JOIN pm USING (rung, fold)""")
 def evaluate_binary(spark, sf):
     return M.evaluate_binary(prob(spark, sf), RF, "y_true")
 
@@ -330,7 +367,14 @@ def i2p(spark, sf):
     return I.t_test(ic, ["rung"], "rank_ic", hac=False).drop("p")
 
 
-@query("F9_student_t_p")
+@query("F9_student_t_p", needs="pred", rounds="mean se t p", digits=5, sql=f"""
+WITH {_PER}, sr AS (SELECT rung, row_number() OVER (PARTITION BY rung ORDER BY period)-1 AS i, rank_ic-avg(rank_ic) OVER (PARTITION BY rung) AS e,
+ avg(rank_ic) OVER (PARTITION BY rung) AS mean, count(*) OVER (PARTITION BY rung) AS n FROM ic),
+lg AS (SELECT rung, n, mean, greatest(0, least(floor(4*pow(n/100.0, 2/9.0)), n-1)) AS lags FROM sr GROUP BY ALL),
+vr AS (SELECT a.rung, sum(CASE WHEN a.i=b.i THEN 1 ELSE 2*(1-(a.i-b.i)/(lags+1.0)) END*a.e*b.e)/max(lg.n) AS v FROM sr a
+ JOIN lg ON lg.rung=a.rung JOIN sr b ON b.rung=a.rung AND b.i<=a.i AND a.i-b.i<=lags GROUP BY 1),
+tt AS (SELECT lg.rung, mean, sqrt(v/n) AS se, mean/sqrt(v/n) AS t, n FROM lg JOIN vr USING (rung))
+SELECT rung, mean, se, t, {_t_p("t", "n - 1")} AS p, n FROM tt""")
 def f9(spark, sf):
     ic = M.ic_by_period(quant(spark, sf), ["rung"], "q0.5", "y_true")
     return I.t_test(ic, ["rung"], "rank_ic", "period")
@@ -341,7 +385,36 @@ def i3(spark, sf):
     return I.block_bootstrap(quant(spark, sf), ["rung"], ["q0.5"], "y_true", F.year("date"))
 
 
-@query("I3_row_bootstrap")
+_BOOT = """max(v) FILTER (b=0) AS estimate, quantile_cont(v, 0.025::DOUBLE) FILTER (b>0) AS lo, quantile_cont(v, 0.975::DOUBLE) FILTER (b>0) AS hi,
+ least(1.0, 2*least(avg(CAST(v<=0 AS INT)) FILTER (b>0), 1-avg(CAST(v<=0 AS INT)) FILTER (b>0))) AS p_two_sided, count(v) FILTER (b>0) AS n_boot"""
+
+
+def _draws(draws, units):
+    """Units that every draw holds, as ``drawn_unit`` draws them, of (rung, i, m) units."""
+    return (f"dr AS (SELECT rung, b, CAST('0x'||substr(md5('0,'||b||','||i),1,8) AS BIGINT) % m AS i FROM {units}, "
+            f"(SELECT unnest(range(1, {draws + 1})) AS b) d UNION ALL SELECT rung, 0, i FROM {units})")
+
+
+@query("I3_bootstrap_metric", needs="pred", rounds="estimate lo hi p_two_sided", sql=f"""
+WITH u AS (SELECT rung, year(date) AS u, count(*) AS n, sum({_PIN}) AS pin, sum(CAST(y_true>=lo AND y_true<=hi AS INT)) AS cov,
+ count(*) FILTER (y_true<>0) AS nz, count(*) FILTER (y_true<>0 AND sign(md)=sign(y_true)) AS hit, sum((md-y_true)**2) AS se, sum(y_true**2) AS sy FROM pred GROUP BY 1,2),
+un AS (SELECT *, row_number() OVER (PARTITION BY rung ORDER BY u)-1 AS i, count(*) OVER (PARTITION BY rung) AS m FROM u), {_draws(2000, "un")},
+s AS (SELECT dr.rung, b, sum(n) AS n, sum(pin) AS pin, sum(cov) AS cov, sum(nz) AS nz, sum(hit) AS hit, sum(se) AS se, sum(sy) AS sy
+ FROM dr JOIN un ON un.rung=dr.rung AND un.i=dr.i GROUP BY 1,2),
+v AS (SELECT rung, b, unnest(['pinball','coverage','hit_rate','rmse','r2_vs_zero']) AS metric, unnest([pin/n, cov/n, hit/nz, sqrt(se/n), 1-se/sy]) AS v FROM s)
+SELECT rung, metric, {_BOOT} FROM v GROUP BY 1,2""")
+def i3m(spark, sf):
+    return I.bootstrap_metric(quant(spark, sf), ["rung"], ["pinball", "coverage", "hit_rate", "rmse", "r2_vs_zero"], "y_true", F.year("date"))
+
+
+@query("I3_row_bootstrap", needs="pred", rounds="estimate lo hi p_two_sided", sql=f"""
+WITH pu AS (SELECT *, dense_rank() OVER (PARTITION BY rung ORDER BY year(date)*100+month(date))-1 AS i FROM pred),
+un AS (SELECT rung, i, count(*) OVER (PARTITION BY rung) AS m FROM (SELECT DISTINCT rung, i FROM pu)), {_draws(25, "un")},
+rw AS (SELECT dr.b, pu.rung, md, y_true FROM dr JOIN pu ON pu.rung=dr.rung AND pu.i=dr.i),
+rr AS (SELECT rung, b, rank() OVER (PARTITION BY rung, b ORDER BY md)+(count(*) OVER (PARTITION BY rung, b, md)-1)/2 AS rs,
+ rank() OVER (PARTITION BY rung, b ORDER BY y_true)+(count(*) OVER (PARTITION BY rung, b, y_true)-1)/2 AS ry FROM rw),
+v AS (SELECT rung, b, corr(rs, ry) AS v FROM rr GROUP BY 1,2)
+SELECT rung, 'q0.5' AS score, {_BOOT} FROM v GROUP BY 1""")
 def i3r(spark, sf):
     p = quant(spark, sf).withColumn("unit", F.year("date") * 100 + F.month("date"))
     return I.row_bootstrap(p, ["rung"], ["q0.5"], "y_true", "unit", 25)

@@ -443,14 +443,11 @@ def _risk_series(spark, sf):
     return s.withColumns(series.sequence_summaries("seq", "risk"))
 
 
-_EVR = "(SELECT * FROM ev WHERE d >= DATE '1995-04-01')"
-
-
 @query("W11_window_array", needs="ev risk", rounds="s1 s2 s20 s21", sql=f"""
 WITH {_SEQ} SELECT e.id, q.seq[1] AS s1, q.seq[2] AS s2, q.seq[20] AS s20, q.seq[21] AS s21
-FROM {_EVR} e ASOF LEFT JOIN sq q ON e.d > q.date""")
+FROM ev e ASOF LEFT JOIN sq q ON e.d > q.date""")
 def w11(spark, sf):
-    ev = B.unpriced_events(spark, sf).where("d >= date'1995-04-01'").select("id", "d")
+    ev = B.unpriced_events(spark, sf).select("id", "d")         # events before the series starts have none
     got = asof.asof_join(ev, _risk_series(spark, sf), [], "d", "date", ["seq"])
     return got.select("id", *[F.element_at("seq", i).alias(f"s{i}") for i in (1, 2, 20, 21)])
 
@@ -477,14 +474,13 @@ def w14(spark, sf):
 
 @query("W16_peer_trailing_returns", needs="ev mac", sql="""
 WITH p AS (SELECT e.id, e.grp, m.date, ln(m.fx) AS lx, row_number() OVER (PARTITION BY e.id ORDER BY m.date DESC) AS rn
-  FROM (SELECT * FROM ev WHERE flag_a=1) e JOIN mac m ON m.grp=e.grp AND m.date BETWEEN e.d-140 AND e.d-1)
+  FROM ev e JOIN mac m ON m.grp=e.grp AND m.date BETWEEN e.d-140 AND e.d-1)
 SELECT id, grp, round(max(lx) FILTER (rn=1)-max(lx) FILTER (rn=22),6)+0.0 AS ret_21d,
  round(max(lx) FILTER (rn=1)-max(lx) FILTER (rn=64),6)+0.0 AS ret_63d, max(date) AS "asof" FROM p GROUP BY 1,2
 HAVING count(*) >= 22""")
 def w16(spark, sf):
-    ev = B.unpriced_events(spark, sf).where("flag_a = 1")
-    paths = interval.event_window(B.macro(spark, sf), ev, "grp", "date", "d", "id", -140, -1)
-    return series.peer_trailing_returns(paths, ["id", "grp"], "date", "fx")
+    ev = B.unpriced_events(spark, sf).select("id", "grp", "d")
+    return series.trailing_returns(B.macro(spark, sf), ev, ["grp"], "date", "fx", "d", "id")
 
 
 @query("W19_gap_days", needs="bm", sql=f"""

@@ -57,37 +57,38 @@ def s6(spark, sf):
     return P.read_predictions(spark, path, "B").select("rung", "id", P.quoted("q0.5").alias("q50"))
 
 
-@query("S9_append_new", sql="SELECT o_orderkey AS id FROM orders WHERE o_orderkey%2=1")
+@query("S9_append_new", sql="SELECT o_orderkey AS id, o_orderkey%2 AS late FROM orders")
 def s9(spark, sf):
-    o = B.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
-    return T.new_rows(o, o.where("id % 2 = 0"), "id")
+    """A load that was cut off after half of its rows, resumed twice: every row is there once."""
+    path = f"{checkpoint_dir(spark)}/load-{uuid.uuid4().hex}"
+    o = B.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 2).alias("late"))
+    for part in (o.where("late = 0"), o, o):
+        T.append_new(part, path, "id")
+    return spark.read.parquet(path)
 
 
 _WHY = {"no price": "offer is null", "not a target": "is_target = 0"}
 
 
 @query("S10_split_failures", needs="ev", sql="""
-SELECT id, CASE WHEN offer IS NULL THEN 'no price' ELSE 'not a target' END AS reason FROM ev WHERE offer IS NULL OR is_target=0""")
+SELECT id, CASE WHEN offer IS NULL THEN 'no price' WHEN is_target=0 THEN 'not a target' ELSE 'good' END AS reason FROM ev""")
 def s10(spark, sf):
-    _, bad = T.split_failures(B.events(spark, sf), _WHY)
-    return bad.select("id", "reason")
+    good, bad = T.split_failures(B.events(spark, sf), _WHY)
+    return bad.select("id", "reason").unionByName(good.select("id", F.lit("good").alias("reason")))
 
 
-@query("S11_stack_series", needs="mac", sql="""
-SELECT grp, date, vol_index, CASE WHEN grp='ASIA' THEN fx END AS fx FROM mac WHERE grp IN ('ASIA','EUROPE')""")
+@query("S11_stack_series", needs="mac", sql="SELECT grp, date, vol_index, CASE WHEN grp<>'EUROPE' THEN fx END AS fx FROM mac")
 def s11(spark, sf):
     m = B.macro(spark, sf)
-    asia = m.where("grp = 'ASIA'").drop("grp")
-    return T.stack_series({"ASIA": asia, "EUROPE": m.where("grp = 'EUROPE'").drop("grp", "fx")})
+    parts = {g: m.where(F.col("grp") == g).drop("grp") for g in B.REGIONS}
+    return T.stack_series(parts | {"EUROPE": parts["EUROPE"].drop("fx")})
 
 
-@query("S12_align_series", needs="mac", sql="""
-SELECT date, max(vol_index) FILTER (grp='ASIA') AS asia, max(vol_index) FILTER (grp='EUROPE') AS europe
-FROM mac WHERE grp IN ('ASIA','EUROPE') GROUP BY 1""")
+@query("S12_align_series", needs="mac", sql="SELECT date, " + ", ".join(
+    f"max(vol_index) FILTER (grp='{g}') AS {g.lower().replace(' ', '_')}" for g in B.REGIONS) + " FROM mac GROUP BY 1")
 def s12(spark, sf):
     m = B.macro(spark, sf)
-    return T.align_series({n: m.where(F.col("grp") == g).select("date", "vol_index")
-                           for n, g in (("asia", "ASIA"), ("europe", "EUROPE"))})
+    return T.align_series({g.lower().replace(" ", "_"): m.where(F.col("grp") == g).select("date", "vol_index") for g in B.REGIONS})
 
 
 @query("S13_fill_from_reference", sql="""
@@ -364,3 +365,55 @@ def c14(spark, sf):
         ("ids", "count(DISTINCT id)"), ("rows", "count(*)"), ("has:ret_21d", "count(ret_21d)"), ("has:ret_63d", "count(ret_63d)"))))
 def c15(spark, sf):
     return C.coverage(B.peers(spark, sf), "peers", "id", ["ret_21d", "ret_63d"])
+
+
+# ---- the whole contract ----
+
+def faulty_events(spark, sf) -> DataFrame:
+    """Events as an untyped export with faults planted by key."""
+    k = F.col("id")
+    return B.events(spark, sf).select(
+        F.when(k % 50 == 0, k + 1).otherwise(k).alias("id"),
+        F.when(k % 40 == 0, "n/a").otherwise(F.date_format("d", "yyyy-MM-dd")).alias("d"),
+        F.when(k % 30 == 0, "x").when(k % 31 == 0, "-1").otherwise("1").alias("offer"), F.col("size").cast("string").alias("size"),
+        (k % 3).alias("flag"), F.when(k % 7 == 0, 0).when(k % 7 == 1, 1).alias("is_target"),
+        F.when(k % 997 == 0, F.lit("rare")).otherwise(F.col("grp")).alias("grp"))
+
+
+_FAULTY = """fe AS (SELECT CASE WHEN id%50=0 THEN id+1 ELSE id END AS id, CASE WHEN id%40<>0 THEN d END AS d, CASE WHEN id%30=0 THEN 'x'
+ WHEN id%31=0 THEN '-1' ELSE '1' END AS offer, id%3 AS flag, CASE WHEN id%7=0 THEN 0 WHEN id%7=1 THEN 1 END AS is_target,
+ CASE WHEN id%997=0 THEN 'rare' ELSE grp END AS grp FROM ev),
+fp AS (SELECT fe.id, (SELECT count(*) FROM px WHERE px.id=fe.id) AS n FROM fe),
+late AS (SELECT count(*) FILTER (ao+3>=d) AS n FROM peer JOIN fe USING (id)),
+fb AS (SELECT * FROM bm WHERE grp<>'ASIA' AND date>=DATE '1992-03-01'),
+lines AS ("""
+
+
+@query("C0_check", needs="ev px bm risk mac gl peer", sql=f"WITH {_FAULTY}" + " UNION ALL ".join([
+    _line("error", "missing_column", "1", "'home'", "dictionary", "(SELECT 1) x"),
+    _line("info", "missing_table", "1", "''", "deals", "(SELECT 1) x"),
+    _line("error", "duplicate:id", "count(*)", frm="(SELECT id FROM fe GROUP BY 1 HAVING count(*)>1)"),
+    _line("error", "unparseable:d", "count(*) FILTER (d IS NULL)", frm="fe"),
+    _line("error", "not_numeric:offer", "count(*) FILTER (offer='x')", frm="fe"),
+    _line("warning", "not_positive:offer", "count(*) FILTER (offer='-1')", frm="fe"),
+    _line("error", "not_flag:flag", "count(*) FILTER (flag=2)", frm="fe"),
+    _line("info", "target_rows", "count(*) FILTER (coalesce(is_target,1)<>0)", frm="fe"),
+    _line("info", "universe_rows", "count(*) FILTER (is_target=0)", frm="fe"),
+    _line("warning", "thin_group", "n", "grp", frm="(SELECT grp, count(*) AS n FROM fe GROUP BY 1 HAVING count(*)<30)"),
+    _line("warning", "no_price_rows", "count(*)", table="prices", frm="fp WHERE n=0"),
+    _line("warning", "short_path", "count(*)", table="prices", frm="fp WHERE n<5"),
+    _line("error", "no_series", "1", "grp", "bench", "(SELECT DISTINCT grp FROM fe WHERE grp NOT IN (SELECT grp FROM fb)) x"),
+    _line("warning", "not_daily", "floor(m)", "grp", "bench", "(SELECT grp, median(g) AS m FROM (SELECT grp, date-lag(date) OVER (PARTITION BY grp ORDER BY date) AS g FROM fb) y GROUP BY 1 HAVING median(g)>4) x"),
+    _line("error", "starts_late", "s-e", "grp", "bench", "(SELECT grp, min(d) AS e FROM fe GROUP BY 1) x JOIN (SELECT grp, min(date) AS s FROM fb GROUP BY 1) z USING (grp) WHERE s>=e"),
+    _line("error", "starts_late", "s-e", "''", "risk", "(SELECT min(d) AS e FROM fe) x, (SELECT min(date) AS s FROM risk) z WHERE s>=e"),
+    _line("error", "asof_not_before", "n", table="peers", frm="late"),
+    *[_line("info", r, n, table="macro", frm="mac") for r, n in (("ids", "count(DISTINCT date)"), ("rows", "count(*)"), ("has:vol_index", "count(vol_index)"), ("has:fx", "count(fx)"))],
+    *[_line("info", r, n, table="macro_global", frm="gl") for r, n in (("ids", "count(DISTINCT date)"), ("rows", "count(*)"), *[(f"has:{c}", f"count({c})") for c in ("vix", "hy_oas", "em", "acwi")])],
+    *[_line("info", r, n, table="peers", frm="peer") for r, n in (("ids", "count(DISTINCT id)"), ("rows", "count(*)"), ("has:ret_63d", "count(ret_63d)"))],
+]) + ") SELECT * FROM lines WHERE n>0 OR rule='starts_late'")
+def c0(spark, sf):
+    bench = B.benchmark(spark, sf).where("grp <> 'ASIA' and date >= date'1992-03-01'")
+    peers = B.peers(spark, sf).withColumn("asof", F.date_add("asof", 3))
+    return C.check({"events": faulty_events(spark, sf), "prices": B.prices(spark, sf), "bench": bench, "risk": B.risk(spark, sf),
+                    "deals": None, "macro": B.macro(spark, sf), "macro_global": B.macro_global(spark, sf), "peers": peers,
+                    "members": B.members(spark, sf), "dictionary": B.dictionary(spark).drop("home")}, ["flag"], least_path=5)

@@ -191,7 +191,14 @@ def x5(spark, sf):
     return X.normal_score_inverse(z, knots, "z", "back")
 
 
-@query("F8_normal_functions")
+_PHI = ("(0.5 + z / 1200.0 * 0.3989422804014327 * list_sum(list_transform(range(401), lambda i: "
+        "CASE WHEN i=0 OR i=400 THEN 1 WHEN i%2=1 THEN 4 ELSE 2 END * exp(-pow(z*i/400.0, 2)/2))))")
+
+
+@query("F8_normal_functions", needs="pn", rounds="z p", digits=4, sql=f"""
+WITH q AS (SELECT id, 1/(1+exp(-y_3)) AS p FROM pn)
+SELECT id, list_reduce(list_concat([CAST((p-0.5)*2.5 AS DOUBLE)], list_transform(range(25), lambda k: CAST(k AS DOUBLE))),
+ lambda z, k: z - ({_PHI} - p) / (0.3989422804014327 * exp(-z*z/2))) AS z, p FROM q""")
 def f8(spark, sf):
     from pitspark.functions.distributions import normal_cdf, normal_ppf
     p = 1 / (1 + F.exp(-F.col("y_3")))
@@ -231,7 +238,18 @@ def m2(spark, sf):
     return got.select("fold", "id", *[F.col(f"`{M.q_name(p)}`").alias(f"q{int(p * 100)}") for p in M.LEVELS])
 
 
-@query("M3_naive_logistic")
+_F1W = f"{_F1}, f1s AS (SELECT grp, d, quantile_cont(x,0.5) AS med FROM f1 GROUP BY 1,2)"
+_ROWS = "SELECT fo.fold, fo.role, pn.id, pn.y_3, coalesce(f1s.med, 0.0) AS x FROM fo JOIN pn USING (id) LEFT JOIN f1s ON f1s.grp=pn.grp AND f1s.d=pn.d"
+
+
+@query("M3_naive_logistic", needs="ev ret fo", rounds="p_out", digits=5, sql=f"""
+WITH RECURSIVE {_F1W}, rw AS ({_ROWS}), mo AS (SELECT fold, avg(x) AS mu, stddev_pop(x)+1e-12 AS sd FROM rw WHERE role='train' GROUP BY 1),
+tr AS MATERIALIZED (SELECT fold, (x-mu)/sd AS z, CAST(y_3>0 AS DOUBLE) AS up FROM rw JOIN mo USING (fold) WHERE role='train'),
+st AS (SELECT fold, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0 AS k FROM mo UNION ALL
+ SELECT fold, a+(hzz*g0-hz*g1)/(h*hzz-hz*hz), b+(h*g1-hz*g0)/(h*hzz-hz*hz), k+1 FROM (
+  SELECT fold, a, b, k, sum(up-p) AS g0, sum((up-p)*z) AS g1, sum(greatest(p*(1-p),1e-6)) AS h, sum(greatest(p*(1-p),1e-6)*z) AS hz,
+   sum(greatest(p*(1-p),1e-6)*z*z) AS hzz FROM (SELECT st.*, tr.z, tr.up, 1/(1+exp(-(a+b*z))) AS p FROM st JOIN tr USING (fold) WHERE k<15) GROUP BY 1,2,3,4))
+SELECT rw.fold, rw.id, 1/(1+exp(-(a+b*(x-mu)/sd))) AS p_out FROM rw JOIN mo USING (fold) JOIN st ON st.fold=rw.fold AND k=15 WHERE role='test'""")
 def m3(spark, sf):
     return M.naive_logistic(rows(spark, sf), "f1_med_1w", "y_3").select("fold", "id", "p_out")
 
@@ -251,6 +269,23 @@ def m5(spark, sf):
     return M.linear(rows(spark, sf), "y_3", FEATURES).select("fold", "id", "`q0.5`")
 
 
+@query("M5_ridge_pair", needs="fo", rounds="q10 q50 q90", digits=6, sql=f"""
+WITH rw AS (SELECT fo.fold, fo.role, pn.id, y_3, size AS u, CAST(flag_a AS DOUBLE) AS v FROM fo JOIN pn USING (id)),
+mo AS (SELECT fold, avg(u) AS mu, stddev_pop(u)+1e-9 AS su, avg(v) AS mv, stddev_pop(v)+1e-9 AS sv, avg(y_3) AS my FROM rw WHERE role='train' GROUP BY 1),
+z AS (SELECT rw.*, (u-mu)/su AS a, (v-mv)/sv AS b, my FROM rw JOIN mo USING (fold)),
+g AS (SELECT fold, sum(a*a) AS aa, sum(a*b) AS ab, sum(b*b) AS bb, sum(a*(y_3-my)) AS ay, sum(b*(y_3-my)) AS "by" FROM z WHERE role='train' GROUP BY 1),
+w AS (SELECT fold, k, alpha, ((bb+alpha)*ay-ab*"by")/((aa+alpha)*(bb+alpha)-ab*ab) AS wa, ((aa+alpha)*"by"-ab*ay)/((aa+alpha)*(bb+alpha)-ab*ab) AS wb
+ FROM g, (SELECT unnest(range({len(M.ALPHAS)})) AS k, unnest({[float(a) for a in M.ALPHAS]}::DOUBLE[]) AS alpha)),
+er AS (SELECT fold, k, avg(abs(y_3-(my+wa*a+wb*b))) AS e FROM z JOIN w USING (fold) WHERE role='val' GROUP BY 1,2),
+be AS (SELECT fold, k FROM er QUALIFY row_number() OVER (PARTITION BY fold ORDER BY e, k)=1),
+sc AS (SELECT z.fold, z.role, z.id, z.y_3, my+wa*a+wb*b AS s FROM z JOIN be USING (fold) JOIN w ON w.fold=z.fold AND w.k=be.k),
+of AS (SELECT fold, quantile_cont(y_3-s,0.1) AS o1, quantile_cont(y_3-s,0.5) AS o2, quantile_cont(y_3-s,0.9) AS o3 FROM sc WHERE role='val' GROUP BY 1)
+SELECT fold, id, s+o1-o2 AS q10, s AS q50, s+o3-o2 AS q90 FROM sc JOIN of USING (fold) WHERE role='test'""")
+def m5p(spark, sf):
+    got = M.linear(rows(spark, sf), "y_3", ["size", "flag_a"])
+    return got.select("fold", "id", *[F.col(f"`{M.q_name(p)}`").alias(f"q{int(p * 100)}") for p in M.LEVELS])
+
+
 @query("M6_coefficients")
 def m6(spark, sf):
     return M.coefficients(rows(spark, sf), "y_3", FEATURES, "lasso")
@@ -258,15 +293,20 @@ def m6(spark, sf):
 
 @query("M7_random_search")
 def m7(spark, sf):
-    return M.trees(rows(spark, sf), "y_3", FEATURES, binary=True, n_configs=3, tune={
+    return M.trees(rows(spark, sf), "y_3", FEATURES, binary=True, n_configs=9, rounds=20, patience=5, tune={
         "maxDepth": [1, 2, 3], "stepSize": [0.05, 0.1, 0.2]}).select("fold", "id", "p_out")
 
 
-@query("M8_run_folds")
+@query("M8_run_folds", needs="ev mem fo", rounds="q0_5", digits=5, sql=f"""
+WITH {_SHARE}, rk AS (SELECT *, row_number() OVER (PARTITION BY grp,d ORDER BY share, member)/count(*) OVER (PARTITION BY grp,d) AS r FROM sh),
+b AS (SELECT m.id, max(r) AS r FROM mem m JOIN ev USING (id) JOIN rk ON rk.grp=ev.grp AND rk.d=ev.d AND rk.member=m.member GROUP BY 1),
+rw AS (SELECT fo.fold, fo.role, pn.id, y_3, coalesce(b.r, 0.0) AS x FROM fo JOIN pn USING (id) LEFT JOIN b ON b.id=pn.id),
+f AS (SELECT fold, regr_slope(y_3, x) AS b, regr_intercept(y_3, x) AS a FROM rw WHERE role='train' GROUP BY 1)
+SELECT fold, id, a+b*x AS q0_5 FROM rw JOIN f USING (fold) WHERE role='test'""")
 def m8(spark, sf):
     def nearest(train, val, test):
         return M.with_band(M.linear_score(train.unionByName(val).unionByName(test), "prestige", "y_3"), "y_3")
-    return M.run_folds(rows(spark, sf), nearest).select("fold", "id", "`q0.5`")
+    return M.run_folds(rows(spark, sf), nearest).select("fold", "id", F.col("`q0.5`").alias("q0_5"))
 
 
 @query("M9_ladder")
@@ -302,14 +342,28 @@ def m12(spark, sf):
 
 # ---- diagnostics that fit models ----
 
+@query("M12_score_unlabelled")
+def m12n(spark, sf):
+    """One probability per horizon for the events whose label window is not over."""
+    path = f"{checkpoint_dir(spark)}/bundle-{uuid.uuid4().hex}"
+    p = panel(spark, sf)
+    M.fit_bundle(p, V.final_split(p), (1, 3), FEATURES, path, binary=True)
+    every = saved(spark, sf, "inference", lambda s, d: assemble_panel(tables(s, d), horizons=(1, 3), inference=True))
+    return M.score_bundle(every, path, FEATURES)
+
+
+_NAMED = {"size": ["size"], "recent": ["f1_med_1w", "f1_n_1d"], "supply": ["f3_prc_3m"], "market": ["m_geo_mom_63d"],
+          "syndicate": ["prestige", "n_members"], "peers": ["p1_med_21d"]}
+
+
 @query("G1_permutation_importance")
 def g1(spark, sf):
+    """Every feature and every named group of more than one, on the trees of every fold."""
     r = rows(spark, sf)
-    last = durable(r.where("fold = 4"))
-    model = M.fit_trees(last.where("role = 'train'"), last.where("role = 'val'"), "y_3", FEATURES)
-    test = last.where("role = 'test'").select("fold", "id", "y_3", *FEATURES)
-    return G.permutation_importance(test, lambda d: M.score_with(model, d), "y_3",
-                                    {"size": ["size"], "recent": ["f1_med_1w", "f1_n_1d"]}, repeats=2)
+    fits = M.fold_models(r, "y_3", FEATURES)
+    test = M.of_role(r, "test").select("fold", "id", "y_3", *FEATURES)
+    groups = {f: [f] for f in FEATURES} | {f"group:{g}": c for g, c in _NAMED.items() if len(c) > 1}
+    return G.permutation_importance(test, lambda d: M.score_folds(fits, d), "y_3", groups, repeats=5)
 
 
 @query("G2_tree_importance")
@@ -324,9 +378,16 @@ def i8(spark, sf):
     def predict(p):
         return M.of_role(M.linear_score(fo.join(p, "id"), "f1_med_1w", "y_3"), "test")
     p = panel(spark, sf).select("id", "f1_med_1w", "y_1", "y_3")
-    return G.permutation_null(p, predict, ["y_1", "y_3"], "y_3", repeats=3)
+    return G.permutation_null(p, predict, ["y_1", "y_3"], "y_3", repeats=5)
 
 
-@query("I9_train_gap")
+@query("I9_train_gap", needs="ev ret fo", rounds="train_ic test_ic gap", digits=5, sql=f"""
+WITH {_F1W}, rw AS ({_ROWS}), sl AS (SELECT fold, sign(regr_slope(y_3, x)) AS s FROM rw WHERE role='train' GROUP BY 1),
+sc AS (SELECT rw.*, s*x AS v FROM rw JOIN sl USING (fold) WHERE role IN ('train','test')),
+rk AS (SELECT fold, role, rank() OVER (PARTITION BY fold, role ORDER BY v)+(count(*) OVER (PARTITION BY fold, role, v)-1)/2 AS a,
+ rank() OVER (PARTITION BY fold, role ORDER BY y_3)+(count(*) OVER (PARTITION BY fold, role, y_3)-1)/2 AS b FROM sc),
+ic AS (SELECT fold, role, count(*) AS n, corr(a, b) AS c FROM rk GROUP BY 1,2)
+SELECT fold, max(n) FILTER (role='train') AS n_train, max(c) FILTER (role='train') AS train_ic, max(c) FILTER (role='test') AS test_ic,
+ max(c) FILTER (role='train')-max(c) FILTER (role='test') AS gap FROM ic GROUP BY 1""")
 def i9(spark, sf):
     return G.train_gap(M.linear_score(rows(spark, sf), "f1_med_1w", "y_3"), "y_3")

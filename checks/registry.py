@@ -30,8 +30,9 @@ def query(name: str, sql: str | None = None, needs: str = "", rounds: str = "",
             head = ctes(*needs.split())
             body = sql.strip()
             if body.upper().startswith("WITH "):
-                body, head = body[5:], head + ",\n" if head else ""
-                inner = f"WITH {head}{body}"
+                again = "RECURSIVE " if body[5:].startswith("RECURSIVE ") else ""
+                body, head = body[5 + len(again):], head + ",\n" if head else ""
+                inner = f"WITH {again}{head}{body}"
             else:
                 inner = f"WITH {head}\n{body}" if head else body
             if cols:

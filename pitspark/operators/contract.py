@@ -5,6 +5,7 @@ Row rules of a table share one aggregation pass; group rules aggregate per key b
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -132,6 +133,61 @@ def coverage(df: DataFrame, table: str, id_: str, cols: Sequence[str] = ()) -> D
                                            for c in wide.columns])).alias("p")).select("p.*")
 
 
+REQUIRED = {"events": ["id", "d", "grp", "offer", "size"], "prices": ["id", "date", "close"], "bench": ["date", "close"],
+            "risk": ["date", "v"], "deals": ["date", "grp", "proceeds"], "macro": ["date", "grp"], "macro_global": ["date"],
+            "peers": ["id", "ret_21d"], "members": ["id", "member"], "dictionary": ["member", "class", "home"]}
+OPTIONAL = ("deals", "macro", "macro_global", "peers", "members", "dictionary")
+WANTED = {"macro": ["vol_index", "fx"], "macro_global": ["vix", "hy_oas", "em", "acwi"], "peers": ["ret_63d"]}
+
+
+def check(tables: dict[str, DataFrame | None], flags: Sequence[str] = (), least_group: int = 30,
+          least_path: int = 22) -> DataFrame:
+    """The whole contract over the logical tables, one report. A table with missing required columns is
+    reported and left out of the rules that need them. Every rule of a table's rows comes from one pass over
+    it; groups, paths and child rows are counted before they are joined."""
+    spark = next(t for t in tables.values() if t is not None).sparkSession
+    report = missing_columns(spark, tables, REQUIRED, OPTIONAL)
+    ready = {n: t for n, t in tables.items() if t is not None and set(REQUIRED.get(n, [])) <= set(t.columns)}
+    parts = [report]
+    events = ready.get("events")
+    if events is not None:
+        parts += [row_rules(events, "events", "id", ["d"], ["offer", "size"], flags,
+                            target="is_target" if "is_target" in events.columns else None),
+                  thin_groups(events, "events", "grp", least_group)]
+        events = events.withColumn("d", parse_day("d"))
+    if "prices" in ready:
+        parts.append(row_rules(ready["prices"], "prices", None, ["date"], ["close"], positive_severity="error"))
+        if events is not None:
+            parts.append(path_coverage(events, ready["prices"], least=least_path))
+    for name in ("bench", "risk"):
+        if name not in ready:
+            continue
+        by = ["grp"] if "grp" in ready[name].columns else []
+        parts.append(row_rules(ready[name], name, None, ["date"]))
+        dated = ready[name].withColumn("date", parse_day("date")).where("date is not null")
+        parts.append(sparse_series(dated, name, by))
+        if events is not None:
+            parts.append(late_series(events, dated, name, by))
+            if by:
+                parts.append(uncovered_groups(events, dated, name))
+    if events is not None and "peers" in ready:
+        parts.append(late_children(ready["peers"], events, "peers"))
+    for name in ("macro", "macro_global", "peers"):
+        if name in ready:
+            parts.append(coverage(ready[name], name, "id" if name == "peers" else "date",
+                                  [c for c in WANTED[name] if c in ready[name].columns]))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def require_contract(report: DataFrame) -> DataFrame:
+    """Raise with every error line of a report."""
+    bad = report.where("severity = 'error'").orderBy("table_name", "rule", "detail").limit(50).collect()
+    if bad:
+        raise ValueError("the tables break the contract:\n" + "\n".join(
+            f"- {r['table_name']}: {r['rule']} {r['detail']} ({r['n']})" for r in bad))
+    return report
+
+
 def failed(report: DataFrame) -> bool:
     """Exit status: any error line."""
     return bool(report.where("severity = 'error'").take(1))

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from pitspark.functions.ordering import row_index
+from pitspark.operators.asof import asof_lookup
 
 YEAR = 252  # trading days
 
@@ -162,3 +163,26 @@ def peer_trailing_returns(paths: DataFrame, by: Sequence[str], ts: str, price: s
     return (back.where("_22 is not null")
             .select(*by, F.round(F.expr("_1 - _22"), 6).alias("ret_21d"),
                     F.round(F.expr("_1 - _64"), 6).alias("ret_63d"), "asof"))
+
+
+def trailing_returns(series: DataFrame, events: DataFrame, by: Sequence[str], ts: str, price: str, at: str, id_: str,
+                     reach: int = 140) -> DataFrame:
+    """W16 for events that share their series: the returns of ``peer_trailing_returns`` over the ``reach`` days before
+    each event. They are taken once per series row, with the days they start on, and looked up per event; no
+    event carries its price path."""
+    by = list(by)
+    x = Expr(lambda f: F.log(price), 0)
+    rows = with_series(series.select(*by, ts, price), by, ts, {"_x": x})
+
+    def back(c: str, k: int) -> Expr:
+        return Expr(lambda f: F.lag(c, k).over(f.order), k)
+
+    rows = with_series(rows, by, ts, {"_x21": back("_x", 21), "_x63": back("_x", 63), "_t21": back(ts, 21), "_t63": back(ts, 63)})
+    rows = rows.select(*by, ts, F.col(ts).alias("asof"), F.round(F.expr("_x - _x21"), 6).alias("ret_21d"),
+                       F.round(F.expr("_x - _x63"), 6).alias("ret_63d"), "_t21", "_t63")
+    names = ["asof", "ret_21d", "ret_63d", "_t21", "_t63"]
+    seen = asof_lookup(events, rows, by, at, ts, names).select(*by, at, *[F.col(f"before.{c}").alias(c) for c in names])
+    got = events.select(id_, *by, at).join(seen, [*by, at])
+    first = F.date_sub(at, reach)
+    return got.where(F.col("_t21") >= first).select(
+        id_, *by, "ret_21d", F.when(F.col("_t63") >= first, F.col("ret_63d")).alias("ret_63d"), "asof")

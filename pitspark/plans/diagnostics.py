@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pitspark.functions.ordering import quantiles, row_index, with_constants
 from pitspark.plans import metrics as M
 from pitspark.session import durable
-from pitspark.sources.predictions import quantile_columns
+from pitspark.sources.predictions import quantile_columns, quoted
 
 
 def slice_labels(df: DataFrame, group: str | None = "grp", flags: dict[str, str] | None = None,
@@ -40,19 +40,17 @@ def slice_metrics(labelled: DataFrame, y: str = "y_true", tie: str = "id", least
                   keys: Sequence[str] = ()) -> DataFrame:
     """Per slice with enough rows the order metrics and either probability or band quality."""
     cols, levels = quantile_columns(labelled)
-    rows = labelled.withColumn("slice", F.explode("slices"))
-    by = [*keys, "slice"]
-    point = cols[levels.index(0.5)]
-    parts = [rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least),
-             M.rank_ic(rows, by, point, y).drop("n"),
-             M.bucket_spread(rows, by, point, y, tie, 5, "quintile_spread")]
-    if cols == ["p_out"]:
-        parts += [M.auc(rows, by, "p_out", y),
-                  M.probability_metrics(rows, by, "p_out", y).select(*by, "brier", "base_rate")]
-    else:
-        parts += [M.level_metrics(rows, by, point, y, median=False).select(*by, "mae"),
-                  M.interval_metrics(rows, by, y, cols, levels).select(*by, "coverage", "coverage_error")]
-    return M._merge(parts, by)
+    by, point = [*keys, "slice"], cols[levels.index(0.5)]
+    told = durable(labelled.select(*keys, "slices", tie, y, *[quoted(c) for c in cols]))
+    rows = told.withColumn("slice", F.explode("slices"))
+    base = M._order_base(M.scorable(rows, y, cols), by, tie, point, y, cols)
+    o, qs = F.col("_y"), [F.col(f"_c{i}") for i in range(len(cols))]
+    own = [M._auc().alias("auc"), *M._probability_columns(F.col("_s"), o)] if cols == ["p_out"] else [
+        *M._level_columns(F.col("_s"), o), *M._interval_columns(o, qs, levels)]
+    names = ["auc", "brier", "base_rate"] if cols == ["p_out"] else ["mae", "coverage", "coverage_error"]
+    got = M.ordered(base, by, [5], tie).groupBy(*by).agg(M._rank_ic().alias("rank_ic"), M._spread(5).alias("quintile_spread"), *own)
+    size = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return M._merge([size, got.select(*by, "rank_ic", "quintile_spread", *names)], by)
 
 
 def slice_metrics_from_predictions(preds: DataFrame, panel: DataFrame, keys: Sequence[str] = (),

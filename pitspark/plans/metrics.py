@@ -11,8 +11,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pitspark.functions.distributions import t_two_sided_p
-from pitspark.functions.ordering import average_rank, bucketize, quantiles, value_offsets
+from pitspark.functions.ordering import average_rank, bucket_at, bucketize, quantiles, row_index, value_offsets
 from pitspark.functions.scalar import finite, period_end
+from pitspark.session import durable
 from pitspark.sources.predictions import quoted
 
 
@@ -33,6 +34,52 @@ def counts(df: DataFrame, keys: Sequence[str], y: str, cols: Sequence[str]) -> D
                                  F.count_if(~F.coalesce(ok, F.lit(False))).alias("n_dropped"))
 
 
+def ordered(base: DataFrame, keys: Sequence[str], buckets: Sequence[int] = (), tie: str | None = None) -> DataFrame:
+    """``base`` rows (keys, tie, _s, _y, ...) with everything that order metrics need: average ranks ``_rs`` and
+    ``_ry``, ``_n`` rows of the key and ``_b<k>``, the row's bucket of k by (score, tie). Score and outcome are
+    put in order once, whatever is asked of them; only runs of equal scores that straddle a border are
+    numbered by tie."""
+    keys = list(keys)
+    s = value_offsets(base, keys, "_s").select(*keys, "_s", F.col("below").alias("_below"), F.col("cnt").alias("_run"),
+                                               F.col("n").alias("_n"))
+    t = value_offsets(base, keys, "_y").select(*keys, "_y", (F.col("below") + (F.col("cnt") + 1) / 2).alias("_ry"))
+    rows = base.join(s, [*keys, "_s"]).join(t, [*keys, "_y"]).withColumn("_rs", F.col("_below") + (F.col("_run") + 1) / 2)
+    if not buckets:
+        return rows
+    ends = [bucket_at(F.col("_below"), F.col("_n"), k) != bucket_at(F.col("_below") + F.col("_run") - 1, F.col("_n"), k)
+            for k in buckets]
+    rows = durable(rows.withColumn("_cut", reduce(lambda a, b: a | b, ends)))
+    split = row_index(rows.where("_cut"), [*keys, "_s"], None, tie, "_at")
+    rows = rows.where("not _cut").withColumn("_at", F.lit(0)).unionByName(split)
+    return rows.withColumns({f"_b{k}": bucket_at(F.col("_below") + F.col("_at"), F.col("_n"), k) for k in buckets})
+
+
+def _rank_ic() -> Column:
+    n = F.count(F.lit(1))
+    return F.when((n >= 3) & _varies("_s") & _varies("_y"), _corr("_rs", "_ry"))
+
+
+def _ic_p(ic: Column, n: Column) -> Column:
+    return t_two_sided_p(ic * F.sqrt((n - 2) / F.greatest(1 - ic * ic, F.lit(1e-300))), n - 2)
+
+
+def _end_means(k: int) -> list[Column]:
+    """Mean outcome of the top and the bottom bucket of ``ordered`` rows."""
+    return [F.when((F.max("_n") >= 5 * k) & _varies("_s"), F.avg(F.when(F.col(f"_b{k}") == b, F.col("_y")))) for b in (k, 1)]
+
+
+def _spread(k: int) -> Column:
+    top, bottom = _end_means(k)
+    return top - bottom
+
+
+def _auc() -> Column:
+    up = F.col("_y") > 0
+    pos, neg = F.count_if(up), F.count_if(~up)
+    num = F.sum(F.when(up, F.col("_rs"))) - pos * (pos + 1) / 2
+    return F.when((pos > 0) & (neg > 0) & _varies("_s"), num / (pos * neg))
+
+
 def _varies(c: str | Column) -> Column:
     return F.min(c) < F.max(c)
 
@@ -59,11 +106,7 @@ def rank_ic(df: DataFrame, keys: Sequence[str], score: str, y: str, p_value: boo
     got = with_ranks(base, keys, {"_s": "_rs", "_y": "_ry"}).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.when((F.count(F.lit(1)) >= 3) & _varies("_s") & _varies("_y"),
                                              _corr("_rs", "_ry")).alias("rank_ic"))
-    if not p_value:
-        return got
-    r = F.col("rank_ic")
-    t = r * F.sqrt((F.col("n") - 2) / F.greatest(1 - r * r, F.lit(1e-300)))
-    return got.withColumn("rank_ic_p", t_two_sided_p(t, F.col("n") - 2))
+    return got.withColumn("rank_ic_p", _ic_p(F.col("rank_ic"), F.col("n"))) if p_value else got
 
 
 def pearson_ic(df: DataFrame, keys: Sequence[str], score: str, y: str) -> DataFrame:
@@ -130,21 +173,23 @@ def level_metrics(df: DataFrame, keys: Sequence[str], point: str, y: str, median
     errors; without it this is one aggregate."""
     df, keys = _keys(df, keys)
     rows = scorable(df, y, [point]).select(*keys, quoted(point).alias("_p"), F.col(y).alias("_y"),
-                                           (quoted(point) - F.col(y)).alias("_e"),
                                            F.abs(quoted(point) - F.col(y)).alias("_a"))
-    got = rows.groupBy(*keys).agg(
-        hit_rate(F.col("_p"), F.col("_y")).alias("hit_rate"), F.avg("_a").alias("mae"),
-        F.sqrt(F.avg(F.col("_e") ** 2)).alias("rmse"), F.avg("_e").alias("bias"),
-        F.when(F.sum(F.col("_y") ** 2) > 0,
-               1 - F.sum(F.col("_e") ** 2) / F.sum(F.col("_y") ** 2)).alias("r2_vs_zero"))
+    got = rows.groupBy(*keys).agg(*_level_columns(F.col("_p"), F.col("_y")))
     if not median:
         return got
     return got.join(quantiles(rows, keys, "_a", {"medae": 0.5}).drop("n"), keys)
 
 
-def pinball_row(y: Column, cols: Sequence[str], levels: Sequence[float]) -> Column:
+def _level_columns(p: Column, y: Column) -> list[Column]:
+    e = p - y
+    return [hit_rate(p, y).alias("hit_rate"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e ** 2)).alias("rmse"),
+            F.avg(e).alias("bias"), F.when(F.sum(y ** 2) > 0, 1 - F.sum(e ** 2) / F.sum(y ** 2)).alias("r2_vs_zero")]
+
+
+def pinball_row(y: Column, cols: Sequence[str | Column], levels: Sequence[float]) -> Column:
     """Loss of one row averaged over its quantile levels."""
-    parts = [F.greatest(q * (y - quoted(c)), (q - 1.0) * (y - quoted(c))) for c, q in zip(cols, levels)]
+    qs = [quoted(c) if isinstance(c, str) else c for c in cols]
+    parts = [F.greatest(q * (y - c), (q - 1.0) * (y - c)) for c, q in zip(qs, levels)]
     return reduce(lambda a, b: a + b, parts) / len(parts)
 
 
@@ -152,16 +197,20 @@ def interval_metrics(df: DataFrame, keys: Sequence[str], y: str, cols: Sequence[
                      levels: Sequence[float], counted: bool = False) -> DataFrame:
     """Pinball, coverage, misses, width and interval score of the outer pair; ``counted`` adds n."""
     df, keys = _keys(df, keys)
-    o, lo, hi = F.col(y), quoted(cols[0]), quoted(cols[-1])
+    return scorable(df, y, cols).groupBy(*keys).agg(*[F.count(F.lit(1)).alias("n")] * counted,
+                                                    *_interval_columns(F.col(y), [quoted(c) for c in cols], levels))
+
+
+def _interval_columns(o: Column, qs: Sequence[Column], levels: Sequence[float]) -> list[Column]:
+    lo, hi = qs[0], qs[-1]
     nominal = levels[-1] - levels[0]
     miss = F.when(o < lo, lo - o).when(o > hi, o - hi).otherwise(0.0)
     cover = F.avg((~(o < lo) & ~(o > hi)).cast("int"))
     score = hi - lo + (2 / (1 - nominal)) * miss if nominal < 1 else hi - lo
-    return scorable(df, y, cols).groupBy(*keys).agg(
-        *[F.count(F.lit(1)).alias("n")] * counted, F.avg(pinball_row(o, cols, levels)).alias("pinball"), cover.alias("coverage"),
-        F.lit(nominal).alias("nominal_coverage"), (cover - nominal).alias("coverage_error"),
-        F.avg((o < lo).cast("int")).alias("frac_below_lo"), F.avg((o > hi).cast("int")).alias("frac_above_hi"),
-        F.avg(hi - lo).alias("mean_interval_width"), F.avg(score).alias("interval_score"))
+    return [F.avg(pinball_row(o, qs, levels)).alias("pinball"), cover.alias("coverage"),
+            F.lit(nominal).alias("nominal_coverage"), (cover - nominal).alias("coverage_error"),
+            F.avg((o < lo).cast("int")).alias("frac_below_lo"), F.avg((o > hi).cast("int")).alias("frac_above_hi"),
+            F.avg(hi - lo).alias("mean_interval_width"), F.avg(score).alias("interval_score")]
 
 
 def auc(df: DataFrame, keys: Sequence[str], p: str, y: str) -> DataFrame:
@@ -180,12 +229,19 @@ def auc(df: DataFrame, keys: Sequence[str], p: str, y: str) -> DataFrame:
 def probability_metrics(df: DataFrame, keys: Sequence[str], p: str, y: str) -> DataFrame:
     """Brier score and skill, log loss, accuracy, base rate, mean probability."""
     df, keys = _keys(df, keys)
-    q, up = quoted(p), (F.col(y) > 0).cast("double")
+    got = scorable(df, y, [p]).groupBy(*keys).agg(*_probability_columns(quoted(p), F.col(y)))
+    return _with_skill(got)
+
+
+def _probability_columns(q: Column, y: Column) -> list[Column]:
+    up = (y > 0).cast("double")
     c = F.greatest(F.least(q, F.lit(1 - 1e-7)), F.lit(1e-7))
-    got = scorable(df, y, [p]).groupBy(*keys).agg(
-        F.avg(up).alias("base_rate"), F.avg((q - up) ** 2).alias("brier"),
-        F.avg(-(up * F.log(c) + (1 - up) * F.log(1 - c))).alias("logloss"),
-        F.avg(((q > 0.5) == (up > 0.5)).cast("int")).alias("accuracy"), F.avg(q).alias("mean_p"))
+    return [F.avg(up).alias("base_rate"), F.avg((q - up) ** 2).alias("brier"),
+            F.avg(-(up * F.log(c) + (1 - up) * F.log(1 - c))).alias("logloss"),
+            F.avg(((q > 0.5) == (up > 0.5)).cast("int")).alias("accuracy"), F.avg(q).alias("mean_p")]
+
+
+def _with_skill(got: DataFrame) -> DataFrame:
     ref = F.col("base_rate") * (1 - F.col("base_rate"))
     return got.withColumn("brier_skill", F.when(ref > 0, 1 - F.col("brier") / ref))
 
@@ -194,30 +250,50 @@ def _merge(parts: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
     return reduce(lambda a, b: a.join(b, list(keys), "left"), parts)
 
 
+def _order_base(rows: DataFrame, keys: Sequence[str], tie: str, point: str, y: str, cols: Sequence[str]) -> DataFrame:
+    return durable(rows.select(*keys, tie, quoted(point).alias("_s"), F.col(y).alias("_y"),
+                               *[quoted(c).alias(f"_c{i}") for i, c in enumerate(cols)]))
+
+
+def _order_columns() -> list[Column]:
+    top, bottom = _end_means(5)
+    return [F.count(F.lit(1)).alias("_m"), _rank_ic().alias("rank_ic"),
+            F.when((F.count(F.lit(1)) >= 3) & _varies("_s") & _varies("_y"), _corr("_s", "_y")).alias("pearson_ic"),
+            _spread(10).alias("decile_spread"), _spread(5).alias("quintile_spread"), top.alias("top_bucket_mean"),
+            bottom.alias("bottom_bucket_mean")]
+
+
+def _with_medians(got: DataFrame, ranked: DataFrame, keys: list[str]) -> DataFrame:
+    mid = quantiles(ranked.where(F.col("_b5").isin(1, 5)), [*keys, "_b5"], "_y", {"_q": 0.5})
+    ends = mid.groupBy(*keys).agg(*[F.max(F.when(F.col("_b5") == b, F.col("_q"))).alias(f"{n}_bucket_median")
+                                    for b, n in ((5, "top"), (1, "bottom"))])
+    ok = F.col("top_bucket_mean").isNotNull()
+    names = ["top_bucket_median", "bottom_bucket_median"]
+    got = got.join(ends, keys, "left").withColumns({c: F.when(ok, F.col(c)) for c in names})
+    return got.withColumns({"median_spread": F.col(names[0]) - F.col(names[1]),
+                            "rank_ic_p": _ic_p(F.col("rank_ic"), F.col("_m"))}).drop("_m")
+
+
 def evaluate(df: DataFrame, keys: Sequence[str], y: str, cols: Sequence[str], levels: Sequence[float],
              tie: str = "id") -> DataFrame:
-    """All metrics of quantile forecasts, one row per key."""
+    """All metrics of quantile forecasts, one row per key: rows are ranked once and added up in one pass."""
     df, keys = _keys(df, keys)
-    point = cols[list(levels).index(0.5)]
-    rows = scorable(df, y, cols)
-    return _merge([counts(df, keys, y, cols), rank_ic(rows, keys, point, y, p_value=True).drop("n"),
-                   pearson_ic(rows, keys, point, y),
-                   bucket_spread(rows, keys, point, y, tie, 10, "decile_spread"),
-                   bucket_spread(rows, keys, point, y, tie, 5, "quintile_spread"),
-                   bucket_stats(rows, keys, point, y, tie), level_metrics(rows, keys, point, y),
-                   interval_metrics(rows, keys, y, cols, levels)], keys)
+    base = _order_base(scorable(df, y, cols), keys, tie, cols[list(levels).index(0.5)], y, cols)
+    ranked = durable(ordered(base, keys, (10, 5), tie))
+    got = ranked.groupBy(*keys).agg(*_order_columns(), *_level_columns(F.col("_s"), F.col("_y")), *_interval_columns(
+        F.col("_y"), [F.col(f"_c{i}") for i in range(len(cols))], levels))
+    errors = quantiles(ranked.withColumn("_a", F.abs(F.col("_s") - F.col("_y"))), keys, "_a", {"medae": 0.5}).drop("n")
+    return _merge([counts(df, keys, y, cols), _with_medians(got, ranked, keys), errors], keys)
 
 
 def evaluate_binary(df: DataFrame, keys: Sequence[str], y: str, p: str = "p_out",
                     tie: str = "id") -> DataFrame:
     """All metrics of probability forecasts; order metrics against the continuous outcome."""
     df, keys = _keys(df, keys)
-    rows = scorable(df, y, [p])
-    got = _merge([counts(df, keys, y, [p]), rank_ic(rows, keys, p, y, p_value=True).drop("n"),
-                  pearson_ic(rows, keys, p, y), bucket_spread(rows, keys, p, y, tie, 10, "decile_spread"),
-                  bucket_spread(rows, keys, p, y, tie, 5, "quintile_spread"),
-                  bucket_stats(rows, keys, p, y, tie), auc(rows, keys, p, y),
-                  probability_metrics(rows, keys, p, y)], keys)
+    ranked = durable(ordered(_order_base(scorable(df, y, [p]), keys, tie, p, y, []), keys, (10, 5), tie))
+    got = _with_skill(ranked.groupBy(*keys).agg(*_order_columns(), _auc().alias("auc"),
+                                                *_probability_columns(F.col("_s"), F.col("_y"))))
+    got = _merge([counts(df, keys, y, [p]), _with_medians(got, ranked, keys)], keys)
     return got.withColumn("hit_rate", F.col("accuracy"))
 
 

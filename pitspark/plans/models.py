@@ -294,18 +294,30 @@ def validation_loss(scored: DataFrame, y: str, binary: bool) -> float:
     return scored.agg(F.avg(loss)).first()[0]
 
 
-def tree_importances(rows: DataFrame, y: str, features: Sequence[str], binary: bool = False,
-                     params: dict | None = None, seed: int = 0, rounds: int = ROUNDS, patience: int = PATIENCE) -> DataFrame:
-    """G2 input: (fold, feature, gain) of boosted trees fitted on every fold, side by side."""
+def fold_models(rows: DataFrame, y: str, features: Sequence[str], binary: bool = False, params: dict | None = None,
+                seed: int = 0, rounds: int = ROUNDS, patience: int = PATIENCE) -> dict[int, PipelineModel]:
+    """Boosted trees of every fold, fitted side by side."""
     rows = durable(rows)
 
-    def one(k: int) -> list[tuple]:
+    def one(k: int) -> PipelineModel:
         part = rows.where(F.col("fold") == k)
-        model = fit_trees(of_role(part, "train"), of_role(part, "val"), y, features, binary, params, seed, rounds, patience)
-        return [(k, f, float(g)) for f, g in zip(features, model.stages[-1].featureImportances.toArray())]
+        return fit_trees(of_role(part, "train"), of_role(part, "val"), y, features, binary, params, seed, rounds, patience)
+
+    ids = fold_ids(rows)
+    return dict(zip(ids, side_by_side([partial(one, k) for k in ids], rows.sparkSession)))
+
+
+def score_folds(models: dict[int, PipelineModel], rows: DataFrame, binary: bool = False) -> DataFrame:
+    """``rows`` with the ``score`` of their own fold's model."""
+    return reduce(DataFrame.unionByName, [score_with(m, rows.where(F.col("fold") == k), binary) for k, m in models.items()])
 
-    out = side_by_side([partial(one, k) for k in fold_ids(rows)], rows.sparkSession)
-    return rows.sparkSession.createDataFrame(sum(out, []), "fold int, feature string, gain double")
+
+def tree_importances(rows: DataFrame, y: str, features: Sequence[str], binary: bool = False,
+                     params: dict | None = None, seed: int = 0, rounds: int = ROUNDS, patience: int = PATIENCE) -> DataFrame:
+    """G2 input: (fold, feature, gain) of boosted trees fitted on every fold."""
+    models = fold_models(rows, y, features, binary, params, seed, rounds, patience)
+    out = [(k, f, float(g)) for k, m in models.items() for f, g in zip(features, m.stages[-1].featureImportances.toArray())]
+    return rows.sparkSession.createDataFrame(out, "fold int, feature string, gain double")
 
 
 # ---- penalised linear models from sufficient statistics ----
@@ -524,3 +536,33 @@ def score_new(panel: DataFrame, path: str, features: Sequence[str]) -> DataFrame
     for p, o in zip(LEVELS, off):
         got = got.withColumn(f"q{round(p * 100)}", F.col("score") + (o - mid))
     return got.withColumns({f"mult_q{round(p * 100)}": F.exp(f"q{round(p * 100)}") for p in LEVELS}).drop("score")
+
+
+def fit_bundle(panel: DataFrame, split: DataFrame, horizons: Sequence[int], features: Sequence[str], path: str,
+               **options) -> None:
+    """A stored bundle with one ``fit_final`` per horizon, each on the rows that have its label."""
+    for h in horizons:
+        labelled = panel.where(finite(f"y_{h}"))
+        fit_final(labelled, split, f"y_{h}", features, f"{path}/horizon={h}", **options)
+    panel.sparkSession.createDataFrame([(int(h),) for h in sorted(horizons)], "horizon int").coalesce(1).write.mode(
+        "overwrite").parquet(f"{path}/horizons")
+
+
+def score_bundle(panel: DataFrame, path: str, features: Sequence[str], new_only: bool = True) -> DataFrame:
+    """Forecasts of a stored bundle for the rows of an inference panel: (id, d, grp) with p_out_<h> of every
+    horizon, or the quantiles and multiples of the main (longest) one. ``new_only`` takes rows without
+    a label of the main horizon, which no model can have been fitted on."""
+    horizons = [r["horizon"] for r in panel.sparkSession.read.parquet(f"{path}/horizons").collect()]     # a handful
+    main = max(horizons)
+    rows = panel.where(~F.coalesce(finite(f"y_{main}"), F.lit(False))) if new_only else panel
+    out = rows.select("id", "d", "grp", *[quoted(f) for f in features])
+    names = []
+    for h in sorted(horizons):
+        got = score_new(out, f"{path}/horizon={h}", features)
+        if "p_out" in got.columns:
+            out = got.withColumnRenamed("p_out", f"p_out_{h}")
+            names.append(f"p_out_{h}")
+        elif h == main:
+            names = [c for c in got.columns if c not in out.columns]
+            out = got
+    return out.select("id", "d", "grp", *names)

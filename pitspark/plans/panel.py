@@ -7,7 +7,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, functions as F
 
 from pitspark.functions.scalar import fill_zero
-from pitspark.operators import expanding, interval, labels, members, series
+from pitspark.operators import contract, expanding, interval, labels, members, series
 from pitspark.operators.asof import asof_lookup, require_pit, series_keys
 from pitspark.session import durable
 
@@ -197,7 +197,9 @@ def assemble_panel(t: Tables, horizons: Sequence[int] = labels.HORIZONS, anchor:
 
 
 def checked_panel(t: Tables, **options) -> DataFrame:
-    """L6 after the checks that raise: child rows must predate their event."""
+    """L6 after the contract (C0): any error line raises with the whole list, before a feature is computed."""
+    contract.require_contract(contract.check(
+        {n: getattr(t, n) for n in contract.REQUIRED}, [c for c in ("flag_a", "flag_b") if c in t.events.columns]))
     if t.peers is not None:
         require_pit(t.peers, t.events, "id", "asof", "d")
     return assemble_panel(t, **options)

@@ -220,3 +220,36 @@ def test_a_benchmark_that_starts_late_is_an_error(spark):
     assert [r.id for r in labels.uncovered(rets).collect()] == [1]
     with pytest.raises(ValueError, match="1 events"):
         labels.require_benchmark(rets)
+
+
+def test_trailing_returns_of_shared_series_equal_those_of_paths(spark):
+    r = np.random.default_rng(1)
+    days = sorted(r.choice(400, 230, replace=False).tolist())
+    series_ = spark.createDataFrame([(g, day(d), float(r.uniform(1, 9))) for g in "ab" for d in days], "g string, date date, p double")
+    events = spark.createDataFrame([(i, "abc"[i % 3], day(r.integers(-10, 430))) for i in range(120)], "id long, g string, d date")
+    paths = interval.event_window(series_, events, "g", "date", "d", "id", -140, -1)
+    want = series.peer_trailing_returns(paths, ["id", "g"], "date", "p")
+    got = series.trailing_returns(series_, events, ["g"], "date", "p", "d", "id")
+    cols = ["id", "g", "ret_21d", "ret_63d", "asof"]
+    a, b = (sorted(map(tuple, x.select(cols).collect())) for x in (got, want))
+    assert a == b and len(a) > 50 and any(x[3] is None for x in a)
+
+
+def test_contract_report_and_guard(spark):
+    from pitspark.operators import contract
+    ev = spark.createDataFrame([(i, f"2020-01-{1 + i % 28:02d}", "a", "1.5", "2", 1) for i in range(40)] + [(0, "x", "b", "-1", "z", 2)],
+                               "id long, d string, grp string, offer string, size string, flag int")
+    px = spark.createDataFrame([(i, day(i), 1.0) for i in range(30)], "id long, date date, close double")
+    bench = spark.createDataFrame([("a", day(-5 + 7 * i), 1.0) for i in range(9)], "grp string, date date, close double")
+    tables = {"events": ev, "prices": px, "bench": bench, "risk": None, "peers": px.select("id", F.lit(0.1).alias("ret_21d"))}
+    got = {(x.severity, x.table_name, x.rule, x.n, x.detail) for x in contract.check(tables, ["flag"]).collect()}
+    assert got >= {("error", "risk", "missing_table", 1, ""), ("info", "deals", "missing_table", 1, ""),
+                   ("error", "events", "duplicate:id", 1, ""), ("error", "events", "unparseable:d", 1, ""),
+                   ("error", "events", "not_numeric:size", 1, ""), ("warning", "events", "not_positive:offer", 1, ""),
+                   ("error", "events", "not_flag:flag", 1, ""), ("warning", "events", "thin_group", 1, "b"),
+                   ("warning", "prices", "no_price_rows", 10, ""), ("error", "bench", "no_series", 1, "b"),
+                   ("warning", "bench", "not_daily", 7, "a"), ("error", "peers", "no_asof", 1, "asof")}
+    with pytest.raises(ValueError, match="duplicate:id"):
+        contract.require_contract(contract.check(tables, ["flag"]))
+    no_prices = contract.check({"events": ev.drop("offer"), "prices": None}).collect()
+    assert {(x.rule, x.detail) for x in no_prices} >= {("missing_column", "offer"), ("missing_table", "")}

@@ -168,3 +168,61 @@ def test_calibration_effect_has_both_stages(spark):
     assert abs(rows["after"].coverage - 0.8) < abs(rows["before"].coverage - 0.8)
     with pytest.raises(ValueError):
         K.margins(spark.createDataFrame(pdf), [0.1, 0.9])
+
+
+def test_additive_bootstrap_equals_numpy(spark):
+    r = np.random.default_rng(2)
+    n = 400
+    pdf = pd.DataFrame({"rung": r.choice(["A", "B"], n), "u": r.integers(0, 9, n), "id": np.arange(n), "y_true": r.normal(size=n)})
+    pdf["q0.5"] = 0.3 * pdf.y_true + r.normal(size=n) * 0.2
+    pdf["q0.1"], pdf["q0.9"] = pdf["q0.5"] - 0.8, pdf["q0.5"] + 0.9
+    names = ["mae", "rmse", "bias", "hit_rate", "r2_vs_zero", "pinball", "coverage", "interval_score", "pearson_ic"]
+    got = I.bootstrap_metric(spark.createDataFrame(pdf), ["rung"], [*names, "rank_ic"], "y_true", "u", n_boot=40, seed=3).toPandas()
+    assert len(got) == 2 * (len(names) + 1)
+    cols, levels = ["q0.1", "q0.5", "q0.9"], [0.1, 0.5, 0.9]
+
+    def metric(rows):
+        d = rows.copy()
+        d["rung"] = "x"
+        e = M.evaluate(spark.createDataFrame(d), ["rung"], "y_true", cols, levels, "id").first()
+        return {m: e[m] for m in names}
+
+    for rung, own in pdf.groupby("rung"):
+        blocks = [g for _, g in own.groupby("u")]
+        picks = I.drawn_units(40, len(blocks), 3)
+        err = [pd.concat([blocks[i] for i in p]) for p in picks]
+        mae = [np.abs(d["q0.5"] - d.y_true).mean() for d in err]
+        r2 = [1 - ((d["q0.5"] - d.y_true) ** 2).sum() / (d.y_true ** 2).sum() for d in err]
+        ic = [np.corrcoef(d["q0.5"], d.y_true)[0, 1] for d in err]
+        want = metric(own)
+        t = got[got.rung == rung].set_index("metric")
+        for m in names:
+            assert abs(t.estimate[m] - want[m]) < 1e-9
+        for m, v in (("mae", mae), ("r2_vs_zero", r2), ("pearson_ic", ic)):
+            np.testing.assert_allclose([t.lo[m], t.hi[m]], np.percentile(v, [2.5, 97.5]), atol=1e-9)
+    with pytest.raises(ValueError, match="no bootstrap of"):
+        I.bootstrap_metric(spark.createDataFrame(pdf), ["rung"], ["medae"], "y_true", "u")
+
+
+def test_order_metrics_of_constant_tiny_and_tied_groups(spark):
+    """``evaluate`` ranks once; the single functions rank by themselves and must agree."""
+    r = np.random.default_rng(5)
+    rows = []
+    for g, n in (("big", 130), ("tied", 120), ("constant", 60), ("small", 12), ("two", 2)):
+        for i in range(n):
+            s = {"big": r.normal(), "tied": float(r.integers(0, 3)), "constant": 1.0}.get(g, r.normal())
+            rows.append((g, len(rows), r.normal(), s - 1, s, s + 1))
+    df = spark.createDataFrame(rows, "rung string, id long, y_true double, `q0.1` double, `q0.5` double, `q0.9` double")
+    cols, levels = ["q0.1", "q0.5", "q0.9"], [0.1, 0.5, 0.9]
+    got = {x["rung"]: x.asDict() for x in M.evaluate(df, ["rung"], "y_true", cols, levels).collect()}
+    single = [M.rank_ic(df, ["rung"], "q0.5", "y_true", p_value=True).drop("n"), M.pearson_ic(df, ["rung"], "q0.5", "y_true"),
+              M.bucket_spread(df, ["rung"], "q0.5", "y_true", "id", 10, "decile_spread"),
+              M.bucket_spread(df, ["rung"], "q0.5", "y_true", "id", 5, "quintile_spread"),
+              M.bucket_stats(df, ["rung"], "q0.5", "y_true", "id"), M.level_metrics(df, ["rung"], "q0.5", "y_true"),
+              M.interval_metrics(df, ["rung"], "y_true", cols, levels)]
+    for part in single:
+        for x in part.collect():
+            for c in part.columns[1:]:
+                a, b = got[x["rung"]][c], x[c]
+                assert (a is None) == (b is None) and (a is None or abs(a - b) < 1e-12), (x["rung"], c, a, b)
+    assert got["constant"]["rank_ic"] is None and got["small"]["quintile_spread"] is None and got["tied"]["decile_spread"] is not None
