@@ -9,7 +9,7 @@ negatives of every window of scores. What it returns is therefore exact, whateve
 only decide how much is looked at.
 
 Rows are dealt in blocks of neighbouring cells, and a full cell is cut by hash, so a hot cell fills several
-blocks. Anchors travel to the blocks packed by the hundred; a task holds one block and one pack, and sends on
+blocks; a block is small enough for every task to have two, and large enough to be worth the anchors. Anchors travel to the blocks packed by the hundred; a task holds one block and one pack, and sends on
 at most a few rows per anchor and block, of which a window by anchor keeps the first.
 
 The codebooks are fitted on a sample of at most ``SAMPLE`` rows (those with the least hashes); every row is indexed.
@@ -35,7 +35,7 @@ from pitspark.session import durable
 WORDS = 32                  # code words of a half
 SAMPLE = 8192               # rows that the codebooks are fitted on, at most
 ROUNDS = 10                 # of k-means
-BLOCK = 8192                # rows of a block
+SMALL_BLOCK, LARGE_BLOCK = 1024, 65536      # rows of a block: half a task's share between these
 PACK = 128                  # anchors that travel together
 POSITIVES, NEGATIVES = 5, 5
 LOW, HIGH, WHOLE = 80, 100, 100     # a negative's score lies between LOW and HIGH hundredths of the positive's
@@ -190,10 +190,13 @@ def in_cells(rows: DataFrame, books: list[np.ndarray], width: int) -> DataFrame:
     return rows.mapInArrow(work, "uid long, id long, label long, x array<double>, cell int")
 
 
-def in_blocks(cells: DataFrame, size: int) -> tuple[DataFrame, int]:
+def in_blocks(cells: DataFrame, size: int | None) -> tuple[DataFrame, int]:
     """Rows with the number of their block: neighbouring cells fill a block, a larger cell is cut by hash.
     The driver sees one row per cell, at most WORDS x WORDS."""
     counts = sorted((r["cell"], r["n"]) for r in cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect())
+    if size is None:
+        tasks = 2 * int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        size = min(LARGE_BLOCK, max(SMALL_BLOCK, -(-sum(n for _, n in counts) // tasks)))
     first, pieces, block, held = [], [], 0, 0
     for cell, n in counts:
         parts = -(-n // size)
@@ -263,7 +266,7 @@ def first_of(found: DataFrame, keys: list[str], count: int) -> DataFrame:
 def hard_negatives(vectors: DataFrame, anchor: Column, id_col: str = "vec_id", vector_col: str = "embedding",
                    label: Column | None = None, scale: float = 256.0, positives: int = POSITIVES,
                    negatives: int = NEGATIVES, low: tuple[int, int] = (LOW, WHOLE), words: int = WORDS,
-                   sample: int = SAMPLE, block: int = BLOCK, seed: int = 11) -> DataFrame:
+                   sample: int = SAMPLE, block: int | None = None, seed: int = 11) -> DataFrame:
     """(anchor_id, positive_id, rank, negative_id, positive_score, negative_score). ``anchor`` says of the
     whole-number ``id`` which rows are anchors; ``label`` is a whole number."""
     rows = whole_vectors(vectors, id_col, vector_col, vectors["label"] if label is None else label, scale)
