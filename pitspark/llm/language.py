@@ -185,11 +185,14 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
         F.sum("n").alias("n"), *[F.sum(F.when(F.col("lang") == i, F.col("n")).otherwise(0)).alias(f"n{i}")
                                  for i in range(len(languages))])
     codes, scores = [], []
-    wide = wide.where("n >= 2").repartition("size", "code").persist()
+    wide = wide.repartition("size", "code").persist()
     totals = {r["size"]: r for r in wide.groupBy("size").agg(
         *[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(languages))]).collect()}
     for size in range(LONGEST + 1):
-        kept = (wide.where(F.col("size") == size).orderBy(F.desc("n"), "code")
+        # by the largest share an entry has of a language, so that a small language keeps its words beside large ones
+        rate = F.greatest(*[F.col(f"n{i}") / max(1, totals[size][f"n{i}"]) if size in totals else F.lit(0.0)
+                            for i in range(len(languages))], F.lit(0.0))
+        kept = (wide.where(F.col("size") == size).orderBy(rate.desc(), F.desc("n"), "code")
                 .limit(kept_grams if size else kept_words).drop("size", "n").toArrow())
         table_ = np.stack([kept.column(f"n{i}").to_numpy() for i in range(len(languages))], 1).astype(np.float64)
         total = np.array([totals[size][f"n{i}"] for i in range(len(languages))]) if size in totals else 0.0

@@ -34,7 +34,7 @@ from pitspark.session import durable
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 16, 4
-DF_BITS = 18                # cells of the document frequency table
+DF_BITS = 22                # cells of the document frequency table: 16 MB, whatever the size of the corpus
 POOL_BITS = 16              # variates a sample chooses from by hash
 BLOCK, BLOCK_BYTES = 2048, 1 << 23      # texts, and their bytes, of a block of a bucket
 SMALLEST = -(1 << 63)
@@ -75,7 +75,7 @@ class Sampler:
 def shingles(texts: Texts, hasher: Hasher, idf: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, hash, weight) of the distinct shingles of every text, sorted by both."""
     words = words_of(texts, hasher)
-    own = idf[(words.code >> np.uint64(64 - DF_BITS)).astype(np.int64)]
+    own = idf[(words.code >> np.uint64(64 - DF_BITS)).astype(np.int64)].astype(np.float64)
     code, owner = word_grams(words, n)
     count = np.diff(words.first)
     sums = np.concatenate([[0.0], np.cumsum(own)])
@@ -97,17 +97,18 @@ def document_frequencies(rows: DataFrame) -> np.ndarray:
     cells = 1 << DF_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        hasher, found = Hasher(), np.zeros(cells + 1, np.int64)
+        hasher, found = Hasher(), np.zeros(cells + 1, np.int32)
         for part, texts in slices(batches, "text"):
             words = words_of(texts, hasher)
             owner = np.repeat(np.arange(part.num_rows), np.diff(words.first))
             key = np.unique((owner << DF_BITS) | (words.code >> np.uint64(64 - DF_BITS)).astype(np.int64))
-            found[:-1] += np.bincount(key & (cells - 1), minlength=cells)
+            cell, times = np.unique(key & (cells - 1), return_counts=True)
+            found[cell] += times.astype(np.int32)
             found[-1] += part.num_rows
         return found
 
     found = summed(rows.select("text"), count, cells + 1)
-    return 1.0 + np.log((1 + found[-1]) / (1 + found[:-1]))
+    return (1.0 + np.log((1 + found[-1]) / (1 + found[:-1]))).astype(np.float32)
 
 
 def sketches(rows: DataFrame, idf: Broadcast, n: int, bands: int, band_rows: int) -> DataFrame:

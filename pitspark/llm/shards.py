@@ -1,7 +1,8 @@
 """Operator 4 (native): shards by a k-d tree over row metadata.
 
 The tree splits at weighted medians, the weight being bytes, along the dimension that is widest in the node
-compared with the whole, until every leaf holds about the target bytes. A median is found by counting
+compared with the whole, until every leaf holds about the target bytes. A node that has to become an odd number
+of leaves is split where its lighter side weighs that many shares. A median is found by counting
 bytes in equal ranges of the dimension and looking again inside the range that holds it, all nodes of a
 level in one pass over a narrow table; the driver sees a fixed number of sums a pass. Only DataFrame
 operations are used.
@@ -47,11 +48,12 @@ def leaf_of(cuts: dict[int, Cut], node: int = 1) -> Column:
 
 
 def _medians(units: DataFrame, cuts: dict[int, Cut], widest: dict[int, str], stats: dict[int, dict],
-             fine: float, bins: int) -> dict[int, Cut]:
-    """A cut near the weighted median of each node in ``widest``, along its dimension."""
+             leaves: dict[int, int], fine: float, bins: int) -> dict[int, Cut]:
+    """A cut near the weighted median of each node in ``widest``, along its dimension: half of the node's leaves,
+    rounded down, go to the left."""
     placed = units.withColumn("_node", leaf_of(cuts)).where(F.col("_node").isin(list(widest)))
     state = {n: {"prefix": [], "low": stats[n][f"low_{d}"], "high": stats[n][f"high_{d}"], "before": 0,
-                 "half": stats[n]["w"] / 2} for n, d in widest.items()}
+                 "half": stats[n]["w"] * (leaves[n] // 2) / leaves[n]} for n, d in widest.items()}
     found: dict[int, Cut] = {}
     while len(found) < len(widest):
         value, low, step, inside = F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(1), F.lit(False)
@@ -93,18 +95,19 @@ def _medians(units: DataFrame, cuts: dict[int, Cut], widest: dict[int, str], sta
     return found
 
 
-def tree(units: DataFrame, dims: list[str], target: float, bins: int = BINS,
+def tree(units: DataFrame, dims: list[str], shards: int, target: float, bins: int = BINS,
          exact_share: float = EXACT_SHARE) -> dict[int, Cut]:
-    """Cuts of a k-d tree over (dims, _tie, _part, _w) units until leaves weigh about the target."""
+    """Cuts of a k-d tree over (dims, _tie, _part, _w) units with ``shards`` leaves that weigh about the target;
+    fewer where a node is a single unit."""
     cuts: dict[int, Cut] = {}
-    done: set[int] = set()
+    leaves = {1: shards}
     whole: dict | None = None
     while True:
         stats = {r["_node"]: r.asDict() for r in units.withColumn("_node", leaf_of(cuts)).groupBy("_node").agg(
             F.sum("_w").alias("w"), F.count(F.lit(1)).alias("n"),
             *[f(d).alias(f"{side}_{d}") for d in dims for side, f in (("low", F.min), ("high", F.max))]).collect()}
         whole = whole or stats.get(1)
-        open_ = {n: s for n, s in stats.items() if n not in done and s["w"] > 1.5 * target and s["n"] > 1}
+        open_ = {n: s for n, s in stats.items() if leaves[n] > 1 and s["n"] > 1}
         if not open_:
             return cuts
 
@@ -112,8 +115,9 @@ def tree(units: DataFrame, dims: list[str], target: float, bins: int = BINS,
             return (s[f"high_{d}"] - s[f"low_{d}"]) / max(1, whole[f"high_{d}"] - whole[f"low_{d}"])
 
         widest = {n: max(dims, key=lambda d: (spread(s, d), -dims.index(d))) for n, s in open_.items()}
-        cuts |= _medians(units, cuts, widest, stats, exact_share * target, bins)
-        done |= set(stats) - set(open_)
+        cuts |= _medians(units, cuts, widest, stats, leaves, exact_share * target, bins)
+        for n in open_:
+            leaves[2 * n], leaves[2 * n + 1] = leaves[n] // 2, leaves[n] - leaves[n] // 2
 
 
 def numbered(placed: DataFrame, group: str, order: list[str], out: str) -> DataFrame:
@@ -149,7 +153,7 @@ def assign(docs: DataFrame, dims: dict[str, Column], shards: int = SHARDS, id_co
     rows = rows.withColumn("_part", F.when(F.col("_tie").isin(heavy), alone).otherwise(F.lit(0)) if heavy
                            else F.lit(0).cast("long"))
     units = durable(rows.groupBy("_tie", "_part").agg(F.sum("_size").alias("_w"), *[F.min(n).alias(n) for n in names]))
-    cuts = tree(units, names, target, bins, exact_share)
+    cuts = tree(units, names, shards, target, bins, exact_share)
     leaves = _leaves(cuts)
     place = F.create_map(*[F.lit(x) for i, n in enumerate(leaves) for x in (n, i)])
     leaf = units.select("_tie", "_part", place[leaf_of(cuts)].cast("int").alias("shard"))

@@ -12,6 +12,11 @@ a loser tree that carries common prefix lengths and never compares a known prefi
 its prefix lengths say, together with the bytes before the anchors, which windows are equal. Suffixes of a run
 that agree in all bytes that matter are exchanged once.
 
+A range is cut at the first ``gram`` bytes, so an anchor that stands in very many places would fill one. Anchors
+with over ``HOT`` occurrences (a hundred thousand such anchors at most) therefore take a way of their own: each of
+their windows is a row with its hash of 128 bits, of which a task hands on the first of equal ones only, and
+equal ones of all tasks meet in sorted order.
+
 Defined results: a null or empty text and one shorter than ``length`` lose nothing; a null id comes before
 all others; rows equal in id and text are one document, and each of them gets its result; an empty table
 gives an empty result; further columns are not read.
@@ -37,6 +42,7 @@ HELD_ANCHORS = 1 << 18      # anchors that a task holds before it sends them on
 HELD_SUFFIXES = 1 << 16     # suffixes in a sorted run
 SAMPLE = 20_000             # anchors whose bytes set the range limits
 RANGES_PER_PART = 4
+HOT, MOST_HOT = 1 << 16, 1 << 17        # occurrences of an anchor that is not sorted; number of such anchors
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -84,9 +90,10 @@ def _prepared(docs: DataFrame, id_col: str, text_col: str, carried: list[str]) -
     return src.withColumn("k", F.xxhash64("id", "text"))
 
 
-def repeated_anchors(rows: DataFrame, length: int, gram: int, buckets: int) -> DataFrame:
-    """Packed (keys, places) of anchors whose hash occurs more than once, by group g of keys, and (sample,
-    turn) rows with some anchors' bytes. Hashes travel packed, a hash that repeats in a task once."""
+def repeated_anchors(rows: DataFrame, length: int, gram: int, buckets: int, hot: int = HOT) -> DataFrame:
+    """Packed (keys, places) of anchors whose hash occurs more than once, by group g of keys, (sample,
+    turn) rows with some anchors' bytes, and packed (hashes, counts) of those with ``hot`` occurrences or more
+    beside the number ``n`` of all. Hashes travel packed, a hash that repeats in a task once."""
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, held, size = Hasher(), [], 0
 
@@ -96,7 +103,8 @@ def repeated_anchors(rows: DataFrame, length: int, gram: int, buckets: int) -> D
             hashes, keys, places = hashes[order], keys[order], places[order]
             new = np.append(True, hashes[1:] != hashes[:-1])
             again = ~new | ~np.append(new[1:], True)
-            out = [(-1 - g, None, k, p, None, None) for g, k, p in _by_group(keys[again], places[again], buckets)]
+            out = [(-1 - g, None, k, p, None, None, None) for g, k, p in _by_group(keys[again], places[again], buckets)]
+            times = np.diff(np.append(np.flatnonzero(new), len(new))).astype(np.int32)
             hashes, keys, places = hashes[new], keys[new], places[new]
             bucket = (hashes >> np.uint64(40)) % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
@@ -105,13 +113,13 @@ def repeated_anchors(rows: DataFrame, length: int, gram: int, buckets: int) -> D
                 if a < b:
                     o = np.sort(order[a:b])
                     o = o[np.argsort(keys[o], kind="stable")]
-                    out.append((i, hashes[o].tobytes(), keys[o].tobytes(), places[o].tobytes(), None, None))
+                    out.append((i, hashes[o].tobytes(), keys[o].tobytes(), places[o].tobytes(), None, None, times[o].tobytes()))
             out += samples
             samples.clear()
             held.clear()
-            kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
+            kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)],
-                                              ["bucket", "hashes", "keys", "places", "sample", "turn"])
+                                              ["bucket", "hashes", "keys", "places", "sample", "turn", "times"])
 
         samples: list[tuple] = []
         for part, texts in slices(batches, "text"):
@@ -125,7 +133,7 @@ def repeated_anchors(rows: DataFrame, length: int, gram: int, buckets: int) -> D
             held.append((hashes, key[owner], (place - texts.at[owner]).astype(np.int64)))
             for i in np.flatnonzero(hashes % np.uint64(997) == 0):
                 samples.append((-1, None, None, None, texts.data[place[i]:place[i] + gram].tobytes(),
-                                int(hashes[i] >> np.uint64(1))))
+                                int(hashes[i] >> np.uint64(1)), None))
             size += len(place)
             if size >= HELD_ANCHORS:
                 yield flush()
@@ -137,31 +145,50 @@ def repeated_anchors(rows: DataFrame, length: int, gram: int, buckets: int) -> D
         held: dict[int, list[tuple]] = {}
         for b in batches:
             out = []
-            for bucket, hashes, keys, places, sample, turn in zip(*(c.to_pylist() for c in b.columns)):
+            for bucket, hashes, keys, places, sample, turn, times in zip(*(c.to_pylist() for c in b.columns)):
                 if bucket < 0:
-                    out.append((-1 - bucket, keys, places, sample, turn))
+                    out.append((-1 - bucket, keys, places, sample, turn, None, None, None))
                 else:
-                    held.setdefault(bucket, []).append((np.frombuffer(hashes, np.uint64),
-                                                        np.frombuffer(keys, np.int64), np.frombuffer(places, np.int64)))
+                    kinds = ((hashes, np.uint64), (keys, np.int64), (places, np.int64), (times, np.int32))
+                    held.setdefault(bucket, []).append(tuple(np.frombuffer(*x) for x in kinds))
             yield found(out)
         for packs in held.values():
-            hashes, keys, places = (np.concatenate(x) for x in zip(*packs))
+            hashes, keys, places, times = (np.concatenate(x) for x in zip(*packs))
             order = np.argsort(hashes, kind="stable")
             hashes = hashes[order]
             new = np.append(True, hashes[1:] != hashes[:-1])
             again = order[~new | ~np.append(new[1:], True)]
-            yield found([(*pack, None, None) for pack in _by_group(keys[again], places[again], buckets)])
+            heads = np.flatnonzero(new)
+            many = np.add.reduceat(times[order].astype(np.int64), heads)
+            full = many >= hot
+            yield found([(*pack, None, None, None, None, None) for pack in _by_group(keys[again], places[again], buckets)]
+                        + [(None, None, None, None, None, hashes[heads[full]].tobytes(), many[full].tobytes(), int(many.sum()))])
 
     def found(rows_: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
+        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows_], t) for i, t in enumerate(kinds)],
-                                          ["g", "keys", "places", "sample", "turn"])
+                                          ["g", "keys", "places", "sample", "turn", "hot", "many", "n"])
 
     packed = rows.select("k", "text").mapInArrow(
-        gather, "bucket int, hashes binary, keys binary, places binary, sample binary, turn long")
+        gather, "bucket int, hashes binary, keys binary, places binary, sample binary, turn long, times binary")
     spread = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.pmod(F.xxhash64("keys", "turn"), F.lit(buckets)))
     return packed.repartition(buckets, spread).mapInArrow(
-        match, "g int, keys binary, places binary, sample binary, turn long")
+        match, "g int, keys binary, places binary, sample binary, turn long, hot binary, many binary, n long")
+
+
+def hot_anchors(found: DataFrame, hot: int) -> np.ndarray:
+    """Sorted hashes with ``hot`` occurrences or more, or as many more as leave at most ``MOST_HOT`` of them."""
+    total = found.agg(F.sum("n")).head()[0] or 0
+    least = max(hot, -(-total // MOST_HOT))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for hashes, many in zip(b.column("hot").to_pylist(), b.column("many").to_pylist()):
+                full = np.frombuffer(hashes, np.uint64)[np.frombuffer(many, np.int64) >= least]
+                yield pa.RecordBatch.from_arrays([pa.array(full.view(np.int64))], ["hash"])
+
+    got = found.where("n is not null").select("hot", "many").mapInArrow(pick, "hash long").collect()
+    return np.sort(np.array([r["hash"] for r in got], np.int64).view(np.uint64))
 
 
 def _by_group(keys: np.ndarray, places: np.ndarray, groups: int) -> Iterator[tuple[int, bytes, bytes]]:
@@ -283,16 +310,41 @@ def merge_runs(runs: list[tuple[list[bytes], bytes]]) -> tuple[list[tuple[int, i
     return order, shared
 
 
-_RUN = "range int, shared binary, sizes binary, rests binary, befores binary, facts binary"
+_RUN = ("range int, shared binary, sizes binary, rests binary, befores binary, facts binary, "
+        "window binary, id long, k long, start long")
+_RUN_KINDS = [pa.int32()] + [pa.binary()] * 6 + [pa.int64()] * 3
+_RUN_NAMES = [c.split()[0] for c in _RUN.split(", ")]
+KNOWN, WINDOW = -1, -2      # instead of a range: spans known to repeat, and windows of hot anchors
 FACTS = np.dtype([("id", "<i8"), ("k", "<i8"), ("place", "<i8"), ("low", "u1"), ("high", "u1")])
 
 
-def sorted_runs(rows: DataFrame, limits: list[bytes], length: int, gram: int) -> DataFrame:
-    """Front-coded runs of the suffixes at repeated anchors of (id, k, text, places) rows, by range, and
-    spans (range -1, facts) that are known to repeat already."""
+def sorted_runs(rows: DataFrame, limits: list[bytes], length: int, gram: int, hot: np.ndarray) -> DataFrame:
+    """Front-coded runs of the suffixes at repeated anchors of (id, k, text, places) rows, by range, spans
+    (KNOWN, facts) that are known to repeat already, and the windows (WINDOW, window, id, k, start) of anchors
+    with a ``hot`` hash."""
+    rare = rows.sparkSession.sparkContext.broadcast(hot)        # at most MOST_HOT numbers
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         held: list[tuple[bytes, bytes, tuple]] = []     # suffix, bytes before the anchor, facts
+        windows: list[tuple[bytes, int, int, int]] = []         # hash, id, k, start
+
+        def batch(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(_RUN_KINDS)], _RUN_NAMES)
+
+        def first_windows() -> pa.RecordBatch:
+            windows.sort()
+            out, known, before = [], [], None
+            for w in windows:
+                if before is None or w[0] != before[0]:
+                    out.append((WINDOW, None, None, None, None, None, *w))
+                    before = w
+                elif w != before:
+                    known.append((w[1], w[2], w[3] + length, length, length))
+            windows.clear()
+            if known:
+                out.append((KNOWN, None, None, None, None, np.array(sorted(set(known)), FACTS).tobytes(), None, None, None, None))
+            return batch(out)
 
         def flush() -> pa.RecordBatch:
             held.sort()
@@ -305,7 +357,7 @@ def sorted_runs(rows: DataFrame, limits: list[bytes], length: int, gram: int) ->
                     kept.append(item)
             held.clear()
             if known:
-                out.append((-1, None, None, None, None, np.array(known, FACTS).tobytes()))
+                out.append((KNOWN, None, None, None, None, np.array(known, FACTS).tobytes(), None, None, None, None))
             a = 0
             while a < len(kept):
                 number = bisect_right(limits, kept[a][0][:gram])
@@ -320,14 +372,13 @@ def sorted_runs(rows: DataFrame, limits: list[bytes], length: int, gram: int) ->
                             high = middle
                     b = low
                 out.append((number, *front_code([x[0] for x in kept[a:b]]), b"".join(x[1] for x in kept[a:b]),
-                            np.array([x[2] for x in kept[a:b]], FACTS).tobytes()))
+                            np.array([x[2] for x in kept[a:b]], FACTS).tobytes(), None, None, None, None))
                 a = b
-            kinds = [pa.int32()] + [pa.binary()] * 5
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)],
-                                              ["range", "shared", "sizes", "rests", "befores", "facts"])
+            return batch(out)
 
         for part, texts in slices(batches, "text"):
-            place, low, high, _ = anchors(texts, hasher, length, gram)
+            place, low, high, hashes = anchors(texts, hasher, length, gram)
+            full = np.isin(hashes, rare.value)
             owner = np.searchsorted(texts.at, place, "right") - 1
             inside = place - texts.at[owner]
             ids, keys = part.column("id").to_pylist(), part.column("k").to_pylist()
@@ -337,6 +388,12 @@ def sorted_runs(rows: DataFrame, limits: list[bytes], length: int, gram: int) ->
                 wanted = np.frombuffer(pack, np.int64)
                 a, b = ends[i], ends[i + 1]
                 some = a + np.flatnonzero(np.isin(inside[a:b], wanted))
+                for s, e in zip(low[some[full[some]]].tolist(), high[some[full[some]]].tolist()):
+                    windows += [(hashlib.blake2b(data[x:x + length], digest_size=16).digest(), ids[i], keys[i],
+                                 x - int(texts.at[i])) for x in range(s, e + 1)]
+                if len(windows) >= HELD_SUFFIXES:
+                    yield first_windows()
+                some = some[~full[some]]
                 for p, s, e, q in zip(place[some].tolist(), low[some].tolist(), high[some].tolist(),
                                       inside[some].tolist()):
                     held.append((data[p:e + length], data[s:p], (ids[i], keys[i], q, p - e, p - s)))
@@ -344,6 +401,8 @@ def sorted_runs(rows: DataFrame, limits: list[bytes], length: int, gram: int) ->
                     yield flush()
         if held:
             yield flush()
+        if windows:
+            yield first_windows()
 
     return rows.mapInArrow(work, _RUN)
 
@@ -404,10 +463,17 @@ def merged(runs: DataFrame, ranges: int, length: int) -> DataFrame:
         return spans(every[some], least[some], most[some])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, packs = -1, []
+        number, packs, first = -1, [], None
         for b in batches:
+            again = []
             for row in zip(*(c.to_pylist() for c in b.columns)):
-                if row[0] < 0:
+                if row[0] == WINDOW:                    # in the order of window, id, k and start
+                    if first is None or row[6] != first[0]:
+                        first = row[6:]
+                    elif row[6:] != first:
+                        again.append((row[7], row[8], row[9] + length, length, length))
+                    continue
+                if row[0] == KNOWN:
                     facts = np.frombuffer(row[5], FACTS)
                     yield spans(facts, facts["low"].astype(np.int64), facts["high"].astype(np.int64))
                     continue
@@ -416,27 +482,33 @@ def merged(runs: DataFrame, ranges: int, length: int) -> DataFrame:
                     packs = []
                 number = row[0]
                 packs.append(row[1:])
+            if again:
+                facts = np.array(again, FACTS)
+                yield spans(facts, facts["low"].astype(np.int64), facts["high"].astype(np.int64))
         if packs:
             yield one(packs)
 
-    target = F.when(F.col("range") >= 0, F.col("range")).otherwise(F.pmod(F.xxhash64("facts"), F.lit(ranges)))
-    return (runs.repartition(ranges, target).sortWithinPartitions("range")
+    target = F.when(F.col("range") >= 0, F.col("range")).otherwise(F.pmod(F.xxhash64("facts", "window"), F.lit(ranges)))
+    return (runs.repartition(ranges, target).sortWithinPartitions("range", "window", "id", "k", "start")
             .mapInArrow(work, "k long, start long, stop long"))
 
 
-def repeated_spans(rows: DataFrame, length: int, gram: int) -> DataFrame:
+def repeated_spans(rows: DataFrame, length: int, gram: int, hot: int = HOT) -> DataFrame:
     """(k, start, stop) of repeated bytes of (id, k, text) rows; spans may overlap."""
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = durable(repeated_anchors(rows, length, gram, parts))
-    picked = sorted(r["sample"] for r in found.where("sample is not null").orderBy("turn").limit(SAMPLE)
-                    .select("sample").collect())
+    found = durable(repeated_anchors(rows, length, gram, parts, hot))
+    # about twice as many as wanted by their hashes, so that a partition does not send as many by itself
+    sampled = found.where("sample is not null")
+    share = min(1.0, 2.0 * SAMPLE / max(1, sampled.count()))
+    near = sampled.where(F.col("turn") < F.lit(int(share * (1 << 63)) - 1)) if share < 1 else sampled
+    picked = sorted(r["sample"] for r in near.orderBy("turn").limit(SAMPLE).select("sample").collect())
     ranges = RANGES_PER_PART * parts
     limits = sorted({picked[len(picked) * i // ranges] for i in range(1, ranges)}) if picked else []
     wanted = places_by_key(found, parts)
     # all columns, so that the later join finds the same exchange and shuffles no text again
     at_anchors = rows.join(wanted, "k")
-    return merged(sorted_runs(at_anchors, limits, length, gram), ranges, length)
+    return merged(sorted_runs(at_anchors, limits, length, gram, hot_anchors(found, hot)), ranges, length)
 
 
 def kept_bytes(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -454,10 +526,10 @@ def kept_bytes(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, i
     return b"".join(parts), removed, runs
 
 
-def _with_spans(rows: DataFrame, length: int, gram: int) -> DataFrame:
+def _with_spans(rows: DataFrame, length: int, gram: int, hot: int) -> DataFrame:
     if not 0 < gram <= length <= 255:
         raise ValueError("needs 0 < gram <= length <= 255")
-    spans = repeated_spans(rows, length, gram).groupBy("k").agg(
+    spans = repeated_spans(rows, length, gram, hot).groupBy("k").agg(
         F.collect_set(F.struct("start", "stop")).alias("spans"))
     return rows.join(spans, "k", "left")
 
@@ -468,10 +540,10 @@ def _left(part: pa.RecordBatch) -> list[tuple[bytes, int, int]]:
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
-          gram: int = GRAM) -> DataFrame:
+          gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """One row per document row: id, n_bytes, n_removed, n_spans, kept_sha256."""
     rows = _prepared(docs, id_col, text_col, [])
-    joined = _with_spans(rows, length, gram)
+    joined = _with_spans(rows, length, gram, hot)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches, "text"):
@@ -487,7 +559,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
-                    gram: int = GRAM) -> DataFrame:
+                    gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """The rows with all their columns and the text that is left, less characters that lost a byte; a null
     text stays null."""
     columns = docs.columns
@@ -502,7 +574,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             kept = pc.if_else(part.column("void"), pa.scalar(None, pa.string()), kept)
             yield pa.RecordBatch.from_arrays([kept if c == "text" else part.column(c) for c in wanted], wanted)
 
-    return _with_spans(rows, length, gram).mapInArrow(work, schema).toDF(*columns)
+    return _with_spans(rows, length, gram, hot).mapInArrow(work, schema).toDF(*columns)
 
 
 @query("op9_suffixes")

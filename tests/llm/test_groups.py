@@ -135,8 +135,8 @@ def repeats_by_hand(docs, length):
     return out
 
 
-@pytest.mark.parametrize("length, gram, chunk", [(20, 6, 1 << 21), (20, 20, 64), (12, 3, 50)])
-def test_repeated_bytes_equal_brute_force(spark, monkeypatch, length, gram, chunk):
+@pytest.mark.parametrize("length, gram, chunk, hot", [(20, 6, 1 << 21, 1 << 16), (20, 20, 64, 3), (12, 3, 50, 1)])
+def test_repeated_bytes_equal_brute_force(spark, monkeypatch, length, gram, chunk, hot):
     r = random.Random(length + gram)
     passages = ["".join(r.choice("abcé ") for _ in range(r.randint(10, 70))) for _ in range(12)]
     texts = ["".join(r.choice(passages) if r.random() < 0.4 else "".join(r.choice("xyzß") for _ in range(9))
@@ -145,10 +145,32 @@ def test_repeated_bytes_equal_brute_force(spark, monkeypatch, length, gram, chun
     monkeypatch.setattr(suffixes, "HELD_ANCHORS", 50)
     monkeypatch.setattr(suffixes, "HELD_SUFFIXES", 40)
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, k int").repartition(5)
-    got = {r["doc_id"]: tuple(r)[1:] for r in suffixes.dedup(docs, length=length, gram=gram).collect()}
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffixes.dedup(docs, length=length, gram=gram, hot=hot).collect()}
     assert got == repeats_by_hand([(i, t.encode()) for i, t in enumerate(texts)], length)
 
 
+def test_a_frequent_notice_fills_no_range(spark):
+    """A notice shorter than a repeat, in a third of the documents with other text around it: 10 anchors in 500 places."""
+    r = random.Random(8)
+    notice = "".join(r.choice("NOTICE ") for _ in range(66))
+
+    def noise(n):
+        return "".join(r.choice("abcdefghijklmnop ") for _ in range(n))
+
+    texts = [noise(150) + (notice if i % 3 == 0 else "") + noise(150) + (notice + noise(50)) * (i % 90 == 0) for i in range(1500)]
+    texts += [texts[3], texts[0][100:300] + noise(80)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: tuple(x)[1:] for x in suffixes.dedup(docs, hot=100).collect()}
+    assert got == repeats_by_hand([(i, t.encode()) for i, t in enumerate(texts)], 100)
+    rows = suffixes._prepared(docs, "doc_id", "text", [])
+    found = suffixes.repeated_anchors(rows, 100, 32, 8, 100).cache()
+    hot = suffixes.hot_anchors(found, 100)
+    assert 1 <= len(hot) <= 66
+    runs = suffixes.sorted_runs(rows.join(suffixes.places_by_key(found, 8), "k"), [], 100, 32, hot).collect()
+    sizes = [len(x["facts"]) // suffixes.FACTS.itemsize for x in runs if x["range"] >= 0]
+    assert sum(sizes) < 1500 and sum(x["range"] == suffixes.WINDOW for x in runs) > 10_000
+
+
 def test_repeats_in_odd_rows(spark):
     docs = odd_docs(spark)
     got = suffixes.dedup(docs).collect()

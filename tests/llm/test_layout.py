@@ -110,6 +110,14 @@ def test_shard_contract(spark):
     assert shards.assign(docs.limit(0), dims).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 3, 5, 6, 12])
+def test_any_number_of_shards(spark, n):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    dims = {"size": F.octet_length("text"), "doc_id": F.col("doc_id")}
+    size = {r["shard"]: r["w"] for r in shards.assign(docs, dims, shards=n).groupBy("shard").agg(F.sum("size").alias("w")).collect()}
+    assert sorted(size) == list(range(n)) and max(size.values()) < 1.1 * min(size.values())
+
+
 def test_pipeline_stages_equal_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     told = durable(corpus_pipeline.tell_language(spark, docs, SF))

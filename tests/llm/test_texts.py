@@ -1,5 +1,6 @@
 """Word helpers, language identification, licences, toxicity and BPE on small texts."""
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -67,6 +68,67 @@ def test_language_is_told_for_texts_it_has_not_seen(spark):
     assert language.predict(docs.limit(0), model).count() == 0
 
 
+def language_by_hand(train, texts):
+    """(language, score) of every text; train: distinct (text, language) rows."""
+    langs = sorted({x for _, x in train})
+    tables = [{} for _ in range(5)]
+
+    def pieces(word, n):
+        return [(word[i:i + n], i == 0, i == len(word) - n) for i in range(len(word) - n + 1)]
+
+    for text, lang in train:
+        for w in words(text):
+            for n in range(5):
+                for key in pieces(w, n) if n else [w]:
+                    own = tables[n].setdefault(key, [0] * len(langs))
+                    own[langs.index(lang)] += 1
+    totals = [[sum(v[j] for v in t.values()) for j in range(len(langs))] for t in tables]
+
+    def log(n, key):
+        return [math.log(tables[n][key][j] + 0.5) - math.log(totals[n][j] + 0.5 * (len(tables[n]) + 1)) for j in range(len(langs))]
+
+    def mean(rows):
+        return [sum(c) / len(rows) for c in zip(*rows)]
+
+    out = []
+    for text in texts:
+        scores = []
+        for w in words(text):
+            if w in tables[0]:
+                scores.append(log(0, w))
+                continue
+            for n in (4, 3, 2, 1):
+                known = [k for k in pieces(w, n) if k in tables[n]]
+                if known:
+                    scores.append(mean([log(n, k) for k in known]))
+                    break
+        level = [(mean(scores)[j] * min(len(scores), language.FIRM_WORDS) if scores else 0.0)
+                 + math.log(sum(x == lang for _, x in train) / len(train)) for j, lang in enumerate(langs)]
+        chance = [math.exp(x - max(level)) for x in level]
+        best = max(range(len(langs)), key=lambda j: chance[j])
+        out.append((langs[best], chance[best] / sum(chance)) if any(c.isalpha() for c in text or "") else ("und", 0.0))
+    return out
+
+
+def test_language_equals_brute_force(spark):
+    rows = {(r["text"], r["lang"]) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect() if r["text"]}
+    rows = sorted(rows, key=lambda x: zlib.crc32(x[0].encode()))
+    train, asked = [(t[:400], x) for t, x in rows[:60]], [t[:150] for t, _ in rows[60:120]] + ["zq", "Ünseen 12", "..."]
+    train = sorted(set(train))
+    model = language.train(spark.createDataFrame(train, "text string, lang string"))
+    docs = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in language.predict(docs, model).collect()}
+    for i, (lang, score) in enumerate(language_by_hand(train, asked)):
+        assert got[i]["lang_pred"] == lang and abs(got[i]["score"] - score) < 1e-5, asked[i]
+
+
+def test_a_small_language_keeps_its_words(spark):
+    rows = [(" ".join(f"big{i * 7 + j}x{j % 3}" for j in range(7)), "big") for i in range(300)] + [("petit mot ici", "small")] * 2
+    model = language.train(spark.createDataFrame(rows, "text string, lang string"), kept_words=40, kept_grams=40)
+    docs = spark.createDataFrame([(1, "petit mot"), (2, "big3x0")], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in language.predict(docs, model).collect()} == {1: "small", 2: "big"}
+
+
 def test_language_without_labels(spark):
     docs = spark.createDataFrame([(1, "a word", None)], "doc_id long, text string, lang string")
     assert language.predict(docs, language.train(docs)).head()["lang_pred"] == "und"
@@ -191,6 +253,50 @@ def test_toxicity_on_held_out_labels(spark):
     assert area > 0.97 and (score[~toxic] >= 0.3).mean() < 0.02
 
 
+def test_toxicity_equals_plain_ftrl(spark):
+    r = random.Random(2)
+    rows = [(" ".join(r.choice(["good", "bad", "foul", "day", "night", "words", "longerword"]) for _ in range(r.randint(1, 9))),
+             int(r.random() < 0.4)) for _ in range(120)]
+    rows = [(t, int("foul" in t or y == 1 and "bad" in t)) for t, y in rows]
+    found = [toxicity.features(texts_of(pa.array([t])), Hasher())[0] for t, _ in rows]
+    own = [sorted(set(f.tolist())) for f in found]
+    count = {}
+    for f in own:
+        for x in f:
+            count[x] = count.get(x, 0) + 1
+    place = {x: i for i, x in enumerate(sorted(x for x, c in count.items() if c >= toxicity.SEEN))}
+    packed = [(np.array([place[x] for x in f if x in place], np.int32).tobytes(), y, i) for i, (f, (_, y)) in enumerate(zip(own, rows))]
+    turns = spark.createDataFrame([(bytearray(b), y, i) for b, y, i in packed], "f binary, y int, i int")
+    order = [x["i"] for x in turns.orderBy(F.xxhash64("f", "y"), "i").collect()]
+    z, n = {}, {}
+
+    def weight(k):
+        a, b = z.get(k, 0.0), n.get(k, 0.0)
+        return 0.0 if abs(a) <= toxicity.L1 else -(a - math.copysign(toxicity.L1, a)) / ((toxicity.BETA + b ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(3):
+        for i in order:
+            keys = [x for x in own[i] if x in place] + ["intercept"]
+            w = {k: weight(k) for k in keys}
+            slope = 1 / (1 + math.exp(-sum(w.values()))) - rows[i][1]
+            for k in keys:
+                grown = n.get(k, 0.0) + slope * slope
+                z[k] = z.get(k, 0.0) + slope - (grown ** 0.5 - n.get(k, 0.0) ** 0.5) / toxicity.ALPHA * w[k]
+                n[k] = grown
+    model = toxicity.train(spark.createDataFrame(rows, "text string, label int"), "text", "label", shards=1, rounds=3)
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = {x["doc_id"]: x["score"] for x in toxicity.score(docs, model).collect()}
+    for i, f in enumerate(own):
+        assert abs(got[i] - 1 / (1 + math.exp(-sum(weight(k) for k in f + ["intercept"] if k in place or k == "intercept")))) < 1e-5
+    assert max(got.values()) > 0.8 > 0.2 > min(got.values())
+
+
+def test_toxicity_of_empty_documents_beside_labels(spark):
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert toxicity.score(docs, toxicity.fit(docs, labels)).count() == 0
+
+
 def test_toxicity_of_odd_texts_and_without_labels(spark):
     rows = [("good day to you", 0)] * 30 + [("bad foul day", 1)] * 30 + [(None, 1), ("", 0), ("x", None)]
     model = toxicity.train(spark.createDataFrame(rows, "text string, label int"), "text", "label")
