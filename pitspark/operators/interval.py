@@ -37,19 +37,24 @@ def top_k_recent(points: DataFrame, history: DataFrame, by: Sequence[str], at: s
                  tie: str, days: int, k: int, payload: Sequence[str]) -> DataFrame:
     """Per distinct (by, at), ``recent``: the k latest rows with at - days <= ts < at, newest
     first (later date, then larger tie). At most k rows per (group, day) can matter, and
-    they are cut before the shuffle by Spark's window group limit."""
+    they are cut before the shuffle by Spark's window group limit. A day with rows holds the k latest ones up to
+    it, which lie on the k last such days; a query takes those of the last day before it."""
     newest = W.partitionBy(*by, ts).orderBy(F.desc(tie))
     kept = (history.select(*by, ts, tie, *payload)
             .withColumn("_rn", F.row_number().over(newest)).where(F.col("_rn") <= k))
     item = F.struct(F.col(ts).alias("ts"), F.col(tie).alias("tie"), *payload)
     daily = (kept.groupBy(*by, F.col(ts).alias("_t"))
              .agg(F.array_sort(F.collect_list(item)).alias("_day")))
+    order = W.partitionBy(*by).orderBy("_t")
+    # days in order, and rows in order within a day: what is joined up is sorted already
+    upto = F.flatten(F.collect_list("_day").over(order.rowsBetween(1 - k, 0)))
+    daily = daily.select(*by, "_t", F.slice(F.reverse(upto), 1, k).alias("_top"))
     marks = points.select(*by, F.col(at).alias("_t")).distinct().withColumn("_asked", F.lit(True))
-    line = daily.join(marks, [*by, "_t"], "full").withColumn("_n", F.unix_date("_t"))
-    found = F.flatten(F.collect_list("_day").over(_day_window(by, days)))
-    return (line.select(*by, F.col("_t").alias(at), "_asked",
-                        F.slice(F.reverse(F.array_sort(found)), 1, k).alias("recent"))
-            .where("_asked").drop("_asked"))
+    line = daily.join(marks, [*by, "_t"], "full")
+    none = F.array().cast(daily.schema["_top"].dataType)
+    before = F.coalesce(F.last("_top", True).over(order.rowsBetween(W.unboundedPreceding, -1)), none)
+    return (line.withColumn("_top", before).where("_asked").select(
+        *by, F.col("_t").alias(at), F.filter("_top", lambda r: r["ts"] >= F.date_sub("_t", days)).alias("recent")))
 
 
 def observable(recent: Column, at: Column, known: str) -> Column:

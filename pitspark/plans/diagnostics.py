@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -75,17 +76,23 @@ def permutation_importance(test: DataFrame, score: Callable[[DataFrame], DataFra
     """G1: drop in rank IC per fold when a feature (or a named group jointly) is shuffled in the test
     block; mean and population std over folds, largest first.
 
-    ``score`` maps rows with a ``fold`` column to the same rows with a ``score`` column.
+    ``score`` maps rows with a ``fold`` column to the same rows with a ``score`` column. The permutations of all
+    repeats are drawn in one numbering of (fold, repeat) and shared by the groups, and all shuffled blocks are
+    scored together.
     """
-    def scored(df: DataFrame, name: str, rep: int) -> DataFrame:
-        return score(df).select(F.lit(name).alias("feature"), F.lit(rep).alias("_rep"), "fold", "score", y)
-
-    rows = scored(test, "", 0)                          # the unshuffled block, named ""
+    rows = durable(row_index(test, ["fold"], None, id_, "_i"))
+    turns = rows.select("fold", "_i", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("_rep")).withColumn(
+        "_h", F.xxhash64("_i", "fold", F.col("_rep") + seed + 1000))
+    taken = durable(row_index(turns, ["fold", "_rep"], None, "_h", "_to").select(
+        "fold", "_rep", F.col("_i").alias("_from"), F.col("_to").alias("_i")))
+    parts = [rows.withColumns({"feature": F.lit(""), "_rep": F.lit(0)})]        # the unshuffled block, named ""
     for name, cols in groups.items():
-        for r in range(repeats):
-            rows = rows.unionByName(scored(shuffled(test, list(cols), ["fold"], seed + 1000 + r, id_), name, r))
+        values = rows.select("fold", F.col("_i").alias("_from"), *cols)
+        moved = rows.drop(*cols).join(taken, ["fold", "_i"]).join(values, ["fold", "_from"])
+        parts.append(moved.withColumn("feature", F.lit(name)).select(*parts[0].columns))
+    every = score(durable(reduce(DataFrame.unionByName, parts)))
     # Written once: ranks read it several times, and a score is a model call.
-    every = M.rank_ic(durable(rows), ["feature", "_rep", "fold"], "score", y)
+    every = M.rank_ic(durable(every.select("feature", "_rep", "fold", "score", y)), ["feature", "_rep", "fold"], "score", y)
     base = every.where("feature = ''").select("fold", F.col("rank_ic").alias("_base"))
     ics = every.where("feature <> ''")
     drop = (ics.groupBy("feature", "fold").agg(F.avg("rank_ic").alias("_m")).join(base, "fold")

@@ -228,3 +228,38 @@ def test_model_queries_take_all_folds_and_penalties(spark, monkeypatch):
     for run in (Q.m5, Q.m6, Q.m7):
         run(spark, "")
     assert seen == {name: (5, M.ALPHAS) for name in ("linear", "coefficients", "trees")}
+
+
+@pytest.mark.parametrize("name", ["M4_trees_binary", "M4_trees_quantile", "M7_random_search", "M12_fit_final_score_new",
+                                  "M12_score_unlabelled", "G1_permutation_importance", "G2_tree_importance"])
+def test_tree_queries_run_with_few_rounds(spark, monkeypatch, name):
+    """The registered tree queries on the smallest tables, two rounds a fit instead of all."""
+    import __spark_entry__ as entry
+    sf, fit = "/root/testdata/sf0.001", M.fit_trees
+
+    def quick(train, val, y, features, binary=False, params=None, seed=0, rounds=0, patience=0):
+        return fit(train, val, y, features, binary, params, seed, 2, 2)
+
+    monkeypatch.setattr(M, "fit_trees", quick)
+    got = entry.queries()[name](spark, sf).toPandas()
+    assert len(got) and not got.drop(columns=[c for c in got if c.endswith("_std")]).isna().any().any()
+    if name == "M12_score_unlabelled":
+        assert {"id", "d", "grp", "p_out_1", "p_out_3"} == set(got) and got.id.is_unique
+        assert got.p_out_3.between(0, 1).all()
+    if name == "G1_permutation_importance":
+        assert len(got) == 10
+
+
+def test_bundle_scores_rows_without_labels(spark, data, tmp_path):
+    _, panel, _, _ = data
+    rows = panel.withColumns({"grp": F.lit("a"), "y_1": F.col("y"), "y_3": F.when(F.col("id") < 450, -F.col("y"))})
+    path = str(tmp_path / "bundle")
+    M.fit_bundle(rows, V.final_split(rows), (1, 3), ["x", "w"], path, binary=True, rounds=5, patience=5)
+    got = M.score_bundle(rows, path, ["x", "w"]).join(rows.select("id", "x"), "id").toPandas()
+    assert sorted(got.id) == list(range(450, 500)) and {"p_out_1", "p_out_3"} <= set(got)
+    assert got[got.x > 0.5].p_out_1.mean() > got[got.x < -0.5].p_out_1.mean() + 0.3
+    assert got[got.x > 0.5].p_out_3.mean() < got[got.x < -0.5].p_out_3.mean() - 0.3
+    assert M.score_bundle(rows, path, ["x", "w"], new_only=False).count() == 500
+    M.fit_bundle(rows, V.final_split(rows), (1, 3), ["x", "w"], path, rounds=3, patience=3)
+    band = M.score_bundle(rows, path, ["x", "w"]).toPandas()
+    assert ((band.q10 <= band.q50) & (band.q50 <= band.q90)).all() and np.allclose(band.mult_q50, np.exp(band.q50))

@@ -27,8 +27,8 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-# Boosted trees and resampling at full size; test_models.py and test_statistics.py hold the same code to small cases.
-LONG = ("M4_", "M7_", "M12_", "G1_", "G2_", "I3_", "I6_", "I7_")
+# Boosted trees at full size; test_models.py runs these queries with few rounds.
+LONG = ("M4_", "M7_", "M12_", "G1_", "G2_")
 
 
 @pytest.mark.parametrize("name", [n for n in QUERIES if n not in SQL and not n.startswith(("op", *LONG)) and n != "pipeline"])
