@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from pitspark.functions.ordering import celled
+from pitspark.session import durable
 
 
 def asof_lookup(points: DataFrame, series: DataFrame, by: Sequence[str], at: str, ts: str,
@@ -37,7 +38,8 @@ def asof_lookup(points: DataFrame, series: DataFrame, by: Sequence[str], at: str
         line, by = line.withColumn("_all", F.lit(0)), ["_all"]
     cell = list(by)
     if slice_by:
-        line = celled(line, by, [F.col("_t")], "_slice", distinct=True) if slice_by == "value" else line.withColumn("_slice", F.date_trunc(slice_by, "_t"))
+        # written once, as the splitters, the slices and the rows each read it
+        line = celled(durable(line), by, [F.col("_t")], "_slice", distinct=True) if slice_by == "value" else line.withColumn("_slice", F.date_trunc(slice_by, "_t"))
         cell.append("_slice")
     run = W.partitionBy(*cell).orderBy("_t")
     line = (line
