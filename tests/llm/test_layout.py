@@ -51,6 +51,27 @@ def test_shards_of_odd_rows(spark):
     assert materialise.write(docs.limit(0), folder(spark)).shards == 0
 
 
+def test_index_of_odd_rows(spark):
+    docs = durable(odd_docs(spark).coalesce(1))
+    rows = sorted(materialise.index(docs, length=100).collect(), key=lambda r: r["start"])
+    assert len(rows) == len(ODD) and rows[0]["start"] == 0
+    assert all(a["start"] + a["n_ids"] == b["start"] for a, b in zip(rows, rows[1:]))
+    assert sorted(r["n_ids"] for r in rows) == sorted(len((t or "").encode()) + 1 for t in ODD)
+    assert all(r["first_sequence"] == r["start"] // 100 and r["last_sequence"] == (r["start"] + r["n_ids"] - 1) // 100 for r in rows)
+    assert materialise.index(docs.limit(0)).count() == 0
+
+
+def test_shards_of_clashing_names_and_hot_ties(spark):
+    rows = [(None, "same", 1)] * 500 + [(5, "same", 1)] * 500 + [(i, f"text {i}" * (i % 9), 2) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard int").withColumns(
+        {c: F.lit(7) for c in ("slot", "size", "_tie", "_part", "_w", "_node", "_range", "_row")})
+    got = shards.assign(docs, {"size": F.octet_length("text"), "id": F.col("doc_id")}, shards=4).collect()
+    assert len(got) == 1400
+    for s in range(4):
+        own = [r["slot"] for r in got if r["shard"] == s]
+        assert own and sorted(own) == list(range(len(own)))
+
+
 def tree_by_hand(rows, shards_):
     """rows: (dims, tie, weight). Exact weighted-median k-d tree; leaves from left to right."""
     total = sum(r[-1] for r in rows)

@@ -328,6 +328,12 @@ def test_toxicity_scores_do_not_depend_on_the_bounds_of_the_sample(spark):
         assert 0.02 < np.mean(scores) < 0.1, bounds
 
 
+def test_licences_and_bpe_of_empty_tables(spark, tmp_path):
+    odd_docs(spark).limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("op6_byte_bpe", "op7_licences"):
+        assert entry.queries()[name](spark, str(tmp_path)).count() == 0
+
+
 def test_texts_of_a_slice_stand_alone():
     column = pa.array(["a  b", "plain text", None, " c", "d"])
     for a, n in ((1, 2), (2, 3), (0, 5), (4, 1), (5, 0)):
