@@ -171,7 +171,28 @@ def x2(spark, sf):
     return X.static_matrix(r, m, _bucketed(spark, sf), _NAMES, ["flag_a", "flag_b"], ["y_1"])
 
 
-@query("X3_engineered_table")
+_BUCKETS = """bm2 AS (SELECT fo.fold, fo.id, """ + ", ".join(
+    f"max(CASE WHEN {'ra.keep=1 AND mem.member=' + repr(m) if m != X.OTHER else 'ra.keep=0'} THEN 1 ELSE 0 END) AS {m}" for m in _NAMES) + """
+ FROM fo JOIN mem USING (id) JOIN ra ON ra.fold=fo.fold AND ra.member=mem.member GROUP BY 1,2)"""
+
+
+@query("X3_engineered_table", needs="ev ret ship bm peer mem fo", rounds="f1_med_1w f3_prc_3m m_geo_mom_63d prestige p1_med_21d", digits=5, sql=f"""
+WITH {_F1}, f1s AS (SELECT grp, d, quantile_cont(x,0.5) AS med FROM f1 GROUP BY 1,2),
+f1d AS (SELECT r.grp, r.d, CAST(count(*) AS DOUBLE) AS n FROM recent r JOIN ret ON ret.id=r.cand WHERE ret.d_1<r.d AND ret.raw_1 IS NOT NULL GROUP BY 1,2),
+{_SUPPLY}, zr AS (SELECT e.id, e.grp, e.d, s.supply_amt AS a FROM ev e JOIN sup s ON s.grp=e.grp AND s.d=e.d),
+zz AS (SELECT id, CASE WHEN count(*) OVER p >= 2 AND stddev_samp(a) OVER p > 1e-12 THEN (a-avg(a) OVER p)/stddev_samp(a) OVER p ELSE 0.0 END AS z
+  FROM zr WINDOW p AS (PARTITION BY grp ORDER BY d, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+bs AS (SELECT grp, date, coalesce(ln(close)-lag(ln(close),63) OVER (PARTITION BY grp ORDER BY date),0.0) AS r FROM bm),
+bj AS (SELECT e.id, b.r FROM ev e ASOF LEFT JOIN bs b ON e.grp=b.grp AND e.d>b.date),
+ps AS (SELECT id, quantile_cont(ret_21d,0.5) AS med FROM peer GROUP BY 1), {_SHARE},
+rkp AS (SELECT *, row_number() OVER (PARTITION BY grp,d ORDER BY share, member)/count(*) OVER (PARTITION BY grp,d) AS r FROM sh),
+pb AS (SELECT m.id, max(r) AS r FROM mem m JOIN ev USING (id) JOIN rkp ON rkp.grp=ev.grp AND rkp.d=ev.d AND rkp.member=m.member GROUP BY 1),
+nm AS (SELECT id, CAST(count(*) AS INT) AS n FROM mem GROUP BY 1), {_RARE}, {_BUCKETS}
+SELECT fo.fold, fo.id, fo.role, pn.size, coalesce(f1s.med,0.0) AS f1_med_1w, coalesce(f1d.n,0.0) AS f1_n_1d, zz.z AS f3_prc_3m,
+ coalesce(bj.r,0.0) AS m_geo_mom_63d, coalesce(pb.r,0.0) AS prestige, coalesce(ps.med,0.0) AS p1_med_21d, coalesce(nm.n,0) AS n_members, """ + ", ".join(
+    f"coalesce({m},0) AS {m}" for m in _NAMES) + """ FROM fo JOIN pn USING (id) LEFT JOIN f1s ON f1s.grp=pn.grp AND f1s.d=pn.d
+LEFT JOIN f1d ON f1d.grp=pn.grp AND f1d.d=pn.d JOIN zz ON zz.id=pn.id JOIN bj ON bj.id=pn.id LEFT JOIN pb ON pb.id=pn.id LEFT JOIN ps ON ps.id=pn.id
+LEFT JOIN nm ON nm.id=pn.id LEFT JOIN bm2 ON bm2.fold=fo.fold AND bm2.id=fo.id""")
 def x3(spark, sf):
     return X.engineered_table(rows(spark, sf), _bucketed(spark, sf), _NAMES, FEATURES)
 
