@@ -34,9 +34,9 @@ from pitspark.session import durable
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 16, 4
-DF_BITS = 22                # cells of the document frequency table: 16 MB, whatever the size of the corpus
+DF_BITS = 21                # cells of the document frequency table: 8 MB, whatever the size of the corpus
 POOL_BITS = 16              # variates a sample chooses from by hash
-BLOCK, BLOCK_BYTES = 2048, 1 << 23      # texts, and their bytes, of a block of a bucket
+BLOCK, BLOCK_BYTES = 2048, 1 << 22      # texts, and their bytes, of a block of a bucket
 SMALLEST = -(1 << 63)
 
 

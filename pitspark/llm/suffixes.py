@@ -39,7 +39,7 @@ from pitspark.session import durable
 LENGTH, GRAM = 100, 32
 CHUNK = 1 << 17             # bytes looked at in one numpy step; less than 2^24
 HELD_ANCHORS = 1 << 18      # anchors that a task holds before it sends them on
-HELD_SUFFIXES = 1 << 16     # suffixes in a sorted run
+HELD_SUFFIXES = 1 << 15     # suffixes in a sorted run
 SAMPLE = 20_000             # anchors whose bytes set the range limits
 RANGES_PER_PART = 4
 HOT, MOST_HOT = 1 << 16, 1 << 17        # occurrences of an anchor that is not sorted; number of such anchors
