@@ -37,6 +37,7 @@ RULES = [(BLOCK, "net", "/"), (ALLOW, "example.net", "/en/"), (BLOCK, "example.c
 
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SALTS = 32
 TRAITS = ["n_end", "n_empty", "n_digits", "n_letters", "bad", "good"]
 
 
@@ -99,7 +100,9 @@ def split_level(rows: DataFrame, least: int, share: float, alpha: float) -> Data
     agree = F.transform("low", lambda x, i: F.coalesce(x == F.get(F.col("high"), i), F.lit(False)))
     differ = F.array_position(agree, False)
     nodes = nodes.select(*at, "total", F.when(differ > 0, differ - 1).otherwise(F.size("low")).cast("int").alias("common"))
-    values = values.drop("low", "high").join(nodes, at)
+    # a large node's values meet its totals in several tasks, and are added up there before they come together
+    values = values.drop("low", "high").withColumn("salt", F.pmod(F.xxhash64("segment"), F.lit(SALTS)).cast("int"))
+    values = values.join(nodes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*at, "salt"])
     literal = (F.col("n") >= least) & (F.col("n") >= share * F.col("total"))
     ending = F.regexp_extract("segment", r"(\.[A-Za-z][A-Za-z0-9]{0,4})$", 1)
     sums = [F.sum(c).alias(c) for c in ("n", *TRAITS)]
