@@ -1,6 +1,7 @@
 """Operator 3: token ids in training order, written as shards of fixed stride.
 
-Token ids are the bytes of a text, and 255, which no UTF-8 text holds, ends a document. The documents, in the
+Token ids are those of an array column, in ``width`` bytes each (little-endian), or the bytes of a text; an id of
+its own ends a document: 255, which no UTF-8 text holds, unless another is given. The documents, in the
 order of the input's partitions, are one stream, cut into sequences of equal length. A keyed Feistel network
 permutes the sequence numbers (walking on while it leaves the domain), which gives each sequence its
 global slot. A shard is a range of slots; one task sorts and writes it as one file of records, each the ids of
@@ -8,10 +9,12 @@ a sequence and a line feed, so slot s lies in shard s // per_shard at byte (s %
 that stopped goes on from any slot.
 
 As with zipWithIndex, the input is read twice and must give the same rows in the same partitions, as files do;
-any other input should be written first. A task that finds other lengths than were counted fails.
+any other input (such as the ids of an encoder) should be written first. A task that finds other lengths than were
+counted fails.
 
-Defined results: a null or empty text is one id, the end; repeated rows, null ids and further columns change
-nothing; the last sequence is filled up with ends; an empty table writes nothing and gives an empty result.
+Defined results: a null or empty text or array is one id, the end; repeated rows, null document ids and further
+columns change nothing; the last sequence is filled up with ends; an empty table writes nothing and gives an empty
+result. A token id that is null, negative, the end itself or too large for the width is an error.
 """
 from __future__ import annotations
 
@@ -20,14 +23,15 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from pitspark.llm.registry import query, table
-from pitspark.llm.words import mix, slices
+from pitspark.llm.words import SLICE_BYTES, mix, slices
 from pitspark.session import folder
 
-END = 255
+END = 255                   # of a document of bytes
 SEQUENCE = 2048             # ids of a sequence
 PER_SHARD = 16_384          # sequences of a shard: 34 MB
 KEY, FEISTEL_ROUNDS = 20_240_607, 6
@@ -38,10 +42,11 @@ class Layout(NamedTuple):
     length: int
     per_shard: int
     key: int
+    width: int = 1          # bytes of an id
 
     @property
     def stride(self) -> int:
-        return self.length + 1
+        return self.length * self.width + 1
 
     @property
     def shards(self) -> int:
@@ -80,10 +85,38 @@ def sequence_of(slot: np.ndarray, size: int, key: int) -> np.ndarray:
     return _walk(slot, size, key, back=True)
 
 
+def _count(docs: DataFrame, column: str) -> Column:
+    """Ids of a document, its end included."""
+    lists = isinstance(docs.schema[column].dataType, T.ArrayType)
+    n = F.array_size(docs[column]) if lists else F.octet_length(docs[column])
+    return F.coalesce(n, F.lit(0)).cast("long") + 1
+
+
+def _runs(batches: Iterator[pa.RecordBatch], width: int, end: int) -> Iterator[np.ndarray]:
+    """Ids of some documents at a time, the end after each, from a column ``text`` of texts or arrays."""
+    kind = np.dtype(f"<u{width}")
+    for b in batches:
+        column = b.column("text")
+        if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+            for _, texts in slices(iter([b]), "text"):
+                yield np.insert(texts.data.astype(kind, copy=False), texts.at[1:], end)
+            continue
+        at = np.cumsum(np.append(0, pc.fill_null(pc.list_value_length(column), 0).to_numpy()))
+        values = column.flatten()
+        if values.null_count:
+            raise ValueError("a token id is null")
+        ids, low = values.to_numpy(), 0
+        if ((ids < 0) | (ids == end) | (ids >> (8 * width) > 0)).any():
+            raise ValueError(f"a token id is negative, {end} or over {width} bytes")
+        while low < b.num_rows:
+            high = max(low + 1, int(np.searchsorted(at, at[low] + SLICE_BYTES, "right")) - 1)
+            yield np.insert(ids[at[low]:at[high]].astype(kind), at[low + 1:high + 1] - at[low], end)
+            low = high
+
+
 def _starts(docs: DataFrame, text_col: str) -> tuple[dict[int, int], dict[int, int], int]:
     """First stream place and number of ids of every partition, and the total: one row a partition."""
-    ids = F.coalesce(F.octet_length(docs[text_col]), F.lit(0)).cast("long") + 1
-    rows = docs.select(F.spark_partition_id().alias("p"), ids.alias("n")).groupBy("p").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select(F.spark_partition_id().alias("p"), _count(docs, text_col).alias("n")).groupBy("p").agg(F.sum("n").alias("n")).collect()
     size = {r["p"]: r["n"] for r in rows}
     starts, at = {}, 0
     for p in sorted(size):
@@ -92,18 +125,19 @@ def _starts(docs: DataFrame, text_col: str) -> tuple[dict[int, int], dict[int, i
 
 
 def write(docs: DataFrame, path: str, text_col: str = "text", length: int = SEQUENCE, per_shard: int = PER_SHARD,
-          key: int = KEY) -> Layout:
-    """Write all shards below ``path``; file part-<shard> is a shard."""
+          key: int = KEY, width: int = 1, end: int = END) -> Layout:
+    """Write all shards below ``path``; file part-<shard> is a shard. ``text_col`` holds texts or arrays of ids."""
+    if width not in (1, 2, 4) or not END <= end < min(1 << (8 * width), 1 << 31):
+        raise ValueError("an id takes 1, 2 or 4 bytes, and the end is an id of that width from 255 on")
     starts, size, total = _starts(docs, text_col)
-    layout = Layout(-(-total // length), length, per_shard, key)
+    layout = Layout(-(-total // length), length, per_shard, key, width)
     if not total:
         return layout
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         me = TaskContext.get().partitionId()
         at = starts.get(me, 0)
-        for _, texts in slices(batches, "text"):
-            ids = np.insert(texts.data, texts.at[1:], END)
+        for ids in _runs(batches, width, end):
             cuts = np.arange(at - at % length + length, at + len(ids), length) - at
             first = np.concatenate([[0], cuts])
             ends = np.append(cuts, len(ids)).tolist()
@@ -111,7 +145,7 @@ def write(docs: DataFrame, path: str, text_col: str = "text", length: int = SEQU
             raw = ids.tobytes()
             yield pa.RecordBatch.from_arrays(
                 [pa.array(slot_of(sequence, layout.sequences, key)), pa.array(inside.astype(np.int32)),
-                 pa.array([raw[a:b] for a, b in zip(first.tolist(), ends)], pa.binary())], ["slot", "at", "ids"])
+                 pa.array([raw[a * width:b * width] for a, b in zip(first.tolist(), ends)], pa.binary())], ["slot", "at", "ids"])
             at += len(ids)
         if at != starts.get(me, 0) + size.get(me, 0):
             raise ValueError("the input gave other rows than when it was counted; write it to a table first")
@@ -133,14 +167,15 @@ def write(docs: DataFrame, path: str, text_col: str = "text", length: int = SEQU
     parts = docs.select(docs[text_col].alias("text")).mapInArrow(pieces, "slot long, at int, ids binary")
     shard = F.floor(F.col("slot") / per_shard).cast("int")
     sorted_ = parts.repartitionById(layout.shards, shard).sortWithinPartitions("slot", "at")
-    full = F.rpad(F.col("record"), length, F.lit(bytes([END])))
+    full = F.rpad(F.col("record"), length * width, F.lit(end.to_bytes(width, "little")))
     (sorted_.mapInArrow(records, "record binary").select(full.cast("string").alias("value"))
      .write.option("lineSep", "\n").option("compression", "none").text(path))
     return layout
 
 
 def read(spark: SparkSession, path: str, layout: Layout, first_slot: int = 0) -> DataFrame:
-    """(slot, shard, at, sequence, ids) of the records from ``first_slot`` on; shards before it are not read."""
+    """(slot, shard, at, sequence, ids) of the records from ``first_slot`` on, ids as their bytes; shards before it
+    are not read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     number = F.regexp_extract("path", r"part-(\d+)", 1).cast("int")
     files = files.where(number >= first_slot // layout.per_shard).select(number.alias("shard"), "content")
@@ -156,16 +191,33 @@ def read(spark: SparkSession, path: str, layout: Layout, first_slot: int = 0) ->
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(slot), pa.array(np.full(len(at), shard, np.int32)), pa.array(at),
                          pa.array(sequence_of(slot, layout.sequences, layout.key)),
-                         pa.array([bytes(raw[a:a + layout.length]) for a in at.tolist()], pa.binary())],
+                         pa.array([bytes(raw[a:a + step - 1]) for a in at.tolist()], pa.binary())],
                         ["slot", "shard", "at", "sequence", "ids"])
 
     return files.mapInArrow(cut, "slot long, shard int, at long, sequence long, ids binary")
 
 
+def unpacked(records: DataFrame, layout: Layout) -> DataFrame:
+    """The records with their ids as arrays of numbers."""
+    others = [c for c in records.columns if c != "ids"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for low in range(0, b.num_rows, 1024):
+                part = b.slice(low, 1024)
+                ids = np.frombuffer(b"".join(part.column("ids").to_pylist()), f"<u{layout.width}").astype(np.int32)
+                at = pa.array(np.arange(part.num_rows + 1) * layout.length, pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in others] + [pa.ListArray.from_arrays(at, ids)],
+                                                 [*others, "ids"])
+
+    schema = T.StructType([records.schema[c] for c in others]).add("ids", T.ArrayType(T.IntegerType()))
+    return records.select(*others, "ids").mapInArrow(work, schema)
+
+
 def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = SEQUENCE) -> DataFrame:
     """(id, start, n_ids, first_sequence, last_sequence) of every document row in the stream."""
     starts, size, _ = _starts(docs, text_col)
-    src = docs.select(docs[id_col].alias("id"), (F.coalesce(F.octet_length(docs[text_col]), F.lit(0)) + 1).cast("long").alias("n"))
+    src = docs.select(docs[id_col].alias("id"), _count(docs, text_col).alias("n"))
     kind = src.schema["id"].dataType.simpleString()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -41,6 +41,50 @@ def test_shards_hold_the_stream(spark):
     assert late.count() == layout.sequences - 100 and late.agg(F.min("shard")).head()[0] == 1
 
 
+@pytest.mark.parametrize("width, end", [(2, 65_535), (4, 1_000_000)])
+def test_shards_of_token_ids(spark, width, end):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    encoded = durable(byte_bpe.encode(docs, "doc_id", "text").repartition(3))
+    path = folder(spark)
+    layout = materialise.write(encoded, path, "ids", length=100, per_shard=64, width=width, end=end)
+    records = materialise.read(spark, path, layout)
+    rows = materialise.unpacked(records, layout).collect()
+    assert layout.stride == 100 * width + 1 and sorted(r["slot"] for r in rows) == list(range(layout.sequences))
+    assert all(layout.locate(r["slot"]) == (r["shard"], r["at"]) and len(r["ids"]) == 100 for r in rows)
+    stream = np.concatenate([r["ids"] for r in sorted(rows, key=lambda r: r["sequence"])])
+    want = {r["id"]: r["ids"] for r in encoded.collect()}
+    tokens = byte_bpe.read_ranks(byte_bpe.RANKS)
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    places = materialise.index(encoded, "id", "ids", length=100).collect()
+    assert len(places) == len(want)
+    for p in places:
+        ids = stream[p["start"]:p["start"] + p["n_ids"]].tolist()
+        assert ids == want[p["id"]] + [end]
+        assert b"".join(tokens[i] for i in ids[:-1]).decode() == texts[p["id"]]
+    used = sum(p["n_ids"] for p in places)
+    assert (stream[used:] == end).all() and len(stream) - used < 100
+
+
+def test_shards_of_odd_token_ids(spark):
+    data = [(1, [1, 2, 3]), (None, None), (2, []), (1, [1, 2, 3]), (3, list(range(2000)))]
+    docs = durable(spark.createDataFrame(data, "doc_id long, ids array<int>").coalesce(1))
+    path = folder(spark)
+    layout = materialise.write(docs, path, "ids", length=7, per_shard=16, width=2, end=9999)
+    rows = materialise.unpacked(materialise.read(spark, path, layout), layout).collect()
+    stream = [i for r in sorted(rows, key=lambda r: r["sequence"]) for i in r["ids"]]
+    places = materialise.index(docs, "doc_id", "ids", length=7).collect()
+    got = sorted((p["doc_id"] or 0, stream[p["start"]:p["start"] + p["n_ids"]]) for p in places)
+    assert got == sorted((i or 0, (ids or []) + [9999]) for i, ids in data)
+    assert materialise.write(docs.limit(0), folder(spark), "ids", width=2, end=9999).shards == 0
+    for ids in ([1, None], [-1], [9999], [70_000]):
+        bad = durable(spark.createDataFrame([(1, ids)], "doc_id long, ids array<int>"))
+        with pytest.raises(Exception, match="token id"):
+            materialise.write(bad, folder(spark), "ids", width=2, end=9999)
+    for width, end in ((3, 300), (1, 256), (2, 65_536), (2, 7)):
+        with pytest.raises(ValueError):
+            materialise.write(docs, folder(spark), "ids", width=width, end=end)
+
+
 def test_shards_of_odd_rows(spark):
     path = folder(spark)
     docs = durable(odd_docs(spark).coalesce(2))
