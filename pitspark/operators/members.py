@@ -9,6 +9,8 @@ from pitspark.functions.ordering import quantiles, with_constants
 from pitspark.functions.scalar import blank, normalise_name
 from pitspark.operators.interval import member_share
 
+FEW_PEERS = 1024            # rows of an event whose values are sorted in one aggregate
+
 
 def member_columns(df: DataFrame, prefix: str) -> list[str]:
     """S3: multi-hot columns by prefix, in name order."""
@@ -152,14 +154,35 @@ def peer_select(events: DataFrame, universe: DataFrame, id_: str, ticker: str, s
             .select(id_, (F.col("_i") + 1).alias("place"), F.col("_p.ticker").alias("peer")))
 
 
+def _few_quantiles(values: Column, levels: Sequence[float]) -> list[Column]:
+    """Quantiles of a short sorted array, with linear interpolation; null for an empty one."""
+    out = []
+    for p in levels:
+        at = F.lit(float(p)) * (F.size(values) - 1)
+        low, high = F.get(values, F.floor(at).cast("int")), F.get(values, F.ceil(at).cast("int"))
+        out.append(low + (at - F.floor(at)) * (high - low))
+    return out
+
+
+def peer_quantiles(peers: DataFrame, id_: str, value: str, levels: dict[str, float]) -> DataFrame:
+    """``quantiles`` per event: events of at most ``FEW_PEERS`` rows, which are nearly all, sort their values in
+    one aggregate; only the others are cut in ranges."""
+    rows = peers.where(F.col(value).isNotNull()).select(id_, value)
+    many = rows.groupBy(id_).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > FEW_PEERS).select(id_)
+    few = rows.join(many, id_, "left_anti").groupBy(id_).agg(F.sort_array(F.collect_list(F.col(value) + 0)).alias("_v"))
+    few = few.select(id_, F.size("_v").cast("long").alias("n"), *[
+        q.alias(m) for m, q in zip(levels, _few_quantiles(F.col("_v"), list(levels.values())))])
+    return few.unionByName(quantiles(rows.join(many, id_, "left_semi"), [id_], value, levels))
+
+
 def peer_stats(events: DataFrame, peers: DataFrame, id_: str) -> DataFrame:
     """A3: count, median and spread of peer returns; zeros for events without peers."""
-    short = quantiles(peers, [id_], "ret_21d", {"q1": 0.25, "med": 0.5, "q3": 0.75})
+    short = peer_quantiles(peers, id_, "ret_21d", {"q1": 0.25, "med": 0.5, "q3": 0.75})
     got = short.select(id_, F.col("n").cast("double").alias("peer_n"), F.col("med").alias("peer_med_21d"),
                        F.when(F.col("n") >= 2, F.col("q3") - F.col("q1")).otherwise(0.0)
                        .alias("peer_iqr_21d"))
     if "ret_63d" in peers.columns:
-        long = quantiles(peers, [id_], "ret_63d", {"peer_med_63d": 0.5}).drop("n")
+        long = peer_quantiles(peers, id_, "ret_63d", {"peer_med_63d": 0.5}).drop("n")
     else:
         long = got.select(id_, F.lit(0.0).alias("peer_med_63d"))
     names = ["peer_n", "peer_med_21d", "peer_iqr_21d", "peer_med_63d"]

@@ -183,8 +183,10 @@ def assemble_panel(t: Tables, horizons: Sequence[int] = labels.HORIZONS, anchor:
     rets = returns(sorted({*horizons, *spans, 1}) if anchor == "offer" else horizons, anchor)
     labels.require_benchmark(rets)
     first = rets if anchor == "offer" else returns(sorted({1, *spans}), "offer")
-    rows = t.events.join(day_factors(t, first, spans, relative and adjust), ["grp", "d"], "left")
-    rows = supply_z(rows).join(regime_flags(t, first), "id")
+    # one row per group and day, read twice; rows are numbered with the supply factors only, the others come last
+    day = durable(day_factors(t, first, spans, relative and adjust))
+    supply = [c for c in day.columns if c.startswith("supply_")]
+    rows = supply_z(t.events.join(day.select("grp", "d", *supply), ["grp", "d"], "left")).join(regime_flags(t, first), "id")
     if t.members is not None:
         rows = rows.join(member_features(t), "id", "left")
     if t.peers is not None:
@@ -193,7 +195,7 @@ def assemble_panel(t: Tables, horizons: Sequence[int] = labels.HORIZONS, anchor:
     ys = [c for h in sorted(horizons) for c in (f"y_{h}", f"d_{h}")]
     rows = rows.join(rets.select("id", *ys), "id", "left")
     rows = labels.inference_rows(rows, main) if inference else labels.training_rows(rows, main)
-    return rows.where(labels.is_target("is_target"))
+    return rows.where(labels.is_target("is_target")).join(day.drop(*supply), ["grp", "d"], "left")
 
 
 def checked_panel(t: Tables, **options) -> DataFrame:

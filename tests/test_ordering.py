@@ -78,3 +78,25 @@ def test_positions_along_timestamps(spark):
     df = spark.range(300).select(F.timestamp_micros(F.col("id") * 7_000_000).alias("t"), F.col("id"))
     got = O.row_index(df, [], None, "t", "p")
     assert got.where("p <> id").count() == 0
+
+
+def test_only_keys_of_many_rows_are_sampled(spark):
+    """Keys of few rows meet no window of the splitters' sample: they are dropped before it."""
+    df = spark.range(6000).select((F.when(F.col("id") < 3000, 0).otherwise(F.col("id"))).alias("k"), F.col("id").alias("v"))
+    plan = O.splitters(df, ["k"], [F.col("v")])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Window [row_number") < plan.index("Join LeftSemi")       # an outer node comes first
+    got = {r.k: r._cuts for r in O.splitters(df, ["k"], [F.col("v")]).collect()}
+    assert list(got) == [0] and got[0] == sorted(got[0])
+    pos = {r.v: r.p for r in O.row_index(df, ["k"], None, "v", "p").collect()}
+    assert pos == {v: v if v < 3000 else 0 for v in range(6000)}
+
+
+def test_peer_quantiles_of_few_and_many_rows(spark, monkeypatch):
+    from pitspark.operators import members as P
+    rows = [(i % 40, None if i % 11 == 0 else float((i * 37) % 23) / 8) for i in range(400)] + [(99, None), (100, 0.5), (101, float("nan"))]
+    df = spark.createDataFrame(rows, "id int, x double")
+    levels = {"a": 0.25, "b": 0.5, "c": 0.75}
+    want = sorted(map(str, O.quantiles(df, ["id"], "x", levels).collect()))
+    for few in (1024, 8, 0):                # all in one aggregate, both ways, all by ranges
+        monkeypatch.setattr(P, "FEW_PEERS", few)
+        assert sorted(map(str, P.peer_quantiles(df, "id", "x", levels).collect())) == want
