@@ -57,6 +57,17 @@ def test_row_bootstrap_and_identical_models(spark):
     assert abs(got["difference"].lo) < 1e-12 and abs(got["difference"].hi) < 1e-12
 
 
+def test_row_bootstrap_in_runs_of_draws(spark, monkeypatch):
+    pdf, df = frame(spark, 60)
+    monkeypatch.setattr(I, "DRAWS", 16)             # two runs, the first with the plain rows as draw 0
+    got = {r.score: r for r in I.row_bootstrap(df, [], ["q0.5", "b"], "y_true", "id", 24, seed=3).collect()}
+    draws = [pdf.iloc[p] for p in I.drawn_units(24, 60, 3)]
+    a, b = [np.array([ic(d[c].values, d.y_true.values) for d in draws]) for c in ("q0.5", "b")]
+    for name, v in (("q0.5", a), ("b", b), ("difference", a - b)):
+        np.testing.assert_allclose([got[name].lo, got[name].hi], np.percentile(v, [2.5, 97.5]), atol=1e-9)
+    assert abs(got["q0.5"].estimate - ic(pdf["q0.5"], pdf.y_true)) < 1e-9
+
+
 def newey_west(v, lags):
     n, e = len(v), v - v.mean()
     var = e @ e / n + sum(2 * (1 - l / (lags + 1)) * (e[l:] @ e[:-l]) / n for l in range(1, lags + 1))
