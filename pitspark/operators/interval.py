@@ -103,7 +103,11 @@ def member_share(events: DataFrame, long_members: DataFrame, by: Sequence[str],
     Sizes are added per (group, member, day) first. A member is only laid out over the query
     days its window reaches, so the table holds exactly the active (day, member) cells.
     """
-    own = long_members.join(events.select(id_, *by, at, size), id_)
+    return share_of(long_members.join(events.select(id_, *by, at, size), id_), by, at, size, days)
+
+
+def share_of(own: DataFrame, by: Sequence[str], at: str, size: str, days: int) -> DataFrame:
+    """``member_share`` of members that stand beside their events."""
     daily = own.groupBy(*by, "member", F.unix_date(at).alias("_n")).agg(
         F.sum(size).alias("_s"))
     asked_on = own.select(*by, F.unix_date(at).alias("_n")).distinct()

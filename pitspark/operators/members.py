@@ -2,12 +2,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pitspark.functions.ordering import quantiles, with_constants
 from pitspark.functions.scalar import blank, normalise_name
-from pitspark.operators.interval import member_share
+from pitspark.operators.interval import share_of
+from pitspark.session import durable
 
 FEW_PEERS = 1024            # rows of an event whose values are sorted in one aggregate
 
@@ -82,8 +84,14 @@ def syndicate_block(events: DataFrame, long_members: DataFrame, classes: DataFra
     """Per event the member count, whether each class and a member from the event's group is present,
     further 0/1 ``flags`` and the one-hot label of ``rules``. Conditions are SQL over ``n_members``,
     ``has_<class>`` and ``has_domestic``."""
-    rows = (long_members.join(classes, "member", "left")
-            .join(events.select(id_, F.col(group).cast("string").alias("_g")), id_))
+    own = long_members.join(events.select(id_, group), id_)
+    return block_of(events, own, classes, id_, group, class_names, rules, flags)
+
+
+def block_of(events: DataFrame, own: DataFrame, classes: DataFrame, id_: str, group: str, class_names: Sequence[str],
+             rules: Sequence[tuple[str, str]], flags: dict[str, str]) -> DataFrame:
+    """``syndicate_block`` of members that stand beside their events."""
+    rows = own.select(id_, "member", F.col(group).cast("string").alias("_g")).join(classes, "member", "left")
     per = rows.groupBy(id_).agg(
         F.count(F.lit(1)).alias("n_members"), F.bool_or(F.col("home") == F.col("_g")).alias("has_domestic"),
         *[F.bool_or(F.col("class") == c).alias(f"has_{c}") for c in class_names])
@@ -120,10 +128,16 @@ def percentile_rank_max(events: DataFrame, long_members: DataFrame, by: Sequence
     """The event's best member rank; 0 without any. A supplied column wins."""
     if supplied:
         return events.select(id_, F.coalesce(F.col(supplied).cast("double"), F.lit(0.0)).alias(out))
-    shares = member_share(events, long_members, by, at, id_, size, int(years * 365.25))
-    own = long_members.join(events.select(id_, *by, at), id_)
-    best = (own.join(member_rank(shares, by, at), [*by, at, "member"])
-            .groupBy(id_).agg(F.max("rank").alias("_r")))
+    own = durable(long_members.join(events.select(id_, *by, at, size), id_))
+    return rank_max_of(events, own, by, at, id_, size, years, out)
+
+
+def rank_max_of(events: DataFrame, own: DataFrame, by: Sequence[str], at: str, id_: str, size: str, years: float = 3,
+                out: str = "prestige") -> DataFrame:
+    """``percentile_rank_max`` of written members that stand beside their events. Ranks are written as well: a row
+    for each active member of a day, which meets the members without a shuffle where it is small."""
+    ranks = durable(member_rank(share_of(own, by, at, size, int(years * 365.25)), by, at).select(*by, at, "member", "rank"))
+    best = own.join(ranks, [*by, at, "member"]).groupBy(id_).agg(F.max("rank").alias("_r"))
     return events.select(id_).join(best, id_, "left").select(
         id_, F.coalesce("_r", F.lit(0.0)).alias(out))
 
@@ -177,16 +191,24 @@ def peer_quantiles(peers: DataFrame, id_: str, value: str, levels: dict[str, flo
 
 def peer_stats(events: DataFrame, peers: DataFrame, id_: str) -> DataFrame:
     """A3: count, median and spread of peer returns; zeros for events without peers."""
-    short = peer_quantiles(peers, id_, "ret_21d", {"q1": 0.25, "med": 0.5, "q3": 0.75})
-    got = short.select(id_, F.col("n").cast("double").alias("peer_n"), F.col("med").alias("peer_med_21d"),
-                       F.when(F.col("n") >= 2, F.col("q3") - F.col("q1")).otherwise(0.0)
-                       .alias("peer_iqr_21d"))
-    if "ret_63d" in peers.columns:
-        long = peer_quantiles(peers, id_, "ret_63d", {"peer_med_63d": 0.5}).drop("n")
-    else:
-        long = got.select(id_, F.lit(0.0).alias("peer_med_63d"))
+    levels = {"ret_21d": {"q1": 0.25, "med": 0.5, "q3": 0.75}, "ret_63d": {"peer_med_63d": 0.5}}
+    levels = {v: m for v, m in levels.items() if v in peers.columns}
+    rows = peers.where(F.col(id_).isNotNull()).select(id_, *levels)
+    # as in ``peer_quantiles``, with all values of an event in one aggregate
+    many = durable(rows.groupBy(id_).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > FEW_PEERS).select(id_))
+    # values travel as rows: arrays of the few that a map task sees of an event would be larger
+    few = rows.join(many, id_, "left_anti").repartition(id_)
+    few = few.groupBy(id_).agg(*[F.sort_array(F.collect_list(F.col(v) + 0)).alias(v) for v in levels])
+    few = few.select(id_, F.size("ret_21d").cast("long").alias("n"), *[
+        q.alias(m) for v, at in levels.items() for m, q in zip(at, _few_quantiles(F.col(v), list(at.values())))])
+    large = rows.join(many, id_, "left_semi")
+    parts = [quantiles(large, [id_], v, at) for v, at in levels.items()]
+    whole = few.unionByName(reduce(lambda a, b: a.join(b.drop("n"), id_, "full"), parts))
+    got = whole.select(id_, F.col("n").cast("double").alias("peer_n"), F.col("med").alias("peer_med_21d"),
+                       F.when(F.col("n") >= 2, F.col("q3") - F.col("q1")).otherwise(0.0).alias("peer_iqr_21d"),
+                       F.col("peer_med_63d") if "ret_63d" in levels else F.lit(0.0).alias("peer_med_63d"))
     names = ["peer_n", "peer_med_21d", "peer_iqr_21d", "peer_med_63d"]
-    return (events.select(id_).join(got, id_, "left").join(long, id_, "left")
+    return (events.select(id_).join(got, id_, "left")
             .select(id_, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in names]))
 
 

@@ -57,10 +57,9 @@ def select_groups(df: DataFrame, groups: Sequence[str], keep: Sequence[str] = ("
 
 def recent_factors(t: Tables, rets: DataFrame, spans: Sequence[int] = (1, 5), days: int = 90, k: int = 10,
                    relative: bool = False) -> DataFrame:
-    """f1 / f2 per (grp, d) for each span."""
+    """f1 / f2 per (grp, d) for each span; ``rets`` are the events with their returns."""
     basis = {h: labels.return_basis(h, relative) for h in spans}
-    hist = t.events.select("id", "grp", "d", F.coalesce("size", F.lit(0.0)).alias("size")).join(
-        rets.select("id", *[f"d_{h}" for h in spans], *basis.values()), "id", "left")
+    hist = rets.select("id", "grp", "d", F.coalesce("size", F.lit(0.0)).alias("size"), *[f"d_{h}" for h in spans], *basis.values())
     recent = interval.top_k_recent(t.events, hist, ["grp"], "d", "d", "id", days, k,
                                    ["size", *[f"d_{h}" for h in spans], *basis.values()])
     out = None
@@ -147,8 +146,7 @@ def supply_z(rows: DataFrame) -> DataFrame:
 
 def regime_flags(t: Tables, rets: DataFrame, n: int = 10) -> DataFrame:
     """m_regime_hot / cold per event: mean first return of recent events against its own history."""
-    hist = t.events.select("id", "grp", "d").join(rets.select("id", "d_1", "raw_1"), "id")
-    pops = interval.last_n_mean(t.events, hist, ["grp"], "d", "d", "id", "d_1", "raw_1", n)
+    pops = interval.last_n_mean(t.events, rets.select("id", "grp", "d", "d_1", "raw_1"), ["grp"], "d", "d", "id", "d_1", "raw_1", n)
     flag = expanding.expanding_terciles(t.events.select("id", "grp", "d"), pops, ["grp"], "d", "id",
                                         "mean_seen", "_f")
     return flag.select("id", (F.col("_f") == 1).cast("double").alias("m_regime_hot"),
@@ -157,11 +155,11 @@ def regime_flags(t: Tables, rets: DataFrame, n: int = 10) -> DataFrame:
 
 def member_features(t: Tables, years: float = 3) -> DataFrame:
     """Syndicate block and prestige per event."""
-    out = members.percentile_rank_max(t.events, t.members, ["grp"], "d", "id", "size", years)
+    own = durable(t.members.join(t.events.select("id", "grp", "d", "size"), "id"))
+    out = members.rank_max_of(t.events, own, ["grp"], "d", "id", "size", years)
     if t.dictionary is not None:
-        cls = members.classify_members(t.members, t.dictionary)
-        out = out.join(members.syndicate_block(t.events, t.members, cls, "id", "grp", t.class_names,
-                                               t.rules, t.flags), "id")
+        cls = durable(members.classify_members(own, t.dictionary))      # a row per member
+        out = out.join(members.block_of(t.events, own, cls, "id", "grp", t.class_names, t.rules, t.flags), "id")
     return out
 
 
@@ -171,14 +169,20 @@ def assemble_panel(t: Tables, horizons: Sequence[int] = labels.HORIZONS, anchor:
     """Factors for every event, universe rows included; only then the rows to model.
 
     Filtering first would change every expanding and trailing statistic, so the target and label
-    filters come last. ``inference`` keeps target rows without a label (P7). Events and returns
-    feed every factor, so both are written once instead of being derived again for each. A benchmark that
+    filters come last. ``inference`` keeps target rows without a label (P7). Events and their closes
+    feed every factor, so they meet once and are written once. A benchmark that
     does not reach a price day is an error, as its rows would have no label.
     """
     main = max(horizons)
-    t = replace(t, events=durable(fill_zero(t.events, [c for c in t.zero if c in t.events.columns])))
+    labels.require_anchor(horizons, anchor)
+    own = t.events.columns
+    hs = {*horizons, *spans}
+    paths = labels.event_paths(fill_zero(t.events, [c for c in t.zero if c in own]), t.prices, hs, t.price_tie)
+    t = replace(t, events=paths.select(*own))
+    paths = labels.benchmarked(paths, t.bench, hs)
+
     def returns(hs, how):
-        return durable(labels.returns(t.events, t.prices, t.bench, hs, how, adjust, t.price_tie))
+        return paths.select(*own, *labels.measured(hs, how, adjust))
 
     rets = returns(sorted({*horizons, *spans, 1}) if anchor == "offer" else horizons, anchor)
     labels.require_benchmark(rets)
@@ -186,14 +190,15 @@ def assemble_panel(t: Tables, horizons: Sequence[int] = labels.HORIZONS, anchor:
     # one row per group and day, read twice; rows are numbered with the supply factors only, the others come last
     day = durable(day_factors(t, first, spans, relative and adjust))
     supply = [c for c in day.columns if c.startswith("supply_")]
-    rows = supply_z(t.events.join(day.select("grp", "d", *supply), ["grp", "d"], "left")).join(regime_flags(t, first), "id")
+    ys = [c for h in sorted(horizons) for c in (f"y_{h}", f"d_{h}")]
+    events = rets.select(*own, *ys)
+    rows = supply_z(events.join(day.select("grp", "d", *supply), ["grp", "d"], "left")).join(regime_flags(t, first), "id")
     if t.members is not None:
         rows = rows.join(member_features(t), "id", "left")
     if t.peers is not None:
         p1 = members.peer_stats(t.events, t.peers, "id")
         rows = rows.join(p1.toDF("id", "p1_n", "p1_med_21d", "p1_iqr_21d", "p1_med_63d"), "id", "left")
-    ys = [c for h in sorted(horizons) for c in (f"y_{h}", f"d_{h}")]
-    rows = rows.join(rets.select("id", *ys), "id", "left")
+    rows = rows.select(*[c for c in rows.columns if c not in ys], *ys)
     rows = labels.inference_rows(rows, main) if inference else labels.training_rows(rows, main)
     return rows.where(labels.is_target("is_target")).join(day.drop(*supply), ["grp", "d"], "left")
 

@@ -100,3 +100,15 @@ def test_peer_quantiles_of_few_and_many_rows(spark, monkeypatch):
     for few in (1024, 8, 0):                # all in one aggregate, both ways, all by ranges
         monkeypatch.setattr(P, "FEW_PEERS", few)
         assert sorted(map(str, P.peer_quantiles(df, "id", "x", levels).collect())) == want
+
+
+def test_ranges_are_searched_by_compiled_steps(spark):
+    """A range is the number of splitters up to a value; no lambda runs over the splitters for every row."""
+    from bisect import bisect_right
+    df = spark.range(40_000).select(F.when(F.col("id") % 97 == 0, None).otherwise(F.pmod(F.xxhash64("id"), F.lit(10 ** 6))).alias("v"))
+    cut = O.celled(df.withColumn("k", F.lit(0)), ["k"], [F.col("v")], "c")
+    assert "filter(_cuts" not in cut._jdf.queryExecution().optimizedPlan().toString()
+    points = O.splitters(df.withColumn("k", F.lit(0)), ["k"], [F.col("v")]).first()._cuts
+    points = [p for p in points if p is not None]
+    assert len(points) > 50
+    assert all(r.c == (0 if r.v is None else bisect_right(points, r.v)) for r in cut.collect())

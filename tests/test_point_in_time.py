@@ -253,3 +253,34 @@ def test_contract_report_and_guard(spark):
         contract.require_contract(contract.check(tables, ["flag"]))
     no_prices = contract.check({"events": ev.drop("offer"), "prices": None}).collect()
     assert {(x.rule, x.detail) for x in no_prices} >= {("missing_column", "offer"), ("missing_table", "")}
+
+
+def test_events_and_closes_meet_once(spark):
+    """Returns beside the events equal ``returns``, for every anchor, and reading them shuffles nothing."""
+    events = spark.createDataFrame([(i, f"g{i % 2}", day(i % 9), None if i == 5 else 10.0 + i) for i in range(30)],
+                                   "id int, grp string, d date, offer double")
+    prices = spark.createDataFrame([(i, day(i % 9 + k), 11.0 + i + k * (i % 4)) for i in range(32) for k in range(i % 5)],
+                                   "id int, date date, close double")
+    bench = spark.createDataFrame([(g, day(k), 50.0 + k * (1 + int(g[1]))) for g in ("g0", "g1") for k in range(0, 14, 2)],
+                                  "grp string, date date, close double")
+    for series in (bench, bench.where("grp = 'g0'").drop("grp")):
+        paths = labels.benchmarked(labels.event_paths(events, prices, (1, 2, 3)), series, (1, 2, 3))
+        assert "Exchange hashpartitioning" not in paths._jdf.queryExecution().executedPlan().toString()
+        for hs, anchor in (((1, 3), "offer"), ((2, 3), "first_close")):
+            want = labels.returns(events, prices, series, hs, anchor)
+            got = paths.select("id", *labels.measured(hs, anchor)).where("c_1 is not null")
+            assert got.columns == want.columns
+            assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_peer_stats_of_events_with_many_peers(spark, monkeypatch):
+    from pitspark.operators import members
+    events = spark.createDataFrame([(i,) for i in range(8)], "id int")
+    rows = [(i, None if (i + k) % 5 == 0 else ((7 * k) % 11) / 8, None if k % 3 == 0 else -k / 16) for i in range(6) for k in range(i * 3)]
+    peers = spark.createDataFrame([*rows, (None, 1.0, 1.0), (7, None, 0.25)], "id int, ret_21d double, ret_63d double")
+    want = None
+    for few in (1024, 6, 0):                # all in one aggregate, both ways, all by ranges
+        monkeypatch.setattr(members, "FEW_PEERS", few)
+        got = sorted(map(str, members.peer_stats(events, peers, "id").collect()))
+        want = want or got
+        assert got == want and len(got) == 8
