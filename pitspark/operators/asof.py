@@ -56,6 +56,39 @@ def asof_lookup(points: DataFrame, series: DataFrame, by: Sequence[str], at: str
                                         F.col("_t").alias(at), "before", "upto"))
 
 
+def neighbours(points: DataFrame, knots: DataFrame, by: Sequence[str], x: str, kx: str, ky: str) -> DataFrame:
+    """One row per distinct (by, x) of ``points`` on a continuous axis: ``left``, the last knot with kx <= x, and
+    ``right``, the first one with kx > x, as structs (kx, ky), null if none. Of knots with equal kx, the left one
+    has the largest ky and the right one the smallest. Both come from one written line, cut in ranges as in
+    ``asof_lookup``; what lies outside a range is carried in through a table of one row per range."""
+    by = list(by)
+    marks = (points.select(*by, F.col(x).alias("_t")).where(F.col("_t").isNotNull()).distinct()
+             .select(*by, "_t", F.lit(True).alias("_asked"), F.lit(None).alias("_up"), F.lit(None).alias("_down")))
+    knot = F.struct(F.col(kx).alias("kx"), F.col(ky).alias("ky"))
+    seen = knots.where(F.col(kx).isNotNull()).select(
+        *by, F.col(kx).alias("_t"), F.lit(False).alias("_asked"), knot.alias("_up"),
+        F.when(~F.isnan(F.col(kx).cast("double")), knot).alias("_down"))      # nothing lies below NaN
+    line = (marks.unionByName(seen).groupBy(*by, "_t")
+            .agg(F.max("_asked").alias("_asked"), F.max("_up").alias("_up"), F.min("_down").alias("_down")))
+    if not by:
+        line, by = line.withColumn("_all", F.lit(0)), ["_all"]
+    line = celled(durable(line), by, [F.col("_t")], "_slice", distinct=True)
+    cell = W.partitionBy(*by, "_slice")
+    ends = line.groupBy(*by, "_slice").agg(
+        F.max(F.when(F.col("_up").isNotNull(), F.struct("_t", "_up")))["_up"].alias("_last"),
+        F.min(F.when(F.col("_down").isNotNull(), F.struct("_t", "_down")))["_down"].alias("_first"))
+    slices = W.partitionBy(*by)
+    ends = ends.select(*by, "_slice", *[
+        F.last(c, True).over(slices.orderBy(o).rowsBetween(W.unboundedPreceding, -1)).alias(f"_past{c}")
+        for c, o in (("_last", F.asc("_slice")), ("_first", F.desc("_slice")))])
+    line = (line.withColumn("left", F.last("_up", True).over(cell.orderBy("_t").rowsBetween(W.unboundedPreceding, 0)))
+            # downwards, as a frame of all that follows would be evaluated again for every row
+            .withColumn("right", F.last("_down", True).over(cell.orderBy(F.desc("_t")).rowsBetween(W.unboundedPreceding, -1)))
+            .join(ends, [*by, "_slice"]))
+    return line.where("_asked").select(*[c for c in by if c != "_all"], F.col("_t").alias(x),
+                                       F.coalesce("left", "_past_last").alias("left"), F.coalesce("right", "_past_first").alias("right"))
+
+
 def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], at: str, ts: str,
               values: Sequence[str], strict: bool = True,
               slice_by: str | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pitspark.functions.distributions import normal_cdf, normal_ppf
 from pitspark.functions.ordering import value_offsets, with_constants
 from pitspark.functions.scalar import clip, interpolate
+from pitspark.session import durable
 
 EPS = 1e-8
 OTHER = "bk_other"
@@ -129,7 +130,7 @@ def normal_score(rows: DataFrame, knots: DataFrame, y: str, out: str,
 def normal_score_inverse(rows: DataFrame, knots: DataFrame, z: str, out: str,
                          by: Sequence[str] = ("fold",)) -> DataFrame:
     """X5 inverse: score to value, never beyond the training range."""
-    asked = rows.withColumn("_p", normal_cdf(z))
+    asked = durable(rows.withColumn("_p", normal_cdf(z)))       # read by the lookup and by the join back
     named = knots.withColumnRenamed("p", "_kx")
     return interpolate(asked, named, list(by), "_p", "_kx", "v", out).drop("_p")
 

@@ -112,3 +112,24 @@ def test_ranges_are_searched_by_compiled_steps(spark):
     points = [p for p in points if p is not None]
     assert len(points) > 50
     assert all(r.c == (0 if r.v is None else bisect_right(points, r.v)) for r in cut.collect())
+
+
+def test_interpolation_needs_one_line(spark, monkeypatch):
+    """Both neighbours come from one written line of knots and points, ties of knots and odd points included."""
+    from pitspark.functions.scalar import interpolate
+    from pitspark.operators import asof
+    written = []
+    keep = asof.durable
+    monkeypatch.setattr(asof, "durable", lambda df: written.append(1) or keep(df))
+    rng = np.random.default_rng(5)
+    xs, ys = np.sort(rng.choice(np.round(np.linspace(-3, 3, 2400), 4), 2000, replace=False)), rng.normal(size=2000)
+    knots = spark.createDataFrame([*zip([0] * 2000, map(float, xs), map(float, ys)), (1, 1.0, 5.0), (1, 1.0, 7.0), (1, 2.0, 9.0)], "g int, a double, b double")
+    ask = [float(v) for v in np.round(rng.uniform(-4, 4, 3000), 3)]
+    odd = [(1, 1.0), (1, 1.5), (1, 0.5), (1, float("inf")), (1, float("nan")), (1, None), (2, 1.0)]
+    points = spark.createDataFrame([(0, v) for v in ask] + odd, "g int, x double")
+    got = interpolate(points, knots, ["g"], "x", "a", "b", "o").collect()
+    assert len(written) == 1 and len(got) == 3007
+    np.testing.assert_allclose([r.o for r in got if r.g == 0], np.interp([r.x for r in got if r.g == 0], xs, ys), atol=1e-9)
+    assert {str(r.x): str(r.o) for r in got if r.g == 1} == {
+        "1.0": "7.0", "1.5": "8.0", "0.5": "5.0", "inf": "9.0", "nan": "nan", "None": "None"}
+    assert [r.o for r in got if r.g == 2] == [None]
