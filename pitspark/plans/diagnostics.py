@@ -6,7 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pitspark.functions.ordering import quantiles, row_index, with_constants
+from pitspark.functions.ordering import quantiles, row_index, value_offsets, with_constants
+from pitspark.functions.scalar import finite
 from pitspark.plans import metrics as M
 from pitspark.session import durable
 from pitspark.sources.predictions import quantile_columns, quoted
@@ -77,22 +78,39 @@ def permutation_importance(test: DataFrame, score: Callable[[DataFrame], DataFra
     block; mean and population std over folds, largest first.
 
     ``score`` maps rows with a ``fold`` column to the same rows with a ``score`` column. The permutations of all
-    repeats are drawn in one numbering of (fold, repeat) and shared by the groups, and all shuffled blocks are
-    scored together.
+    repeats are drawn in one numbering of (fold, repeat) and shared by the groups. A row meets the row it takes values from
+    once a repeat; groups are told apart in the pass that scores them. Outcomes stay where they are, so they are
+    ranked once, and scored rows are added up by score as they come.
     """
-    rows = durable(row_index(test, ["fold"], None, id_, "_i"))
+    told = test.where(finite(y))
+    centred = F.col("below") + (F.col("cnt") - F.col("n")) / 2          # average rank less the mean rank
+    ranks = value_offsets(told, ["fold"], y).select("fold", y, centred.alias("_ry"))
+    rows = row_index(test, ["fold"], None, id_, "_i")
+    rows = durable(rows.join(ranks, ["fold", y], "left").select(*rows.columns, "_ry"))
     turns = rows.select("fold", "_i", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("_rep")).withColumn(
         "_h", F.xxhash64("_i", "fold", F.col("_rep") + seed + 1000))
     taken = durable(row_index(turns, ["fold", "_rep"], None, "_h", "_to").select(
         "fold", "_rep", F.col("_i").alias("_from"), F.col("_to").alias("_i")))
-    parts = [rows.withColumns({"feature": F.lit(""), "_rep": F.lit(0)})]        # the unshuffled block, named ""
-    for name, cols in groups.items():
-        values = rows.select("fold", F.col("_i").alias("_from"), *cols)
-        moved = rows.drop(*cols).join(taken, ["fold", "_i"]).join(values, ["fold", "_from"])
-        parts.append(moved.withColumn("feature", F.lit(name)).select(*parts[0].columns))
-    every = score(durable(reduce(DataFrame.unionByName, parts)))
-    # Written once: ranks read it several times, and a score is a model call.
-    every = M.rank_ic(durable(every.select("feature", "_rep", "fold", "score", y)), ["feature", "_rep", "fold"], "score", y)
+    moved = list(dict.fromkeys(c for cols in groups.values() for c in cols))
+    values = rows.select("fold", F.col("_i").alias("_from"), *[F.col(c).alias(f"_new{i}") for i, c in enumerate(moved)])
+    paired = durable(rows.join(taken, ["fold", "_i"]).join(values, ["fold", "_from"]))
+    kept = [c for c in rows.columns if c not in moved]
+
+    def block(name: str, cols: Sequence[str]) -> Column:
+        return F.struct(F.lit(name).alias("feature"), *[F.col(f"_new{i}" if c in cols else c).alias(c) for i, c in enumerate(moved)])
+
+    blocks = paired.select(*kept, "_rep", F.inline(F.array(*[block(name, cols) for name, cols in groups.items()])))
+    # with the unshuffled block, named ""
+    every = score(rows.withColumns({"feature": F.lit(""), "_rep": F.lit(0)}).unionByName(blocks))
+    keys = ["feature", "_rep", "fold"]
+    ry = F.col("_ry")
+    counted = durable(every.where(finite(y)).groupBy(*keys, F.col("score").alias("_s")).agg(
+        F.count(F.lit(1)).alias("_c"), F.sum(ry).alias("_w"), F.sum(ry * ry).alias("_v"), F.min(ry).alias("_lo"),
+        F.max(ry).alias("_hi")))
+    if counted.where(~F.coalesce(finite("_s"), F.lit(False))).isEmpty():
+        every = M.rank_ic_of_groups(counted, keys)
+    else:       # rows without a score drop out, which moves the ranks of the other outcomes
+        every = M.rank_ic(durable(every.select(*keys, "score", y)), keys, "score", y)
     base = every.where("feature = ''").select("fold", F.col("rank_ic").alias("_base"))
     ics = every.where("feature <> ''")
     drop = (ics.groupBy("feature", "fold").agg(F.avg("rank_ic").alias("_m")).join(base, "fold")

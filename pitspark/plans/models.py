@@ -15,10 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pitspark.functions.ordering import quantiles
@@ -32,6 +32,7 @@ ALPHAS = (0.003, 0.01, 0.03, 0.1, 0.3, 1.0, 3.0, 10.0, 30.0)
 ROUNDS, PATIENCE = 2000, 50     # of boosting
 FIRST = 14                      # rounds beyond the patience of the first run
 AT_ONCE = 8                     # fits that run side by side
+CONFIGS_AT_ONCE = 2             # of those, on the rows of one fold
 
 
 def q_name(level: float) -> str:
@@ -216,13 +217,28 @@ def best_round(curve: Sequence[float], patience: int) -> tuple[int, bool]:
     return best + 1, False
 
 
+def first_rounds(model: GBTClassificationModel | GBTRegressionModel, n: int, binary: bool):
+    """The model of the first ``n`` rounds of a longer run: its first trees, as a shorter run has the same ones."""
+    jvm, gateway, own = SparkSession.active()._jvm, SparkSession.active().sparkContext._gateway, model._java_obj
+    ml = jvm.org.apache.spark.ml
+    trees, weights = gateway.new_array(ml.regression.DecisionTreeRegressionModel, n), gateway.new_array(jvm.double, n)
+    every = own.trees()
+    for i, w in enumerate(model.treeWeights[:n]):
+        trees[i], weights[i] = every[i], float(w)
+    if binary:
+        return GBTClassificationModel(ml.classification.GBTClassificationModel(own.uid(), trees, weights))
+    return GBTRegressionModel(ml.regression.GBTRegressionModel(own.uid(), trees, weights))
+
+
 def fit_trees(train: DataFrame, val: DataFrame, y: str, features: Sequence[str], binary: bool = False,
-              params: dict | None = None, seed: int = 0, rounds: int = ROUNDS, patience: int = PATIENCE) -> PipelineModel:
-    """M4: boosted trees, stopped when the validation loss has not improved for ``patience`` rounds.
+              params: dict | list[dict] | None = None, seed: int = 0, rounds: int = ROUNDS,
+              patience: int = PATIENCE) -> PipelineModel | list[PipelineModel]:
+    """M4: boosted trees, stopped when the validation loss has not improved for ``patience`` rounds. A list of
+    ``params`` gives a list of models, all fitted on one vector table.
 
     Boosting of a given seed begins alike whatever the number of rounds, so it runs for a few rounds, is looked
-    at round by round, and runs again for twice as many until the patience is used up; the last run is as
-    long as the best round.
+    at round by round, and runs again for twice as many until the patience is used up (at once for all
+    rounds where that is no more than twice as many); the trees up to the best round are the model.
     """
     rows = _tree_data(train, val, y, binary)
     inputs = _assembled(features).fit(rows)
@@ -231,17 +247,22 @@ def fit_trees(train: DataFrame, val: DataFrame, y: str, features: Sequence[str],
     learn, held = data.where("not is_val"), data.where("is_val")
     if held.isEmpty():
         raise ValueError("early stopping needs validation rows")
-    loss, n, seen = "logistic" if binary else "absolute", min(rounds, patience + FIRST), 0
-    while True:
-        model = _tree(binary, {**(params or {}), "maxIter": n}, seed).fit(learn)
-        # the label is scored on both sides alike, so the curve of a longer run starts with that of a shorter one
-        best, done = best_round(model.evaluateEachIteration(held, *[] if binary else [loss]), patience)
-        if done or n >= rounds:
-            break
-        n = min(rounds, 2 * n)
-    if best < n:
-        model = _tree(binary, {**(params or {}), "maxIter": best}, seed).fit(learn)
-    return PipelineModel([*inputs.stages, model])
+    loss = "logistic" if binary else "absolute"
+
+    def one(config: dict) -> PipelineModel:
+        n = patience + FIRST if rounds > 2 * (patience + FIRST) else rounds
+        while True:
+            model = _tree(binary, {**config, "maxIter": n}, seed).fit(learn)
+            # the label is scored on both sides alike, so the curve of a longer run starts with that of a shorter one
+            best, done = best_round(model.evaluateEachIteration(held, *[] if binary else [loss]), patience)
+            if done or n >= rounds:
+                break
+            n = min(rounds, 2 * n)
+        return PipelineModel([*inputs.stages, first_rounds(model, best, binary) if best < n else model])
+
+    if isinstance(params, list):
+        return side_by_side([partial(one, c) for c in params], train.sparkSession, CONFIGS_AT_ONCE)
+    return one(params or {})
 
 
 def score_with(model: PipelineModel, rows: DataFrame, binary: bool = False) -> DataFrame:
@@ -260,17 +281,17 @@ def trees(rows: DataFrame, y: str, features: Sequence[str], levels: Sequence[flo
     configs = sample_configs(tune, n_configs, seed) if tune and n_configs else [{}]
     parts = {k: [of_role(rows.where(F.col("fold") == k), r) for r in ("train", "val", "test")] for k in fold_ids(rows)}
 
-    def fit(k: int, config: dict) -> tuple[float, PipelineModel]:
+    def fit(k: int) -> PipelineModel:
         train, val, _ = parts[k]
-        model = fit_trees(train, val, y, features, binary, {**(params or {}), **config}, seed, rounds, patience)
-        return (validation_loss(score_with(model, val, binary), y, binary) if len(configs) > 1 else 0.0), model
+        models = fit_trees(train, val, y, features, binary, [{**(params or {}), **c} for c in configs], seed, rounds, patience)
+        if len(models) == 1:
+            return models[0]
+        losses = [validation_loss(score_with(m, val, binary), y, binary) for m in models]
+        return min(zip(losses, models), key=lambda f: f[0])[1]      # first among equals
 
-    tasks = [(k, c) for k in parts for c in configs]
-    fits = side_by_side([partial(fit, k, c) for k, c in tasks], spark)
+    fits = side_by_side([partial(fit, k) for k in parts], spark)
     out = []
-    for i, (train, val, test) in enumerate(parts.values()):
-        own = fits[i * len(configs):(i + 1) * len(configs)]
-        model = min(own, key=lambda f: f[0])[1]             # first among equals
+    for model, (train, val, test) in zip(fits, parts.values()):
         if binary:
             out.append(score_with(model, test, True).withColumnRenamed("score", "p_out"))
         else:
@@ -316,7 +337,8 @@ def tree_importances(rows: DataFrame, y: str, features: Sequence[str], binary: b
                      params: dict | None = None, seed: int = 0, rounds: int = ROUNDS, patience: int = PATIENCE) -> DataFrame:
     """G2 input: (fold, feature, gain) of boosted trees fitted on every fold."""
     models = fold_models(rows, y, features, binary, params, seed, rounds, patience)
-    out = [(k, f, float(g)) for k, m in models.items() for f, g in zip(features, m.stages[-1].featureImportances.toArray())]
+    gains = {k: m.stages[-1].featureImportances.toArray() for k, m in models.items()}      # up to the last feature in use
+    out = [(k, f, float(g[i]) if i < len(g) else 0.0) for k, g in gains.items() for i, f in enumerate(features)]
     return rows.sparkSession.createDataFrame(out, "fold int, feature string, gain double")
 
 

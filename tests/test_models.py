@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from pitspark.plans import diagnostics as G, folds as V, models as M, scaling as X
@@ -263,3 +264,107 @@ def test_bundle_scores_rows_without_labels(spark, data, tmp_path):
     M.fit_bundle(rows, V.final_split(rows), (1, 3), ["x", "w"], path, rounds=3, patience=3)
     band = M.score_bundle(rows, path, ["x", "w"]).toPandas()
     assert ((band.q10 <= band.q50) & (band.q50 <= band.q90)).all() and np.allclose(band.mult_q50, np.exp(band.q50))
+
+
+@pytest.mark.parametrize("binary", [False, True])
+def test_fits_are_cut_to_the_best_round_without_another_run(spark, data, monkeypatch, binary):
+    """The trees of a longer run up to a round are those of a run that ends there; none is fitted again."""
+    rows = data[3].where("fold = 0")
+    tree, asked = M._tree, []
+
+    def counted(kind, params, seed):
+        asked.append(params["maxIter"])
+        return tree(kind, params, seed)
+
+    monkeypatch.setattr(M, "_tree", counted)
+    train, val = M.of_role(rows, "train"), M.of_role(rows, "val")
+    params = {"maxDepth": 4, "stepSize": 0.5}
+    several = M.fit_trees(train, val, "y", ["x", "w"], binary, [params, {"maxDepth": 1}], 0, 20, 3)
+    assert asked == [20, 20] and len(several) == 2
+    model = M.fit_trees(train, val, "y", ["x", "w"], binary, params, 0, 20, 3)
+    n = model.stages[-1].getNumTrees
+    assert asked == [20, 20, 20] and n < 20
+    held = M.of_role(rows, "val")
+    assert np.allclose(*[M.score_with(m, held, binary).orderBy("id").toPandas().score for m in (model, several[0])])
+    assert M.first_rounds(model.stages[-1], 1, binary).getNumTrees == 1
+
+    both = PipelineModel(model.stages[:-1]).transform(M._tree_data(train, val, "y", binary)).where("not is_val").cache()
+    long, short = [tree(binary, {**params, "maxIter": k}, 0).fit(both) for k in (6, 4)]
+    cut = M.first_rounds(long, 4, binary)
+    assert list(cut.treeWeights) == list(short.treeWeights)
+    scores = [PipelineModel([*model.stages[:-1], m]) for m in (cut, short)]
+    assert np.allclose(*[M.score_with(m, held, binary).orderBy("id").toPandas().score for m in scores])
+    assert np.allclose(cut.featureImportances.toArray(), short.featureImportances.toArray()[:cut.featureImportances.size])
+
+
+def test_importances_name_features_no_tree_splits_on(spark, data):
+    rows = data[3].withColumn("idle", F.lit(0.0))
+    got = M.tree_importances(rows, "y", ["x", "idle"], rounds=8, patience=2).toPandas()
+    assert len(got) == 2 * rows.select("fold").distinct().count() and (got[got.feature == "idle"].gain == 0).all()
+
+
+def _importance_before(test, score, y, groups, repeats):
+    """The drop per feature from every block shuffled and ranked by itself."""
+    pdf = test.toPandas().sort_values(["fold", "id"], kind="stable")
+    spark, parts = test.sparkSession, []
+    pdf["_i"] = pdf.groupby("fold").cumcount()
+    turns = spark.createDataFrame(pdf[["fold", "_i"]], "fold int, _i bigint")
+    for rep in range(repeats):
+        h = turns.withColumn("h", F.xxhash64("_i", "fold", F.lit(rep + 1000))).toPandas().sort_values(["fold", "h"])
+        h["_to"] = h.groupby("fold").cumcount()
+        source = dict(zip(zip(h.fold, h._to), h._i))
+        for name, cols in groups.items():
+            got = pdf.copy()
+            at = {k: i for i, k in enumerate(zip(pdf.fold, pdf._i))}
+            take = [at[k, source[k, i]] for k, i in zip(pdf.fold, pdf._i)]
+            for c in cols:
+                got[c] = pdf[c].to_numpy()[take]
+            parts.append(got.assign(feature=name, rep=rep))
+    parts.append(pdf.assign(feature="", rep=0))
+    every = score(pd.concat(parts))
+    every = every[np.isfinite(every.score) & np.isfinite(every[y])]
+    ic = every.groupby(["feature", "rep", "fold"]).apply(lambda g: g.score.rank().corr(g[y].rank()), include_groups=False)
+    drop = ic[""].droplevel(0) - ic.drop("").groupby(["feature", "fold"]).mean()
+    return drop.groupby("feature").mean().to_dict()
+
+
+@pytest.mark.parametrize("holes", [False, True])
+def test_importance_of_tied_and_missing_scores(spark, data, holes):
+    """Scores with many ties, outcomes with ties and gaps and, on the longer way, rows without a score."""
+    test = data[3].where("role = 'test'").select("fold", "id", F.when(F.col("id") % 17 > 0, F.round("y", 1)).alias("y"), "x", "w")
+    groups = {"x": ["x"], "w": ["w"], "both": ["x", "w"]}
+    gap = 1.5 if holes else 1e9
+
+    def score(d):
+        return d.withColumn("score", F.when(F.col("w") < gap, F.round(F.col("x") + F.col("w") / 3, 0)))
+
+    def plain(d):
+        return d.assign(score=np.where(d.w < gap, (d.x + d.w / 3).round(), np.nan))
+
+    got = {r.feature: r.delta_ic for r in G.permutation_importance(test, score, "y", groups, repeats=3).collect()}
+    assert got == pytest.approx(_importance_before(test, plain, "y", groups, 3), abs=1e-9)
+
+
+def test_importance_scores_counted_rows(spark, data, monkeypatch):
+    """Blocks are not written row by row to be ranked, and outcomes are ranked once, not once a block."""
+    ranked = []
+    offsets = M.M.value_offsets
+    for module in (G, M.M):
+        monkeypatch.setattr(module, "value_offsets", lambda df, *a: (ranked.append(df.count()), offsets(df, *a))[1], raising=False)
+    test = data[3].where("role = 'test'").select("fold", "id", "y", "x", "w")
+    G.permutation_importance(test, lambda d: d.withColumn("score", F.signum("x")), "y", {"x": ["x"], "w": ["w"]}, repeats=4).collect()
+    assert max(ranked) == test.count() and sorted(ranked)[:-1] == [2 * 2 * (2 * 4 + 1)]     # two scores, two folds, nine blocks
+
+
+def test_unlabelled_query_assembles_one_panel(spark, monkeypatch):
+    from checks import modelling as Q
+    panel = spark.range(40).selectExpr("id", "date'2020-01-01' + cast(id as int) as d", "'a' as grp", "1.0 as y_1",
+                                       "case when id < 30 then 1.0 end as y_3", "case when id < 30 then date'2021-01-01' end as d_3")
+    made, fitted = [], []
+    monkeypatch.setattr(Q, "tables", lambda s, d: None)
+    monkeypatch.setattr(Q, "assemble_panel", lambda t, **k: (made.append(k), panel)[1])
+    monkeypatch.setattr(Q, "saved", lambda s, d, name, make: make(s, d))
+    monkeypatch.setattr(Q.M, "fit_bundle", lambda p, split, *a, **k: fitted.append((p.count(), split.count())))
+    monkeypatch.setattr(Q.M, "score_bundle", lambda every, *a: every)
+    assert Q.m12n(spark, "").count() == 40
+    assert fitted == [(30, 30)] and [k["inference"] for k in made] == [True]
