@@ -513,7 +513,7 @@ def fit_final(panel: DataFrame, split: DataFrame, y: str, features: Sequence[str
               binary: bool = False, params: dict | None = None, seeds: Sequence[int] = (0,), rounds: int = ROUNDS,
               patience: int = PATIENCE) -> None:
     """One model per seed on all rows (V3 split), saved with the feature contract."""
-    rows = durable(panel.join(split, "id"))
+    rows = durable(panel.select(*dict.fromkeys(["id", y, *features])).join(split, "id"))
 
     def one(s: int) -> None:
         fit_trees(of_role(rows, "train"), of_role(rows, "val"), y, features, binary, params, s, rounds, patience
@@ -562,10 +562,13 @@ def score_new(panel: DataFrame, path: str, features: Sequence[str]) -> DataFrame
 
 def fit_bundle(panel: DataFrame, split: DataFrame, horizons: Sequence[int], features: Sequence[str], path: str,
                **options) -> None:
-    """A stored bundle with one ``fit_final`` per horizon, each on the rows that have its label."""
-    for h in horizons:
-        labelled = panel.where(finite(f"y_{h}"))
-        fit_final(labelled, split, f"y_{h}", features, f"{path}/horizon={h}", **options)
+    """A stored bundle with one ``fit_final`` per horizon, side by side, each on the rows that have its label."""
+    split = durable(split)
+
+    def one(h: int) -> None:
+        fit_final(panel.where(finite(f"y_{h}")), split, f"y_{h}", features, f"{path}/horizon={h}", **options)
+
+    side_by_side([partial(one, h) for h in horizons], panel.sparkSession)
     panel.sparkSession.createDataFrame([(int(h),) for h in sorted(horizons)], "horizon int").coalesce(1).write.mode(
         "overwrite").parquet(f"{path}/horizons")
 
