@@ -395,11 +395,13 @@ def g2(spark, sf):
 
 @query("I8_permutation_null")
 def i8(spark, sf):
-    fo = folds(spark, sf)
+    # the folds of an event go with it, so they meet the panel once and not in every repeat
+    of = folds(spark, sf).groupBy("id").agg(F.collect_list(F.struct("fold", "role")).alias("folds"))
+    p = panel(spark, sf).select("id", "f1_med_1w", "y_1", "y_3").join(of, "id", "left")
 
     def predict(p):
-        return M.of_role(M.linear_score(fo.join(p, "id"), "f1_med_1w", "y_3"), "test")
-    p = panel(spark, sf).select("id", "f1_med_1w", "y_1", "y_3")
+        rows = p.select("f1_med_1w", "y_3", F.inline("folds"))
+        return M.of_role(M.linear_score(rows, "f1_med_1w", "y_3"), "test")
     return G.permutation_null(p, predict, ["y_1", "y_3"], "y_3", repeats=5)
 
 

@@ -132,14 +132,22 @@ def permutation_null(rows: DataFrame, predict: Callable[[DataFrame], DataFrame],
     """I8: fold-mean IC of the model and of the same model after one permutation of all outcomes
     per repeat; mean, spread and largest of the null, z of the actual value and an alert.
 
-    ``predict`` maps a panel to its test rows with (fold, score, <main>).
+    ``predict`` maps a panel to its test rows with (fold, score, <main>). The permutations are those of ``shuffled``:
+    rows are numbered by id once, meet the outcomes of every repeat in one chain of joins by number, and are written,
+    so that each panel is a scan of some of the columns.
     """
-    def scored(df: DataFrame, rep: int) -> DataFrame:
-        return predict(df).select(F.lit(rep).alias("repeat"), "fold", "score", main)
-
-    every = scored(rows, -1)
+    rows = durable(rows)
+    wide = row_index(rows, [], None, id_, "_i")
     for r in range(repeats):
-        every = every.unionByName(scored(shuffled(rows, list(ys), [], seed + r, id_), r))
+        mixed = rows.select(F.xxhash64(id_, F.lit(seed + r)).alias("_h"), *[F.col(c).alias(f"_{r}_{c}") for c in ys])
+        wide = wide.join(row_index(mixed, [], None, "_h", "_i").drop("_h"), "_i")
+    wide = durable(wide.drop("_i"))
+
+    def scored(rep: int) -> DataFrame:
+        cols = [F.col(f"_{rep}_{c}").alias(c) if rep >= 0 and c in ys else F.col(c) for c in rows.columns]
+        return predict(wide.select(*cols)).select(F.lit(rep).alias("repeat"), "fold", "score", main)
+
+    every = reduce(DataFrame.unionByName, [scored(r) for r in range(-1, repeats)])
     runs = M.fold_mean_ic(durable(every), ["repeat"], "score", main).withColumnRenamed("ic_fold_mean", "ic")
     null, real = F.when(F.col("repeat") >= 0, F.col("ic")), F.when(F.col("repeat") < 0, F.col("ic"))
     got = runs.agg(F.max(real).alias("actual_ic"), F.avg(null).alias("null_mean"),

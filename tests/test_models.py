@@ -179,6 +179,20 @@ def test_permutation_importance_and_null(data):
     assert r.actual_ic > 0.5 and r.null_max < 0.4 and r.z > 2
 
 
+def test_null_panels_are_scans_of_the_shuffles(data):
+    """Every repeat reads its panel, which holds what ``shuffled`` gives, without joining or numbering it again."""
+    _, panel, fo, _ = data
+    rows, seen = panel.select("id", "x", "y", "w"), []
+
+    def predict(p):
+        assert "Exchange" not in p._jdf.queryExecution().executedPlan().toString()
+        seen.append(sorted(map(tuple, p.collect())))
+        return M.of_role(M.linear_score(fo.join(p, "id"), "x", "y"), "test")
+    assert G.permutation_null(rows, predict, ["y", "w"], "y", repeats=2, seed=5).first().repeats == 2
+    want = [rows, *[G.shuffled(rows, ["y", "w"], [], s) for s in (5, 6)]]
+    assert seen == [sorted(map(tuple, df.collect())) for df in want]
+
+
 def test_shuffle_keeps_rows_together(data):
     _, panel, _, _ = data
     got = G.shuffled(panel.select("id", "x", "y", "w"), ["x", "y"], [], 1).toPandas()

@@ -91,6 +91,17 @@ def test_only_keys_of_many_rows_are_sampled(spark):
     assert pos == {v: v if v < 3000 else 0 for v in range(6000)}
 
 
+def test_rows_above_the_hash_limit_are_not_sampled(spark):
+    """Of a large key a bounded number of rows is looked at for splitters, of a middling one a small share."""
+    rows = spark.range(400_000).select(F.when(F.col("id") < 300_000, 0).otherwise(1 + F.col("id") % 20).alias("k"), F.col("id").alias("_at"))
+    got = {r.k: r["count"] for r in O.sampled(rows, ["k"]).groupBy("k").count().collect()}
+    assert 512 < got.pop(0) < 6000 and len(got) == 20 and all(50 < n < 250 for n in got.values())
+    cuts = {r.k: r.n for r in O.splitters(rows, ["k"], [F.col("_at")]).select("k", F.size("_cuts").alias("n")).collect()}
+    assert cuts.pop(0) > 400 and all(4 <= n <= 14 for n in cuts.values())
+    same = O.splitters(rows.repartition(7), ["k"], [F.col("_at")])
+    assert same.exceptAll(O.splitters(rows, ["k"], [F.col("_at")])).isEmpty()
+
+
 def test_peer_quantiles_of_few_and_many_rows(spark, monkeypatch):
     from pitspark.operators import members as P
     rows = [(i % 40, None if i % 11 == 0 else float((i * 37) % 23) / 8) for i in range(400)] + [(99, None), (100, 0.5), (101, float("nan"))]

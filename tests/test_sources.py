@@ -112,3 +112,18 @@ def test_scalars(spark):
     assert r.p == [1.0, 1.0, 1.0, 2.0] and r.g == 0.0 and 0 < 1 - r.s < 1e-12
     with pytest.raises(ValueError):
         SC.period_end("d", "W")
+
+
+def test_shipments_meet_suppliers_without_a_shuffle(spark, tmp_path):
+    from checks import bindings as B
+    sf = str(tmp_path)
+    made = {"region": ("r_regionkey int, r_name string", [(0, "ASIA"), (1, "EUROPE")]),
+            "nation": ("n_nationkey int, n_regionkey int, n_name string", [(3, 0, "A"), (4, 1, "B"), (5, None, "C")]),
+            "supplier": ("s_suppkey long, s_nationkey int, s_acctbal double", [(1, 3, 0.0), (2, 4, 0.0), (3, 5, 0.0), (4, None, 0.0), (2, 3, 1.0)]),
+            "lineitem": ("l_suppkey long, l_shipdate string, l_extendedprice double, l_quantity double",
+                         [(k, "2020-01-02", float(k or 0), 2.0) for k in (1, 2, 3, 4, 9, None)])}
+    for name, (schema, rows) in made.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{sf}/{name}.parquet")
+    got = B.shipments(spark, sf)
+    assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.grp, r.proceeds) for r in got.collect()) == [("ASIA", 1.0), ("ASIA", 2.0), ("EUROPE", 2.0)]
