@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pitspark.functions.ordering import quantiles
 from pitspark.functions.scalar import finite, sigmoid
-from pitspark.plans import inference as I, metrics as M
+from pitspark.plans import boosting, inference as I, metrics as M
 from pitspark.session import durable
 from pitspark.sources.predictions import quoted, write_predictions
 
@@ -191,11 +191,14 @@ def _tree(binary: bool, params: dict, seed: int):
 
 
 def _tree_data(train: DataFrame, val: DataFrame, y: str, binary: bool) -> DataFrame:
-    label = (F.col(y) > 0).cast("double") if binary else F.col(y).cast("double")
     both = train.unionByName(val)
     if binary:
         both = class_balance_weight(both, y)
-    return both.withColumns({"label": label, "is_val": F.col("role") == "val"})
+    return both.withColumns({"label": _label(y, binary), "is_val": F.col("role") == "val"})
+
+
+def _label(y: str, binary: bool) -> Column:
+    return (F.col(y) > 0).cast("double") if binary else F.col(y).cast("double")
 
 
 def _assembled(features: Sequence[str]) -> Pipeline:
@@ -232,16 +235,39 @@ def first_rounds(model: GBTClassificationModel | GBTRegressionModel, n: int, bin
 
 def fit_trees(train: DataFrame, val: DataFrame, y: str, features: Sequence[str], binary: bool = False,
               params: dict | list[dict] | None = None, seed: int = 0, rounds: int = ROUNDS,
-              patience: int = PATIENCE) -> PipelineModel | list[PipelineModel]:
-    """M4: boosted trees, stopped when the validation loss has not improved for ``patience`` rounds. A list of
-    ``params`` gives a list of models, all fitted on one vector table.
+              patience: int = PATIENCE) -> PipelineModel | Sequence[PipelineModel]:
+    """M4: boosted trees, stopped when the validation loss has not improved for ``patience`` rounds; those up to the best
+    round are the model. A list of ``params`` gives a sequence of models, all fitted on one table."""
+    configs = params if isinstance(params, list) else [params or {}]
+    both = train.unionByName(val).withColumn("_part", F.lit(0))
+    models = fit_parts(both, [seed], y, features, binary, configs, rounds, patience)[0]
+    return models if isinstance(params, list) else models[0]
+
+
+def fit_parts(rows: DataFrame, seeds: Sequence[int], y: str, features: Sequence[str], binary: bool = False,
+              configs: Sequence[dict] = ({},), rounds: int = ROUNDS, patience: int = PATIENCE) -> list[Sequence[PipelineModel]]:
+    """M4 on every ``_part`` (0, 1, ...) of training and validation rows, each with its seed: a model for every configuration."""
+    asked = [_tree(binary, {**c, "maxIter": rounds}, seeds[0]) for c in configs]
+    inputs = _assembled(features).fit(rows)
+    found: list[Sequence[PipelineModel] | None] = [None] * len(seeds)
+    if all(_plain_boosting(t) for t in asked):
+        found = _boosted_models(rows, seeds, y, inputs, len(features), binary, asked, rounds, patience)
+    for k, seed in enumerate(seeds):
+        if found[k] is None:
+            own = rows.where(F.col("_part") == k).drop("_part")
+            data = _tree_data(of_role(own, "train"), of_role(own, "val"), y, binary)
+            found[k] = _ml_models(data, inputs, binary, configs, seed, rounds, patience)
+    return found
+
+
+def _ml_models(rows: DataFrame, inputs: PipelineModel, binary: bool, configs: Sequence[dict], seed: int, rounds: int,
+               patience: int) -> list[PipelineModel]:
+    """Fits of Spark ML, for parameters that ``boosting`` does not have and rows that are refused.
 
     Boosting of a given seed begins alike whatever the number of rounds, so it runs for a few rounds, is looked
     at round by round, and runs again for twice as many until the patience is used up (at once for all
-    rounds where that is no more than twice as many); the trees up to the best round are the model.
+    rounds where that is no more than twice as many).
     """
-    rows = _tree_data(train, val, y, binary)
-    inputs = _assembled(features).fit(rows)
     # one vector table, which every run and every round reads
     data = durable(inputs.transform(rows).select("features", "label", "is_val", *["weight"] * binary))
     learn, held = data.where("not is_val"), data.where("is_val")
@@ -260,9 +286,117 @@ def fit_trees(train: DataFrame, val: DataFrame, y: str, features: Sequence[str],
             n = min(rounds, 2 * n)
         return PipelineModel([*inputs.stages, first_rounds(model, best, binary) if best < n else model])
 
-    if isinstance(params, list):
-        return side_by_side([partial(one, c) for c in params], train.sparkSession, CONFIGS_AT_ONCE)
-    return one(params or {})
+    return side_by_side([partial(one, c) for c in configs], rows.sparkSession, CONFIGS_AT_ONCE)
+
+
+def _plain_boosting(tree: GBTClassifier | GBTRegressor) -> bool:
+    """Whether ``boosting`` grows such trees: all rows and features in every round, the usual losses, short trees."""
+    loss = "logistic" if isinstance(tree, GBTClassifier) else "squared"
+    return (tree.getLossType() == loss and tree.getSubsamplingRate() == 1.0 and tree.getFeatureSubsetStrategy() in ("all", "auto")
+            and 1 <= tree.getMaxDepth() <= boosting.MOST_DEPTH and tree.getMaxBins() <= boosting.MOST_BINS
+            and not tree.isSet("validationIndicatorCol"))
+
+
+class _Candidates(Sequence):
+    """Models of a search with their validation losses. One becomes a model of Spark ML when it is taken out."""
+    def __init__(self, losses: Sequence[float], make: Callable[[int], PipelineModel]):
+        self.losses, self._make = losses, make
+
+    def __len__(self) -> int:
+        return len(self.losses)
+
+    def __getitem__(self, i: int) -> PipelineModel:
+        return self._make(range(len(self.losses))[i])
+
+
+def _boosted_models(rows: DataFrame, seeds: Sequence[int], y: str, inputs: PipelineModel, n_features: int, binary: bool,
+                    asked: Sequence[GBTClassifier | GBTRegressor], rounds: int, patience: int) -> list[_Candidates | None]:
+    """Nothing for parts with rows that Spark ML refuses or weighs by more than the label."""
+    names = [f"_x{i}" for i in range(n_features)]
+    named = rows.where(F.col("role").isin("train", "val")).withColumns({"label": _label(y, binary), "is_val": F.col("role") == "val"})
+    frame = inputs.stages[0].transform(named).select(F.col("_part").alias("part"), "fold", "is_val", "label", *names)
+    odd = reduce(Column.__or__, [~F.coalesce(finite(c), F.lit(False)) for c in ["label", *names]])
+    learns = ~F.col("is_val")
+    seen = {r["part"]: r for r in frame.groupBy("part").agg(
+        F.count_if(learns).alias("n"), F.count_if("is_val").alias("n_val"), F.count_if(learns & (F.col("label") > 0)).alias("up"),
+        F.count_if(odd).alias("odd"), F.count_if(F.col("fold").isNull()).alias("no_fold"), F.min("fold").alias("first"),
+        F.max("fold").alias("last")).collect()}
+
+    def weights(r) -> tuple[float, float] | None:
+        return (1.0, (r["n"] - r["up"]) / max(r["up"], 1)) if binary else None      # as class_balance_weight
+
+    def weighted(r) -> float:
+        return r["n"] if not binary else r["n"] - r["up"] + r["up"] * weights(r)[1]
+
+    def plain(r) -> bool:
+        return r["n"] > 0 and r["n_val"] > 0 and not r["odd"] and not (
+            binary and (r["first"] != r["last"] or r["no_fold"] or r["up"] == r["n"]))
+
+    keys = [k for k in range(len(seeds)) if k in seen and plain(seen[k])]
+    place = F.element_at(F.create_map(*[F.lit(v) for k in keys for v in (k, keys.index(k))]), F.col("part")) if keys else None
+    fits: dict[tuple[int, int], boosting.Fit] = {}
+    cuts: dict[tuple[int, int], list[np.ndarray]] = {}
+    for bins in sorted({t.getMaxBins() for t in asked}) if keys else []:
+        own = [i for i, t in enumerate(asked) if t.getMaxBins() == bins]
+        # candidate cuts are sought in a sample of a fixed size, as by Spark ML
+        share = {k: min(1.0, max(bins * bins, 10_000) / seen[k]["n"]) for k in keys}
+        taken = [(F.col("part") == k) & (F.lit(True) if share[k] == 1.0 else F.rand(seeds[k]) < share[k]) for k in keys]
+        drawn = frame.where(learns & reduce(Column.__or__, taken)).select("part", "label", *names).toArrow()
+        which = drawn["part"].to_numpy()
+        parts = []
+        for k in keys:
+            some, r = drawn.filter(pa.array(which == k)), seen[k]
+            w = np.array(weights(r))[some["label"].to_numpy().astype(int)] if binary else np.ones(some.num_rows)
+            cuts[k, bins] = [boosting.cuts_of(some[c].to_numpy(), w, share[k] * weighted(r), min(bins, r["n"]) - 1) for c in names]
+            parts.append(boosting.Part(cuts[k, bins], weights(r), r["n"], r["n_val"]))
+        params = [boosting.Params(t.getMaxDepth(), t.getStepSize(), t.getMinInstancesPerNode(), t.getMinWeightFractionPerNode(),
+                                  t.getMinInfoGain()) for t in map(asked.__getitem__, own)]
+        got = boosting.boost(frame.where(F.col("part").isin(keys)).withColumn("part", place), names, parts, params, rounds,
+                             partial(_stop, best_round, patience), side_by_side)
+        fits |= {(k, i): f for k, some in zip(keys, got) for i, f in zip(own, some)}
+
+    def make(k: int, i: int) -> PipelineModel:
+        fit = fits[k, i]
+        return PipelineModel([*inputs.stages, _ml_model(fit.trees[:fit.best], fit.params.step, cuts[k, asked[i].getMaxBins()],
+                                                        n_features, binary, asked[i])])
+
+    return [_Candidates([fits[k, i].compared[fits[k, i].best - 1] for i in range(len(asked))], partial(make, k))
+            if k in keys else None for k in range(len(seeds))]
+
+
+def _stop(rule: Callable, patience: int, curve: Sequence[float]) -> tuple[int, bool]:
+    return rule(curve, patience)
+
+
+def _ml_model(trees: Sequence[boosting.Tree], step: float, cuts: Sequence[np.ndarray], n_features: int, binary: bool,
+              asked: GBTClassifier | GBTRegressor) -> GBTClassificationModel | GBTRegressionModel:
+    """The trees as a model of Spark ML."""
+    spark = SparkSession.active()
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    ml, impurity = jvm.org.apache.spark.ml, jvm.org.apache.spark.mllib.tree.impurity
+
+    def doubles(values: Sequence[float]):
+        out = gateway.new_array(jvm.double, len(values))
+        for i, v in enumerate(values):
+            out[i] = float(v)
+        return out
+
+    def node(tree: boosting.Tree, i: int):
+        own = tree[i]
+        sums = impurity.VarianceCalculator(doubles([own.w, own.s, own.ss]), own.n)
+        if own.feature < 0:
+            return ml.tree.LeafNode(own.value, own.impurity, sums)
+        at = ml.tree.ContinuousSplit(own.feature, float(cuts[own.feature][own.cut]))
+        return ml.tree.InternalNode(own.value, own.impurity, own.gain, node(tree, 2 * i), node(tree, 2 * i + 1), at, sums)
+
+    parts = gateway.new_array(ml.regression.DecisionTreeRegressionModel, len(trees))
+    for k, tree in enumerate(trees):
+        parts[k] = ml.regression.DecisionTreeRegressionModel(f"dtr_{k}", node(tree, 1), n_features)
+    weights = doubles([step if k else 1.0 for k in range(len(trees))])
+    own = asked._to_java()
+    kind = ml.classification.GBTClassificationModel if binary else ml.regression.GBTRegressionModel
+    model = own.copyValues(kind(own.uid(), parts, weights), ml.param.ParamMap.empty())
+    return (GBTClassificationModel if binary else GBTRegressionModel)(model)
 
 
 def score_with(model: PipelineModel, rows: DataFrame, binary: bool = False) -> DataFrame:
@@ -277,21 +411,22 @@ def trees(rows: DataFrame, y: str, features: Sequence[str], levels: Sequence[flo
           patience: int = PATIENCE) -> DataFrame:
     """M4, M7: boosted trees on every fold, searched over ``tune`` when given. All folds and configurations
     are fitted side by side."""
-    rows, spark = durable(rows), rows.sparkSession
+    rows, ids = _by_part(rows)
     configs = sample_configs(tune, n_configs, seed) if tune and n_configs else [{}]
-    parts = {k: [of_role(rows.where(F.col("fold") == k), r) for r in ("train", "val", "test")] for k in fold_ids(rows)}
+    found = fit_parts(rows, [seed] * len(ids), y, features, binary, [{**(params or {}), **c} for c in configs], rounds, patience)
+    parts = [[of_role(rows.where(F.col("_part") == k).drop("_part"), r) for r in ("train", "val", "test")] for k in range(len(ids))]
 
-    def fit(k: int) -> PipelineModel:
-        train, val, _ = parts[k]
-        models = fit_trees(train, val, y, features, binary, [{**(params or {}), **c} for c in configs], seed, rounds, patience)
+    def best(k: int) -> PipelineModel:
+        models = found[k]
         if len(models) == 1:
             return models[0]
-        losses = [validation_loss(score_with(m, val, binary), y, binary) for m in models]
-        return min(zip(losses, models), key=lambda f: f[0])[1]      # first among equals
+        losses = models.losses if isinstance(models, _Candidates) else [
+            validation_loss(score_with(m, parts[k][1], binary), y, binary) for m in models]
+        return models[min(range(len(models)), key=losses.__getitem__)]      # first among equals
 
-    fits = side_by_side([partial(fit, k) for k in parts], spark)
+    fits = side_by_side([partial(best, k) for k in range(len(ids))], rows.sparkSession)
     out = []
-    for model, (train, val, test) in zip(fits, parts.values()):
+    for model, (train, val, test) in zip(fits, parts):
         if binary:
             out.append(score_with(model, test, True).withColumnRenamed("score", "p_out"))
         else:
@@ -318,14 +453,16 @@ def validation_loss(scored: DataFrame, y: str, binary: bool) -> float:
 def fold_models(rows: DataFrame, y: str, features: Sequence[str], binary: bool = False, params: dict | None = None,
                 seed: int = 0, rounds: int = ROUNDS, patience: int = PATIENCE) -> dict[int, PipelineModel]:
     """Boosted trees of every fold, fitted side by side."""
-    rows = durable(rows)
+    rows, ids = _by_part(rows)
+    found = fit_parts(rows, [seed] * len(ids), y, features, binary, [params or {}], rounds, patience)
+    return dict(zip(ids, side_by_side([partial(m.__getitem__, 0) for m in found], rows.sparkSession)))
 
-    def one(k: int) -> PipelineModel:
-        part = rows.where(F.col("fold") == k)
-        return fit_trees(of_role(part, "train"), of_role(part, "val"), y, features, binary, params, seed, rounds, patience)
 
+def _by_part(rows: DataFrame) -> tuple[DataFrame, list[int]]:
+    """Written rows with the place of their fold among all folds as ``_part``, and the folds."""
+    rows = durable(rows)
     ids = fold_ids(rows)
-    return dict(zip(ids, side_by_side([partial(one, k) for k in ids], rows.sparkSession)))
+    return rows.withColumn("_part", (F.array_position(F.array(*map(F.lit, ids)), F.col("fold")) - 1).cast("int")), ids
 
 
 def score_folds(models: dict[int, PipelineModel], rows: DataFrame, binary: bool = False) -> DataFrame:
@@ -518,11 +655,13 @@ def fit_final(panel: DataFrame, split: DataFrame, y: str, features: Sequence[str
     """One model per seed on all rows (V3 split), saved with the feature contract."""
     rows = durable(panel.select(*dict.fromkeys(["id", y, *features])).join(split, "id"))
 
-    def one(s: int) -> None:
-        fit_trees(of_role(rows, "train"), of_role(rows, "val"), y, features, binary, params, s, rounds, patience
-                  ).write().overwrite().save(f"{path}/seed={s}")
+    every = rows.withColumn("_part", F.explode(F.array(*[F.lit(k) for k in range(len(seeds))])))
+    found = fit_parts(every, seeds, y, features, binary, [params or {}], rounds, patience)
+
+    def one(k: int) -> None:
+        found[k][0].write().overwrite().save(f"{path}/seed={seeds[k]}")
 
-    side_by_side([partial(one, s) for s in seeds], panel.sparkSession)
+    side_by_side([partial(one, k) for k in range(len(seeds))], panel.sparkSession)
     offsets = None
     if not binary:
         scored = _mean_score(rows, path, seeds, False)

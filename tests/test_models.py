@@ -8,7 +8,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from pitspark.plans import diagnostics as G, folds as V, models as M, scaling as X
+from pitspark.plans import boosting as B, diagnostics as G, folds as V, models as M, scaling as X
 from tests.conftest import day
 
 
@@ -382,3 +382,63 @@ def test_unlabelled_query_assembles_one_panel(spark, monkeypatch):
     monkeypatch.setattr(Q.M, "score_bundle", lambda every, *a: every)
     assert Q.m12n(spark, "").count() == 40
     assert fitted == [(30, 30)] and [k["inference"] for k in made] == [True]
+
+
+def _ml_scores(rows, features, binary, params, rounds, patience):
+    """Test scores by Spark ML, a fit by a fold."""
+    out = {}
+    for k in M.fold_ids(rows):
+        train, val, test = (M.of_role(rows.where(F.col("fold") == k), r) for r in ("train", "val", "test"))
+        data = M._tree_data(train, val, "y", binary)
+        model = M._ml_models(data, M._assembled(features).fit(data), binary, [params], 0, rounds, patience)[0]
+        out |= {r.id: (r.score, model.stages[-1].getNumTrees) for r in M.score_with(model, test, binary).collect()}
+    return out
+
+
+@pytest.mark.parametrize("binary", [False, True])
+@pytest.mark.parametrize("apart", [False, True])
+def test_trees_are_those_of_spark_ml(data, monkeypatch, binary, apart):
+    """Inside one task and by passes over a written table, with forecasts kept once on the way."""
+    rows = data[3].withColumn("w", F.when(F.col("id") % 11 > 0, F.round("w", 1))).withColumn("idle", F.lit(0.0))
+    features, params = ["x", "w", "idle"], {"maxDepth": 2, "stepSize": 0.3, "maxBins": 16}
+    want = _ml_scores(rows, features, binary, params, 6, 4)
+    if apart:
+        monkeypatch.setattr(B, "ONE_TASK", 50)
+        monkeypatch.setattr(B, "KEPT", 2)
+    models = M.fold_models(rows, "y", features, binary, params, 0, 6, 4)
+    got = {r.id: r for r in M.score_folds(models, M.of_role(rows, "test"), binary).collect()}
+    assert sorted(got) == sorted(want)
+    for i, r in got.items():
+        assert abs(r.score - want[i][0]) < 1e-9 and models[r.fold].stages[-1].getNumTrees == want[i][1]
+
+
+def test_folds_and_configurations_share_their_passes(data, monkeypatch):
+    """No fit of Spark ML, one job a level for all folds and configurations together, and no round fitted again."""
+    for kind in (M.GBTClassifier, M.GBTRegressor):
+        monkeypatch.setattr(kind, "fit", lambda *a, **k: pytest.fail("fitted one by one"))
+    monkeypatch.setattr(B, "ONE_TASK", 50)
+    passes, sums = [], B.Written.sums
+    monkeypatch.setattr(B.Written, "sums", lambda self, asks: (passes.append(len(asks)), sums(self, asks))[1])
+    tune = {"maxDepth": [1, 2], "stepSize": [0.1, 0.3]}
+    got = M.trees(data[3], "y", ["x", "w"], binary=True, tune=tune, n_configs=4, rounds=3, patience=3).toPandas()
+    assert len(got) == data[3].where("role = 'test'").count() and got.p_out.between(0, 1).all()
+    assert len(passes) <= 3 * 2 + 1 and passes[0] == 2 * 4
+
+
+def test_cuts_of_spark_ml():
+    """All cuts between few values, with the zeros that are left out; near-equal shares of many."""
+    assert B.cuts_of(np.array([3.0, 0, -1, 3]), np.ones(4), 4, 31).tolist() == [-0.5, 1.5]
+    assert B.cuts_of(np.zeros(5), np.ones(5), 5, 31).tolist() == [] and B.cuts_of(np.ones(5), np.ones(5), 5, 31).tolist() == []
+    assert B.cuts_of(np.arange(1.0, 9), np.ones(8), 8, 3).tolist() == [2.5, 4.5, 6.5]
+    assert sorted(i for p in B.packed((32, 32, 5, 32)) for i in p) == [0, 1, 2, 3] and B.packed(()) == ((),)
+
+
+def test_refused_rows_are_left_to_spark_ml(data):
+    rows = data[3].where("fold = 0")
+    train, val = M.of_role(rows, "train"), M.of_role(rows, "val")
+    with pytest.raises(ValueError, match="validation"):
+        M.fit_trees(train, val.limit(0), "y", ["x", "w"], rounds=2, patience=2)
+    some = M.fit_trees(train, val, "y", ["x", "w"], rounds=2, patience=2, params={"subsamplingRate": 0.5})
+    assert some.stages[-1].getOrDefault("subsamplingRate") == 0.5
+    with pytest.raises(Exception, match="(?i)label"):
+        M.fit_trees(train.withColumn("y", F.lit(None).cast("double")), val, "y", ["x", "w"], rounds=2, patience=2)
